@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing, pii, quality, secrets
+from . import bpe, chat, exact_dedup, near_dedup, packing, pii, quality, secrets
 from .common import table
 
 
@@ -50,7 +50,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_chat, op4_bpe, op5_packing, op7_secrets, op8_pii, op9_exact_dedup)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_chat, op4_bpe, op5_packing, op7_secrets, op8_pii, op9_exact_dedup, op10_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": """

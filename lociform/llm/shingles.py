@@ -2,8 +2,8 @@
 
 Words are maximal runs of bytes other than space and ``\\x09``-``\\x0D`` after
 lower-casing ``A``-``Z``; both rules are ASCII-only, so working on UTF-8 bytes
-gives the same words as working on code points.  A whole Arrow batch is hashed
-at once with prefix sums; nothing loops over words in Python.
+gives the same words as working on code points.  Many texts are hashed at
+once with prefix sums; nothing loops over words in Python.
 """
 
 from __future__ import annotations
@@ -46,11 +46,11 @@ class _Powers:
             cls.up, cls.down = _powers(_STEP, 2 * n), _powers(pow(_STEP, -1, 1 << 64), 2 * n)
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words of ``text`` in order."""
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``text`` in order, and where each begins."""
     raw = _LOWER[np.frombuffer(text, np.uint8)]
     if not len(raw):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     word = ~_SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).view(np.int8)))
     start, stop = edge[::2], edge[1::2]
@@ -58,26 +58,45 @@ def word_hashes(text: bytes) -> np.ndarray:
     with np.errstate(over="ignore"):
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_BYTE[raw] * _Powers.up[: len(raw)], out=total[1:])
-        return _mix((total[stop] - total[start]) * _Powers.down[start] + (stop - start).astype(np.uint64))
-
-
-def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Sorted distinct hashes of runs of ``width`` words; of the whole if it is shorter.
-
-    No words give no shingles.
-    """
-    if not len(words):
+        return _mix((total[stop] - total[start]) * _Powers.down[start] + (stop - start).astype(np.uint64)), start
+
+
+def batch_shingles(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """``shingle_hashes`` of each text; words of up to some 2 MB of texts are hashed together."""
+    out: list[np.ndarray] = []
+    raws = [(t or "").encode("utf-8") for t in texts]
+    lo = 0
+    while lo < len(raws):
+        hi, size = lo, 0
+        while hi < len(raws) and (hi == lo or size + len(raws[hi]) <= 1 << 21):
+            size += len(raws[hi]) + 1
+            hi += 1
+        words, start = word_hashes(b"\n".join(raws[lo:hi]))
+        first = np.cumsum([0] + [len(r) + 1 for r in raws[lo:hi]])
+        bounds = np.searchsorted(start, first).tolist()
+        runs = _runs(words, width)
+        for i, j in zip(bounds, bounds[1:]):
+            if j - i >= width:
+                own = np.sort(runs[i : j - width + 1])
+                fresh = np.empty(len(own), bool)
+                fresh[0] = True
+                np.not_equal(own[1:], own[:-1], out=fresh[1:])
+                out.append(own[fresh])
+            else:
+                out.append(_runs(words[i:j], j - i) if j > i else np.zeros(0, np.uint64))
+        lo = hi
+    return out
+
+
+def _runs(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the run of ``width`` words that begins at each place."""
+    if len(words) < width:
         return np.zeros(0, np.uint64)
-    width = min(width, len(words))
     with np.errstate(over="ignore"):
         acc = np.zeros(len(words) - width + 1, np.uint64)
         for k in range(width):
-            acc = acc * _U(0x9E3779B97F4A7C15) + _mix(words[k : len(words) - width + 1 + k] + _U(k))
-        return np.unique(_mix(acc))
-
-
-def text_shingles(text: str | None, width: int) -> np.ndarray:
-    return shingle_hashes(word_hashes((text or "").encode("utf-8", "surrogatepass")), width)
+            acc = acc * _U(0x9E3779B97F4A7C15) + (words[k : len(words) - width + 1 + k] ^ _U(k + 1))
+        return _mix(acc)
 
 
 class Signer:
