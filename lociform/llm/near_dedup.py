@@ -64,23 +64,25 @@ class Measure:
 
 
 def signatures(docs: DataFrame, measure: Measure) -> DataFrame:
-    """``doc_id``, ``n``, ``set_id`` (null without shingles), ``sig`` for each document."""
+    """``doc_id``, ``rid`` (row number), ``n``, ``set_id`` (null without shingles), ``sig`` for each document."""
     width = measure.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer(COORDINATES)
         for batch in batches:
-            for lo, texts in strings(batch.column(1)):
+            for lo, texts in strings(batch.column(2)):
                 sets = batch_shingles(texts, width)
                 columns = [
                     batch.column(0).slice(lo, len(texts)),
+                    batch.column(1).slice(lo, len(texts)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([x.tobytes() for x in sign(sets)], pa.binary()),
                 ]
-                yield pa.record_batch(columns, names=["doc_id", "n", "set_id", "sig"])
+                yield pa.record_batch(columns, names=["doc_id", "rid", "n", "set_id", "sig"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n long, set_id binary, sig binary")
+    rows = id_and_text(docs).select("doc_id", F.monotonically_increasing_id().alias("rid"), "text")
+    return rows.mapInArrow(run, "doc_id long, rid long, n long, set_id binary, sig binary")
 
 
 def _tokens(sigs: list[bytes]) -> np.ndarray:
@@ -260,15 +262,16 @@ def _loose_links(groups: DataFrame, linked: DataFrame, sets: DataFrame, measure:
 
 
 def labels(docs: DataFrame, measure: Measure | None = None) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` for each row of ``docs``."""
+    """``doc_id``, ``rid``, ``n_shingles``, ``component_id``, ``root`` for each row of ``docs``; the last is null without shingles."""
     measure = measure or Measure()
     signed = saved(signatures(docs, measure), "signed")
     nodes = _nodes(signed)
     roots = components(links(docs, nodes, measure))
     placed = nodes.select("node", "set_id", "rep").join(roots, "node", "left").select("set_id", "rep", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_set = placed.join(least, "root").select("set_id", "component_id")
-    return signed.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_set = placed.join(least, "root").select("set_id", "component_id", "root")
+    named = signed.select("doc_id", "rid", F.col("n").alias("n_shingles"), "set_id").join(by_set, "set_id", "left")
+    return named.select("doc_id", "rid", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
 def _nodes(signed: DataFrame) -> DataFrame:
@@ -302,4 +305,16 @@ def links(docs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
 
 def report(docs: DataFrame, measure: Measure | None = None) -> DataFrame:
     """One row per document: its set's size, its component, and whether it is the one that stays."""
-    return labels(docs, measure).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return labels(docs, measure).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def dedup(docs: DataFrame, measure: Measure) -> DataFrame:
+    """``docs`` with one row of each component: that with the least ``doc_id``, then the least row number; all columns.
+
+    Documents without shingles stay.
+    """
+    named = saved(labels(docs, measure).filter("root IS NOT NULL").select("root", "rid", "doc_id"), "named")
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("rid").alias("r"))
+    first = named.groupBy("root").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1").select("root", F.col("first.r").alias("first"))
+    drop = named.join(first, "root").filter(F.col("rid") != F.col("first")).select(F.col("rid").alias("__drop"))
+    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(drop, F.col("__rid") == F.col("__drop"), "left_anti").drop("__rid")

@@ -27,8 +27,8 @@ from .common import id_and_text, strings
 
 CHUNK, OVERLAP = 512, 64
 WIDTH, STRIDE, DIM, FILTERS = 8, 4, 6, 24
-#: The most labelled rows that training reads, and their chunks in one round.
-SAMPLE, CHUNKS_A_DOC, ROUNDS = 4000, 6, 14
+#: The most labelled rows that training reads, their chunks in one round, rounds, and the fewest steps.
+SAMPLE, CHUNKS_A_DOC, ROUNDS, STEPS = 4000, 6, 14, 800
 PAD = 256
 
 
@@ -110,8 +110,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Net:
     m = {k: np.zeros_like(x) for k, x in net.p.items()}
     s = {k: np.zeros_like(x) for k, x in net.p.items()}
     step = 0
-    for turn in range(ROUNDS):
-        rate = 0.01 * 0.5 * (1 + np.cos(np.pi * turn / ROUNDS)) + 2e-4
+    rounds = max(ROUNDS, -(-STEPS * 32 // len(parts)) if len(parts) > 32 else STEPS)
+    for turn in range(rounds):
+        rate = 0.01 * 0.5 * (1 + np.cos(np.pi * turn / rounds)) + 2e-4
         order = rng.permutation(len(parts))
         for lo in range(0, len(order), 32):
             own = order[lo : lo + 32]
