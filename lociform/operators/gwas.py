@@ -91,7 +91,7 @@ def with_p(rows: DataFrame, dof: int) -> DataFrame:
         for t in batches:
             yield t.map(lambda x: t_two_sided(x, dof)).astype("float64")
 
-    return rows.withColumn("p", F.pandas_udf(tail, "double")("t"))
+    return rows.withColumn("p", F.coalesce(F.pandas_udf(tail, "double")("t"), F.lit(float("nan"))))  # Arrow takes NaN for null
 
 
 def table(results: DataFrame, cmap: DataFrame, names: DataFrame, variants: DataFrame) -> DataFrame:

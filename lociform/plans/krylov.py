@@ -27,7 +27,7 @@ def pcg(apply: Apply, b: np.ndarray, start: np.ndarray | None = None, inverse: A
     p, rz = z.copy(), (r * z).sum(0)
     for k in range(1, most + 1):
         ap = apply(p)
-        alpha = rz / ((p * ap).sum(0) + 1e-12)
+        alpha = _ratio(rz, (p * ap).sum(0))
         x += alpha * p
         r -= alpha * ap
         if k % every == 0 or k == most:
@@ -36,11 +36,16 @@ def pcg(apply: Apply, b: np.ndarray, start: np.ndarray | None = None, inverse: A
                 return x, worst, k
         z = inverse(r)
         new = (r * z).sum(0)
-        p = z + new / (rz + 1e-12) * p
+        p = z + _ratio(new, rz) * p
         rz = new
     return x, worst, most
 
 
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Quotients, 0 where a column has converged to the last digit."""
+    return np.divide(a, b, out=np.zeros_like(a), where=b > 0)
+
+
 def lanczos(apply: Apply, start: np.ndarray, steps: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Tridiagonal matrices of each column's Krylov space, as eigenvalues and squared first components."""
     n, c = start.shape

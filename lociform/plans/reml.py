@@ -195,10 +195,18 @@ class Problem:
                 break
         return Fit(theta, e.loglik, e.score, e.ai, self.h2(theta), converged, history, self.mean, self.scale)
 
+    def solve(self, theta: np.ndarray, b: np.ndarray, tol: float) -> np.ndarray:
+        """``H^-1 b``: exactly, or by conjugate gradients that must reach ``tol``."""
+        if self.exact:
+            return np.linalg.solve(np.einsum("g,gij->ij", theta[: self.g], self.kernel.k) + np.diag(theta[self.g :] @ self.r), b)
+        x, worst, _ = pcg(lambda v: self.hv(theta, v), b, tol=tol, most=self.o.pcg_iterations)
+        if worst > 1.05 * tol:
+            raise RuntimeError(f"conjugate gradients stopped at {worst:.2e}, asked for {tol:.2e}")
+        return x
+
     def projected_response(self, theta: np.ndarray, tol: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
         """``P y`` and the fixed effects at ``theta``."""
-        rhs = np.concatenate([self.x, self.y[:, None]], 1)
-        sol, worst, _ = pcg(lambda v: self.hv(theta, v), rhs, tol=min(tol, 1e-10) if self.exact else tol, most=self.o.pcg_iterations)
+        sol = self.solve(theta, np.concatenate([self.x, self.y[:, None]], 1), tol)
         k = self.x.shape[1]
         beta = spd_solve(self.x.T @ sol[:, :k], self.x.T @ sol[:, k])
         return sol[:, k] - sol[:, :k] @ beta, beta
