@@ -30,8 +30,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The most rows that the tree is fitted on, its calibration queries, and the recall they are to reach.
-SAMPLE, QUERIES, RECALL = 16384, 256, 0.97
-BRANCH, LEAF, BLOCK = 8, 48, 4096
+SAMPLE, QUERIES, RECALL = 16384, 256, 0.95
+BRANCH, LEAF, BLOCK = 16, 256, 4096
 
 
 class Tree:
