@@ -65,7 +65,44 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_neighbours, op3_chat, op4_bpe, op5_packing, op6_substring_dedup, op7_secrets, op8_pii, op9_exact_dedup, op10_near_dedup)}
 
+def _spans_sql(kind: str, pattern: str, rank: int, keep: str = "true") -> str:
+    """Spans of one pattern: matches and the parts between them give positions in code points."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, s.a AS a, s.a + length(s.m) AS b FROM (
+        SELECT doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'m': m[i], 'a': list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)}})) AS s
+        FROM (SELECT doc_id, regexp_extract_all(text, '{quoted}') AS m, string_split_regex(text, '{quoted}') AS p FROM d) WHERE len(m) > 0) WHERE {keep}"""
+
+
+_ASSIGN_SQL = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_SECRET_SPANS = (
+    ("assign", _ASSIGN_SQL, "length(regexp_extract(s.m, '" + _ASSIGN_SQL.replace("'", "''") + "', 2)) >= 8"),
+    ("access", "AKIA[A-Z0-9]+", "length(s.m) >= 16"),
+    ("hex", "[0-9a-f]+", "length(s.m) >= 32"),
+    ("keyblock", secrets.KEY_BLOCK.pattern, "true"),
+    ("bearer", secrets.BEARER.pattern, "true"),
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_secrets": f"""
+        WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text FROM documents),
+        f AS ({" UNION ALL ".join(_spans_sql(kind, pattern, k, keep) for k, (kind, pattern, keep) in enumerate(_SECRET_SPANS))}),
+        g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+            string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank, b) AS spans FROM f GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+    """,
+    "op10_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS sh FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r(doc_id, top) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.y, r.top FROM r JOIN e ON e.x = r.doc_id)
+        SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.top) AS component_id, w.doc_id = min(r.top) AS kept
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id
+    """,
     "op9_exact_dedup": """
         WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
