@@ -46,11 +46,11 @@ class _Powers:
             cls.up, cls.down = _powers(_STEP, 2 * n), _powers(pow(_STEP, -1, 1 << 64), 2 * n)
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of ``text`` in order, and where each begins."""
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``text`` in order, and where each begins and ends."""
     raw = _LOWER[np.frombuffer(text, np.uint8)]
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = ~_SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).view(np.int8)))
     start, stop = edge[::2], edge[1::2]
@@ -58,7 +58,21 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_BYTE[raw] * _Powers.up[: len(raw)], out=total[1:])
-        return _mix((total[stop] - total[start]) * _Powers.down[start] + (stop - start).astype(np.uint64)), start
+        return _mix((total[stop] - total[start]) * _Powers.down[start] + (stop - start).astype(np.uint64)), start, stop
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``text`` in order, and where each begins."""
+    return word_spans(text)[:2]
+
+
+def range_hashes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words from ``first`` up to ``end``, for many ranges; equal sequences hash alike wherever they stand."""
+    _Powers.upto(len(words))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * _Powers.up[: len(words)], out=total[1:])
+        return _mix((total[end] - total[first]) * _Powers.down[first] + (end - first).astype(np.uint64))
 
 
 def batch_shingles(texts: list[str | None], width: int) -> list[np.ndarray]:

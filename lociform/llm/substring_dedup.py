@@ -12,87 +12,94 @@ run once at most.  Counts and first occurrences combine on the map side; the
 join back to occurrences is left to adaptive skew handling.
 
 Defined results: null text counts as empty, has no sentences and stays null;
-words compare without regard to case and white space; of equal rows the first
+words are runs of bytes between ASCII white space and compare without
+regard to ASCII case; of equal rows the first
 keeps its text; null ``doc_id`` comes last; an empty table gives an empty
 result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
-import struct
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, strings
-
-SPAN, WORDS, LONG = 3, 20, 16
-_END = re.compile(r"[.!?]+[\"')\]]*\s+|\n\s*")
-_WORD = re.compile(r"\S+\s*")
-
-
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """Start, end and words of each sentence; together they cover the text, leading white space aside."""
-    out = []
-    begin = 0
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        part = text[begin:end]
-        words = part.lower().split()
-        if len(words) > LONG:
-            at, own = begin, []
-            for m in _WORD.finditer(text, begin, end):
-                word = m[0].strip().lower()
-                own.append(word)
-                if zlib.crc32(word.encode("utf-8", "replace")) % 8 == 0:
-                    out.append((at, m.end(), own))
-                    at, own = m.end(), []
-            if own:
-                out.append((at, end, own))
-        elif words:
-            out.append((begin, end, words))
-        begin = end
-    return out
-
-
-def runs(parts: list[tuple[int, int, list[str]]]) -> list[tuple[int, int, bytes]]:
-    """First sentence, number of sentences and 12-byte hash of each run."""
-    keys = [xxhash.xxh3_128_digest(" ".join(words)) for _, _, words in parts]
-    sizes = [len(words) for _, _, words in parts]
-    out = []
-    end, total = 0, 0  # total: words of parts[k:end]
-    for k in range(len(parts)):
-        while end < len(parts) and (end - k < SPAN or total < WORDS):
-            total += sizes[end]
-            end += 1
-        if end - k < SPAN or total < WORDS:
-            break
-        out.append((k, end - k, xxhash.xxh3_128_digest(b"".join(keys[k:end]))[:12]))
-        total -= sizes[k]
-    return out
+from .shingles import _mix, range_hashes, word_spans
+
+SPAN, WORDS, LONG, PICK = 3, 20, 16, 8
+_END, _CLOSE = np.zeros(256, bool), np.zeros(256, bool)
+_END[list(b".!?")] = True
+_CLOSE[list(b"\"')]")] = True
+
+
+class Batch:
+    """Sentences and runs of many texts at once, as arrays over all of them."""
+
+    def __init__(self, raws: list[bytes]):
+        joined = b"\n".join(raws) + b"\n"
+        octets = np.frombuffer(joined, np.uint8)
+        words, start, stop = word_spans(joined)
+        self.text_start = np.cumsum([0] + [len(r) + 1 for r in raws])  # of each text, and the end
+        # A sentence ends after a word that closes with a mark, and before a line end.
+        last = stop - 1
+        for _ in range(3):
+            last = np.where(_CLOSE[octets[last]] & (last > start), last - 1, last)
+        lines = np.concatenate([[0], np.cumsum(octets == 10)])
+        ends = _END[octets[last]] | (np.diff(lines[np.append(start, len(joined))]) > 0)
+        # Long ones also end after words that the hash picks.
+        close = np.flatnonzero(ends)
+        size = np.diff(np.concatenate([[-1], close]))
+        ends |= np.repeat(size > LONG, size) & (words % np.uint64(PICK) == 0)
+        self.last = np.flatnonzero(ends) + 1  # word after each sentence
+        self.first = np.concatenate([[0], self.last[:-1]]).astype(np.int64) if len(self.last) else self.last
+        self.byte = start[self.first] if len(self.first) else self.first  # where each sentence begins
+        self.text = np.searchsorted(self.text_start, self.byte, side="right") - 1
+        n = len(self.first)
+        self.count = np.bincount(self.text, minlength=len(raws))  # sentences of each text
+        self.ahead = np.cumsum(self.count) - self.count
+        run = np.arange(n)
+        final = np.maximum(run + SPAN - 1, np.searchsorted(self.last, self.first + WORDS))
+        fits = (final < n) & (self.text[np.minimum(final, n - 1)] == self.text) if n else np.zeros(0, bool)
+        self.run, self.final = run[fits], final[fits]
+        a, b = self.first[self.run], self.last[self.final]
+        self.high = range_hashes(words, a, b).view(np.int64)
+        self.low = (range_hashes(_mix(words ^ np.uint64(0x5851F42D4C957F2D)), a, b) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+    def earliest(self) -> np.ndarray:
+        """Which runs are the first of their kind in their text."""
+        order = np.lexsort((self.run, self.low, self.high, self.text[self.run]))
+        same = np.zeros(len(order), bool)
+        i, j = order[1:], order[:-1]
+        same[1:] = (self.text[self.run[i]] == self.text[self.run[j]]) & (self.high[i] == self.high[j]) & (self.low[i] == self.low[j])
+        out = np.zeros(len(order), bool)
+        out[order[~same]] = True
+        return out
+
+    def covered(self, runs: np.ndarray) -> np.ndarray:
+        """Which sentences the marked runs cover."""
+        step = np.zeros(len(self.first) + 1, np.int64)
+        np.add.at(step, self.run[runs], 1)
+        np.add.at(step, self.final[runs] + 1, -1)
+        return np.cumsum(step[:-1]) > 0
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
     """``high``, ``low`` (the run's hash), ``doc_id``, ``rid``, ``place``: each document's first of each of its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["high", "low", "doc_id", "rid", "place"]
         for batch in batches:
-            for lo, texts in strings(batch.column(2)):
-                docs, rids = batch.column(0).slice(lo, len(texts)).to_pylist(), batch.column(1).slice(lo, len(texts)).to_pylist()
-                columns: list[list] = [[], [], [], [], []]
-                for doc_id, rid, text in zip(docs, rids, texts):
-                    seen = set()
-                    for k, _, key in runs(sentences(text)):
-                        if key not in seen:
-                            seen.add(key)
-                            for column, value in zip(columns, (*struct.unpack("<qi", key), doc_id, rid, k)):
-                                column.append(value)
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))], names=names)
+            for lo, texts in strings(batch.column(2), 1 << 21):
+                own = batch.slice(lo, len(texts))
+                b = Batch([t.encode("utf-8") for t in texts])
+                first = b.earliest()
+                at = b.run[first]
+                text = pa.array(b.text[at])
+                columns = [pa.array(b.high[first]), pa.array(b.low[first]), own.column(0).take(text), own.column(1).take(text), pa.array((at - b.ahead[b.text[at]]).astype(np.int32))]
+                yield pa.record_batch(columns, names=["high", "low", "doc_id", "rid", "place"])
 
     return rows.mapInArrow(run, "high long, low int, doc_id long, rid long, place int")
 
@@ -108,28 +115,33 @@ def dedup(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for lo, texts in strings(batch.column(1)):
+            for lo, texts in strings(batch.column(1), 1 << 21):
                 own = batch.slice(lo, len(texts))
-                n, removed, kept, spans = [], [], [], []
-                for text, places in zip(texts, own.column(2).to_pylist()):
-                    parts = sentences(text)
-                    marked, seen, repeated = bytearray(len(parts)), set(), set(places or ())
-                    for k, size, key in runs(parts):
-                        if k in repeated or key in seen:
-                            marked[k : k + size] = b"\1" * size
-                        # a run that is not first anywhere is not first here either
-                        seen.add(key)
-                    gone = [(a, b) for (a, b, _), m in zip(parts, marked) if m]
-                    at, out = 0, []
-                    for a, b in gone:
-                        out.append(text[at:a])
-                        at = b
-                    out.append(text[at:])
-                    n.append(len(parts))
-                    removed.append(len(gone))
-                    kept.append("".join(out))
-                    spans.append([{"start": a, "end": b} for a, b in gone])
-                yield pa.record_batch([own.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, span)], names=["doc_id", "n_sentences", "n_removed", "text", "spans"])
+                raws = [t.encode("utf-8") for t in texts]
+                b = Batch(raws)
+                marked = np.zeros(len(b.first), bool)  # runs that are not first, by their first sentence
+                marked[b.run[~b.earliest()]] = True
+                for k, places in enumerate(own.column(2).to_pylist()):
+                    if places:
+                        marked[b.ahead[k] + np.array(places)] = True
+                gone = b.covered(marked[b.run])
+                removed = np.bincount(b.text[gone], minlength=len(texts))
+                kept, spans = list(texts), [[] for _ in texts]
+                for k in np.flatnonzero(removed).tolist():
+                    base, own_end = int(b.text_start[k]), len(raws[k])
+                    begin = b.byte[b.ahead[k] : b.ahead[k] + b.count[k]] - base
+                    end = np.append(begin[1:], own_end)
+                    out, at, point = [], 0, 0
+                    for i in np.flatnonzero(gone[b.ahead[k] : b.ahead[k] + b.count[k]]).tolist():
+                        before = raws[k][at : begin[i]].decode("utf-8")
+                        width = len(raws[k][begin[i] : end[i]].decode("utf-8"))
+                        out.append(before)
+                        point += len(before)
+                        spans[k].append({"start": point, "end": point + width})
+                        point += width
+                        at = int(end[i])
+                    kept[k] = "".join([*out, raws[k][at:].decode("utf-8")])
+                yield pa.record_batch([own.column(0), pa.array(b.count.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.string()), pa.array(spans, span)], names=["doc_id", "n_sentences", "n_removed", "text", "spans"])
 
     return rows.join(later, "rid", "left").select("doc_id", "text", "places").mapInArrow(cut, "doc_id long, n_sentences long, n_removed long, text string, spans array<struct<start:long,end:long>>")
 

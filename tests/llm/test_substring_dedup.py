@@ -2,12 +2,50 @@
 
 import hashlib
 import random
+import re
 
 from lociform.llm import substring_dedup as sd
+from lociform.llm.shingles import word_hashes
 
 SCHEMA = "doc_id long, text string, rid long, places string"
 
 
+def sentences(text):
+    """Start, end and words of each sentence, word by word."""
+    out, own, begin = [], [], None
+    found = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
+    for k, m in enumerate(found):
+        begin = m.start() if begin is None else begin
+        own.append(re.sub("[A-Z]", lambda c: c[0].lower(), m[0]))
+        after = found[k + 1].start() if k + 1 < len(found) else len(text)
+        if re.search(r"[.!?][\"')\]]{0,3}$", m[0]) or "\n" in text[m.end() : after] or k + 1 == len(found):
+            if len(own) > sd.LONG:
+                at, part, ends = begin, [], [x.end() for x in found[k + 1 - len(own) : k + 1]]
+                for i, word in enumerate(own):
+                    part.append(word)
+                    if int(word_hashes(word.encode())[0][0]) % sd.PICK == 0 and i + 1 < len(own):
+                        end = found[k + 2 - len(own) + i].start()
+                        out.append((at, end, part))
+                        at, part = end, []
+                assert ends
+                out.append((at, after, part))
+            else:
+                out.append((begin, after, own))
+            own, begin = [], None
+    return out
+
+
+def runs(parts):
+    out = []
+    for k in range(len(parts)):
+        for end in range(k + sd.SPAN, len(parts) + 1):
+            words = [w for _, _, own in parts[k:end] for w in own]
+            if len(words) >= sd.WORDS:
+                out.append((k, end - k, tuple(words)))
+                break
+    return out
+
+
 def corpus():
     r = random.Random(2)
     vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(500)]
@@ -28,12 +66,12 @@ def want(data):
     first, out = {}, []
     key = lambda i, d: (d if d is not None else 1 << 63, i)
     for i, (d, t) in enumerate(data):
-        for k, _, h in sd.runs(sd.sentences(t or "")):
+        for k, _, h in runs(sentences(t or "")):
             first[h] = min(first.get(h, (1 << 64, 0, 0)), (*key(i, d), k))
     for i, (d, t) in enumerate(data):
         text = t or ""
-        parts = sd.sentences(text)
-        gone = {j for k, size, h in sd.runs(parts) if first[h] != (*key(i, d), k) for j in range(k, k + size)}
+        parts = sentences(text)
+        gone = {j for k, size, h in runs(parts) if first[h] != (*key(i, d), k) for j in range(k, k + size)}
         kept, at = [], 0
         for j, (a, b, _) in enumerate(parts):
             if j in gone:
@@ -57,9 +95,9 @@ def test_report(spark):
 
 def test_sentences_cover_the_text():
     for text in corpus()[0]:
-        parts = sd.sentences(text or "")
+        parts = sentences(text or "")
         assert all(a < b for a, b, _ in parts) and all(x[1] <= y[0] for x, y in zip(parts, parts[1:]))
-        assert [w for _, _, words in parts for w in words] == (text or "").lower().split()
+        assert [w for _, _, words in parts for w in words] == re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda c: c[0].lower(), text or ""))
 
 
 def test_nulls_and_empty(spark):
