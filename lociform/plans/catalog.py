@@ -41,12 +41,16 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 class G:
-    """Genotypes of the brand fixture with their statistics."""
+    """Genotypes of the brand fixture with their statistics.
+
+    A query reads cells and statistics several times; both are kept (in memory
+    or on disk), and Spark finds them again for queries over the same tables.
+    """
 
     def __init__(self, t: Tables):
-        self.t, self.samples, self.variants, self.geno = t, t.samples(), t.variants(), t.geno()
+        self.t, self.samples, self.variants, self.geno = t, t.samples().persist(), t.variants(), t.geno().persist()
         self.n = self.samples.count()
-        self.stats = geno.variant_stats(self.geno, self.variants, self.n)
+        self.stats = geno.variant_stats(self.geno, self.variants, self.n).persist()
         self.cmap = geno.component_map(t.components())
 
 
@@ -384,7 +388,7 @@ def gwas_covar(t: Tables) -> DataFrame:
     SELECT variant_idx, round(mean / 2, 8) + 0.0 AS af, round(bs, 6) + 0.0 AS beta_std, round(ss, 6) + 0.0 AS se_std, round(bs / ss, 6) + 0.0 AS t FROM e""")
 def gwas_by_part(t: Tables) -> DataFrame:
     """The flagship scan: a variant for each part, absent cells never materialised."""
-    g, variants = t.wide_geno(), t.wide_variants()
+    g, variants = t.wide_geno().persist(), t.wide_variants()
     rows = _intercept(t)
     stats = geno.variant_stats(g, variants, t.n())
     out = gwas.scan(g, stats, rows, 1).filter(~F.isnan("t"))
