@@ -547,3 +547,70 @@ def global_to_local(t: Tables) -> DataFrame:
 @query("SELECT i.variant_idx, coalesce(variant_id, 'SNP_' || CAST(i.variant_idx AS VARCHAR)) AS variant_id, coalesce(chrom, 'NA') AS chrom, coalesce(cm, 'NA') AS cm, coalesce(bp, 'NA') AS bp, coalesce(a1, 'NA') AS a1, coalesce(a2, 'NA') AS a2 FROM (SELECT CAST(k AS BIGINT) AS variant_idx FROM range(20, 30) r(k)) i LEFT JOIN variants USING (variant_idx)")
 def support_lookup(t: Tables) -> DataFrame:
     return screen.lookup(t.spark.range(20, 30).withColumnRenamed("id", "variant_idx"), t.variants())
+
+
+# --- iterative fits: no SQL, held against dense algebra in the tests ----------
+
+
+def _data(t: Tables, components: DataFrame | None = None):
+    from .models import Data
+
+    rows = t.samples().join(t.pheno(), "iid").select("sample_idx", "iid", F.col("pheno").alias("y"), F.array(F.lit(1.0)).alias("x"))
+    one = t.variants().select(F.lit(0).alias("component_idx"), "variant_idx")
+    return Data.of(t.geno(), t.variants(), rows, one if components is None else components)
+
+
+def _fit_rows(t: Tables, fit) -> DataFrame:
+    rows = [(k, float(x), float(fit.h2), float(fit.loglik), bool(fit.converged)) for k, x in enumerate(fit.theta)]
+    return t.spark.createDataFrame(rows, "component_idx int, theta double, h2 double, loglik double, converged boolean")
+
+
+@query()
+def reml_fit(t: Tables) -> DataFrame:
+    from .models import Model
+
+    return _fit_rows(t, Model(_data(t)).fit())
+
+
+@query()
+def reml_multi(t: Tables) -> DataFrame:
+    from .models import Model
+
+    return _fit_rows(t, Model(_data(t, t.components())).fit())
+
+
+@query()
+def reml_effects(t: Tables) -> DataFrame:
+    from .models import Model
+
+    model = Model(_data(t, t.components()))
+    model.fit()
+    return model.effects().snps
+
+
+@query()
+def merge_refit(t: Tables) -> DataFrame:
+    from .models import merge
+
+    got = merge(_data(t, t.components()))
+    return got.components.groupBy("component_idx").agg(F.count("*").alias("m"), F.lit(len(got.z)).alias("n_before"))
+
+
+@query()
+def sparse_reml(t: Tables) -> DataFrame:
+    from .models import SparseOptions, sparse
+
+    got = sparse(_data(t), so=SparseOptions(outer=2))
+    rows = [(int(v), float(b), float(got.h2)) for v, b in zip(got.support, got.beta)]
+    return t.spark.createDataFrame(rows, "variant_idx long, beta double, h2 double")
+
+
+@query()
+def relax_groups(t: Tables) -> DataFrame:
+    from .models import relax
+
+    data = _data(t)
+    start = np.array([[((v * 7919 + g * 104729) % 1009) + 1.0 for g in range(2)] for v in range(data.stats.filter("inv_sd > 0").count())])
+    got = relax(data, start, outers=1, trials=1)
+    rows = [(v, g, float(got.theta[k, g])) for k, v in enumerate(got.variants) for g in range(2)]
+    return t.spark.createDataFrame(rows, "variant_idx long, group_idx int, w double")
