@@ -42,8 +42,10 @@ from .shingles import Signer, batch_shingles, overlap
 COORDINATES, COLLISIONS, SMALL = 64, 3, 64
 #: Frequent coordinate-value pairs that are broadcast, at most; nodes in one block.
 FREQUENT, BLOCK = 1 << 19, 1024
+#: Tasks that a large group's nodes are spread over while they get their blocks.
+SALTS = 32
 #: Nodes whose ids are broadcast to pick their texts, at most; beyond it they are joined.
-PICKED = 1 << 20
+PICKED = 1 << 18
 
 
 class Measure:
@@ -254,9 +256,11 @@ def _loose_links(groups: DataFrame, linked: DataFrame, sets: DataFrame, measure:
         near.groupBy("leader", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ublocks"))
         .join(sized.groupBy("leader", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vblocks")), ["leader", "band"])
     )
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")
     slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    us = near.join(counts, ["leader", "band"]).select("leader", "band", "node", F.lit(True).alias("loose"), slot("ublocks").alias("ub"), F.explode(F.sequence(F.lit(0), F.col("vblocks") - 1)).alias("vb"))
-    vs = sized.join(counts, ["leader", "band"]).select("leader", "band", "node", F.lit(False).alias("loose"), F.explode(F.sequence(F.lit(0), F.col("ublocks") - 1)).alias("ub"), slot("vblocks").alias("vb"))
+    us = near.withColumn("salt", salt).join(counts, ["leader", "band", "salt"]).select("leader", "band", "node", F.lit(True).alias("loose"), slot("ublocks").alias("ub"), F.explode(F.sequence(F.lit(0), F.col("vblocks") - 1)).alias("vb"))
+    vs = sized.withColumn("salt", salt).join(counts, ["leader", "band", "salt"]).select("leader", "band", "node", F.lit(False).alias("loose"), F.explode(F.sequence(F.lit(0), F.col("ublocks") - 1)).alias("ub"), slot("vblocks").alias("vb"))
     rows = us.unionByName(vs).join(sets, "node")
     return rows.groupBy("leader", "band", "ub", "vb").applyInPandas(_block_links(measure), "a long, b long")
 
