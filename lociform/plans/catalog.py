@@ -16,6 +16,8 @@ from .kernels import SparkKernel
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Iterative fits over the same tables; not registered with the driver, as a dense fit at larger scales is slow there.
+FITS: dict[str, Query] = {}
 
 
 def r6(c: Column | str) -> Column:
@@ -25,10 +27,10 @@ def r6(c: Column | str) -> Column:
 
 
 def query(sql: str | None = None, tables: bool = True):
-    """Registers a query under its function's name."""
+    """Registers a query under its function's name; without SQL it counts as a fit."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        (QUERIES if sql else FITS)[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             ORACLE_SQL[f.__name__] = f"WITH {SQL}\n{sql}" if tables else sql
         return f

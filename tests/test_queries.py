@@ -39,9 +39,9 @@ def test_query(spark, duck, name):
         assert all(p == q or abs(float(p) - float(q)) <= 2e-6 * max(1, abs(float(q))) for p, q in zip(x, y) if p != q), (x, y)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(catalog.FITS))
 def test_iterative_query(spark, name):
-    got = catalog.QUERIES[name](spark, FOLDER).toPandas()
+    got = catalog.FITS[name](spark, FOLDER).toPandas()
     if name.startswith("reml_") and name != "reml_effects":
         assert got["converged"].all() and (got["theta"] >= 0).all() and got["h2"].between(0, 1).all()
     if name == "relax_groups":
