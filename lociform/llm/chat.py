@@ -1,8 +1,9 @@
 """Operator 3: chat formatting in budgeted windows, in DataFrame functions only.
 
-A conversation's turns are put in order; prefix sums of their tokens choose
+A conversation's turns are put in order; a fold over their tokens chooses
 turn-aligned spans, one for each window.  A window holds the conversation's
-system turn, a limited number of turns of history, and its own span.  Only
+system turn, a limited number of turns of history, and its own span; a span is
+closed before the turn that would take all of these over the budget.  Only
 assistant turns of the own span are under the loss mask, so a target that is
 repeated as history is masked out.
 
@@ -13,8 +14,9 @@ character, and so are escaped ones, so unescaping restores the input exactly.
 Defined results: null text and null role count as empty; rows of a conversation
 are ordered by turn (null first), then role, then text, and equal rows all stay;
 a null ``conv_id`` is a conversation of its own; an empty table gives an empty
-result; other columns are not read.  A window of one turn may exceed the budget,
-as turns are never cut.
+result; other columns are not read.  Only a window whose own span is one turn may
+exceed the budget, as turns are never cut and such a turn keeps its system turn
+and history.
 """
 
 from __future__ import annotations
@@ -44,21 +46,50 @@ def _tokens(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4) + 4
 
 
-def turns(conversations: DataFrame, budget: int) -> DataFrame:
+def turns(conversations: DataFrame, budget: int, history: int, history_budget: int) -> DataFrame:
     """Ordered turns with their prefix sums and the window that their own span belongs to."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = rows.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("tokens", _tokens(F.col("text")))
     ahead = F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, -1))
     rows = rows.withColumn("ahead", F.coalesce(ahead, F.lit(0)))
-    # Budgets that a long turn fills alone have no window, so windows are numbered by those that exist.
-    return rows.withColumn("window", F.dense_rank().over(W.partitionBy("conv_id").orderBy(F.floor(F.col("ahead") / budget)))).drop("turn")
+    # What a window that begins with this turn repeats: the system turn, and history within reach.
+    by_rank = W.partitionBy("conv_id").orderBy("rank")
+    first_system = F.min(F.when(F.col("role") == "system", F.col("rank"))).over(by_rank.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("is_system", (F.col("role") == "system") & first_system.isNull())
+    repeated = F.coalesce(F.max(F.when(F.col("is_system"), F.col("tokens"))).over(by_rank.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    for k in range(1, history + 1):
+        near = (F.col("ahead") - F.lag("ahead", k).over(by_rank) <= history_budget) & ~F.lag("is_system", k).over(by_rank)
+        repeated = repeated + F.when(near, F.lag("tokens", k).over(by_rank)).otherwise(0)
+    turn = F.struct("rank", "role", "text", "tokens", "ahead", "is_system", repeated.alias("repeated"))
+    packed = rows.select("conv_id", turn.alias("turn")).groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+
+    # The first turns of windows after the first; a thousand at a time, so that growing the list stays cheap.
+    def step(acc: Column, t: Column) -> Column:
+        over = acc["used"] + t["tokens"] > budget
+        opens = over & (t["rank"] > 1)
+        full = F.size(acc["some"]) >= 1000
+        some = F.concat(F.when(full, none).otherwise(acc["some"]), F.array(t["rank"]))
+        return F.struct(
+            F.when(opens, t["repeated"] + t["tokens"]).otherwise(acc["used"] + t["tokens"]).alias("used"),
+            F.when(opens, some).otherwise(acc["some"]).alias("some"),
+            F.when(opens & full, F.concat(acc["done"], F.array(acc["some"]))).otherwise(acc["done"]).alias("done"),
+        )
+
+    none = F.array().cast("array<bigint>")
+    begin = F.struct(F.lit(0).cast("bigint").alias("used"), none.alias("some"), F.array().cast("array<array<bigint>>").alias("done"))
+    starts = F.aggregate("turns", begin, step, lambda acc: F.concat(F.array(F.lit(1).cast("bigint")), F.flatten(F.concat(acc["done"], F.array(acc["some"])))))
+    packed = packed.withColumn("starts", starts)
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("turns").cast("bigint") + 1))
+    spans = F.zip_with("starts", ends, lambda a, b: F.slice("turns", a.cast("int"), (b - a).cast("int")))
+    spans = packed.select("conv_id", F.posexplode(spans).alias("at", "span"))
+    return spans.select("conv_id", (F.col("at") + 1).alias("window"), F.explode("span").alias("turn")).select("conv_id", "window", "turn.rank", "turn.role", "turn.text", "turn.ahead", "turn.is_system")
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_budget: int = HISTORY_BUDGET) -> DataFrame:
     """A row for each window: ``conv_id``, ``window``, ``formatted``, ``own`` (whether each of its turns belongs to
     its own span) and ``loss`` (start and length, in code points, of the stretches under the loss mask)."""
-    base = turns(conversations, budget)
+    base = turns(conversations, budget, history, history_budget)
     order = W.partitionBy("conv_id").orderBy("rank")
     whole = W.partitionBy("conv_id")
     # The windows of the next turns: a turn is history of those that begin within reach.
@@ -66,12 +97,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     for k in range(1, history + 1):
         gap = F.lead("ahead", k).over(order) - F.col("ahead")
         reach.append(F.when(gap <= history_budget, F.lead("window", k).over(order)))
-    first_system = F.min(F.when(F.col("role") == "system", F.col("rank"))).over(whole)
-    base = (
-        base.withColumn("later", F.array_compact(F.array_distinct(F.array(*reach))))
-        .withColumn("is_system", F.coalesce(F.col("rank") == first_system, F.lit(False)))
-        .withColumn("last", F.max("window").over(whole))
-    )
+    base = base.withColumn("later", F.array_compact(F.array_distinct(F.array(*reach)))).withColumn("last", F.max("window").over(whole))
     column = ["conv_id", "rank", "role", "text", F.col("window").alias("home")]
     own = base.filter(~F.col("is_system")).select(*column, F.explode(F.array_distinct(F.concat(F.array("window"), "later"))).alias("window"))
     kept = base.filter("is_system").select(*column, F.explode(F.sequence("window", "last")).alias("window"))

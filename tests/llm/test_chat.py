@@ -53,5 +53,31 @@ def test_windows(spark):
     assert sum(len(w.loss) for w in got) == 14
 
 
+def cost(text):
+    return -(-len(text.encode()) // 4) + 4
+
+
+def test_windows_fit_the_budget(spark):
+    r = random.Random(4)
+    data = [(conv, k, "system" if k == (conv % 3) and conv % 2 else r.choice(["user", "assistant"]), f"{k} " + "é" * r.choice([5, 60, 200, 500, 990, 1400]), "", "") for conv in range(40) for k in range(r.randint(1, 30))]
+    data += [(100, k, "user", "x" * 2000, "", "") for k in range(2)]  # two turns of 504 tokens
+    data += [(None, k, "assistant", f"{k:04d}" + "y" * 1200, "", "") for k in range(1500)]  # more windows than the fold keeps in one list
+    got = chat.windows(spark.createDataFrame(data, SCHEMA)).collect()
+    convs, spans = defaultdict(list), defaultdict(list)
+    for c, t, role, text, *_ in data:
+        convs[c].append((t, role, text))
+    for w in sorted(got, key=lambda w: w.window):
+        turns = [piece.split("[INST]", 1)[1] for piece in w.formatted.split("[/INST]</s>")[:-1]]
+        total = sum(map(cost, turns))
+        assert sum(w.own) == 1 or total <= chat.BUDGET
+        spans[w.conv_id].append((total, [t for t, own in zip(turns, w.own) if own]))
+    assert any(len(own) > 1 for windows in spans.values() for _, own in windows)
+    assert len(spans[100]) == 2 and len(spans[None]) > 1000
+    for c, own in convs.items():
+        assert [t for _, span in spans[c] for t in span] == [text for _, _, text in sorted(own)]
+        # Spans are not closed early: the next window's first turn would not have fitted.
+        assert all(total + cost(after[0]) > chat.BUDGET for (total, _), (_, after) in zip(spans[c], spans[c][1:]))
+
+
 def test_empty(spark):
     assert chat.report(spark.createDataFrame([], SCHEMA)).count() == 0
