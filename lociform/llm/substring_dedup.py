@@ -1,15 +1,20 @@
 """Operator 6: substring deduplication by sliding sentence spans.
 
 Texts are cut into sentences; a sentence of more than ``LONG`` words is cut
-further after words that a hash of the word picks, so equal passages are cut
-alike wherever they stand.  From every sentence on, the shortest run of at
-least ``SPAN`` sentences with at least ``WORDS`` words is hashed.  Runs are
-joined globally; every sentence that a repeated run covers is removed, except
-in the run's first occurrence, by ``doc_id``, then row, then place.
+further after words that a hash of the word picks, and of any ``GAP`` words in a
+row without a cut, the one with the least hash (the last of equals) gets one.
+Equal passages are so cut alike wherever they stand, save near their ends, and
+no piece, here called sentence too, has more than ``GAP`` words.  From every
+sentence on, the shortest run of at least ``SPAN`` sentences with at least
+``WORDS`` words is hashed.  A repeat of 51 words with equal line ends always
+holds an equal run: one begins after the first ``GAP`` words at most and ends
+within 2 ``GAP`` + ``WORDS`` words, where cuts depend on words of the repeat
+only.  Runs meet globally; every sentence that a repeated run covers is removed,
+except in the run's first occurrence, by ``doc_id``, then row, then place.
 
 Repeats inside a document are settled where it is read, so a document sends a
-run once at most.  Counts and first occurrences combine on the map side; the
-join back to occurrences is left to adaptive skew handling.
+run once at most.  Runs are shuffled once and ranked in order as they stream by,
+so a run of very many documents costs its task one short row for each.
 
 Defined results: null text counts as empty, has no sentences and stays null;
 words are runs of bytes between ASCII white space and compare without
@@ -25,17 +30,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_and_text, strings
 from .shingles import _mix, range_hashes, word_spans
 
-SPAN, WORDS, LONG, PICK = 3, 20, 16, 8
+SPAN, WORDS, LONG, PICK, GAP = 3, 20, 9, 2, 9
 _END, _CLOSE = np.zeros(256, bool), np.zeros(256, bool)
 _END[list(b".!?")] = True
 _CLOSE[list(b"\"')]")] = True
 
 
+def _fill(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of every ``GAP`` words in a row that nothing ends, the one with the least hash, the last of equals."""
+    before = np.concatenate([[0], np.cumsum(ends)])
+    at = np.flatnonzero(before[GAP:] == before[:-GAP])
+    place, least = at.copy(), words[at]
+    for k in range(1, GAP):
+        own = words[at + k]
+        less = own <= least
+        place[less], least[less] = at[less] + k, own[less]
+    return place
+
+
 class Batch:
     """Sentences and runs of many texts at once, as arrays over all of them."""
 
@@ -54,6 +72,7 @@ class Batch:
         close = np.flatnonzero(ends)
         size = np.diff(np.concatenate([[-1], close]))
         ends |= np.repeat(size > LONG, size) & (words % np.uint64(PICK) == 0)
+        ends[_fill(words, ends)] = True
         self.last = np.flatnonzero(ends) + 1  # word after each sentence
         self.first = np.concatenate([[0], self.last[:-1]]).astype(np.int64) if len(self.last) else self.last
         self.byte = start[self.first] if len(self.first) else self.first  # where each sentence begins
@@ -88,7 +107,8 @@ class Batch:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """``high``, ``low`` (the run's hash), ``doc_id``, ``rid``, ``place``: each document's first of each of its runs."""
+    """``high``, ``low`` (the run's hash; ``low`` above the 32 bits of the run's place), ``doc_id``, ``rid``: each
+    document's first of each of its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,19 +118,19 @@ def occurrences(rows: DataFrame) -> DataFrame:
                 first = b.earliest()
                 at = b.run[first]
                 text = pa.array(b.text[at])
-                columns = [pa.array(b.high[first]), pa.array(b.low[first]), own.column(0).take(text), own.column(1).take(text), pa.array((at - b.ahead[b.text[at]]).astype(np.int32))]
-                yield pa.record_batch(columns, names=["high", "low", "doc_id", "rid", "place"])
+                low = b.low[first].astype(np.int64) << 32 | at - b.ahead[b.text[at]]
+                yield pa.record_batch([pa.array(b.high[first]), pa.array(low), own.column(0).take(text), own.column(1).take(text)], names=["high", "low", "doc_id", "rid"])
 
-    return rows.mapInArrow(run, "high long, low int, doc_id long, rid long, place int")
+    return rows.mapInArrow(run, "high long, low long, doc_id long, rid long")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_sentences``, ``n_removed``, ``text`` without removed sentences, ``spans`` removed (code points)."""
     rows = id_and_text(docs).select("doc_id", F.monotonically_increasing_id().alias("rid"), "text")
-    found = occurrences(rows)
-    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("rid").alias("r"))
-    repeated = found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1").select("high", "low", F.col("first.r").alias("first_rid"))
-    later = found.join(repeated, ["high", "low"]).filter(F.col("rid") != F.col("first_rid")).groupBy("rid").agg(F.collect_list("place").alias("places"))
+    # Taken apart after the shuffle, which the window then needs no more.
+    found = occurrences(rows).repartition("high").select("high", F.shiftright("low", 32).cast("int").alias("low"), "doc_id", "rid", F.col("low").bitwiseAND((1 << 32) - 1).cast("int").alias("place"))
+    order = W.partitionBy("high", "low").orderBy(F.col("doc_id").asc_nulls_last(), "rid")
+    later = found.withColumn("at", F.row_number().over(order)).filter("at > 1").groupBy("rid").agg(F.collect_list("place").alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

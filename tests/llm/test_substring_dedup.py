@@ -100,6 +100,40 @@ def test_sentences_cover_the_text():
         assert [w for _, _, words in parts for w in words] == re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda c: c[0].lower(), text or ""))
 
 
+def passages(r, vocab):
+    """Streams of words: sentences of 14 to 16 words, no marks, and tables of words that no hash picks."""
+    marked = [w + ("." if k % 15 == 14 else "") for k, w in enumerate(r.choice(vocab) for _ in range(160))]
+    odd = [w for w in vocab if int(word_hashes(w.encode())[0][0]) % sd.PICK][:3]
+    return {"marked": marked, "plain": [r.choice(vocab) for _ in range(160)], "table": [r.choice(odd) for _ in range(160)], "period": odd * 54, "constant": odd[:1] * 160}
+
+
+def test_repeats_of_51_words_hold_a_run_at_every_offset():
+    r = random.Random(6)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(4, 9))) for _ in range(2000)]
+    around = lambda: [r.choice(vocab) for _ in range(40)]
+    for kind, words in passages(r, vocab).items():
+        for offset in range(100):
+            own = words[offset : offset + 51]
+            texts = [" ".join([*around(), *own, *around()]).encode() for _ in range(2)]
+            b = sd.Batch(texts)
+            assert (b.last - b.first).max() <= sd.GAP
+            a, c = (set(zip(b.high[b.text[b.run] == k].tolist(), b.low[b.text[b.run] == k].tolist())) for k in (0, 1))
+            assert a & c, (kind, offset)
+
+
+def test_repeats_that_begin_and_end_inside_sentences_are_removed(spark):
+    r = random.Random(7)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(4, 9))) for _ in range(5000)]
+    data = []
+    for k in range(40):
+        words = [w + ("." if i % 15 == 14 else "") for i, w in enumerate(r.choice(vocab) for _ in range(80))]
+        own = " ".join(words[k % 20 : k % 20 + 51] if k % 2 else [w.strip(".") for w in words[:51]])
+        data += [(2 * k + j, f"{' '.join(r.choice(vocab) for _ in range(5 + k))} {own} {' '.join(r.choice(vocab) for _ in range(9))}", 0, "") for j in (0, 1)]
+    for row in sd.dedup(spark.createDataFrame(data, SCHEMA)).collect():
+        gone = sum(len(data[row.doc_id][1][s.start : s.end].split()) for s in row.spans)
+        assert gone == 0 if row.doc_id % 2 == 0 else 20 <= gone <= 51
+
+
 def test_nulls_and_empty(spark):
     assert sd.report(spark.createDataFrame([], SCHEMA)).count() == 0
     text = "One two three four five six. Seven eight nine ten eleven twelve. Thirteen fourteen fifteen sixteen seventeen. Eighteen nineteen twenty."
