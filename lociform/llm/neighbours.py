@@ -5,7 +5,8 @@ to equal length, which turns it into nearness.  A tree of means is fitted on a
 bounded sample (``SAMPLE``) on the driver; every row is then filed under a leaf.
 A query walks the tree best-bin-first through a priority queue; the number of
 leaves it visits is widened on calibration queries until their recall on the
-sample reaches ``RECALL``.  Rows in visited leaves are scored exactly.
+sample reaches ``RECALL``, and further for a query whose leaves hold too few rows
+to give ``k``.  Rows in visited leaves are scored exactly.
 
 Leaves and their queries are cut into blocks of bounded size, so a leaf of very
 many equal vectors spreads over many tasks, each returning its best ``k``.
@@ -83,10 +84,11 @@ class Tree:
                 todo += [(child, own[near == k]) for k, child in enumerate(ids)]
         return out
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves best-bin-first: the open branch with the nearest mean is taken next."""
-        queue, found = [(0.0, self.root)], []
-        while queue and len(found) < most:
+    def visit(self, query: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves best-bin-first: the open branch with the nearest mean is taken next, until ``most`` leaves are
+        visited and they hold ``least`` rows, of the ``held`` of each leaf."""
+        queue, found, rows = [(0.0, self.root)], [], 0
+        while queue and (len(found) < most or rows < least):
             _, node = heapq.heappop(queue)
             while node >= 0:
                 means, ids = self.children[node]
@@ -97,6 +99,7 @@ class Tree:
                         heapq.heappush(queue, (float(far[k]), child))
                 node = ids[best]
             found.append(~node)
+            rows += 0 if held is None else int(held[~node])
         return found
 
     def calibrate(self, vectors: np.ndarray, lifted: np.ndarray, queries: np.ndarray, asked: np.ndarray, k: int) -> None:
@@ -198,13 +201,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(leaf)], names=["vec_id", "vector", "leaf"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, longest = known.value
+        (tree, longest), held = known.value, held_by.value
         for batch in batches:
             if len(batch):
-                leaves = [tree.visit(q, tree.visits) for q in _asked(_matrix(batch.column(1)), longest)]
+                leaves = [tree.visit(q, tree.visits, held, k) for q in _asked(_matrix(batch.column(1)), longest)]
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(leaves, pa.list_(pa.int64()))], names=["vec_id", "vector", "leaves"])
 
     filed = rows.mapInArrow(file, "vec_id long, vector array<double>, leaf long")
+    # Rows of each leaf that any query can list at least: its ids but for one, which may be the query's own.
+    held = np.zeros(known.value[0].leaves, np.int64)
+    for row in filed.groupBy("leaf").agg((F.countDistinct("vec_id") - 1).alias("n")).collect():
+        held[row["leaf"]] = row["n"]
+    held_by = spark.sparkContext.broadcast(held)
     walked = asks.mapInArrow(walk, "vec_id long, vector array<double>, leaves array<long>").select("vec_id", "vector", F.explode("leaves").alias("leaf"))
     # Bounded by the number of leaves of a tree over a bounded sample.
     blocks = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))

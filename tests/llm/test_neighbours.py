@@ -57,3 +57,20 @@ def test_odd_vectors_take_no_part(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert neighbours.search(none, none, 20).count() == 0
     assert neighbours.search(df.filter("vec_id = 0"), df.filter("vec_id = 0"), 20).count() == 0
+
+
+def test_small_leaves_do_not_cut_the_list(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "RECALL", 0)  # one leaf is enough for the calibration; some leaves hold fewer than 20 rows
+    rng = np.random.default_rng(5)
+    centres = np.linalg.qr(rng.normal(size=(12, 12)))[0]
+    sizes = [700, 700, 700, 700, 5, 3, 2, 5, 4]
+    x = np.repeat(centres[: len(sizes)], sizes, axis=0) + rng.normal(0, 1e-3, (sum(sizes), 12))
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    rows += [(2801, [float(np.float32(c)) for c in v]) for v in centres[4] + rng.normal(0, 1e-3, (30, 12))]  # one id, many rows
+    df = spark.createDataFrame([(i, v, "clash", 1) for i, v in rows], SCHEMA)
+    got = neighbours.search(df, df.filter("vec_id >= 2800 or vec_id % 700 = 0"), 20).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append(r.rank)
+    assert set(by) == {0, 700, 1400, 2100, *range(2800, len(x))}
+    assert all(sorted(own) == list(range(1, 21)) for own in by.values())
