@@ -139,7 +139,7 @@ def standardised(raw: bytes, mean: np.ndarray, inv_sd: np.ndarray, n: int) -> np
 
 
 class SparkKernel(Kernel):
-    """Kernel over a table of packed blocks; ``weights`` optionally scale variants, for soft groups."""
+    """Kernel over a table of packed blocks."""
 
     def __init__(self, table: DataFrame, n: int, size: int, m_eff: np.ndarray, mean_diag: np.ndarray):
         self.table, self.n, self.size, self.m_eff, self.means = table.persist(), n, size, m_eff, mean_diag
