@@ -16,10 +16,16 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset, as in local tests, a temporary folder takes its place.
+    Where it is unset, as in tests in one process, a temporary folder takes its
+    place; executors on other machines could not read that, so it is an error there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="lociform-"))
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="lociform-"))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -30,7 +36,39 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor costs no rerun."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``saved`` wrote, once nothing reads them any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key with more rows than this share of all is hot, and so is none with fewer rows than the second figure.
+HOT_SHARE, HOT_LEAST = 1 << 14, 100_000
+
+
+def attached(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined with ``facts``, which hold one row for each key and, in ``size``, its number of rows.
+
+    Rows of hot keys meet their facts by a broadcast, so that no task gets all
+    of them; as a hot key holds more than a share of all rows, at most
+    ``HOT_SHARE`` facts are broadcast.  The rest is joined by key.  Both are
+    tables that ``saved`` wrote, as they are read twice.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    floor = max(HOT_LEAST, total // HOT_SHARE)
+    hot = facts.filter(F.col(size) > floor)
+    if not hot.limit(1).count():
+        return rows.join(facts, key)
+    known = F.broadcast(hot)
+    rest = rows.join(known.select(key), key, "left_anti").join(facts.filter(F.col(size) <= floor), key)
+    return rows.join(known, key).unionByName(rest)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

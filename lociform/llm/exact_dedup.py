@@ -4,59 +4,82 @@
 2. Salted: each (digest, text, salt) group gets one winner; the salt is the
    split's number modulo ``salts``, so a text that fills a third of all rows
    meets in ``salts`` tasks, with one row from each split.
-3. Globally: the at most ``salts`` winners of a text give the row that stays.
+3. Globally: the at most ``salts`` winners of a text give what stays.
 
-The full text is a grouping key at every stage, so a digest collision cannot
-merge different texts.  A salted group remembers its rows by a row number; the
-last join is on the group's least row number, unique to it.
+The full text is a grouping key at every stage, and a group's state is its
+largest ``doc_id`` and its size, whatever it holds.  A digest that stage 3 has
+seen with one text only stands for that text in the last join; rows of a digest
+with several texts, should there ever be one, are joined by text.
 
 Defined results: null text counts as empty; the row with the largest ``doc_id``
 stays, a null ``doc_id`` counting as smallest; of repeated rows with the same
-``doc_id`` all carry the same ``keep_id``, and the one with the least row number
-is kept; an empty table gives an empty result; other columns are not read.
+``doc_id`` all carry the same ``keep_id``, and one of them is kept; very long
+texts are one value of one row like others; an empty table gives an empty
+result; ``report`` reads no other columns, and ``dedup`` hands all of them on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import attached, id_and_text, saved
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def winners(rows: DataFrame, salts: int) -> DataFrame:
+    """``digest``, ``text``, ``keep_id``, ``group_size`` for each text of ``rows(doc_id, text)``."""
+    keyed = rows.select("doc_id", "text", digest(F.col("text")).alias("digest"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"))
+    salted = keyed.groupBy("digest", "text", "salt").agg(F.max("doc_id").alias("top"), F.count("*").alias("n"))
+    return salted.groupBy("digest", "text").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
 def classes(docs: DataFrame, salts: int = 4096) -> DataFrame:
-    """``rid``, ``doc_id``, ``keep_id``, ``keep_rid``, ``group_size``, ``text_sha256`` for each row of ``docs``.
+    """``doc_id``, ``digest``, ``keep_id``, ``group_size``, ``kept`` for each row of ``docs``."""
+    source = id_and_text(docs)
+    rows = saved(source.select("doc_id", F.monotonically_increasing_id().alias("rid"), digest(F.col("text")).alias("digest")), "rows")
+    facts = saved(winners(source, salts).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count("*").alias("texts")), "winners")
+    clash = facts.filter("texts > 1").select("digest")
+    if clash.limit(1).count():
+        return _by_text(source, salts)
+    joined = saved(attached(rows, facts.drop("texts"), "digest", "group_size"), "joined")
+    # One row of each text is kept: of those with its largest doc_id, the one with the least row number.
+    first = joined.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("rid").alias("rid")).select("rid", F.lit(True).alias("first"))
+    return joined.join(first, "rid", "left").select("doc_id", "digest", "keep_id", "group_size", F.coalesce("first", F.lit(False)).alias("kept"))
 
-    ``rid`` numbers the rows by split and place, so it is the same in a rerun.
-    """
-    rows = id_and_text(docs).select(
-        "text",
-        F.unhex(F.sha2("text", 256)).alias("digest"),
-        F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"),
-        # ordered by what stays: the largest doc_id, then the least row number
-        F.struct(F.col("doc_id"), (-F.monotonically_increasing_id()).alias("nrid")).alias("row"),
-    )
-    salted = rows.groupBy("digest", "text", "salt").agg(F.collect_list("row").alias("rows"))
-    winners = salted.select("digest", "text", F.array_max("rows").alias("top"), F.size("rows").cast("long").alias("n"), F.array_min(F.transform("rows", lambda r: r["nrid"])).alias("own"))
-    whole = winners.groupBy("digest", "text").agg(F.max("top").alias("top"), F.sum("n").alias("group_size"), F.collect_list("own").alias("owns"))
-    found = whole.select(F.explode("owns").alias("own"), "top", "group_size")
-    members = salted.select("digest", "rows", F.array_min(F.transform("rows", lambda r: r["nrid"])).alias("own"))
-    return (
-        members.join(found, "own")
-        .select(F.explode("rows").alias("row"), "digest", "top", "group_size")
-        .select((-F.col("row.nrid")).alias("rid"), F.col("row.doc_id").alias("doc_id"), F.col("top.doc_id").alias("keep_id"), (-F.col("top.nrid")).alias("keep_rid"), "group_size", F.lower(F.hex("digest")).alias("text_sha256"))
-    )
+
+def _by_text(source: DataFrame, salts: int) -> DataFrame:
+    """``classes`` where a digest stands for several texts: rows meet their winners by text."""
+    rows = saved(source.select("doc_id", "text", F.monotonically_increasing_id().alias("rid")), "rows")
+    facts = saved(winners(rows, salts).withColumn("number", F.monotonically_increasing_id()), "winners")
+    joined = saved(attached(rows, facts, "text", "group_size").drop("text"), "joined")
+    first = joined.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("number").agg(F.min("rid").alias("rid")).select("rid", F.lit(True).alias("first"))
+    return joined.join(first, "rid", "left").select("doc_id", "digest", "keep_id", "group_size", F.coalesce("first", F.lit(False)).alias("kept"))
 
 
 def report(docs: DataFrame, salts: int = 4096) -> DataFrame:
     """One row per document, dropped ones too."""
-    return classes(docs, salts).select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
+    return classes(docs, salts).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def dedup(docs: DataFrame, salts: int = 4096) -> DataFrame:
-    """``docs`` without the rows that are copies of a row that stays; all its columns.
+    """``docs`` with one row of each text, the one with the largest ``doc_id``; all its columns.
 
-    The rows that go are joined by row number, which both scans number alike.
+    The rows themselves are combined, so ``docs`` is evaluated once and nothing
+    is joined back.  Of repeated rows with that ``doc_id`` any one stays.
     """
-    drop = classes(docs, salts).filter(F.col("rid") != F.col("keep_rid")).select(F.col("rid").alias("__drop"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(drop, F.col("__rid") == F.col("__drop"), "left_anti").drop("__rid")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(
+        digest(text).alias("digest"),
+        text.alias("text"),
+        F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"),
+        F.struct(F.col("doc_id").cast("long").alias("id"), (-F.monotonically_increasing_id()).alias("nrid")).alias("order"),
+        F.struct(F.col("text").isNull().alias("__null"), *others).alias("row"),
+    )
+    best = lambda df, *keys: df.groupBy(*keys).agg(F.max_by("row", "order").alias("row"), F.max("order").alias("order"))
+    kept = best(best(rows, "digest", "text", "salt"), "digest", "text")
+    return kept.select(*(F.when(~F.col("row.__null"), F.col("text")).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
