@@ -6,21 +6,30 @@
    frequent ones last, and a node is posted only under a prefix of its own: two
    nodes that agree in ``least`` of ``coordinates`` places share at least
    ``COLLISIONS`` postings there.
-3. Postings of up to ``SMALL`` nodes meet pairwise; collisions are counted, and
+3. Postings of up to ``SMALL`` nodes are merged: collisions are counted, and
    pairs with ``COLLISIONS`` of them and ``least`` equal coordinates stay.
-4. Larger postings never meet pairwise.  Their most typical node is their
-   leader; each node is compared with its leaders, and only nodes that no such
-   link ties to a leader are compared with the rest of the leader's group, in
-   blocks of bounded size inside tasks that return a spanning forest of links.
+4. Longer postings are skipped in the merge, as their pairs would be quadratic.
+   Each names a leader, its most typical node, and every node of the posting is
+   measured against the leader.  Nodes that this does not link are compared with
+   those of the leader's group whose size and whose distance from the leader
+   permit a link (a triangle inequality), in blocks of bounded bytes inside
+   tasks that return a spanning forest of links.
 5. All links are confirmed on full sets; components follow.
 
-A pair at the threshold agrees in ``least`` places but for a chance of about
-1e-8 (six standard deviations).
+Steps 3 and 4 are complete together: a pair above the threshold shares
+``COLLISIONS`` postings, which are all merged, or one that is skipped.  A pair at
+the threshold agrees in ``least`` places but for a chance of about 1e-8 (six
+standard deviations).
+
+Sets are compared by Spark's own array functions, a pair a row, so memory does
+not grow with the number of pairs or with the length of a group.
 
 Defined results: null and empty texts and texts without words have no shingles
-and are linked with nothing; fewer words than the width are one shingle;
-repeated rows stay repeated and share a component; a null ``doc_id`` counts in
-no minimum; an empty table gives an empty result; other columns are not read.
+and are linked with nothing; fewer words than the width are one shingle; very
+long texts have long sets, and fewer of them go in a block; repeated rows stay
+repeated and share a component; a null ``doc_id`` counts in no minimum; an empty
+table gives an empty result; ``report`` reads no other columns, and ``dedup``
+hands all of them on.
 """
 
 from __future__ import annotations
@@ -32,20 +41,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, saved, strings
+from .common import attached, forget, saved, strings
 from .graph import components
-from .shingles import Signer, batch_shingles, overlap
+from .shingles import Signer, batch_shingles
 
 COORDINATES, COLLISIONS, SMALL = 64, 3, 64
-#: Frequent coordinate-value pairs that are broadcast, at most; nodes in one block.
-FREQUENT, BLOCK = 1 << 19, 1024
+#: Frequent coordinate-value pairs that are broadcast, at most (8 MB).
+FREQUENT = 1 << 19
+#: Hashes of all sets in one block, and nodes that meet one copy of their leader's set.
+BLOCK, FOLLOWERS = 1 << 19, 4096
 #: Tasks that a large group's nodes are spread over while they get their blocks.
 SALTS = 32
 #: Nodes whose ids are broadcast to pick their texts, at most; beyond it they are joined.
-PICKED = 1 << 18
+PICKED = 1 << 17
 
 
 class Measure:
@@ -60,31 +71,41 @@ class Measure:
     def close(self, both, a, b):
         return 100 * both >= self.percent * (a + b - both)
 
-    def sized(self, a, b):
-        """Whether sets of these sizes can be close."""
-        return 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``key`` (a hash that finds a text again) and ``text``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def signatures(docs: DataFrame, measure: Measure) -> DataFrame:
-    """``doc_id``, ``rid`` (row number), ``n``, ``set_id`` (null without shingles), ``sig`` for each document."""
+def signatures(docs: DataFrame, measure: Measure, rid: str | None = None) -> DataFrame:
+    """``doc_id``, ``rid`` (that column, null without), ``key``, ``n``, ``set_id`` (null without shingles), ``sig`` and
+    ``low`` (low bytes of the coordinates, eight to a long) for each document."""
     width = measure.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer(COORDINATES)
         for batch in batches:
-            for lo, texts in strings(batch.column(2)):
+            for lo, texts in strings(batch.column(3), 1 << 21):
                 sets = batch_shingles(texts, width)
+                sig = sign(sets)
+                low = sig.astype(np.uint8).view("<i8")
                 columns = [
-                    batch.column(0).slice(lo, len(texts)),
-                    batch.column(1).slice(lo, len(texts)),
+                    *(batch.column(k).slice(lo, len(texts)) for k in range(3)),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([x.tobytes() for x in sign(sets)], pa.binary()),
+                    pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([x.tobytes() for x in sig], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(low) + 1, dtype=np.int32) * low.shape[1]), pa.array(low.ravel())),
                 ]
-                yield pa.record_batch(columns, names=["doc_id", "rid", "n", "set_id", "sig"])
+                yield pa.record_batch(columns, names=["doc_id", "rid", "key", "n", "set_id", "sig", "low"])
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(rid) if rid else F.lit(None)).cast("long").alias("rid"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, rid long, key long, n long, set_id binary, sig binary, low array<long>")
 
-    rows = id_and_text(docs).select("doc_id", F.monotonically_increasing_id().alias("rid"), "text")
-    return rows.mapInArrow(run, "doc_id long, rid long, n long, set_id binary, sig binary")
+
+def _digest(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
 def _tokens(sigs: list[bytes]) -> np.ndarray:
@@ -138,80 +159,63 @@ def postings(nodes: DataFrame, measure: Measure) -> DataFrame:
 
 def _small_pairs(shared: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
     """Pairs from postings of up to ``SMALL`` nodes that collide and agree often enough."""
-    lists = shared.filter(F.col("size") <= SMALL).groupBy("token").agg(F.collect_list("node").alias("nodes"), F.collect_list("n").alias("sizes"))
-    sized, least = measure.sized, measure.least
+    lists = shared.filter(F.col("size") <= SMALL).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("list"))
+    left = lists.select("list", F.posexplode("list").alias("at", "x"))
+    met = left.select("x", F.explode(F.slice("list", F.col("at") + 2, F.lit(SMALL))).alias("y"))
+    sized = 100 * F.least("x.n", "y.n") >= measure.percent * F.greatest("x.n", "y.n")
+    pairs = met.filter(sized).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).groupBy("a", "b").count().filter(F.col("count") >= COLLISIONS)
+    own = nodes.select("node", "low")
+    pairs = pairs.select("a", "b").join(own.select(F.col("node").alias("a"), F.col("low").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
+    return pairs.filter(COORDINATES - sum((_odd_bytes(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(COORDINATES // 8)), F.lit(0)) >= measure.least).select("a", "b")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = [], []
-            for nodes, sizes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                order = np.argsort(nodes)
-                own, n = np.array(nodes, np.int64)[order], np.array(sizes, np.int64)[order]
-                i, j = np.triu_indices(len(own), 1)
-                keep = sized(n[i], n[j])
-                left.append(own[i[keep]])
-                right.append(own[j[keep]])
-            yield pa.record_batch([pa.array(np.concatenate([*left, np.zeros(0, np.int64)])), pa.array(np.concatenate([*right, np.zeros(0, np.int64)]))], names=["a", "b"])
-
-    pairs = lists.select("nodes", "sizes").mapInArrow(meet, "a long, b long").groupBy("a", "b").count().filter(F.col("count") >= COLLISIONS)
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(batch), COORDINATES) for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= least))
 
-    sig = nodes.select("node", F.col("sig8"))
-    pairs = pairs.select("a", "b").join(sig.select(F.col("node").alias("a"), F.col("sig8").alias("x")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig8").alias("y")), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(agree, "a long, b long")
+def _odd_bytes(x: Column) -> Column:
+    """How many of a long's eight bytes are not zero: each byte's bits are folded into its lowest one."""
+    for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
+    return F.bit_count(x)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, measure: Measure) -> DataFrame:
-    """``node``, ``set`` (sorted hashes) of the wanted nodes, from the text of one document of each."""
+    """``node``, ``set`` (hashes) of ``wanted(node, id, key, set_id)``, from the text of one document of each."""
     width = measure.width
-    picked = wanted.select(F.col("rep").alias("__rep"), "node", "set_id")
-    if wanted.count() <= PICKED:
-        picked = F.broadcast(picked)
+    picked = F.broadcast(wanted) if wanted.count() <= PICKED else wanted
+    picked = picked.withColumnRenamed("key", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, texts in strings(batch.column(2)):
+            for lo, texts in strings(batch.column(2), 1 << 21):
                 own = batch.slice(lo, len(texts))
-                sets = [s.tobytes() for s in batch_shingles(texts, width)]
-                same = [hashlib.blake2b(s, digest_size=16).digest() == i for s, i in zip(sets, own.column(1).to_pylist())]
-                yield pa.record_batch([own.column(0), pa.array(sets, pa.binary())], names=["node", "set"]).filter(pa.array(same, pa.bool_()))
+                sets = batch_shingles(texts, width)
+                same = pa.array([_digest(s) == i for s, i in zip(sets, own.column(1).to_pylist())], pa.bool_())
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.record_batch([own.column(0), hashes], names=["node", "set"]).filter(same)
 
-    rows = id_and_text(docs).join(picked, F.col("doc_id").eqNullSafe(F.col("__rep")))
-    return rows.select("node", "set_id", "text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+    rows = _keyed(docs).join(picked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("own")))
+    return rows.select("node", "set_id", "text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
-    """The pairs whose full sets are close enough."""
-    close = measure.close
+def _overlaps(pairs: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``na``, ``nb``, ``both`` of ``pairs(a, b, slot)``: sizes of two full sets and of their intersection.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                keep.append(bool(close(overlap(p, q), len(p), len(q))))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    The set of a leader, a ``b`` of very many pairs, has a copy for each slot.
+    """
+    ends = sets.join(leaders.select(F.col("leader").alias("node"), "slots"), "node", "left").select(F.col("node").alias("b"), F.col("set").alias("y"), F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1)).alias("slot"))
+    met = pairs.join(ends, ["b", "slot"]).join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    return met.select("a", "b", F.size("x").cast("long").alias("na"), F.size("y").cast("long").alias("nb"), F.size(F.array_intersect("x", "y")).cast("long").alias("both"))
 
 
 def _block_links(measure: Measure):
-    close, sized = measure.close, measure.sized
+    close = measure.close
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links between loose nodes and all nodes of a block; of these, a spanning forest."""
         loose, every = pdf[pdf["loose"]], pdf[~pdf["loose"]]
-        sets = [np.frombuffer(s, "<u8") for s in every["set"]]
-        if not sets or not len(loose):
+        if not len(every) or not len(loose):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        joined = np.concatenate(sets)
-        words, place = np.unique(joined, return_inverse=True)
-        size = np.array([len(s) for s in sets])
+        words, place = np.unique(np.concatenate(every["set"].to_list()), return_inverse=True)
+        size = every["set"].str.len().to_numpy()
         starts = np.cumsum(size) - size
         nodes = every["node"].to_numpy()
         top: dict[int, int] = {}
@@ -223,9 +227,8 @@ def _block_links(measure: Measure):
             return x
 
         out = []
-        mark = np.zeros(len(words), np.int64)
-        for u, raw in zip(loose["node"].tolist(), loose["set"]):
-            own = np.frombuffer(raw, "<u8")
+        mark = np.zeros(len(words), np.int32)
+        for u, own in zip(loose["node"].tolist(), loose["set"]):
             at = np.minimum(np.searchsorted(words, own), len(words) - 1)
             at = at[words[at] == own]
             mark[at] = 1
@@ -241,70 +244,75 @@ def _block_links(measure: Measure):
     return run
 
 
-def _loose_links(groups: DataFrame, linked: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
-    """Links inside leaders' groups of nodes that are not linked with the leader.
+def _loose_links(groups: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
+    """Links inside leaders' groups of nodes that are not linked with the leader, from ``groups(leader, node, n, linked, far)``.
 
-    Sizes fall into bands whose neighbours alone can be close; bands are cut
-    into blocks, and every block of loose nodes meets every block of its and
-    the neighbouring bands.
+    Two nodes can be close only if their sizes and their distances ``far`` from
+    the leader are; both fall into bands of which neighbours alone can hold such
+    nodes.  Bands are cut into blocks, and every block of loose nodes meets every
+    block of its and the neighbouring bands.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(measure.percent / 100)) + 1e-9).cast("int")
-    sized = groups.select("leader", "node", band.alias("band"))
-    loose = sized.join(linked.select(F.col("a").alias("node"), F.col("b").alias("leader")), ["node", "leader"], "left_anti").filter(F.col("node") != F.col("leader"))
-    near = loose.select("leader", "node", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    counts = (
-        near.groupBy("leader", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ublocks"))
-        .join(sized.groupBy("leader", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vblocks")), ["leader", "band"])
-    )
-    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    zone = F.floor(F.col("far") / (1 - measure.percent / 100 + 1e-9)).cast("int")
+    placed = groups.select("leader", "node", "n", "linked", band.alias("band"), zone.alias("zone"))
+    loose = placed.filter(~F.col("linked") & (F.col("node") != F.col("leader")))
+    around = lambda c: F.explode(F.array(*(F.col(c) + k for k in (-1, 0, 1))))
+    near = loose.withColumn("band", around("band")).withColumn("zone", around("zone"))
+    key = ["leader", "band", "zone"]
+    cut = lambda df, name: df.groupBy(*key).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias(name))
+    counts = cut(near, "ublocks").join(cut(placed, "vblocks"), key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")
     slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    us = near.withColumn("salt", salt).join(counts, ["leader", "band", "salt"]).select("leader", "band", "node", F.lit(True).alias("loose"), slot("ublocks").alias("ub"), F.explode(F.sequence(F.lit(0), F.col("vblocks") - 1)).alias("vb"))
-    vs = sized.withColumn("salt", salt).join(counts, ["leader", "band", "salt"]).select("leader", "band", "node", F.lit(False).alias("loose"), F.explode(F.sequence(F.lit(0), F.col("ublocks") - 1)).alias("ub"), slot("vblocks").alias("vb"))
+    us = near.withColumn("salt", salt).join(counts, [*key, "salt"]).select(*key, "node", F.lit(True).alias("loose"), slot("ublocks").alias("ub"), F.explode(F.sequence(F.lit(0), F.col("vblocks") - 1)).alias("vb"))
+    vs = placed.withColumn("salt", salt).join(counts, [*key, "salt"]).select(*key, "node", F.lit(False).alias("loose"), F.explode(F.sequence(F.lit(0), F.col("ublocks") - 1)).alias("ub"), slot("vblocks").alias("vb"))
     rows = us.unionByName(vs).join(sets, "node")
-    return rows.groupBy("leader", "band", "ub", "vb").applyInPandas(_block_links(measure), "a long, b long")
+    return rows.groupBy(*key, "ub", "vb").applyInPandas(_block_links(measure), "a long, b long")
 
 
-def labels(docs: DataFrame, measure: Measure | None = None) -> DataFrame:
+def labels(docs: DataFrame, measure: Measure | None = None, rid: str | None = None) -> DataFrame:
     """``doc_id``, ``rid``, ``n_shingles``, ``component_id``, ``root`` for each row of ``docs``; the last is null without shingles."""
     measure = measure or Measure()
-    signed = saved(signatures(docs, measure), "signed")
+    signed = saved(signatures(docs, measure, rid), "signed")
     nodes = _nodes(signed)
-    roots = components(links(docs, nodes, measure))
-    placed = nodes.select("node", "set_id", "rep").join(roots, "node", "left").select("set_id", "rep", F.coalesce("root", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_set = placed.join(least, "root").select("set_id", "component_id", "root")
-    named = signed.select("doc_id", "rid", F.col("n").alias("n_shingles"), "set_id").join(by_set, "set_id", "left")
-    return named.select("doc_id", "rid", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+    found = saved(links(docs, nodes, measure), "found")
+    roots = components(found)
+    placed = saved(nodes.select("node", "set_id", "rep", "rows").join(roots, "node", "left").select("set_id", "rep", "rows", F.coalesce("root", "node").alias("root")), "placed")
+    least = saved(placed.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("size")), "least")
+    by_set = saved(attached(placed, least, "root", "size").select("set_id", "component_id", "root", "rows"), "by_set")
+    forget(found, nodes, placed, least)
+    rows = signed.select("doc_id", "rid", F.col("n").alias("n_shingles"), "set_id")
+    named = attached(rows.filter("set_id IS NOT NULL"), by_set, "set_id", "rows").select("doc_id", "rid", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+    return named.union(rows.filter("set_id IS NULL").select("doc_id", "rid", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
 
 
 def _nodes(signed: DataFrame) -> DataFrame:
-    """One row for each distinct set, numbered."""
-    grouped = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = [np.frombuffer(x, "<u4").astype(np.uint8).tobytes() for x in batch.column(3).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(low, pa.binary())], names=["set_id", "rep", "n", "sig", "sig8"])
-
-    out = grouped.select("set_id", "rep", "n", "sig").mapInArrow(run, "set_id binary, rep long, n long, sig binary, sig8 binary")
-    return saved(out.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    """One row for each distinct set, numbered; ``id`` and ``key`` are those of one of its documents."""
+    grouped = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "key")).alias("one"), F.count("*").alias("rows"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("low").alias("low"))
+    return saved(grouped.select("set_id", "rep", F.col("one.doc_id").alias("id"), F.col("one.key").alias("key"), "rows", "n", "sig", "low", F.monotonically_increasing_id().alias("node")), "nodes")
 
 
 def links(docs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
     """Confirmed links between nodes; those left out join nodes that other links join."""
     posted = saved(postings(nodes, measure), "posted")
-    sizes = posted.groupBy("token").agg(F.count("*").alias("size"), F.max(F.struct("typical", (-F.col("node")).alias("low"), "n")).alias("top")).filter(F.col("size") > 1)
-    shared = saved(posted.join(sizes, "token").select("token", "node", "n", "size", (-F.col("top.low")).alias("leader"), F.col("top.n").alias("leader_n")), "shared")
-    groups = saved(shared.filter(F.col("size") > SMALL).select("leader", "leader_n", "node", "n").distinct(), "groups")
-    sized = 100 * F.least("n", "leader_n") >= measure.percent * F.greatest("n", "leader_n")
-    stars = groups.filter((F.col("node") != F.col("leader")) & sized).select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    pairs = saved(_small_pairs(shared, nodes, measure).unionByName(stars).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("node")).distinct().join(nodes.select("node", "rep", "set_id"), "node")
-    sets = saved(_sets(docs, saved(wanted, "wanted"), measure), "sets")
-    firm = saved(_confirm(pairs, sets, measure), "firm")
-    loose = _loose_links(groups, firm, sets, measure)
-    return firm.unionByName(loose)
+    sizes = posted.groupBy("token").agg(F.count("*").alias("size"), F.max(F.struct("typical", (-F.col("node")).alias("low"))).alias("top")).filter(F.col("size") > 1)
+    shared = saved(posted.join(sizes, "token").select("token", "node", "n", "size", (-F.col("top.low")).alias("leader")), "shared")
+    forget(posted)
+    groups = saved(shared.filter(F.col("size") > SMALL).groupBy("leader", "node", "n").agg(F.max("size").alias("size")), "groups")
+    slots = F.ceil(F.col("size") / FOLLOWERS).cast("int")
+    leaders = groups.groupBy("leader").agg(F.max(slots).alias("slots"))
+    pairs = saved(_small_pairs(shared, nodes, measure).select("a", "b", F.lit(0).alias("slot")), "pairs")
+    forget(shared)
+    stars = groups.filter(F.col("node") != F.col("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b"), F.pmod(F.xxhash64("node"), slots).cast("int").alias("slot"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("node")).distinct().join(nodes.select("node", "id", "key", "set_id"), "node")
+    wanted = saved(wanted, "wanted")
+    sets = saved(_sets(docs, wanted, measure), "sets")
+    met = saved(_overlaps(pairs.unionByName(stars), leaders, sets), "met")
+    forget(pairs, wanted)
+    firm = met.filter(measure.close(F.col("both"), F.col("na"), F.col("nb"))).select("a", "b")
+    far = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
+    measured = met.select(F.col("a").alias("node"), F.col("b").alias("leader"), measure.close(F.col("both"), F.col("na"), F.col("nb")).alias("linked"), far.alias("far")).distinct()
+    groups = groups.join(measured, ["leader", "node"], "left").select("leader", "node", "n", F.coalesce("linked", F.lit(True)).alias("linked"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    return firm.unionByName(_loose_links(saved(groups, "measured"), sets, measure))
 
 
 def report(docs: DataFrame, measure: Measure | None = None) -> DataFrame:
@@ -315,10 +323,16 @@ def report(docs: DataFrame, measure: Measure | None = None) -> DataFrame:
 def dedup(docs: DataFrame, measure: Measure) -> DataFrame:
     """``docs`` with one row of each component: that with the least ``doc_id``, then the least row number; all columns.
 
+    Rows are numbered once, in a table written to the shared folder, so what
+    goes does not depend on how ``docs`` comes out when it is read again.
     Documents without shingles stay.
     """
-    named = saved(labels(docs, measure).filter("root IS NOT NULL").select("root", "rid", "doc_id"), "named")
+    rid = "__rid"
+    while rid in docs.columns:
+        rid += "_"
+    docs = saved(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    named = saved(labels(docs, measure, rid).filter("root IS NOT NULL").select("root", "rid", "doc_id"), "named")
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("rid").alias("r"))
-    first = named.groupBy("root").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1").select("root", F.col("first.r").alias("first"))
-    drop = named.join(first, "root").filter(F.col("rid") != F.col("first")).select(F.col("rid").alias("__drop"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(drop, F.col("__rid") == F.col("__drop"), "left_anti").drop("__rid")
+    stay = named.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.r").alias("rid"))
+    drop = named.join(stay, "rid", "left_anti").select(F.col("rid").alias(rid))
+    return docs.join(drop, rid, "left_anti").drop(rid)

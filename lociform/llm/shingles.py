@@ -134,12 +134,3 @@ class Signer:
                     v = np.minimum.reduceat(joined * self.a[k] + self.b[k], starts)
                     out[some, k] = (v >> _U(32)).astype(np.uint32) ^ v.astype(np.uint32)
         return out
-
-
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted arrays of distinct values."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) if len(b) else 0

@@ -6,7 +6,9 @@ import re
 import numpy as np
 import pytest
 
-from lociform.llm import near_dedup
+from pyspark.sql import functions as F
+
+from lociform.llm import common, near_dedup
 from lociform.llm.shingles import batch_shingles
 
 SCHEMA = "doc_id long, text string, node long, token string"
@@ -78,6 +80,34 @@ def test_components(spark, width, percent):
     assert all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+@pytest.mark.parametrize("shape", ["repartition", "join", "sort"])
+def test_dedup_whatever_made_the_table(spark, shape):
+    r = random.Random(3)
+    base = [" ".join(r.choice("abcdefghijklmnop") * 2 + str(r.randrange(90)) for _ in range(60)) for _ in range(300)]
+    data = [(k, base[k % 300] + (" more" if k % 2 else ""), k, "x") for k in range(900)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, __rid long, node string").repartition(7)
+    if shape == "join":
+        docs = docs.join(spark.range(900).select(F.col("id").alias("doc_id"), F.lit(1).alias("more")).repartition(5), "doc_id")
+    elif shape == "sort":
+        docs = docs.orderBy(F.rand())
+    kept = near_dedup.dedup(docs, near_dedup.Measure(5, 80))
+    assert kept.columns == docs.columns
+    assert sorted(x.doc_id for x in kept.collect()) == sorted({c for _, _, c in brute(data, 5, 80)})
+
+
+def test_long_postings_and_small_blocks(spark, monkeypatch):
+    """Everything goes by leaders, in tiny blocks, with hot keys broadcast."""
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 2000)
+    monkeypatch.setattr(near_dedup, "FOLLOWERS", 16)
+    monkeypatch.setattr(near_dedup, "PICKED", 0)
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    r = random.Random(9)
+    data = [(i, t, 1, "clash") for i, t in enumerate(corpus(r, 120))] + [(None, "a b c", 1, "clash")] * 5
+    got = near_dedup.report(spark.createDataFrame(data, SCHEMA).repartition(5), near_dedup.Measure(3, 85)).filter("doc_id IS NOT NULL").collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute(data[:-5], 3, 85)
+
+
 def test_shingles_count():
     r = random.Random(1)
     texts = corpus(r, 20)

@@ -65,7 +65,7 @@ def test_stages(spark, sf_dir, tmp_path):
 
 def test_rows_with_nulls_repeats_and_no_labels(spark, tmp_path):
     data = [(1, "same text here and there", "en", "a", 24), (2, "same text here and there", None, "b", 24), (2, "same text here and there", "en", "b", 24), (None, "same text here and there", "en", None, 24), (3, None, None, None, None), (4, "", "", "", 0), (5, "password=abcdefgh12", "en", "x", 19)]
-    docs = spark.createDataFrame(data, SCHEMA).coalesce(1)
+    docs = spark.createDataFrame(data, SCHEMA).repartition(3)
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.judge(spark, docs, str(tmp_path))
     assert out.count() == 7  # without labels nothing is known against a document
