@@ -118,10 +118,39 @@ def test_sum_of_squares_places_like_the_rule():
                 squares[h] = (sum(c * c for c in new.values()), -h, new)
         levels = min(squares.values(), key=lambda x: x[:2])[2]
         assert {h: int(c) for h, c in enumerate(packer.count) if c} == {h: c for h, c in levels.items() if c}
-    packer.finish()
+    packer.settle()
     assert sum(row[2] for row in packer.rows) == sum(row[4] for row in {row[0]: row for row in packer.rows}.values())
 
 
+def test_few_tokens_leave_the_window_that_the_rule_chose(spark, library):
+    rows = packing.pack(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), tokenizer_path()).select("length", "sequence_id", "moved").collect()
+    total, fill = sum(r.length for r in rows), {}
+    for r in rows:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert sum(r.length for r in rows if r.moved) < 0.05 * total
+    assert sum(1024 - n for n in fill.values() if n & (n - 1)) < 0.01 * total
+
+
+def test_open_windows_are_settled_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(packing, "HELD", 5000)
+    packer = packing.Packer(1024, 0)
+    for k in range(300):  # no two fit together, so the rule alone would leave all windows open
+        packer.add(k, bytes(4 * (520 + k % 7)))
+        assert packer.held <= 5000 + 1024
+    packer.settle()
+    own = {}
+    for doc, start, size, _, total, sequence, offset, _ in packer.rows:
+        own.setdefault(sequence, []).append((offset, size))
+    for pieces in own.values():
+        at = 0
+        for offset, size in sorted(pieces):
+            assert offset == at and size > 0
+            at += size
+        assert at <= 1024
+    fill = [sum(size for _, size in x) for x in own.values()]
+    assert sum(fill) == sum(520 + k % 7 for k in range(300)) and sum(1024 - x for x in fill if x & (x - 1)) < 0.01 * sum(fill)
+
+
 def test_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a b", "", 0), (1, "a b", "", 0), (None, "c", "", 0)], SCHEMA)
     assert sorted((r.doc_id or -1, r.n_tokens) for r in bpe.digests(docs, tokenizer_path()).collect()) == [(-1, 1), (1, 2), (1, 2)]
