@@ -53,22 +53,28 @@ def forget(*tables: DataFrame) -> None:
 HOT_SHARE, HOT_LEAST = 1 << 14, 100_000
 
 
-def attached(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
+def attached(rows: DataFrame, facts: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``facts``, which hold one row for each key and, in ``size``, its number of rows.
 
     Rows of hot keys meet their facts by a broadcast, so that no task gets all
     of them; as a hot key holds more than a share of all rows, at most
-    ``HOT_SHARE`` facts are broadcast.  The rest is joined by key.  Both are
-    tables that ``saved`` wrote, as they are read twice.
+    ``HOT_SHARE`` facts are broadcast.  The others are joined by key; rows of hot
+    keys are spread over that join by a number of their own and meet nothing in
+    it.  ``facts`` is a table that ``saved`` wrote.
     """
     total = facts.agg(F.sum(size)).first()[0] or 0
     floor = max(HOT_LEAST, total // HOT_SHARE)
     hot = facts.filter(F.col(size) > floor)
     if not hot.limit(1).count():
-        return rows.join(facts, key)
-    known = F.broadcast(hot)
-    rest = rows.join(known.select(key), key, "left_anti").join(facts.filter(F.col(size) <= floor), key)
-    return rows.join(known, key).unionByName(rest)
+        return rows.join(facts, key, how)
+    values = F.struct(*(c for c in facts.columns if c != key))
+    rows = rows.join(F.broadcast(hot.select(key, values.alias("__hot"))), key, "left")
+    rows = rows.withColumn("__spread", F.when(F.col("__hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.monotonically_increasing_id())))
+    out = rows.join(facts.filter(F.col(size) <= floor).select(key, F.lit(0).cast("long").alias("__spread"), values.alias("__cold")), [key, "__spread"], "left")
+    out = out.withColumn("__hot", F.coalesce("__hot", "__cold")).drop("__cold", "__spread")
+    if how == "inner":
+        out = out.filter(F.col("__hot").isNotNull())
+    return out.select(*(c for c in out.columns if c != "__hot"), "__hot.*")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

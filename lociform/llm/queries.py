@@ -48,7 +48,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(table(spark, sf_dir, "documents"), secrets.new_ledger(spark))
+    """Two snapshots: an earlier one holds the English documents; the whole table then meets a filled ledger."""
+    docs, ledger = table(spark, sf_dir, "documents"), secrets.new_ledger(spark)
+    ledger.update(docs.filter(F.col("lang") == "en"))
+    return secrets.report(docs, ledger)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

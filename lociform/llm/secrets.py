@@ -3,23 +3,30 @@
 Every version of every path is content-addressed (SHA-256 of its text).  The
 ledger holds the findings of each (blob, rule version) pair scanned so far; a
 run scans only pairs that the ledger lacks, each once, appends them, and joins
-findings back to all paths by blob.
+findings back to all paths by blob.  The rule version is a digest of the rules.
+
+Each unseen blob elects one of its rows, that with the least ``doc_id``, on
+digests alone, and only elected texts are shuffled; a text that fills a third of
+all rows is so no more work than another.
 
 Defined results: null text counts as empty; equal texts share one blob and get
-equal findings; repeated rows stay repeated; an empty table gives an empty
-result; clashing extra columns are not read.
+equal findings; repeated rows stay repeated; rows with a null ``doc_id`` are
+scanned like others, and their id stays null; very long texts are scanned
+whole; an empty table gives an empty result; ``report`` reads no other columns,
+and ``redact`` hands all of them on.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, strings
+from .common import attached, fresh_path, saved, strings
 
 #: Base rules, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -30,7 +37,13 @@ KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
 BEARER = re.compile(r"\b(?:ghp|gho|ghs|ghu)_[A-Za-z0-9]{36,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "keyblock", "bearer")
-RULES = "2024.1"
+
+#: Assigned values shorter than this are no secrets.
+LEAST = 8
+#: The rule version: any change of a rule changes it.
+RULES = hashlib.sha256("\n".join(f"{p.pattern} {p.flags}" for p in (ASSIGN, ACCESS, HEX, KEY_BLOCK, BEARER)).encode() + bytes([LEAST])).hexdigest()[:16]
+#: Elected rows whose ids are broadcast, at most; beyond it texts are joined with them.
+PICKED = 1 << 17
 
 _HEXES = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _RUN = b"h" * 32
@@ -41,7 +54,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     found = []
     low = text.lower()
     if "passw" in low or "token" in low or "secret" in low or "api" in low:
-        found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+        found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST]
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     if _RUN in text.encode("utf-8").translate(_HEXES):
@@ -58,7 +71,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-LEDGER = "blob binary, rules string, spans array<struct<kind:string,start:long,end:long>>"
+SPANS = "array<struct<kind:string,start:long,end:long>>"
+LEDGER = f"blob binary, rules string, spans {SPANS}"
 
 
 class Ledger:
@@ -72,50 +86,52 @@ class Ledger:
             return self.spark.createDataFrame([], LEDGER)
         return self.spark.read.schema(LEDGER).parquet(self.path)
 
-    def update(self, versions: DataFrame) -> None:
-        """Scans the blobs of ``versions(blob, text)`` that are not in the ledger under these rules, each once."""
-        fresh = versions.select("blob", "text")
+    def update(self, docs: DataFrame) -> None:
+        """Scans the texts of ``docs`` whose blobs are not in the ledger under these rules, each once."""
+        rows = _versions(docs)
+        unseen = rows.groupBy("blob").agg(F.min("id").alias("id"))
         if _exists(self.spark, self.path):
-            known = self.entries().filter(F.col("rules") == self.rules).select("blob")
-            fresh = fresh.join(known, "blob", "left_anti")
-        # Copies within a split go first, so a text that fills a third of the rows sends one row a split.
-        fresh.mapInArrow(_distinct, "blob binary, text string").repartition("blob").mapInArrow(_distinct_scan, "blob binary, spans array<struct<kind:string,start:long,end:long>>").select("blob", F.lit(self.rules).alias("rules"), "spans").write.mode("append").parquet(self.path)
+            unseen = unseen.join(self.entries().filter(F.col("rules") == self.rules).select("blob"), "blob", "left_anti")
+        unseen = saved(unseen, "unseen")
+        n = unseen.count()
+        if 0 < n <= PICKED:
+            rows = rows.join(F.broadcast(unseen), ["id", "blob"], "left_semi")
+        # Repeated rows go inside their splits before texts are shuffled.
+        texts = rows.groupBy("id", "blob").agg(F.first("text").alias("text"))
+        if n > PICKED:
+            texts = texts.join(unseen, ["id", "blob"], "left_semi")
+        if n:
+            texts.select("blob", "text").mapInArrow(_scan, f"blob binary, spans {SPANS}").select("blob", F.lit(self.rules).alias("rules"), "spans").write.mode("append").parquet(self.path)
 
     def findings(self) -> DataFrame:
         """``blob``, ``spans`` under these rules; a retried append may have left a pair twice."""
         return self.entries().filter((F.col("rules") == self.rules) & (F.size("spans") > 0)).dropDuplicates(["blob"]).select("blob", "spans")
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()  # 32 bytes for each text of one split
-    for batch in batches:
-        keep = []
-        for k, blob in enumerate(batch.column(0).to_pylist()):
-            if blob not in seen:
-                seen.add(blob)
-                keep.append(k)
-        yield batch.take(pa.array(keep, pa.int64()))
-
-
-def _distinct_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    for batch in _distinct(batches):
+    for batch in batches:
         spans: list[list[dict]] = []
         for _, texts in strings(batch.column(1)):
             spans += [[{"kind": k, "start": i, "end": j} for k, i, j in scan(text)] for text in texts]
         yield pa.record_batch([batch.column(0), pa.array(spans, kind)], names=["blob", "spans"])
 
 
+def _blob() -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+
+
 def _versions(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
+    """``id`` (the least number for null), ``blob``, ``text`` for each row."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), _blob().alias("blob"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def scan_paths(docs: DataFrame, ledger: Ledger) -> DataFrame:
     """``doc_id``, ``blob``, ``spans`` (null if none) for every row of ``docs``; updates the ledger."""
-    ledger.update(_versions(docs))
-    paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("blob"))
-    return paths.join(ledger.findings(), "blob", "left")
+    ledger.update(docs)
+    paths = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _blob().alias("blob")), "paths")
+    facts = saved(paths.groupBy("blob").agg(F.count("*").alias("n")).join(ledger.findings(), "blob", "left"), "facts")
+    return attached(paths, facts, "blob", "n").select("doc_id", "blob", "spans")
 
 
 def _is(kind: str):
@@ -124,7 +140,7 @@ def _is(kind: str):
 
 def report(docs: DataFrame, ledger: Ledger) -> DataFrame:
     """One row per document with counts, the digest of the base spans and all spans."""
-    spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<kind:string,start:long,end:long>>"))
+    spans = F.coalesce(F.col("spans"), F.array().cast(SPANS))
     show = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
     counts = [F.size(F.filter(spans, _is(kind))).cast("long").alias(f"n_{kind}") for kind in BASE]
@@ -139,10 +155,14 @@ def redact(docs: DataFrame, ledger: Ledger, mark: str = "[SECRET]") -> DataFrame
     Findings are joined back by blob.  All columns stay; ``n_chars``, where it
     is present, is counted anew for changed texts.
     """
-    ledger.update(_versions(docs))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("__blob", F.unhex(F.sha2(text, 256)))
-    out = keyed.join(ledger.findings().select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "__blob", "left")
+    ledger.update(docs)
+    blobs = docs.groupBy(_blob().alias("__blob")).agg(F.count("*").alias("__n"))
+    facts = saved(blobs.join(ledger.findings().select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "__blob"), "facts")
+    keyed = docs.withColumn("__blob", _blob())
+    if facts.count() <= PICKED:
+        out = keyed.join(F.broadcast(facts), "__blob", "left")
+    else:
+        out = attached(keyed, facts, "__blob", "__n", "left")
 
     def step(acc, s):
         # start, end: code points from 0; acc.at: first one not yet written
