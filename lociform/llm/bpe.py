@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .byte_bpe import Vocabulary
-from .common import id_and_text, strings
+from .common import id_and_text, strings, tidy
 
 _vocabularies: dict[str, Vocabulary] = {}
 
@@ -43,7 +43,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
             for lo, texts in strings(batch.column(1)):
                 yield pa.record_batch([batch.column(0).slice(lo, len(texts)), pa.array(bpe.encode(texts), pa.binary())], names=["doc_id", "ids"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, ids binary")
+    return id_and_text(docs).mapInArrow(tidy(run), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -57,7 +57,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
                 some = batch.slice(k, 512)
                 yield pa.record_batch([some.column(0), pa.array([bpe.decode(x or b"") for x in some.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -77,4 +77,4 @@ def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
                 ]
                 yield pa.record_batch(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_and_text(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

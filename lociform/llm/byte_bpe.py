@@ -23,7 +23,7 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 
 LETTER, NUMBER, OTHER, BLANK, SPACE = 1, 2, 3, 4, 5
-_BATCH = 1 << 20  # code points in one numpy pass
+_BATCH = 1 << 18  # code points in one numpy pass
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -82,16 +82,16 @@ class _Known:
     A full table is emptied, so memory is bounded.
     """
 
-    SLOTS, MOST, PROBES = 1 << 22, 1 << 20, 8
+    BITS, MOST, PROBES = 20, 1 << 18, 8
+    SLOTS = 1 << BITS
 
     def __init__(self, merge):
         self.merge = merge
-        self.slots = np.zeros((self.SLOTS, 3), "<u8")
-        self.pool = np.zeros(1 << 20, "<u4")
         self.clear()
 
     def clear(self) -> None:
-        self.slots[:] = 0
+        self.slots = np.zeros((self.SLOTS, 3), "<u8")
+        self.pool = np.zeros(1 << 20, "<u4")
         self.used, self.entries = 0, 0
 
     def find(self, raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ class _Known:
         high |= np.minimum(size, 16).astype("<u8") << np.uint64(56)
         with np.errstate(over="ignore"):
             slot = low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
-            slot = ((slot ^ (slot >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(42)).astype(np.int64)
+            slot = ((slot ^ (slot >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.BITS)).astype(np.int64)
         place = np.zeros(len(size), "<u8")  # offset and count; 0 while unknown
         open_ = np.flatnonzero(size <= 15)
         for step in range(self.PROBES):

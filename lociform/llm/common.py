@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,10 +34,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of one Arrow batch in jobs that this package starts itself; Spark's default is eight times as much.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor costs no rerun."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH)
+    conf.set(BATCH, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(BATCH, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
@@ -77,6 +90,22 @@ def attached(rows: DataFrame, facts: DataFrame, key: str, size: str, how: str =
     return out.select(*(c for c in out.columns if c != "__hot"), "__hot.*")
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for Arrow batches, after which the worker gives its memory back: Spark keeps workers for later tasks."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # no such call in this C library
+                pass
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,7 +115,7 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def strings(column: pa.Array, size: int = 1 << 23):
+def strings(column: pa.Array, size: int = 1 << 21):
     """Python strings of an Arrow column in slices of bounded bytes, each with its first row's number."""
     lo, own = 0, 0
     lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()

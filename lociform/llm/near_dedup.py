@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attached, forget, saved, strings
+from .common import attached, forget, saved, strings, tidy
 from .graph import components
 from .shingles import Signer, batch_shingles
 
@@ -55,7 +55,7 @@ FREQUENT = 1 << 19
 BLOCK, FOLLOWERS = 1 << 19, 4096
 #: Tasks that a large group's nodes are spread over while they get their blocks.
 SALTS = 32
-#: Nodes whose ids are broadcast to pick their texts, at most; beyond it they are joined.
+#: Ids that are broadcast to pick texts, at most; beyond it they are joined.
 PICKED = 1 << 17
 
 
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, measure: Measure, rid: str | None = None) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer(COORDINATES)
         for batch in batches:
-            for lo, texts in strings(batch.column(3), 1 << 21):
+            for lo, texts in strings(batch.column(3)):
                 sets = batch_shingles(texts, width)
                 sig = sign(sets)
                 low = sig.astype(np.uint8).view("<i8")
@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, measure: Measure, rid: str | None = None) -> Dat
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(rid) if rid else F.lit(None)).cast("long").alias("rid"), F.xxhash64(text).alias("key"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, rid long, key long, n long, set_id binary, sig binary, low array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, rid long, key long, n long, set_id binary, sig binary, low array<long>")
 
 
 def _digest(own: np.ndarray) -> bytes:
@@ -127,7 +127,7 @@ def _frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 token, count = np.unique(_tokens(batch.column(0).slice(k, 2048).to_pylist()), return_counts=True)
                 yield pa.record_batch([pa.array(token), pa.array(count)], names=["token", "count"])
 
-    counts = nodes.select("sig").mapInArrow(run, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
+    counts = nodes.select("sig").mapInArrow(tidy(run), "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
     floor = max(SMALL, -(-COORDINATES * nodes.count() // FREQUENT))
     rows = counts.filter(F.col("count") > floor).toPandas().sort_values("token")
     return rows["token"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
@@ -154,7 +154,7 @@ def postings(nodes: DataFrame, measure: Measure) -> DataFrame:
                 spread = lambda x: pa.array(np.repeat(x, prefix))
                 yield pa.record_batch([pa.array(picked.ravel()), spread(some.column(0).to_numpy()), spread(some.column(1).to_numpy()), spread(typical)], names=["token", "node", "n", "typical"])
 
-    return nodes.select("node", "n", "sig").mapInArrow(run, "token long, node long, n long, typical double")
+    return nodes.select("node", "n", "sig").mapInArrow(tidy(run), "token long, node long, n long, typical double")
 
 
 def _small_pairs(shared: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
@@ -184,7 +184,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, measure: Measure) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, texts in strings(batch.column(2), 1 << 21):
+            for lo, texts in strings(batch.column(2)):
                 own = batch.slice(lo, len(texts))
                 sets = batch_shingles(texts, width)
                 same = pa.array([_digest(s) == i for s, i in zip(sets, own.column(1).to_pylist())], pa.bool_())
@@ -193,7 +193,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, measure: Measure) -> DataFrame:
                 yield pa.record_batch([own.column(0), hashes], names=["node", "set"]).filter(same)
 
     rows = _keyed(docs).join(picked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("own")))
-    return rows.select("node", "set_id", "text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
+    return rows.select("node", "set_id", "text").mapInArrow(tidy(run), "node long, set array<long>").dropDuplicates(["node"])
 
 
 def _overlaps(pairs: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFrame:
@@ -334,5 +334,7 @@ def dedup(docs: DataFrame, measure: Measure) -> DataFrame:
     named = saved(labels(docs, measure, rid).filter("root IS NOT NULL").select("root", "rid", "doc_id"), "named")
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("rid").alias("r"))
     stay = named.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.r").alias("rid"))
-    drop = named.join(stay, "rid", "left_anti").select(F.col("rid").alias(rid))
+    drop = saved(named.join(stay, "rid", "left_anti").select(F.col("rid").alias(rid)), "drop")
+    if drop.count() <= PICKED:
+        drop = F.broadcast(drop)
     return docs.join(drop, rid, "left_anti").drop(rid)

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import vocabulary
-from .common import id_and_text, strings
+from .common import id_and_text, strings, tidy
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, moved boolean"
 #: Tokens in open windows of a task before they are settled, and bytes of input that a task should have.
@@ -167,4 +167,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, separator: int = 0
 
     rows = id_and_text(docs)
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.coalesce(max(1, min(-(-size // TASK), 1 << 30))).mapInArrow(run, SCHEMA)
+    return rows.coalesce(max(1, min(-(-size // TASK), 1 << 30))).mapInArrow(tidy(run), SCHEMA)

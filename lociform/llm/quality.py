@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, strings
+from .common import id_and_text, strings, tidy
 
 CHUNK, OVERLAP = 512, 64
 WIDTH, STRIDE, DIM, FILTERS = 8, 4, 6, 24
@@ -173,7 +173,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
                 p = known.value.score(texts)
                 yield pa.record_batch([own.column(0), own.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return id_and_text(docs).select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return id_and_text(docs).select("doc_id", held_out().alias("held_out"), "text").mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, net: Net) -> DataFrame:
@@ -186,4 +186,4 @@ def keep_good(docs: DataFrame, net: Net) -> DataFrame:
             for lo, texts in strings(batch.column(at)):
                 yield batch.slice(lo, len(texts)).filter(pa.array(known.value.score(texts) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

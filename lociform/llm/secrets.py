@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attached, fresh_path, saved, strings
+from .common import attached, fresh_path, saved, strings, tidy
 
 #: Base rules, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -101,7 +101,7 @@ class Ledger:
         if n > PICKED:
             texts = texts.join(unseen, ["id", "blob"], "left_semi")
         if n:
-            texts.select("blob", "text").mapInArrow(_scan, f"blob binary, spans {SPANS}").select("blob", F.lit(self.rules).alias("rules"), "spans").write.mode("append").parquet(self.path)
+            texts.select("blob", "text").mapInArrow(tidy(_scan), f"blob binary, spans {SPANS}").select("blob", F.lit(self.rules).alias("rules"), "spans").write.mode("append").parquet(self.path)
 
     def findings(self) -> DataFrame:
         """``blob``, ``spans`` under these rules; a retried append may have left a pair twice."""

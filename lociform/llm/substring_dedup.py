@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_and_text, strings
+from .common import id_and_text, strings, tidy
 from .shingles import _mix, range_hashes, word_spans
 
 SPAN, WORDS, LONG, PICK, GAP = 3, 20, 9, 2, 9
@@ -112,7 +112,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, texts in strings(batch.column(2), 1 << 21):
+            for lo, texts in strings(batch.column(2)):
                 own = batch.slice(lo, len(texts))
                 b = Batch([t.encode("utf-8") for t in texts])
                 first = b.earliest()
@@ -121,7 +121,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
                 low = b.low[first].astype(np.int64) << 32 | at - b.ahead[b.text[at]]
                 yield pa.record_batch([pa.array(b.high[first]), pa.array(low), own.column(0).take(text), own.column(1).take(text)], names=["high", "low", "doc_id", "rid"])
 
-    return rows.mapInArrow(run, "high long, low long, doc_id long, rid long")
+    return rows.mapInArrow(tidy(run), "high long, low long, doc_id long, rid long")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for lo, texts in strings(batch.column(1), 1 << 21):
+            for lo, texts in strings(batch.column(1)):
                 own = batch.slice(lo, len(texts))
                 raws = [t.encode("utf-8") for t in texts]
                 b = Batch(raws)
@@ -163,7 +163,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                     kept[k] = "".join([*out, raws[k][at:].decode("utf-8")])
                 yield pa.record_batch([own.column(0), pa.array(b.count.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.string()), pa.array(spans, span)], names=["doc_id", "n_sentences", "n_removed", "text", "spans"])
 
-    return rows.join(later, "rid", "left").select("doc_id", "text", "places").mapInArrow(cut, "doc_id long, n_sentences long, n_removed long, text string, spans array<struct<start:long,end:long>>")
+    return rows.join(later, "rid", "left").select("doc_id", "text", "places").mapInArrow(tidy(cut), "doc_id long, n_sentences long, n_removed long, text string, spans array<struct<start:long,end:long>>")
 
 
 def report(docs: DataFrame) -> DataFrame:
