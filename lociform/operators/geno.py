@@ -12,7 +12,7 @@ so that many right-hand sides share one pass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 VAR_FLOOR = 1e-6
@@ -78,27 +78,81 @@ def _present(geno: DataFrame, stats: DataFrame) -> DataFrame:
     return geno.join(own, "variant_idx").withColumn("h", F.coalesce(F.col("dosage").cast("double"), F.col("mean")))
 
 
+def packed(rows: DataFrame, key: str, value: str, columns: list, *more: Column) -> DataFrame:
+    """A row for each ``key`` with all its right-hand sides as an array ``v`` in the order of ``columns``; absent ones are 0."""
+    each = [F.coalesce(F.sum(F.when(F.col("col").eqNullSafe(_literal(c)), F.col(value))), F.lit(0.0)) for c in columns]
+    return rows.groupBy(key).agg(F.array(*each).alias("v"), *more)
+
+
+def _literal(c):
+    return F.struct(*(F.lit(x).alias(n) for n, x in c.asDict().items())) if isinstance(c, Row) else F.lit(c)
+
+
+def right_hand_sides(v: DataFrame, value: str = "v") -> tuple[list, list[Row]]:
+    """The right-hand sides of ``v``, which are few, and a row with the total of each."""
+    rows = v.groupBy("col").agg(F.sum(value).alias("tv")).collect()
+    columns = sorted((r["col"] for r in rows), key=str)
+    return columns, rows
+
+
+#: Samples or variants times right-hand sides up to which a side is broadcast (8 bytes each).
+BROADCAST = 1 << 20
+
+
+def _small(rows: DataFrame, width: int) -> DataFrame:
+    """``rows``, broadcast if they are few; they are counted first."""
+    return F.broadcast(rows) if rows.limit(BROADCAST // max(width, 1) + 1).count() <= BROADCAST // max(width, 1) else rows
+
+
+def _unpacked(rows: DataFrame, columns: list, kind: str) -> DataFrame:
+    """One row for each right-hand side again, ``col`` and ``value`` from the array ``v``."""
+    each = F.array(*(F.struct(_literal(c).cast(kind).alias("col"), F.col("v")[k].alias("value")) for k, c in enumerate(columns)))
+    return rows.withColumn("each", F.explode(each)).select(*(c for c in rows.columns if c != "v"), "each.col", "each.value")
+
+
 def xtv(geno: DataFrame, stats: DataFrame, v: DataFrame) -> DataFrame:
-    """``variant_idx``, ``col``, ``score``: standardised columns times vectors, for every valid variant."""
-    cells = geno.join(v, "sample_idx").groupBy("variant_idx", "col").agg(F.sum(F.col("dosage") * F.col("v")).alias("gv"), F.sum(F.when(F.col("dosage").isNull(), F.col("v"))).alias("mv"))
-    totals = v.groupBy("col").agg(F.sum("v").alias("tv"))
-    grid = stats.filter("inv_sd > 0").select("variant_idx", "mean", "inv_sd").crossJoin(F.broadcast(totals))  # a row for each right-hand side
-    out = grid.join(cells, ["variant_idx", "col"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return out.select("variant_idx", "col", (F.col("inv_sd") * (zero("gv") - F.col("mean") * (F.col("tv") - zero("mv")))).alias("score"))
+    """``variant_idx``, ``col``, ``score``: standardised columns times vectors, for every valid variant.
+
+    A sample's right-hand sides lie side by side, so each cell is joined and
+    shuffled once however many there are.
+    """
+    kind = v.schema["col"].dataType.simpleString()
+    columns, totals = right_hand_sides(v)
+    if not columns:
+        return stats.select("variant_idx", F.lit(None).cast(kind).alias("col"), F.lit(0.0).alias("score")).limit(0)
+    total = {str(r["col"]): float(r["tv"] or 0.0) for r in totals}
+    wide = _small(packed(v, "sample_idx", "v", columns), len(columns))
+    gv = [F.sum(F.col("dosage") * F.col("v")[k]) for k in range(len(columns))]
+    mv = [F.sum(F.when(F.col("dosage").isNull(), F.col("v")[k])) for k in range(len(columns))]
+    cells = geno.join(wide, "sample_idx").groupBy("variant_idx").agg(F.array(*gv).alias("gv"), F.array(*mv).alias("mv"))
+    out = stats.filter("inv_sd > 0").select("variant_idx", "mean", "inv_sd").join(cells, "variant_idx", "left")
+    zero = lambda c, k: F.coalesce(F.col(c)[k], F.lit(0.0))
+    each = [F.col("inv_sd") * (zero("gv", k) - F.col("mean") * (F.lit(total[str(c)]) - zero("mv", k))) for k, c in enumerate(columns)]
+    return _unpacked(out.select("variant_idx", F.array(*each).alias("v")), columns, kind).withColumnRenamed("value", "score")
 
 
 def zb(geno: DataFrame, stats: DataFrame, b: DataFrame, samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``sample_idx``, ``col``[, by], ``value``: standardised rows times coefficients, for every sample.
 
-    ``b`` may carry further grouping columns, such as a component.
+    ``b`` may carry further grouping columns, such as a component.  A variant's
+    right-hand sides lie side by side, as in ``xtv``.
     """
-    key = ["col", *by]
-    scaled = b.join(stats.filter("inv_sd > 0").select("variant_idx", "mean", "inv_sd"), "variant_idx").withColumn("w", F.col("inv_sd") * F.col("b"))
-    shift = scaled.groupBy(*key).agg(F.sum(F.col("mean") * F.col("w")).alias("shift"))
-    cells = geno.join(scaled, "variant_idx").groupBy("sample_idx", *key).agg(F.sum(F.coalesce(F.col("dosage").cast("double"), F.col("mean")) * F.col("w")).alias("sum"))
-    out = samples.select("sample_idx").crossJoin(F.broadcast(shift)).join(cells, ["sample_idx", *key], "left")  # a row for each right-hand side
-    return out.select("sample_idx", *key, (F.coalesce("sum", F.lit(0.0)) - F.col("shift")).alias("value"))
+    if by:  # one right-hand side for each group and column
+        b = b.withColumn("col", F.struct("col", *by))
+    kind = b.schema["col"].dataType.simpleString()
+    scaled = b.join(stats.filter("inv_sd > 0").select("variant_idx", "mean", "inv_sd"), "variant_idx").select("variant_idx", "col", "mean", (F.col("inv_sd") * F.col("b")).alias("w"))
+    columns, totals = right_hand_sides(scaled.withColumn("shift", F.col("mean") * F.col("w")), "shift")
+    shift = {str(r["col"]): float(r["tv"] or 0.0) for r in totals}
+    wide = _small(packed(scaled, "variant_idx", "w", columns, F.max("mean").alias("mean")), len(columns)) if columns else None
+    if wide is None:
+        out = samples.select("sample_idx", F.lit(None).cast(kind).alias("col"), F.lit(0.0).alias("value")).limit(0)
+    else:
+        own = geno.join(wide, "variant_idx")
+        dose = F.coalesce(F.col("dosage").cast("double"), F.col("mean"))
+        cells = own.groupBy("sample_idx").agg(F.array(*(F.sum(dose * F.col("v")[k]) for k in range(len(columns)))).alias("sums"))
+        each = [F.coalesce(F.col("sums")[k], F.lit(0.0)) - F.lit(shift[str(c)]) for k, c in enumerate(columns)]
+        out = _unpacked(samples.select("sample_idx").join(cells, "sample_idx", "left").select("sample_idx", F.array(*each).alias("v")), columns, kind)
+    return out.select("sample_idx", "col.*", "value") if by else out
 
 
 def kv(geno: DataFrame, stats: DataFrame, v: DataFrame, samples: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.linalg import t_two_sided
+from ..functions.linalg import t_two_sided_many
 from .geno import xtv
 
 X_VAR_FLOOR = 1e-8
@@ -89,7 +89,7 @@ def with_p(rows: DataFrame, dof: int) -> DataFrame:
 
     def tail(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in batches:
-            yield t.map(lambda x: t_two_sided(x, dof)).astype("float64")
+            yield pd.Series(t_two_sided_many(t.to_numpy(float), dof))
 
     return rows.withColumn("p", F.coalesce(F.pandas_udf(tail, "double")("t"), F.lit(float("nan"))))  # Arrow takes NaN for null
 

@@ -131,6 +131,30 @@ def ebic_best(path: DataFrame, n: int, p: int, gamma: float = 0.5) -> DataFrame:
     return ebic_table(path, n, p, gamma).orderBy("ebic", "k", F.desc("lam")).limit(1)
 
 
+def chive(fitted: DataFrame) -> DataFrame:
+    """``q_hat`` of ``fitted(y, value)``, value = Z b over the selected variants: |Zb|^2 / n + 2 (Zb)'(y - Zb) / n."""
+    u, y = F.col("value"), F.col("y")
+    return fitted.agg(((F.sum(u * u) + 2 * F.sum(u * (y - u))) / F.count("*")).alias("q_hat"))
+
+
+def admixed_summary(shares: DataFrame, diag: DataFrame, components: DataFrame) -> DataFrame:
+    """``weighted_genetic``, ``weighted_sigma``, ``weighted_h2``: means over samples for ancestry components.
+
+    ``shares(sample_idx, ancestry, q)``, ``diag(sample_idx, diag)`` of the base kernel, ``components(ancestry, tau2, sigma2)``.
+    Samples without any variance count in no mean of the share.
+    """
+    own = shares.join(F.broadcast(components), "ancestry").groupBy("sample_idx").agg(F.sum(F.col("q") * F.col("tau2")).alias("tau"), F.sum(F.col("q") * F.col("sigma2")).alias("sigma"))  # a row for each ancestry
+    rows = own.join(diag, "sample_idx").withColumn("genetic", F.col("diag") * F.col("tau"))
+    total = F.col("genetic") + F.col("sigma")
+    return rows.agg(F.avg("genetic").alias("weighted_genetic"), F.avg("sigma").alias("weighted_sigma"), F.avg(F.when(total > 0, F.col("genetic") / total)).alias("weighted_h2"))
+
+
+def component_h2(components: DataFrame) -> DataFrame:
+    """``h2`` of each of ``components(ancestry, tau2, sigma2, genetic_atom, residual_atom)``; null without variance."""
+    g, e = F.col("tau2") * F.col("genetic_atom"), F.col("sigma2") * F.col("residual_atom")
+    return components.select("ancestry", F.when(g + e > 0, g / (g + e)).alias("h2"))
+
+
 def predict(parts: DataFrame, mean: float, scale: float) -> DataFrame:
     """Predictions on the raw scale from ``parts(sample_idx, fixed_effect, random_effect)``."""
     std = F.col("fixed_effect") + F.col("random_effect")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linalg import lambda_path
 from ..operators import align, geno, gwas, screen
+from . import krylov, lasso
 from .fixtures import SQL, Tables
 from .kernels import SparkKernel
 
@@ -74,8 +76,8 @@ def dropped_samples(t: Tables) -> DataFrame:
 
 @query("SELECT sample_idx, iid FROM samples WHERE iid % 7 <> 3")
 def keep_semi(t: Tables) -> DataFrame:
-    keep = t.pheno().filter("iid % 7 <> 3").select("iid")
-    return t.samples().join(keep, "iid", "left_semi").select("sample_idx", "iid")
+    everyone = t.pheno().select("iid")
+    return align.align(t.samples(), everyone, None, everyone.filter("iid % 7 <> 3")).select("sample_idx", "iid")
 
 
 @query("SELECT CAST(o_custkey AS BIGINT) AS iid, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 10", tables=False)
@@ -213,6 +215,23 @@ def zb_component(t: Tables) -> DataFrame:
     return _rounded(geno.zb(g.geno, g.stats, b, g.samples, ("component_idx",)).select("component_idx", "sample_idx", "value"), "value")
 
 
+def _signs(n: int) -> np.ndarray:
+    """``Tables.v`` as an array of n rows, as solvers hold their right-hand sides."""
+    s, c = np.arange(n)[:, None], np.arange(2)[None]
+    return np.where((s * 7919 + c * 104729) % 1009 % 2 == 0, 1.0, -1.0)
+
+
+@contextmanager
+def _kernel(g: G, components: DataFrame | None):
+    """A kernel over packed blocks, of one component where none are given."""
+    one = g.variants.select(F.lit(0).alias("component_idx"), "variant_idx") if components is None else components
+    kernel = SparkKernel.build(g.geno, g.stats, geno.component_map(one), g.n, 8)
+    try:
+        yield kernel
+    finally:
+        kernel.close()
+
+
 _KV = "SELECT sample_idx, col, round(sum(z * score) / (SELECT m_eff FROM meff), 6) + 0.0 AS value FROM z JOIN zv USING (variant_idx) GROUP BY 1, 2"
 
 
@@ -220,11 +239,8 @@ _KV = "SELECT sample_idx, col, round(sum(z * score) / (SELECT m_eff FROM meff),
 def kv_standard(t: Tables) -> DataFrame:
     """By packed blocks in tasks: the tier that solvers use."""
     g = G(t)
-    one = geno.component_map(g.variants.select(F.lit(0).alias("component_idx"), "variant_idx"))
-    v = np.array([[1.0 if (s * 7919 + c * 104729) % 1009 % 2 == 0 else -1.0 for c in range(2)] for s in range(g.n)])
-    kernel = SparkKernel.build(g.geno, g.stats, one, g.n, 8)
-    out = kernel.stacked(v)[0]
-    kernel.close()
+    with _kernel(g, None) as kernel:
+        out = kernel.stacked(_signs(g.n))[0]
     rows = [(s, c, float(out[s, c])) for s in range(g.n) for c in range(2)]
     return _rounded(t.spark.createDataFrame(rows, "sample_idx long, col int, value double"), "value")
 
@@ -304,27 +320,37 @@ def projected_core(t: Tables) -> DataFrame:
 
 @query(f"SELECT round(sum(kv.value * v.v) / 2, 3) + 0.0 AS trace FROM ({_KV.replace('round(', '(').replace(', 6)', ')')}) kv JOIN v USING (sample_idx, col)")
 def hutchinson_trace(t: Tables) -> DataFrame:
+    """By the probes of the REML problem, over packed blocks."""
     g = G(t)
-    out = geno.kv(g.geno, g.stats, t.v(), g.samples).join(t.v(), ["sample_idx", "col"])
-    return out.agg((F.round(F.sum(F.col("value") * F.col("v")) / 2, 3) + 0.0).alias("trace"))
+    with _kernel(g, None) as kernel:
+        signs = _signs(g.n)
+        out = kernel.stacked(signs)[0]
+    return t.spark.createDataFrame([(round(float((out * signs).sum()) / 2, 3) + 0.0,)], "trace double")
 
 
 @query(f"SELECT col, round(sum(v.v * kv.value) / (SELECT n FROM cnt), 6) + 0.0 AS alpha, round(sqrt(greatest(sum(kv.value * kv.value) / (SELECT n FROM cnt) - pow(sum(v.v * kv.value) / (SELECT n FROM cnt), 2), 0)), 6) + 0.0 AS beta FROM ({_KV.replace('round(', '(').replace(', 6)', ')')}) kv JOIN v USING (sample_idx, col) GROUP BY 1")
 def lanczos_step1(t: Tables) -> DataFrame:
-    """First coefficients of Lanczos from v / |v|, with |v|^2 = n."""
+    """First coefficients of Lanczos from v / |v|: mean and deviation of the quadrature's nodes after two steps' matrix."""
     g = G(t)
-    rows = geno.kv(g.geno, g.stats, t.v(), g.samples).join(t.v(), ["sample_idx", "col"])
-    out = rows.groupBy("col").agg((F.sum(F.col("value") * F.col("v")) / g.n).alias("alpha"), (F.sum(F.col("value") * F.col("value")) / g.n).alias("square"))
-    return out.select("col", r6("alpha").alias("alpha"), r6(F.sqrt(F.greatest(F.col("square") - F.col("alpha") * F.col("alpha"), F.lit(0.0)))).alias("beta"))
+    with _kernel(g, None) as kernel:
+        found = krylov.lanczos(lambda v: kernel.stacked(v)[0], _signs(g.n), 2)
+    rows = []
+    for col, (values, weights) in enumerate(found):
+        alpha = float(weights @ values)
+        rows.append((col, alpha, float(np.sqrt(max(weights @ values**2 - alpha**2, 0.0)))))
+    return _rounded(t.spark.createDataFrame(rows, "col int, alpha double, beta double"), "alpha", "beta")
 
 
 @query("""SELECT col, round(rs / (php + 1e-12), 6) + 0.0 AS alpha FROM (SELECT col, sum(v * v) AS rs, sum(v * hv) AS php FROM (SELECT sample_idx, col, v, kv + 0.3 * v AS hv FROM
     (SELECT sample_idx, col, sum(z * score * theta / m_eff) AS kv FROM z JOIN zv USING (variant_idx) JOIN components USING (variant_idx) JOIN cmeff USING (component_idx) JOIN theta USING (component_idx) GROUP BY 1, 2) JOIN v USING (sample_idx, col)) GROUP BY 1)""")
 def pcg_iter1(t: Tables) -> DataFrame:
-    """Step length of the first conjugate-gradient iteration from zero."""
+    """Step length of the first conjugate-gradient iteration from zero: the solution is that multiple of the right-hand side."""
     g = G(t)
-    rows = geno.weighted_hv(g.geno, g.stats, g.cmap, t.theta(), 0.3, t.v(), g.samples).join(t.v(), ["sample_idx", "col"])
-    return rows.groupBy("col").agg(r6(F.sum(F.col("v") * F.col("v")) / (F.sum(F.col("v") * F.col("value")) + 1e-12)).alias("alpha"))
+    with _kernel(g, t.components()) as kernel:
+        theta, v = np.array([0.5, 0.25, 0.125]), _signs(g.n)
+        x, _, _ = krylov.pcg(lambda u: kernel.weighted(theta, u) + 0.3 * u, v, most=1)
+    rows = [(c, float((x[:, c] * v[:, c]).sum() / (v[:, c] ** 2).sum())) for c in range(2)]
+    return _rounded(t.spark.createDataFrame(rows, "col int, alpha double"), "alpha")
 
 
 # --- association -------------------------------------------------------------
@@ -380,6 +406,20 @@ def gwas_covar(t: Tables) -> DataFrame:
     return out.select("variant_idx", (F.round("beta", 4) + 0.0).alias("beta"), (F.round("se", 4) + 0.0).alias("se"), (F.round("t", 5) + 0.0).alias("t"))
 
 
+@query("""
+    , y0 AS (SELECT sample_idx, pheno - avg(pheno) OVER () AS y FROM samples JOIN pheno USING (iid)),
+    zy AS (SELECT variant_idx, sum(z * y) AS zy, pow(sum(z), 2) / (SELECT n FROM cnt) AS zq FROM z JOIN y0 USING (sample_idx) GROUP BY 1),
+    tv AS (SELECT variant_idx, n - 2 AS dof, zy / x_var / sqrt(greatest((SELECT sum(y * y) FROM y0) - zy / x_var * zy, 0) / (n - 2) / x_var) AS t
+        FROM (SELECT variant_idx, zy, stats.cnt - zq AS x_var, n FROM stats JOIN zy USING (variant_idx), cnt WHERE inv_sd > 0)),
+    angles AS (SELECT variant_idx, dof, atan(abs(t) / sqrt(dof)) AS lo, (pi() / 2 - atan(abs(t) / sqrt(dof))) / 20000 AS h FROM tv),
+    area AS (SELECT variant_idx, any_value(dof) AS dof, sum((CASE WHEN k IN (0, 20000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(greatest(cos(lo + k * h), 0), dof - 1)) * any_value(h) / 3 AS s FROM angles, range(20001) r(k) GROUP BY 1)
+    SELECT variant_idx, round(2 * s * exp(lgamma((dof + 1) / 2.0) - lgamma(dof / 2.0)) / sqrt(pi()), 6) + 0.0 AS p FROM area""")
+def gwas_p(t: Tables) -> DataFrame:
+    """Two-sided p-values; the SQL integrates the density by Simpson's rule, with t = sqrt(dof) tan(angle)."""
+    g = G(t)
+    return _rounded(gwas.scan(g.geno, g.stats, _intercept(t), 1).filter(~F.isnan("t")).select("variant_idx", "p"), "p")
+
+
 @query("""
     , wide AS (SELECT sample_idx, CAST(l_partkey AS BIGINT) AS variant_idx, least(count(*), 2) AS g FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN samples ON o_custkey = iid GROUP BY 1, 2),
     y0 AS (SELECT sample_idx, pheno - avg(pheno) OVER () AS y FROM samples JOIN pheno USING (iid)),
@@ -437,8 +477,12 @@ def ebic_select(t: Tables) -> DataFrame:
 
 @query(f"SELECT variant_idx, round(CASE WHEN abs(score) > 15 THEN sign(score) * (abs(score) - 15) ELSE 0 END, 6) + 0.0 AS beta FROM {_S0}")
 def soft_threshold(t: Tables) -> DataFrame:
-    s = F.col("score")
-    return _rounded(_scores(t).select("variant_idx", (F.signum(s) * F.greatest(F.abs(s) - 15.0, F.lit(0.0))).alias("beta")), "beta")
+    """Coordinate descent on an identity Gram matrix, whose least point is the soft threshold of the scores."""
+    rows = _scores(t).orderBy("variant_idx").collect()
+    b, settled = lasso.descend(np.eye(len(rows)), np.array([r["score"] for r in rows]), 15.0)
+    if not settled:
+        raise RuntimeError("coordinate descent did not settle")
+    return _rounded(t.spark.createDataFrame([(r["variant_idx"], float(x)) for r, x in zip(rows, b)], "variant_idx long, beta double"), "beta")
 
 
 @query("SELECT sample_idx, round(pheno - coalesce(zb, 0), 4) + 0.0 AS residual FROM samples JOIN pheno USING (iid) LEFT JOIN (SELECT sample_idx, sum(z * b) AS zb FROM z JOIN b USING (variant_idx) GROUP BY 1) USING (sample_idx)")
@@ -449,11 +493,23 @@ def lasso_residual(t: Tables) -> DataFrame:
     return rows.select("sample_idx", (F.round(F.col("pheno") - F.col("value"), 4) + 0.0).alias("residual"))
 
 
-@query("SELECT round(sum(u * u) / (SELECT n FROM cnt), 6) + 0.0 AS q_hat FROM (SELECT sample_idx, sum(z * b) AS u FROM z JOIN b USING (variant_idx) GROUP BY 1)")
+_FIT_Y = "(SELECT sample_idx, (pheno - avg(pheno) OVER ()) / (stddev_pop(pheno) OVER () + 1e-6) AS y FROM samples JOIN pheno USING (iid))"
+
+
+@query(f"SELECT round(sum(u * u) / count(*) + 2.0 / count(*) * sum(u * (y - u)), 6) + 0.0 AS q_hat FROM (SELECT sample_idx, sum(z * b) AS u FROM z JOIN b USING (variant_idx) GROUP BY 1) JOIN {_FIT_Y} USING (sample_idx)")
 def chive_q(t: Tables) -> DataFrame:
     g = G(t)
-    fitted = geno.zb(g.geno, g.stats, t.coefficients(), g.samples)
-    return fitted.agg(r6(F.sum(F.col("value") * F.col("value")) / g.n).alias("q_hat"))
+    y = align.standardise_response(g.samples.join(t.pheno(), "iid")).select("sample_idx", "y")
+    return _rounded(screen.chive(geno.zb(g.geno, g.stats, t.coefficients(), g.samples).join(y, "sample_idx")), "q_hat")
+
+
+@query("""SELECT round(avg(genetic), 6) + 0.0 AS weighted_genetic, round(avg(sigma), 6) + 0.0 AS weighted_sigma, round(avg(CASE WHEN genetic + sigma > 0 THEN genetic / (genetic + sigma) END), 6) + 0.0 AS weighted_h2
+    FROM (SELECT sample_idx, d * tau AS genetic, sigma FROM (SELECT sample_idx, sum(z * z) / (SELECT m_eff FROM meff) AS d FROM z GROUP BY 1)
+    JOIN (SELECT sample_idx, sum(q * 0.1 * ancestry) AS tau, sum(q * (0.7 - 0.1 * ancestry)) AS sigma FROM adm GROUP BY 1) USING (sample_idx))""")
+def admixed_summary(t: Tables) -> DataFrame:
+    g = G(t)
+    parts = t.spark.sql("SELECT CAST(id AS INT) AS ancestry, 0.1D * id AS tau2, 0.7D - 0.1D * id AS sigma2 FROM range(1, 6)")
+    return _rounded(screen.admixed_summary(t.admixture(), geno.exact_diag(g.geno, g.stats, g.samples), parts), "weighted_genetic", "weighted_sigma", "weighted_h2")
 
 
 @query("SELECT CAST(0 AS INTEGER) AS i, CAST(0 AS INTEGER) AS j, round(sum(a.z * a.z) / (SELECT n FROM cnt), 6) + 0.0 AS g FROM z a WHERE a.variant_idx = 3 UNION ALL SELECT 0, 1, round(sum(a.z * c.z) / (SELECT n FROM cnt), 6) + 0.0 FROM z a JOIN z c USING (sample_idx) WHERE a.variant_idx = 3 AND c.variant_idx = 11 UNION ALL SELECT 1, 1, round(sum(a.z * a.z) / (SELECT n FROM cnt), 6) + 0.0 FROM z a WHERE a.variant_idx = 11")

@@ -158,9 +158,12 @@ class Sparse:
     history: list[dict]
 
 
-def _chive(problem: Problem, theta: np.ndarray, z: np.ndarray, beta: np.ndarray) -> float:
-    """Share of variance of the chosen columns and the genetic components together."""
-    fixed = float(np.mean((z @ beta - (z @ beta).mean()) ** 2)) if z.shape[1] else 0.0
+def _chive(problem: Problem, theta: np.ndarray, z: np.ndarray, beta: np.ndarray, spark: SparkSession) -> float:
+    """Share of variance of the chosen columns (``screen.chive``, not below 0) and the genetic components together."""
+    fixed = 0.0
+    if z.shape[1]:
+        rows = [(float(a), float(b)) for a, b in zip(problem.y, z @ beta)]
+        fixed = max(screen.chive(spark.createDataFrame(rows, "y double, value double")).first()["q_hat"], 0.0)
     part = theta * problem.atoms
     genetic = part[: problem.g].sum() + fixed
     return float(genetic / (genetic + part[problem.g :].sum()))
@@ -224,7 +227,7 @@ def sparse(data: Data, options: Options | None = None, so: SparseOptions | None
     zs = data.columns(support) if support else np.zeros((data.n, 0))
     hz = solve(np.concatenate([x, zs], 1))
     gls = spd_solve(np.concatenate([x, zs], 1).T @ hz, hz.T @ y)[x.shape[1] :]
-    return Sparse(support, beta, fit, _chive(problem, theta, zs, beta), _chive(problem, theta, zs, gls), history)
+    return Sparse(support, beta, fit, _chive(problem, theta, zs, beta, data.spark), _chive(problem, theta, zs, gls, data.spark), history)
 
 
 # --- soft grouping -----------------------------------------------------------

@@ -44,6 +44,16 @@ def test_quadrature():
     assert np.array_equal(rademacher(10, 3, 1)[:, :2], rademacher(10, 2, 1))
 
 
+def test_tail_of_t_of_many():
+    t = np.concatenate([np.linspace(-40, 40, 401), [0.0, np.nan, 1e-9, 300.0, np.inf]])
+    for dof in (1, 2, 7, 96, 5000):
+        got = L.t_two_sided_many(t, dof)
+        for x, p in zip(t[:-1], got):
+            want = L.t_two_sided(float(x), dof)
+            assert (np.isnan(want) and np.isnan(p)) or abs(p - want) <= 1e-10 + 1e-8 * want
+        assert got[-1] == 0
+
+
 def test_tail_of_t():
     for t in (0.0, 0.3, 2.0, 9.0):
         assert abs(L.t_two_sided(t, 1) - (1 - 2 * math.atan(t) / math.pi)) < 1e-12
