@@ -1,7 +1,7 @@
 """Small gradient-boosted trees, trained on the driver and compiled to Column expressions.
 
-Trees are trained on a few hundred generated examples; no row of the corpus
-is read.  Scoring is a sum of CASE expressions that Catalyst compiles.
+Trees are trained on some thousand examples.  Scoring is a sum of CASE
+expressions that Catalyst compiles.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ class Boosted:
             hits += label
             tied = k < len(own) and own[k][0] == p
             if hits / k >= precision and not tied:
-                self.threshold = p
+                self.threshold = p - 1e-9  # the JVM may round otherwise
         return self
 
     def column(self, feature: Callable[[str], Column]) -> Column:

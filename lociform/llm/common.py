@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -106,6 +106,30 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+def masked(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """``text`` with a mark in the place of each span (``start`` and ``end`` in code points, by start); spans that overlap get the first one's mark."""
+
+    def step(acc: Column, s: Column) -> Column:
+        # acc.at: the first code point that is not yet written
+        begin, stop = F.greatest(s["start"], acc["at"]), F.greatest(s["end"], acc["at"])
+        joins = (s["start"] < acc["at"]) & (acc["at"] > 0)
+        ahead = F.substring(text, (acc["at"] + 1).cast("int"), (begin - acc["at"]).cast("int"))
+        part = F.when(joins, acc["out"]).otherwise(F.concat(acc["out"], ahead, mark(s)))
+        return F.struct(part.alias("out"), stop.alias("at"))
+
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+
+
+def rewritten(df: DataFrame, columns: list[str], changed: Column, text: Column) -> DataFrame:
+    """``columns`` of ``df`` with ``text`` where ``changed``; ``n_chars``, where it is present, is counted anew there."""
+    df = df.withColumn("__new", F.when(changed, text).otherwise(F.col("text"))).withColumn("__changed", changed)
+    own = {"text": F.col("__new")}
+    if "n_chars" in columns:
+        own["n_chars"] = F.when(F.col("__changed"), F.length("__new").cast(dict(df.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    return df.select(*(own.get(c, F.col(f"`{c}`")).alias(c) for c in columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attached, fresh_path, saved, strings, tidy
+from .common import attached, fresh_path, masked, rewritten, saved, strings, tidy
 
 #: Base rules, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -164,23 +164,10 @@ def redact(docs: DataFrame, ledger: Ledger, mark: str = "[SECRET]") -> DataFrame
     else:
         out = attached(keyed, facts, "__blob", "__n", "left")
 
-    def step(acc, s):
-        # start, end: code points from 0; acc.at: first one not yet written
-        begin, stop = F.greatest(s["start"], acc["at"]), F.greatest(s["end"], acc["at"])
-        joins = (s["start"] < acc["at"]) & (acc["at"] > 0)
-        part = F.when(joins, acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (begin - acc["at"]).cast("int")), F.lit(mark)))
-        return F.struct(part.alias("out"), stop.alias("at"))
-
-    done = F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
     hit = F.col("__spans").isNotNull()
-    columns = [F.when(hit, done).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    out = out.select(*columns, hit.alias("__hit"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__hit"), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return rewritten(out, docs.columns, hit, masked(F.col("text"), F.col("__spans"), lambda _: F.lit(mark)))
 
 
 def new_ledger(spark: SparkSession) -> Ledger:
     """An empty ledger in the shared folder, for a query over one snapshot."""
     return Ledger(spark, fresh_path(spark, "ledger"))
-

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from lociform.llm import pii, secrets
 
 SCHEMA = "doc_id long, text string, blob string, spans string"
@@ -75,7 +77,7 @@ def test_pii_added_kinds(spark):
 def test_pii_trees_agree_with_columns(spark):
     from pyspark.sql import functions as F
 
-    for kind, match, before in (("number", "(415) 555-1234", "call "), ("number", "12.11", "version "), ("account", "DE44500105175407324931", ""), ("spelled", "me(at)x(dot)de", "mail ")):
+    for kind, match, before in (("number", "(415) 555-1234", "call "), ("number", "12.11", "version "), ("account", "DE44500105175407324931", ""), ("spelled", "me(at)x(dot)de", "mail "), ("cardpart", "4111111111111111", ""), ("phonepart", "+1 (826) 555-4081", "des ")):
         row = pii.features(kind, match, before)
         got = spark.range(1).select(*(pii.feature_column(kind, F.lit(match), F.lit(before), n).alias(n) for n in pii.FEATURES), pii.model(kind).column(lambda n: pii.feature_column(kind, F.lit(match), F.lit(before), n)).alias("p")).first()
         assert {n: got[n] for n in pii.FEATURES} == row
@@ -84,6 +86,34 @@ def test_pii_trees_agree_with_columns(spark):
         assert abs(got.p - 1 / (1 + math.exp(-pii.model(kind).margin(row)))) < 1e-9
 
 
+def test_pii_settles_overlaps_and_redacts(spark):
+    data = [
+        (1, "des +1 (826) 555-4081 190.137.223.204 du", 1, None),  # one run of phone characters with too many digits
+        (2, "le 4111111111111111 5500000000000004 fin", 2, None),  # two cards in one run
+        (3, "\x01é +1 (555) 123-4567, a@b.co", 3, None),
+        (4, None, None, None),
+        (5, "clean", 5, None),
+    ]
+    docs = spark.createDataFrame(data, "doc_id long, text string, n_chars long, __x string")
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    assert got[1].spans == "phonepart:4:21,ip:22:37" and got[1].n_added == 1 and got[1].n_spans == 2
+    assert got[2].spans == "cardpart:3:19,cardpart:20:36" and got[2].n_card == 0
+    assert got[3].spans == "phone:3:20,email:22:28" and got[3].n_added == 0  # the tail of a phone is no number of its own
+    hidden = pii.redact(docs)
+    assert hidden.columns == docs.columns
+    text = {r.doc_id: (r.text, r.n_chars) for r in hidden.collect()}
+    assert text[1] == ("des [PHONEPART] [IP] du", 23) and text[2][0] == "le [CARDPART] [CARDPART] fin"
+    assert text[3][0] == "\x01é [PHONE], [EMAIL]" and text[4] == (None, None) and text[5] == ("clean", 5)
+
+
+def test_pii_weak_labels(spark):
+    text = "tel +1 (555) 123-4567 and 12.34 then 4111 1111 1111 1111"
+    rows = {(r.kind, r.match): r.label for r in pii.weak(spark.createDataFrame([(text,)], "text string")).collect()}
+    assert rows[("phonepart", "+1 (555) 123-4567")] == 1 and rows[("number", "12.34")] == 0 and rows[("cardpart", "4111 1111 1111 1111")] == 1
+    many = spark.range(3000).select(F.concat(F.lit("go 12."), (F.col("id") + 1000).cast("string"), F.lit(" on")).alias("text"))
+    assert pii.weak(many, 50).count() == 50
+
+
 def test_secrets_base_spans_and_ledger(spark):
     data = rows()
     docs = spark.createDataFrame(data, SCHEMA)
@@ -96,6 +126,7 @@ def test_secrets_base_spans_and_ledger(spark):
     more = spark.createDataFrame([(7, "token=abcdefgh9", "", ""), (8, data[9][1], "", "")], SCHEMA)
     assert [r.n_assign for r in secrets.report(more, ledger).orderBy("doc_id").collect()][0] == 1
     assert ledger.entries().count() == n + 1  # only the unseen blob was scanned
+    assert ledger.rules == secrets.RULES and len(secrets.RULES) == 16
     ledger.rules = "other"
     assert secrets.report(more, ledger).count() == 2 and ledger.entries().count() == n + 3
 
