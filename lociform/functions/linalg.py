@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+from pathlib import Path
 
 import numpy as np
 
 
+def limit_threads(most: int = 2) -> None:
+    """Threads of numpy's own linear algebra library on the driver; as many as cores stall each other beside a busy JVM."""
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("libscipy_openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(most)
+
+
 def spd_solve(a: np.ndarray, b: np.ndarray, tries: int = 8) -> np.ndarray:
     """Solves ``a x = b`` for a symmetric positive matrix; a growing ridge helps where rounding broke it."""
     scale = float(np.trace(a)) / max(len(a), 1) or 1.0

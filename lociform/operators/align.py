@@ -82,9 +82,29 @@ def subsequence(samples: DataFrame, kept: DataFrame) -> DataFrame:
     bad = out.filter(F.col("sample_idx").isNull()).limit(1).collect()
     if bad:
         raise ValueError(f"unknown sample {bad[0]['iid']}")
+    # Positions ascend with ranks just when both number the rows alike; neighbours are compared over range partitions.
+    by_rank, by_place = (ordered(out, c).select("iid", F.col("number").alias(c)) for c in ("rank", "sample_idx"))
+    wrong = by_rank.withColumnRenamed("rank", "a").join(by_place.withColumnRenamed("sample_idx", "b"), "iid").filter("a <> b").orderBy("a").limit(1).collect()
+    if wrong:
+        raise ValueError(f"sample {wrong[0]['iid']} is out of order")
     return out
 
 
+def ordered(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with ``number``, their place from 0 in the order of ``columns``, which must tell rows apart.
+
+    Rows are dealt by ranges; one count for each range goes to the driver.
+    """
+    ranged = rows.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("__range", F.spark_partition_id()).persist()
+    counts = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
+    first, at = {}, 0
+    for k in sorted(counts):
+        first[k], at = at, at + counts[k]
+    offset = F.element_at(F.create_map(*(F.lit(x) for k in first for x in (k, first[k]))), F.col("__range")) if first else F.lit(0)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.withColumn("number", (offset + inside).cast("long")).drop("__range")
+
+
 @dataclass
 class CovariateTransform:
     """Fitted on training rows, applied to any: constant columns go, the others are standardised."""

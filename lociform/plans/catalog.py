@@ -18,7 +18,7 @@ from .kernels import SparkKernel
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Iterative fits over the same tables; not registered with the driver, as a dense fit at larger scales is slow there.
+#: Iterative fits over the same tables, which no SQL expresses; they are registered too.
 FITS: dict[str, Query] = {}
 
 
@@ -672,3 +672,6 @@ def relax_groups(t: Tables) -> DataFrame:
     got = relax(data, start, outers=1, trials=1)
     rows = [(v, g, float(got.theta[k, g])) for k, v in enumerate(got.variants) for g in range(2)]
     return t.spark.createDataFrame(rows, "variant_idx long, group_idx int, w double")
+
+
+QUERIES |= FITS

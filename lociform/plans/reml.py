@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from ..functions.linalg import logdet_spd, nnls, spd_solve
+from ..functions.linalg import limit_threads, logdet_spd, nnls, spd_solve
 from .kernels import DenseKernel, Kernel
 from .krylov import Preconditioner, lanczos, low_rank, pcg, rademacher, slq_logdet
 
@@ -51,12 +51,32 @@ class _Evaluation:
     py: np.ndarray
 
 
+def _validate(o: Options, y: np.ndarray, x: np.ndarray) -> None:
+    """Arguments that no fit can do with."""
+    if o.method not in ("auto", "exact", "stochastic") or o.optimizer not in ("strict", "scoring"):
+        raise ValueError("unknown method or optimizer")
+    if not 0 < o.h2 < 1:
+        raise ValueError("the first share of variance lies between 0 and 1")
+    if min(o.iterations, o.probes, o.slq_probes, o.slq_steps, o.pcg_iterations) < 1 or o.rank < 0 or not o.tolerances or min(o.tolerances) <= 0:
+        raise ValueError("counts and tolerances must be positive")
+    if y.ndim != 1 or x.ndim != 2 or len(x) != len(y):
+        raise ValueError("the response and the design differ in their rows")
+    if not (np.isfinite(y).all() and np.isfinite(x).all()):
+        raise ValueError("the response and the design must be finite")
+    if np.linalg.matrix_rank(x) < x.shape[1]:
+        raise ValueError("columns of the design depend on each other")
+    if len(y) <= x.shape[1]:
+        raise ValueError("too few samples for the design")
+
+
 class Problem:
     """One response, its fixed effects, a kernel, and residual kernels that are diagonal."""
 
     def __init__(self, y: np.ndarray, x: np.ndarray, kernel: Kernel, residual: np.ndarray | None = None, options: Options | None = None):
+        limit_threads()
         self.o = options or Options()
         self.x, self.n = x, len(y)
+        _validate(self.o, y, x)
         self.mean, self.scale = float(y.mean()), float(y.std() + 1e-6)
         self.y = (y - self.mean) / self.scale
         self.r = np.ones((1, self.n)) if residual is None else residual  # components x n

@@ -112,11 +112,22 @@ def read_keep(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce(F.get("parts", F.lit(1)), F.get("parts", F.lit(0))).alias("iid"))
 
 
-def read_admixture(spark: SparkSession, path: str, samples: DataFrame, slack: float = 5e-3) -> DataFrame:
-    """``sample_idx``, ``ancestry``, ``q`` in sample order; shares are checked and tiny negatives become 0."""
+def read_admixture(spark: SparkSession, path: str, samples: DataFrame, slack: float = 5e-3, fam: DataFrame | None = None) -> DataFrame:
+    """``sample_idx``, ``ancestry``, ``q`` of ``samples``; shares are checked and tiny negatives become 0.
+
+    Rows belong to the individuals of ``fam(sample_idx, iid)``, the table that
+    was used to make the file, and meet ``samples`` by id; without it they are in
+    the order of ``samples``.  A sample without a row is an error.
+    """
     values = F.transform(fields(), lambda x: x.cast("double"))
     rows = lines(spark, path).filter(F.trim("raw") != "").select(F.col("line").alias("sample_idx"), values.alias("q"))
     total = F.aggregate("q", F.lit(0.0), lambda a, x: a + x)
     bad = (F.abs(total - 1) > slack) | F.exists("q", lambda x: x < -1e-6)
     checked = rows.withColumn("q", F.when(bad, F.raise_error(F.concat(F.lit("ancestry shares are wrong in row "), F.col("sample_idx").cast("string"))).cast("array<double>")).otherwise(F.col("q")))
-    return samples.select("sample_idx").join(checked, "sample_idx").select("sample_idx", F.posexplode("q").alias("ancestry", "q")).withColumn("q", F.greatest("q", F.lit(0.0)))
+    if fam is None:
+        met = samples.select("sample_idx").join(checked, "sample_idx", "left")
+    else:
+        met = samples.select("sample_idx", "iid").join(checked.join(fam.select("sample_idx", "iid"), "sample_idx").drop("sample_idx"), "iid", "left")
+    missing = F.raise_error(F.concat(F.lit("no ancestry shares for sample "), F.col("sample_idx").cast("string"))).cast("array<double>")
+    met = met.select("sample_idx", F.when(F.col("q").isNull(), missing).otherwise(F.col("q")).alias("q"))
+    return met.select("sample_idx", F.posexplode("q").alias("ancestry", "q")).withColumn("q", F.greatest("q", F.lit(0.0)))

@@ -39,6 +39,10 @@ def test_query(spark, duck, name):
         assert all(p == q or abs(float(p) - float(q)) <= 2e-6 * max(1, abs(float(q))) for p, q in zip(x, y) if p != q), (x, y)
 
 
+def test_every_fit_is_registered():
+    assert len(catalog.FITS) == 6 and set(catalog.FITS) <= set(catalog.QUERIES) and not set(catalog.FITS) & set(catalog.ORACLE_SQL)
+
+
 @pytest.mark.parametrize("name", sorted(catalog.FITS))
 def test_iterative_query(spark, name):
     got = catalog.FITS[name](spark, FOLDER).toPandas()

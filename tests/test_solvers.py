@@ -44,6 +44,19 @@ def test_quadrature():
     assert np.array_equal(rademacher(10, 3, 1)[:, :2], rademacher(10, 2, 1))
 
 
+@pytest.mark.parametrize("change,message", [({"h2": 1.0}, "share"), ({"probes": 0}, "positive"), ({"method": "guess"}, "unknown"), ({"tolerances": ()}, "positive")])
+def test_arguments_are_checked(change, message):
+    with pytest.raises(ValueError, match=message):
+        Problem(np.arange(6.0), np.ones((6, 1)), DenseKernel([np.eye(6)]), None, Options(**change))
+
+
+def test_design_is_checked():
+    kernel, y = DenseKernel([np.eye(6)]), np.arange(6.0)
+    for x, message in ((np.ones((6, 2)), "depend"), (np.ones((5, 1)), "rows"), (np.full((6, 1), np.nan), "finite"), (np.eye(6), "too few")):
+        with pytest.raises(ValueError, match=message):
+            Problem(y, x, kernel)
+
+
 def test_tail_of_t_of_many():
     t = np.concatenate([np.linspace(-40, 40, 401), [0.0, np.nan, 1e-9, 300.0, np.inf]])
     for dof in (1, 2, 7, 96, 5000):

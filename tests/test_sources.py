@@ -109,4 +109,24 @@ def test_unique_order_checks(spark):
     assert align.order_mismatch(a, a.filter("sample_idx = 0")).first().position == 1
     with pytest.raises(ValueError, match="unknown"):
         align.subsequence(a, spark.createDataFrame([("q", 0)], "iid string, rank int"))
+    assert align.subsequence(a, spark.createDataFrame([("y", 7), ("x", 3)], "iid string, rank int")).count() == 2
+    with pytest.raises(ValueError, match="out of order"):
+        align.subsequence(a, spark.createDataFrame([("y", 3), ("x", 7)], "iid string, rank int"))
+    many = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("key")).repartition(6)
+    got = align.ordered(many, "key").orderBy("key").collect()
+    assert [r.number for r in got] == list(range(5000))
+
+
+def test_ancestry_rows_meet_samples_by_id(spark, tmp_path):
+    path = write(tmp_path / "z.2.Q", "0.25 0.75\n1.0 0\n0.5 0.5\n")
+    fam = spark.createDataFrame([(0, "c"), (1, "a"), (2, "b")], "sample_idx long, iid string")
+    samples = spark.createDataFrame([(0, "a"), (1, "c")], "sample_idx long, iid string")
+    got = sorted((r.sample_idx, r.ancestry, r.q) for r in text.read_admixture(spark, path, samples, fam=fam).collect())
+    assert got == [(0, 0, 1.0), (0, 1, 0.0), (1, 0, 0.25), (1, 1, 0.75)]
+    with pytest.raises(Exception, match="no ancestry shares"):
+        text.read_admixture(spark, path, samples.union(spark.createDataFrame([(2, "zz")], samples.schema)), fam=fam).collect()
+
+
+def test_end_of_order_checks(spark):
+    a = spark.createDataFrame([(0, "x"), (1, "y")], "sample_idx long, iid string")
     assert a.agg(F.count("*")).first()[0] == 2
