@@ -5,12 +5,16 @@ a chunk, learned filters slide over learned byte vectors and are max-pooled; a
 document's probability combines the mean and the maximum of its chunks' pooled
 values.  Only bytes enter a score.
 
-Training takes a bounded sample of labelled rows (``SAMPLE``) on the driver;
-scoring is one pass over the scan, without a shuffle.
+Training takes a bounded sample of labelled rows on the driver: at most ``SAMPLE``
+rows of at most ``LONGEST`` bytes each, whole texts, chosen by a hash of their
+ids.  Every round goes over all chunks of every text.  Scoring is one pass over
+the scan, without a shuffle.
 
 Defined results: null and empty texts are one chunk of padding and get a score;
-equal texts get equal scores; repeated rows stay repeated; an empty table gives
-an empty result; without usable labels of both kinds every document gets the
+equal texts get equal scores; repeated rows stay repeated, and each counts in
+training; a ``doc_id`` with clashing labels has label 1; a very long text is
+scored whole, in blocks of chunks; an empty table gives an empty result; without
+usable labels of both kinds every document gets the
 share of label 1 among them (0.5 without any); other columns are not read.
 """
 
@@ -27,8 +31,10 @@ from .common import id_and_text, strings, tidy
 
 CHUNK, OVERLAP = 512, 64
 WIDTH, STRIDE, DIM, FILTERS = 8, 4, 6, 24
-#: The most labelled rows that training reads, their chunks in one round, rounds, and the fewest steps.
-SAMPLE, CHUNKS_A_DOC, ROUNDS, STEPS = 4000, 6, 14, 800
+#: The most labelled rows that training reads, and the most bytes of one; rounds, and the fewest steps.
+SAMPLE, LONGEST, ROUNDS, STEPS = 4000, 1 << 16, 14, 800
+#: Chunks that are convolved at once.
+BLOCK = 256
 PAD = 256
 
 
@@ -57,15 +63,26 @@ class Net:
         self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
         self.constant: float | None = None
 
-    def pooled(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Max-pooled filters of each chunk, where each maximum lies, and the windows' symbols."""
-        at = np.lib.stride_tricks.sliding_window_view(block, WIDTH, axis=1)[:, ::STRIDE]
-        n, t, _ = at.shape
-        x = self.p["e"][at].reshape(n * t, WIDTH * DIM)
-        h = (x @ self.p["w"]).reshape(n, t, FILTERS)
-        best = h.argmax(1)
-        top = np.take_along_axis(h, best[:, None], 1)[:, 0] + self.p["b"]
-        return top, best, at
+    def convolved(self, block: np.ndarray) -> np.ndarray:
+        """Filters at each place of each chunk; a window is two strides long, so each stride is multiplied once."""
+        n = len(block)
+        x = self.p["e"][block].reshape(-1, STRIDE * DIM)
+        both = np.concatenate(np.split(self.p["w"], 2), 1)
+        halves = (x @ both).reshape(n, CHUNK // STRIDE, 2 * FILTERS)
+        return halves[:, :-1, :FILTERS] + halves[:, 1:, FILTERS:]
+
+    def pooled(self, all_chunks: np.ndarray) -> np.ndarray:
+        """Max-pooled filters of each chunk."""
+        return np.concatenate([self.convolved(all_chunks[k : k + BLOCK]).max(1) for k in range(0, len(all_chunks), BLOCK)]) + self.p["b"]
+
+    def placed(self, all_chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Max-pooled filters of each chunk, and where each maximum lies."""
+        top, best = [], []
+        for k in range(0, len(all_chunks), BLOCK):
+            h = self.convolved(all_chunks[k : k + BLOCK])
+            best.append(h.argmax(1))
+            top.append(np.take_along_axis(h, best[-1][:, None], 1)[:, 0])
+        return np.concatenate(top) + self.p["b"], np.concatenate(best)
 
     def features(self, top: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean and maximum over a document's chunks of the squashed pooled values."""
@@ -83,18 +100,38 @@ class Net:
         lo = 0
         while lo < len(parts):
             hi, n = lo, 0
-            while hi < len(parts) and (hi == lo or n + len(parts[hi]) <= 256):
+            while hi < len(parts) and (hi == lo or n + len(parts[hi]) <= BLOCK):
                 n += len(parts[hi])
                 hi += 1
             joined = parts[lo] if hi == lo + 1 else np.concatenate(parts[lo:hi])
-            top = np.concatenate([self.pooled(joined[k : k + 256])[0] for k in range(0, len(joined), 256)])
+            top = self.pooled(joined)
             starts = np.cumsum([0] + [len(p) for p in parts[lo : hi - 1]])
             f, _ = self.features(top, starts)
-            out[lo:hi] = 1 / (1 + np.exp(-(f.astype(np.float64) @ self.p["v"] + self.p["c"][0]) / self.heat))
+            out[lo:hi] = 1 / (1 + np.exp(-(f.astype(np.float64) @ self.p["v"] + self.p["c"][0])))
             lo = hi
         return out
 
-    heat = 1.0
+    def gradients(self, some: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the weighted mean logistic loss over documents, given by their chunks."""
+        starts = np.cumsum([0] + [len(x) for x in some[:-1]])
+        joined = np.concatenate(some)
+        top, best = self.placed(joined)
+        f, act = self.features(top, starts)
+        p = 1 / (1 + np.exp(-(f @ self.p["v"] + self.p["c"][0])))
+        d = ((p - y) * weight / len(some)).astype(np.float32)
+        df = d[:, None] * self.p["v"][None]
+        count = np.diff(np.append(starts, len(top)))
+        doc = np.repeat(np.arange(len(some)), count)
+        dact = df[doc, :FILTERS] / count[doc][:, None].astype(np.float32)
+        hit = (act == f[doc, FILTERS:]).astype(np.float32)  # chunks that overlap may share their maximum
+        hit /= np.add.reduceat(hit, starts, 0)[doc]
+        dact = (dact + hit * df[doc, FILTERS:]) * (1 - act * act)
+        at = np.lib.stride_tricks.sliding_window_view(joined, WIDTH, axis=1)[:, ::STRIDE]
+        where = at[np.arange(len(top))[:, None], best]  # chunk, filter, width
+        x = self.p["e"][where].reshape(len(top), FILTERS, -1)
+        dx = (dact[:, :, None] * self.p["w"].T[None]).reshape(-1, DIM)
+        e = np.stack([np.bincount(where.ravel(), dx[:, k], 257) for k in range(DIM)], 1).astype(np.float32)
+        return {"e": e, "w": np.einsum("nf,nfd->df", dact, x), "b": dact.sum(0), "v": f.T @ d, "c": d.sum(keepdims=True)}
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Net:
@@ -116,26 +153,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Net:
         order = rng.permutation(len(parts))
         for lo in range(0, len(order), 32):
             own = order[lo : lo + 32]
-            some = [parts[i] if len(parts[i]) <= CHUNKS_A_DOC else parts[i][np.sort(rng.choice(len(parts[i]), CHUNKS_A_DOC, replace=False))] for i in own]
-            starts = np.cumsum([0] + [len(x) for x in some[:-1]])
-            top, best, at = net.pooled(np.concatenate(some))
-            f, act = net.features(top, starts)
-            y, g = labels[own], {}
-            p = 1 / (1 + np.exp(-(f @ net.p["v"] + net.p["c"][0])))
-            d = ((p - y) * weight[own] / len(own)).astype(np.float32)
-            g["v"], g["c"] = f.T @ d + 1e-4 * net.p["v"], d.sum(keepdims=True)
-            df = d[:, None] * net.p["v"][None]
-            doc = np.repeat(np.arange(len(own)), np.diff(np.append(starts, len(top))))
-            count = np.bincount(doc)
-            dact = df[doc, :FILTERS] / count[doc][:, None].astype(np.float32)
-            hit = act == f[doc, FILTERS:]
-            dact = (dact + hit * df[doc, FILTERS:]) * (1 - act * act)
-            g["b"] = dact.sum(0)
-            where = at[np.arange(len(top))[:, None], best]  # chunk, filter, width
-            x = net.p["e"][where].reshape(len(top), FILTERS, -1)
-            g["w"] = np.einsum("nf,nfd->df", dact, x)
-            dx = (dact[:, :, None] * net.p["w"].T[None]).reshape(-1, DIM)
-            g["e"] = np.stack([np.bincount(where.ravel(), dx[:, k], 257) for k in range(DIM)], 1).astype(np.float32)
+            g = net.gradients([parts[i] for i in own], labels[own], weight[own])
+            g["v"] += 1e-4 * net.p["v"]
             step += 1
             for k in net.p:
                 m[k] += 0.1 * (g[k] - m[k])
@@ -148,17 +167,13 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
-    """Trains on at most ``sample`` labelled rows outside the held-out fold, chosen by a hash of their ids."""
-    chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("__y"))
-        .filter(F.col("__y").isin(0, 1) & ~held_out("__id"))
-        .dropDuplicates(["__id"])
-        .orderBy(F.xxhash64("__id"), "__id")
-        .limit(sample)
-    )
-    rows = id_and_text(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "__y", "text").limit(2 * sample).collect()
-    rows = sorted(rows, key=lambda r: (r["__id"], r["text"]))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Net:
+    """Trains on at most ``sample`` labelled rows of at most ``longest`` bytes outside the held-out fold, chosen by a hash of their ids."""
+    known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("__y")).filter(F.col("__y").isin(0, 1) & ~held_out("__id"))
+    place = F.xxhash64("__id")
+    chosen = known.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(place, "__id").limit(sample)
+    rows = id_and_text(docs).filter(F.octet_length("text") <= longest).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    rows = rows.select("__id", "__y", "text").orderBy(place, "__id", "text").limit(sample).collect()  # an id may have several rows
     return train([r["text"] for r in rows], np.array([r["__y"] for r in rows], np.float32))
 
 
