@@ -6,6 +6,7 @@ from collections.abc import Callable
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..functions.linalg import lambda_path
 from ..operators import align, geno, gwas, screen
 from . import krylov, lasso
 from .fixtures import SQL, Tables
-from .kernels import SparkKernel
+from .kernels import SoftKernel, SparkKernel, WeightKernel, blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -305,6 +306,54 @@ def w_trace(t: Tables) -> DataFrame:
     return _rounded(geno.w_trace(g.geno, g.stats, t.block_w(), g.n), "trace")
 
 
+_KV_W = """SELECT component_idx, sample_idx, col, round(sum(z * b / trace), 6) + 0.0 AS value FROM z JOIN
+    (SELECT {0} AS component_idx, i AS variant_idx, col, sum(w * score) AS b FROM bw JOIN zv ON j = variant_idx GROUP BY 1, 2, 3) USING (variant_idx)
+    JOIN (SELECT {0} AS component_idx, sum(w * zi.z * zj.z) / (SELECT n FROM cnt) AS trace FROM bw JOIN z zi ON i = zi.variant_idx JOIN z zj ON j = zj.variant_idx AND zi.sample_idx = zj.sample_idx GROUP BY 1)
+    USING (component_idx) GROUP BY 1, 2, 3"""
+
+
+def _products(t: Tables, kernel) -> DataFrame:
+    """Products of a kernel's components with the signs, as rows."""
+    try:
+        out = kernel.stacked(_signs(kernel.n))
+    finally:
+        kernel.close()
+    size, n, c = out.shape
+    at = np.indices(out.shape).reshape(3, -1)
+    rows = pd.DataFrame({"component_idx": at[0].astype(np.int32), "sample_idx": at[1], "col": at[2].astype(np.int32), "value": out.ravel()})
+    return _rounded(t.spark.createDataFrame(rows), "value")
+
+
+@query(_KV_W.format("CAST(0 AS INTEGER)"))
+def kernel_w_trace(t: Tables) -> DataFrame:
+    """Block weights as a kernel that can be fitted, over its trace."""
+    g = G(t)
+    return _products(t, WeightKernel.build(g.geno, g.stats, t.block_w(), g.n))
+
+
+@query(_KV_W.format("CAST(block_idx % 2 AS INTEGER)"))
+def kernel_w_groups(t: Tables) -> DataFrame:
+    """Two groups of weight blocks as two components."""
+    g = G(t)
+    groups = t.block_w().select("block_idx", (F.col("block_idx") % 2).alias("component_idx")).distinct()
+    return _products(t, WeightKernel.build(g.geno, g.stats, t.block_w(), g.n, groups))
+
+
+@query(_KV_W.format("CAST(0 AS INTEGER)").replace("z * b / trace", "z * b / 12.5"))
+def kernel_w_rank(t: Tables) -> DataFrame:
+    """Block weights over a given effective rank."""
+    g = G(t)
+    return _products(t, WeightKernel.build(g.geno, g.stats, t.block_w(), g.n, ranks=[12.5]))
+
+
+@query("SELECT group_idx AS component_idx, sample_idx, col, round(sum(z * score * w) / any_value(total), 6) + 0.0 AS value FROM z JOIN zv USING (variant_idx) JOIN soft USING (variant_idx) JOIN (SELECT group_idx, sum(w) AS total FROM soft GROUP BY 1) USING (group_idx) GROUP BY 1, 2, 3")
+def kernel_soft(t: Tables) -> DataFrame:
+    """Soft groups as a kernel that can be fitted."""
+    g = G(t)
+    table = blocks(g.geno, g.stats, geno.component_map(g.variants.select(F.lit(0).alias("component_idx"), "variant_idx")), g.n, 8)
+    return _products(t, SoftKernel.build(table, g.stats, t.soft(), g.n, 2))
+
+
 @query("SELECT sample_idx, col, group_idx, round(sum(z * score * w) / any_value(total), 6) + 0.0 AS value FROM z JOIN zv USING (variant_idx) JOIN soft USING (variant_idx) JOIN (SELECT group_idx, sum(w) AS total FROM soft GROUP BY 1) USING (group_idx) GROUP BY 1, 2, 3")
 def kv_soft(t: Tables) -> DataFrame:
     g = G(t)
@@ -353,6 +402,38 @@ def pcg_iter1(t: Tables) -> DataFrame:
     return _rounded(t.spark.createDataFrame(rows, "col int, alpha double"), "alpha")
 
 
+_H = (0.5, 0.25, 0.125)
+
+
+def _multiplied_back(t: Tables, g: G, x: np.ndarray) -> DataFrame:
+    """``H x`` by joins and sums, not by the packed blocks that solved for x."""
+    n, c = x.shape
+    rows = t.spark.createDataFrame(pd.DataFrame({"sample_idx": np.repeat(np.arange(n), c), "col": np.tile(np.arange(c, dtype=np.int32), n), "v": x.ravel()}))
+    out = geno.weighted_hv(g.geno, g.stats, g.cmap, t.theta(), 0.3, rows, g.samples)
+    return out.select("sample_idx", "col", (F.round("value", 4) + 0.0).alias("value"))
+
+
+@query("SELECT sample_idx, col, round(v, 4) + 0.0 AS value FROM v")
+def pcg_solution(t: Tables) -> DataFrame:
+    """Conjugate gradients to convergence: the solution, multiplied by H again, is the right-hand side."""
+    g = G(t)
+    with _kernel(g, t.components()) as kernel:
+        x, _, _ = krylov.pcg(lambda u: kernel.weighted(np.array(_H), u) + 0.3 * u, _signs(g.n), tol=1e-9)
+    return _multiplied_back(t, g, x)
+
+
+@query("SELECT sample_idx, col, round(v, 4) + 0.0 AS value FROM v")
+def pcg_preconditioned(t: Tables) -> DataFrame:
+    """The same with a preconditioner from a low-rank basis and its projected cores."""
+    g = G(t)
+    with _kernel(g, t.components()) as kernel:
+        theta = np.array(_H)
+        u = krylov.low_rank(lambda v: kernel.weighted(theta, v), g.n, 10)
+        inverse, _, _ = krylov.Preconditioner(u, kernel.core(u), kernel.mean_diag()).at(theta, 0.3)
+        x, _, _ = krylov.pcg(lambda v: kernel.weighted(theta, v) + 0.3 * v, _signs(g.n), inverse=inverse, tol=1e-9)
+    return _multiplied_back(t, g, x)
+
+
 # --- association -------------------------------------------------------------
 
 _SCAN = """
@@ -646,6 +727,32 @@ def reml_effects(t: Tables) -> DataFrame:
     return model.effects().snps
 
 
+@query("SELECT sample_idx, round((pheno - (SELECT avg(pheno) FROM pheno JOIN samples USING (iid))) / ((SELECT stddev_pop(pheno) FROM pheno JOIN samples USING (iid)) + 1e-6), 4) + 0.0 AS value FROM samples JOIN pheno USING (iid)")
+def reml_decomposition(t: Tables) -> DataFrame:
+    """A fit's fixed effects, its variants' effects summed over genotypes, and its residuals give the response again."""
+    from .models import Model
+
+    model = Model(_data(t, t.components()))
+    fit = model.fit()
+    e, d = model.effects(), model.data
+    rest = d.x @ e.fixed + fit.theta[-1] * e.alpha
+    b = e.snps.select("variant_idx", F.lit(0).alias("col"), F.col("beta").alias("b"))
+    rows = geno.zb(d.geno, d.stats, b, d.samples).join(d.vector(rest[:, None]), "sample_idx")
+    return rows.select("sample_idx", (F.round(F.col("value") + F.col("v"), 4) + 0.0).alias("value"))
+
+
+@query("SELECT TRUE AS converged, 1.0 AS share, n - 1 AS degrees FROM cnt")
+def reml_stationary(t: Tables) -> DataFrame:
+    """At a maximum of the restricted likelihood y'Py is n less the columns of the design."""
+    from .models import Model
+
+    model = Model(_data(t))
+    fit = model.fit()
+    py, _ = model.problem.projected_response(fit.theta)
+    degrees = model.data.n - model.data.x.shape[1]
+    return t.spark.createDataFrame([(fit.converged, round(float(model.problem.y @ py) / degrees, 2), degrees)], "converged boolean, share double, degrees long")
+
+
 @query()
 def merge_refit(t: Tables) -> DataFrame:
     from .models import merge

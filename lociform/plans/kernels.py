@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = 4096  # samples in one partial sum
@@ -113,7 +113,12 @@ def blocks(geno: DataFrame, stats: DataFrame, cmap: DataFrame, n: int, width: in
 
     ``component_idx``, ``block_id``, ``variants``, ``mean``, ``inv_sd``, ``packed``.
     """
-    rows = cmap.join(stats.select("variant_idx", "mean", "inv_sd"), "variant_idx").withColumn("block_id", F.floor(F.col("local_idx") / width).cast("int"))
+    return packed_blocks(geno, stats, cmap.withColumn("block_id", F.floor(F.col("local_idx") / width).cast("int")), n)
+
+
+def packed_blocks(geno: DataFrame, stats: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """As ``blocks``, from ``rows(component_idx, block_id, local_idx, variant_idx)``, which say what lies together."""
+    rows = rows.join(stats.select("variant_idx", "mean", "inv_sd"), "variant_idx")
     cells = geno.groupBy("variant_idx").agg(F.collect_list("sample_idx").alias("at"), F.collect_list(F.coalesce(F.col("dosage").cast("int"), F.lit(3))).alias("code"))
     rows = rows.join(cells, "variant_idx", "left")
 
@@ -141,6 +146,8 @@ def standardised(raw: bytes, mean: np.ndarray, inv_sd: np.ndarray, n: int) -> np
 class SparkKernel(Kernel):
     """Kernel over a table of packed blocks."""
 
+    extra: tuple[str, ...] = ()  # further columns of the table that a product reads
+
     def __init__(self, table: DataFrame, n: int, size: int, m_eff: np.ndarray, mean_diag: np.ndarray):
         self.table, self.n, self.size, self.m_eff, self.means = table.persist(), n, size, m_eff, mean_diag
 
@@ -156,7 +163,7 @@ class SparkKernel(Kernel):
         return self.means
 
     def _sum(self, make, columns: int) -> np.ndarray:
-        """Adds ``make(z, v)`` (n x columns) over all blocks of each component."""
+        """Adds ``make(z, row)`` (n x columns) over all blocks of each component."""
         n, size = self.n, self.size
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +171,7 @@ class SparkKernel(Kernel):
             for batch in batches:
                 for row in batch.to_pylist():
                     z = standardised(row["packed"], np.array(row["mean"]), np.array(row["inv_sd"]), n)
-                    own = make(z)
+                    own = make(z, row)
                     g = row["component_idx"]
                     total[g] = total[g] + own if g in total else own
             rows = [(g, lo, t[lo : lo + SLICE].tobytes()) for g, t in total.items() for lo in range(0, n, SLICE)]
@@ -180,7 +187,7 @@ class SparkKernel(Kernel):
             yield _rows([(*key, t.tobytes()) for key, t in total.items()])
 
         schema = "g int, lo int, part binary"
-        parts = self.table.select("component_idx", "mean", "inv_sd", "packed").mapInArrow(partial, schema).repartition("g", "lo").mapInArrow(meet, schema)
+        parts = self.table.select("component_idx", "mean", "inv_sd", "packed", *self.extra).mapInArrow(partial, schema).repartition("g", "lo").mapInArrow(meet, schema)
         out = np.zeros((size, n, columns))
         for row in parts.toArrow().to_pylist():
             part = np.frombuffer(row["part"], float).reshape(-1, columns)
@@ -189,7 +196,7 @@ class SparkKernel(Kernel):
 
     def stacked(self, v: np.ndarray) -> np.ndarray:
         shared = self.table.sparkSession.sparkContext.broadcast(np.ascontiguousarray(v))
-        out = self._sum(lambda z: z.T @ (z @ shared.value), v.shape[1])
+        out = self._sum(lambda z, row: z.T @ (z @ shared.value), v.shape[1])
         shared.unpersist()
         return out / np.maximum(self.m_eff, 1)[:, None, None]
 
@@ -213,6 +220,94 @@ class SparkKernel(Kernel):
         self.table.unpersist()
 
 
+class WeightKernel(SparkKernel):
+    """``sum_b Z_b W_b Z_b' / c`` of block-diagonal symmetric weights; every group of blocks is a component.
+
+    A row of the table is a block of the weights with its genotypes, so a product costs the same job as without weights.
+    """
+
+    extra = ("w",)
+
+    @classmethod
+    def build(cls, geno: DataFrame, stats: DataFrame, w: DataFrame, n: int, groups: DataFrame | None = None, ranks: list[float] | None = None) -> WeightKernel:
+        """From ``w(block_idx, i, j, w)`` and ``groups(block_idx, component_idx)``, one group where none are given.
+
+        The divisor c is the trace over n, so that every component has mean diagonal 1, or a group's effective rank.
+        """
+        ids = w.select("block_idx", F.col("i").alias("variant_idx")).union(w.select("block_idx", F.col("j"))).distinct()
+        place = F.row_number().over(Window.partitionBy("block_idx").orderBy("variant_idx")) - 1
+        rows = ids.withColumn("local_idx", place.cast("int"))
+        known = rows.withColumn("component_idx", F.lit(0)) if groups is None else rows.join(groups, "block_idx")
+        packed = packed_blocks(geno, stats, known.withColumnRenamed("block_idx", "block_id"), n)
+        at = rows.select("block_idx", "variant_idx", "local_idx")
+        cells = w.join(at.withColumnsRenamed({"variant_idx": "i", "local_idx": "row"}), ["block_idx", "i"]).join(at.withColumnsRenamed({"variant_idx": "j", "local_idx": "at"}), ["block_idx", "j"])
+        cells = cells.groupBy(F.col("block_idx").alias("block_id")).agg(F.collect_list(F.struct("row", "at", "w")).alias("w"))
+        table = packed.join(cells, "block_id").persist()
+
+        def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    z = standardised(row["packed"], np.array(row["mean"]), np.array(row["inv_sd"]), n)
+                    yield pa.record_batch([pa.array([row["component_idx"]], pa.int32()), pa.array([float((z * (block_weights(row) @ z)).sum()) / n])], names=["g", "trace"])
+
+        sums = {r["g"]: r["trace"] for r in table.mapInArrow(traces, "g int, trace double").groupBy("g").agg(F.sum("trace").alias("trace")).collect()}
+        trace = np.array([sums.get(g, 0.0) for g in range(max(sums, default=-1) + 1)])
+        if not trace.size or (trace <= 0).any():
+            raise ValueError("weights must give every group a positive trace")
+        c = trace if ranks is None else np.asarray(ranks, float)
+        if len(c) != len(trace):
+            raise ValueError("an effective rank is needed for every group")
+        return cls(table, n, len(c), c, trace / c)
+
+    def stacked(self, v: np.ndarray) -> np.ndarray:
+        shared = self.table.sparkSession.sparkContext.broadcast(np.ascontiguousarray(v))
+        out = self._sum(lambda z, row: z.T @ (block_weights(row) @ (z @ shared.value)), v.shape[1])
+        shared.unpersist()
+        return out / self.m_eff[:, None, None]
+
+
+def block_weights(row: dict) -> np.ndarray:
+    """The dense weights of one block; absent entries are 0."""
+    width = len(row["mean"])
+    out = np.zeros((width, width))
+    for cell in row["w"]:
+        out[cell["row"], cell["at"]] = cell["w"]
+    return out
+
+
+class SoftKernel(SparkKernel):
+    """``Z diag(w_k) Z' / sum w_k`` for every group k of ``weights(variant_idx, group_idx, w)``: all groups share one product with Z'."""
+
+    extra = ("w",)
+
+    @classmethod
+    def build(cls, table: DataFrame, stats: DataFrame, weights: DataFrame, n: int, groups: int) -> SoftKernel:
+        """Over a kept table of ``blocks`` of one component, which other weights use too; a variant without weights counts 0."""
+        own = weights.join(stats.select("variant_idx", "cnt", "inv_sd"), "variant_idx")
+        sums = {r["group_idx"]: r for r in own.groupBy("group_idx").agg(F.sum("w").alias("total"), F.sum(F.when(F.col("inv_sd") > 0, F.col("w") * F.col("cnt")).otherwise(0.0)).alias("filled")).collect()}
+        total = np.array([sums[g]["total"] if g in sums else 0.0 for g in range(groups)])
+        if (total <= 0).any():
+            raise ValueError("a group has no weight")
+        each = weights.groupBy("variant_idx").agg(F.map_from_entries(F.collect_list(F.struct("group_idx", "w"))).alias("of"))
+        each = each.select("variant_idx", F.array(*(F.coalesce(F.try_element_at("of", F.lit(g)), F.lit(0.0)) for g in range(groups))).alias("w"))
+        rows = table.select("block_id", F.posexplode("variants").alias("at", "variant_idx")).join(each, "variant_idx", "left")
+        rows = rows.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("w", F.array_repeat(F.lit(0.0), groups)).alias("w")))).alias("w"))
+        rows = table.join(rows.select("block_id", F.flatten(F.transform("w", lambda x: x["w"])).alias("w")), "block_id")
+        out = cls(rows, n, groups, total, np.array([sums[g]["filled"] for g in range(groups)]) / n / total)
+        return out
+
+    def stacked(self, v: np.ndarray) -> np.ndarray:
+        shared, size, c = self.table.sparkSession.sparkContext.broadcast(np.ascontiguousarray(v)), self.size, v.shape[1]
+
+        def make(z: np.ndarray, row: dict) -> np.ndarray:
+            s = z @ shared.value
+            return z.T @ (np.array(row["w"]).reshape(-1, size, 1) * s[:, None, :]).reshape(len(s), -1)
+
+        out = self._sum(make, size * c)[0].reshape(self.n, size, c)
+        shared.unpersist()
+        return np.moveaxis(out, 1, 0) / self.m_eff[:, None, None]
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     g, lo, part = zip(*rows) if rows else ((), (), ())
     return pa.record_batch([pa.array(g, pa.int32()), pa.array(lo, pa.int32()), pa.array(part, pa.binary())], names=["g", "lo", "part"])

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.linalg import independent_columns, spd_solve
 from ..operators import geno as G
 from ..operators import screen
-from .kernels import DenseKernel, Kernel, SparkKernel
+from .kernels import DenseKernel, Kernel, SoftKernel, SparkKernel, blocks
 from .krylov import rademacher
 from .lasso import LassoOptions, profile, select
 from .reml import Fit, Options, Problem, merge_z
@@ -247,7 +247,7 @@ def relax(data: Data, start: np.ndarray, rate: float = 1e-3, outers: int = 5, tr
     Exact and dense on the driver: for sample counts up to ``exact_up_to``.
     """
     if data.n > (options or Options()).exact_up_to:
-        raise ValueError("soft grouping is solved exactly, for smaller sample counts only")
+        raise ValueError("too many samples for dense matrices; use relax_streamed")
     ids = [r[0] for r in data.stats.filter("inv_sd > 0").select("variant_idx").orderBy("variant_idx").collect()]
     z = data.columns(ids)
     theta = start / start.sum(1, keepdims=True)
@@ -284,3 +284,67 @@ def relax(data: Data, start: np.ndarray, rate: float = 1e-3, outers: int = 5, tr
         if not taken:
             break
     return Relaxed(theta, ids, fit, history)
+
+
+@dataclass
+class RelaxedTable:
+    weights: DataFrame  # variant_idx, group_idx, w
+    fit: Fit
+    history: list[dict]
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Cuts lineage where the cluster names a folder for it, and keeps the rows otherwise."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
+def relax_streamed(data: Data, start: DataFrame, groups: int, rate: float = 1e-3, outers: int = 5, trials: int = 3, probes: int = 32, options: Options | None = None) -> RelaxedTable:
+    """``relax`` for any number of samples: products over packed blocks, weights ``start(variant_idx, group_idx, w)`` and
+    gradients stay tables, and traces are taken by the probes that every outer round shares."""
+    o = replace(options or Options(), method="stochastic")
+    valid = data.stats.filter("inv_sd > 0").select("variant_idx")
+    own = Window.partitionBy("variant_idx")
+    weights = _kept(start.join(valid, "variant_idx").select("variant_idx", "group_idx", (F.col("w") / F.sum("w").over(own)).alias("w")))
+    table = blocks(data.geno, data.stats, G.component_map(data.stats.select(F.lit(0).alias("component_idx"), "variant_idx")), data.n).persist()
+    signs = rademacher(data.n, probes, o.seed)
+
+    def fit_at(w: DataFrame) -> tuple[Fit, Problem]:
+        p = Problem(data.y, data.x, SoftKernel.build(table, data.stats, w, data.n, groups), None, o)
+        return p.fit(), p
+
+    def gradient(w: DataFrame, fit: Fit, problem: Problem) -> DataFrame:
+        x, k = data.x, data.x.shape[1]
+        h = problem.solve(fit.theta, np.concatenate([x, problem.y[:, None], signs], 1), o.tolerances[-1])
+        p = h[:, k:] - h[:, :k] @ spd_solve(x.T @ h[:, :k], h[:, :k].T @ np.concatenate([problem.y[:, None], signs], 1))
+        products = problem.kernel.stacked(p)
+        quad = np.einsum("n,gn->g", p[:, 0], products[:, :, 0])
+        trace = np.einsum("nr,gnr->g", signs, products[:, :, 1:]) / probes
+        scores = problem.kernel.scores(np.concatenate([p, signs], 1))
+        pair = F.when(F.col("col") > probes, F.col("col") - probes).otherwise(F.col("col"))  # a probe and its projection meet
+        by = scores.withColumn("pair", pair).groupBy("variant_idx", "pair").agg(F.max(F.when(F.col("col") <= probes, F.col("score"))).alias("a"), F.max(F.when(F.col("col") > probes, F.col("score"))).alias("b"))
+        by = by.groupBy("variant_idx").agg(F.max(F.when(F.col("pair") == 0, F.col("a"))).alias("zpy"), (F.sum(F.when(F.col("pair") > 0, F.col("a") * F.col("b"))) / probes).alias("zpz"))
+        rows = [(g, float(fit.theta[g]), float(quad[g]), float(trace[g])) for g in range(groups)]
+        facts = data.spark.createDataFrame(rows, "group_idx int, tau double, ypkpy double, trpk double")
+        return screen.soft_gradient(w.join(by, "variant_idx").join(F.broadcast(facts), "group_idx").join(F.broadcast(screen.group_totals(w)), "group_idx"))  # a row for each group
+
+    fit, problem = fit_at(weights)
+    history: list[dict] = [{"outer": 0, "loglik": fit.loglik}]
+    for outer in range(1, outers + 1):
+        grad = gradient(weights, fit, problem).persist()
+        step, taken = rate, False
+        for _ in range(trials):
+            new = _kept(screen.eg_update(weights, grad, step / data.n))
+            got, problem_new = fit_at(new)
+            if got.loglik >= fit.loglik:
+                problem.kernel.close()
+                weights, fit, problem, taken = new, got, problem_new, True
+                break
+            problem_new.kernel.close()
+            step /= 2
+        history.append({"outer": outer, "loglik": fit.loglik, "taken": taken, "step": step})
+        grad.unpersist()
+        if not taken:
+            break
+    problem.kernel.close()
+    table.unpersist()
+    return RelaxedTable(weights, fit, history)
