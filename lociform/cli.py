@@ -7,6 +7,7 @@ FAM and BIM files, and white-space separated phenotypes and covariates.
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .operators import align, geno, gwas, screen
 from .plans import models
+from .plans.kernels import AdmixedKernel, HybridKernel, Kernel, WeightKernel
 from .plans.reml import Options
 from .sources import bed, sinks, specs, text
 
@@ -27,6 +29,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--keep-path")
     p.add_argument("--component-spec")
     p.add_argument("--vc-block-sizes", help="comma list of component sizes along the variant axis")
+    p.add_argument("--weights", action="append", help="comma list of files with the weights of consecutive blocks; once for each group")
+    p.add_argument("--weight-scale", choices=("trace", "rank"), default="trace", help="divide by the trace, or by the effective ranks next to the files")
+    p.add_argument("--ancestry", help="shares of each individual of the FAM file, one column for each ancestry")
+    p.add_argument("--rare-bed-prefix", help="further variants of the same individuals, as components of their own")
     p.add_argument("--out-prefix", required=True)
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--n-rand-vec", type=int, default=100)
@@ -55,6 +61,11 @@ def check(a: argparse.Namespace) -> None:
     """Options that exclude each other."""
     if a.component_spec and a.vc_block_sizes:
         raise ValueError("components come from a specification or from block sizes, not both")
+    special = [x for x in (a.weights, a.ancestry, a.rare_bed_prefix) if x]
+    if len(special) > 1 or (a.weights or a.ancestry) and (a.component_spec or a.vc_block_sizes):
+        raise ValueError("weights, ancestries and a second source exclude each other, the first two any components")
+    if special and (a.analysis != "reml" or a.compute_effects):
+        raise ValueError("weights, ancestries and a second source go with the reml analysis without effects")
     if not a.max_active <= a.candidate_k <= a.screen_topk:
         raise ValueError("max-active <= candidate-k <= screen-topk must hold")
     if a.prediction_bed_prefix and not (a.analysis == "reml" and a.compute_effects):
@@ -80,7 +91,39 @@ def components(spark: SparkSession, a: argparse.Namespace, variants: DataFrame)
     return variants.select(F.lit(0).alias("component_idx"), "variant_idx")
 
 
-def load(spark: SparkSession, a: argparse.Namespace) -> tuple[models.Data, align.CovariateTransform | None]:
+def kernel_of(spark: SparkSession, a: argparse.Namespace, data: models.Data, rows: DataFrame) -> tuple[Kernel, np.ndarray | None]:
+    """The kernel that the options ask for, and its residual components (a row each) where they are not the identity."""
+    if a.weights:
+        tables, groups, ranks, first = [], [], [], 0
+        for group, text_list in enumerate(a.weights):
+            paths = specs.weight_list(text_list)
+            matrices = [specs.load_weights(path) for path in paths]
+            table = specs.weight_table(spark, matrices, m=data.variants.count())
+            tables.append(table.withColumn("block_idx", F.col("block_idx") + first))
+            groups += [(first + k, group) for k in range(len(paths))]
+            if a.weight_scale == "rank":
+                ranks.append(sum(specs.effective_rank(specs.sidecar(path), len(w)) for path, w in zip(paths, matrices)))
+            first += len(paths)
+        table = reduce(DataFrame.union, tables)
+        return WeightKernel.build(data.geno, data.stats, table, data.n, spark.createDataFrame(groups, "block_idx int, component_idx int"), ranks or None), None
+    if a.ancestry:
+        fam = text.read_fam(spark, f"{a.bed_prefix}.fam")
+        shares = text.read_admixture(spark, a.ancestry, data.samples, fam=fam).toPandas()
+        q = np.zeros((data.n, int(shares["ancestry"].max()) + 1))
+        q[shares["sample_idx"], shares["ancestry"]] = shares["q"]
+        return AdmixedKernel(data.kernel(), q), q.T
+    if a.rare_bed_prefix:
+        people = text.read_fam(spark, f"{a.rare_bed_prefix}.fam")
+        if align.order_mismatch(text.read_fam(spark, f"{a.bed_prefix}.fam"), people, "sample_idx", "iid").count():
+            raise ValueError("the two sources differ in their individuals")
+        variants = text.read_bim(spark, f"{a.rare_bed_prefix}.bim")
+        cells = bed.read_bed(spark, f"{a.rare_bed_prefix}.bed", people.count())
+        rare = models.Data.of(cells, variants, rows, variants.select(F.lit(0).alias("component_idx"), "variant_idx"))
+        return HybridKernel(data.kernel(), rare.kernel()), None
+    return data.kernel(), None
+
+
+def load(spark: SparkSession, a: argparse.Namespace) -> tuple[models.Data, align.CovariateTransform | None, DataFrame]:
     samples = text.read_fam(spark, f"{a.bed_prefix}.fam")
     align.require_unique(samples, "fam")
     pheno = align.parse_pheno(text.read_pheno(spark, a.pheno_txt))
@@ -100,20 +143,28 @@ def load(spark: SparkSession, a: argparse.Namespace) -> tuple[models.Data, align
     variants = text.read_bim(spark, f"{a.bed_prefix}.bim")
     n = samples.count()
     cells = bed.read_bed(spark, f"{a.bed_prefix}.bed", n)
-    return models.Data.of(cells, variants, rows.select("sample_idx", "iid", F.col("pheno").alias("y"), "x"), components(spark, a, variants)), transform
+    aligned = rows.select("sample_idx", "iid", F.col("pheno").alias("y"), "x")
+    return models.Data.of(cells, variants, aligned, components(spark, a, variants)), transform, aligned
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
     check(a)
-    data, transform = load(spark, a)
+    data, transform, aligned = load(spark, a)
     out = a.out_prefix
     if a.analysis == "gwas":
         rows = spark.createDataFrame([(k, float(y), [float(v) for v in x]) for k, (y, x) in enumerate(zip(data.y, data.x))], "sample_idx long, y double, x array<double>")
         names = data.cmap.select("component_idx").distinct().withColumn("component_name", F.format_string("component_%03d", "component_idx"))
         sinks.write_gwas(gwas.table(gwas.scan(data.geno, data.stats, rows, data.x.shape[1]), data.cmap, names, data.variants), out, {"n": data.n})
     elif a.analysis == "reml":
-        model = models.Model(data, options(a))
-        sinks.write_fit(out, model.fit())
+        kernel, residual = kernel_of(spark, a, data, aligned)
+        model = models.Model(data, options(a), kernel, residual)
+        fit = model.fit()
+        sinks.write_fit(out, fit)
+        if a.ancestry:
+            k = kernel.size
+            shares = spark.createDataFrame([(s, g, float(x)) for s, row in enumerate(residual.T) for g, x in enumerate(row)], "sample_idx long, ancestry int, q double")
+            parts = spark.createDataFrame([(g, float(fit.theta[g]), float(fit.theta[k + g])) for g in range(k)], "ancestry int, tau2 double, sigma2 double")
+            sinks.write_json(f"{out}.ancestry_summary.json", screen.admixed_summary(shares, geno.exact_diag(data.geno, data.stats, data.samples), parts).first().asDict())
         if a.compute_effects:
             e = model.effects()
             labels = ["intercept", *(f"covariate_{k}" for k in range(1, len(e.fixed)))]
@@ -154,10 +205,16 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         support = screen.lookup(rows.select("variant_idx"), data.variants).join(rows, "variant_idx").withColumnRenamed("variant_idx", "snp_index")
         sinks.write_selected(support, out, {"h2": got.h2, "h2_gls": got.h2_gls, "theta": got.fit.theta}, got.history)
     else:
-        start = np.full((data.stats.filter("inv_sd > 0").count(), a.n_groups), 1.0) + 0.01 * np.random.default_rng(a.seed).random((data.stats.filter("inv_sd > 0").count(), a.n_groups))
-        got = models.relax(data, start, a.theta_lr, a.outer_iters, options=options(a))
-        rows = [(v, k, float(got.theta[i, k])) for i, v in enumerate(got.variants) for k in range(a.n_groups)]
-        sinks.write_relaxation(out, spark.createDataFrame(rows, "variant_idx long, group_idx int, w double"), got.fit, got.history)
+        start = screen.theta_random(data.stats.filter("inv_sd > 0"), a.n_groups, a.seed, 1.0, 1.01)
+        own = options(a)
+        if own.method == "stochastic" or (own.method == "auto" and data.n > own.exact_up_to):
+            wide = models.relax_streamed(data, start, a.n_groups, a.theta_lr, a.outer_iters, options=own)
+            sinks.write_relaxation(out, wide.weights, wide.fit, wide.history)
+        else:
+            table = start.groupBy("variant_idx").agg(F.sort_array(F.collect_list(F.struct("group_idx", "w"))).alias("w")).orderBy("variant_idx").select("w.w").collect()
+            got = models.relax(data, np.array([r["w"] for r in table]), a.theta_lr, a.outer_iters, options=own)
+            rows = [(v, k, float(got.theta[i, k])) for i, v in enumerate(got.variants) for k in range(a.n_groups)]
+            sinks.write_relaxation(out, spark.createDataFrame(rows, "variant_idx long, group_idx int, w double"), got.fit, got.history)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -298,6 +298,26 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
 
 
+def weight_gradient(weights: DataFrame, theta: np.ndarray, problem: Problem, signs: np.ndarray) -> DataFrame:
+    """``grad`` (n times the likelihood's) of each variant's weight in each group, with traces by the given probes."""
+    kernel, x, k, probes = problem.kernel, problem.x, problem.x.shape[1], signs.shape[1]
+    right = np.concatenate([problem.y[:, None], signs], 1)
+    h = problem.solve(theta, np.concatenate([x, right], 1), problem.o.tolerances[-1])
+    p = h[:, k:] - h[:, :k] @ spd_solve(x.T @ h[:, :k], h[:, :k].T @ right)
+    products = kernel.stacked(p)
+    quad = np.einsum("n,gn->g", p[:, 0], products[:, :, 0])
+    trace = np.einsum("nr,gnr->g", signs, products[:, :, 1:]) / probes
+    scores = kernel.scores(np.concatenate([p, signs], 1))
+    projected = F.col("col") <= probes
+    pair = F.when(projected, F.col("col")).otherwise(F.col("col") - probes)  # a probe and its projection meet
+    by = scores.groupBy("variant_idx", pair.alias("pair")).agg(F.max(F.when(projected, F.col("score"))).alias("a"), F.max(F.when(~projected, F.col("score"))).alias("b"))
+    by = by.groupBy("variant_idx").agg(F.max(F.when(F.col("pair") == 0, F.col("a"))).alias("zpy"), (F.sum(F.when(F.col("pair") > 0, F.col("a") * F.col("b"))) / probes).alias("zpz"))
+    spark = weights.sparkSession
+    facts = spark.createDataFrame([(g, float(theta[g]), float(quad[g]), float(trace[g])) for g in range(kernel.size)], "group_idx int, tau double, ypkpy double, trpk double")
+    parts = weights.join(by, "variant_idx").join(F.broadcast(facts), "group_idx")  # a row for each group
+    return screen.soft_gradient(parts.join(F.broadcast(screen.group_totals(weights)), "group_idx"))
+
+
 def relax_streamed(data: Data, start: DataFrame, groups: int, rate: float = 1e-3, outers: int = 5, trials: int = 3, probes: int = 32, options: Options | None = None) -> RelaxedTable:
     """``relax`` for any number of samples: products over packed blocks, weights ``start(variant_idx, group_idx, w)`` and
     gradients stay tables, and traces are taken by the probes that every outer round shares."""
@@ -312,25 +332,10 @@ def relax_streamed(data: Data, start: DataFrame, groups: int, rate: float = 1e-3
         p = Problem(data.y, data.x, SoftKernel.build(table, data.stats, w, data.n, groups), None, o)
         return p.fit(), p
 
-    def gradient(w: DataFrame, fit: Fit, problem: Problem) -> DataFrame:
-        x, k = data.x, data.x.shape[1]
-        h = problem.solve(fit.theta, np.concatenate([x, problem.y[:, None], signs], 1), o.tolerances[-1])
-        p = h[:, k:] - h[:, :k] @ spd_solve(x.T @ h[:, :k], h[:, :k].T @ np.concatenate([problem.y[:, None], signs], 1))
-        products = problem.kernel.stacked(p)
-        quad = np.einsum("n,gn->g", p[:, 0], products[:, :, 0])
-        trace = np.einsum("nr,gnr->g", signs, products[:, :, 1:]) / probes
-        scores = problem.kernel.scores(np.concatenate([p, signs], 1))
-        pair = F.when(F.col("col") > probes, F.col("col") - probes).otherwise(F.col("col"))  # a probe and its projection meet
-        by = scores.withColumn("pair", pair).groupBy("variant_idx", "pair").agg(F.max(F.when(F.col("col") <= probes, F.col("score"))).alias("a"), F.max(F.when(F.col("col") > probes, F.col("score"))).alias("b"))
-        by = by.groupBy("variant_idx").agg(F.max(F.when(F.col("pair") == 0, F.col("a"))).alias("zpy"), (F.sum(F.when(F.col("pair") > 0, F.col("a") * F.col("b"))) / probes).alias("zpz"))
-        rows = [(g, float(fit.theta[g]), float(quad[g]), float(trace[g])) for g in range(groups)]
-        facts = data.spark.createDataFrame(rows, "group_idx int, tau double, ypkpy double, trpk double")
-        return screen.soft_gradient(w.join(by, "variant_idx").join(F.broadcast(facts), "group_idx").join(F.broadcast(screen.group_totals(w)), "group_idx"))  # a row for each group
-
     fit, problem = fit_at(weights)
     history: list[dict] = [{"outer": 0, "loglik": fit.loglik}]
     for outer in range(1, outers + 1):
-        grad = gradient(weights, fit, problem).persist()
+        grad = weight_gradient(weights, fit.theta, problem, signs).persist()
         step, taken = rate, False
         for _ in range(trials):
             new = _kept(screen.eg_update(weights, grad, step / data.n))

@@ -54,6 +54,27 @@ def test_merge_sparse_relax(spark, files):
     assert spark.read.parquet(out + ".theta").count() == 36
 
 
+def test_kernels_from_files(spark, files):
+    r = np.random.default_rng(5)
+    for k, width in enumerate((10, 8)):
+        a = r.normal(size=(width, width))
+        np.save(files / f"w{k}.npy", np.eye(width) + 0.05 * (a + a.T))
+        (files / f"w{k}.json").write_text(json.dumps({"effective_rank": width / 2}))
+    np.savetxt(files / "ones.txt", np.eye(18))
+    blocks = f"{files}/w0.npy,{files}/w1.npy"
+    assert len(np.load(run(spark, files, "reml", "--weights", blocks) + ".theta.npy")) == 2
+    assert len(np.load(run(spark, files, "reml", "--weights", blocks, "--weight-scale", "rank") + ".theta.npy")) == 2
+    assert len(np.load(run(spark, files, "reml", "--weights", blocks, "--weights", f"{files}/ones.txt") + ".theta.npy")) == 3
+    q = r.dirichlet((1, 1), 60)
+    np.savetxt(files / "q.2.Q", q)
+    out = run(spark, files, "reml", "--ancestry", f"{files}/q.2.Q")
+    summary = json.load(open(out + ".ancestry_summary.json"))
+    assert len(np.load(out + ".theta.npy")) == 4 and 0 <= summary["weighted_h2"] <= 1
+    assert len(np.load(run(spark, files, "reml", "--rare-bed-prefix", f"{files}/x", "--vc-block-sizes", "10,8") + ".theta.npy")) == 4
+    with pytest.raises(ValueError):
+        run(spark, files, "reml", "--ancestry", f"{files}/q.2.Q", "--weights", blocks)
+
+
 def test_options_that_exclude_each_other():
     a = cli.parser().parse_args(["gwas", "--bed-prefix", "x", "--pheno-txt", "p", "--out-prefix", "o", "--component-spec", "s", "--vc-block-sizes", "1"])
     with pytest.raises(ValueError):

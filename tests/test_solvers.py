@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from lociform.functions import linalg as L
 from lociform.plans import lasso, models
-from lociform.plans.kernels import DenseKernel, pack, unpack
+from lociform.operators import geno
+from lociform.plans.kernels import DenseKernel, SoftKernel, WeightKernel, blocks, pack, unpack
 from lociform.plans.krylov import Preconditioner, lanczos, low_rank, pcg, rademacher, slq_logdet
 from lociform.plans.reml import Options, Problem, merge_z, replicates
+from lociform.sources.specs import weight_table
 
 
 def spd(n, seed=0):
@@ -161,3 +163,41 @@ def test_merge_and_relax(cohort):
     start[::2, 0] = 0.7
     out = models.relax(cohort, start, rate=50.0, outers=1, options=Options(method="exact"))
     assert np.allclose(out.theta.sum(1), 1) and out.history[-1]["loglik"] >= out.history[0]["loglik"]
+
+
+def test_kernels_with_weights_against_dense(cohort):
+    one = cohort.components.select(F.lit(0).alias("component_idx"), "variant_idx")
+    z = cohort.columns(list(range(24)))
+    w = np.random.default_rng(2).uniform(0.1, 1, (24, 2))
+    w /= w.sum(1, keepdims=True)
+    rows = cohort.spark.createDataFrame([(v, k, float(w[v, k])) for v in range(24) for k in range(2)], "variant_idx long, group_idx int, w double")
+    table = blocks(cohort.geno, cohort.stats, geno.component_map(one), cohort.n, 7)
+    soft = SoftKernel.build(table, cohort.stats, rows, cohort.n, 2)
+    dense = [(z * w[:, k]) @ z.T / w[:, k].sum() for k in range(2)]
+    assert np.allclose(DenseKernel.of(soft).k, dense) and np.allclose(soft.mean_diag(), [np.trace(k) / 90 for k in dense])
+    a = np.random.default_rng(4).normal(size=(24, 24))
+    matrices = [np.eye(15) + 0.02 * (a + a.T)[:15, :15], np.eye(9)]
+    kernel = WeightKernel.build(cohort.geno, cohort.stats, weight_table(cohort.spark, matrices), cohort.n)
+    full = z[:, :15] @ matrices[0] @ z[:, :15].T + z[:, 15:] @ z[:, 15:].T
+    assert np.allclose(DenseKernel.of(kernel).k[0], full / (np.trace(full) / 90)) and np.allclose(kernel.mean_diag(), 1)
+
+
+def test_gradient_of_weights_against_dense(cohort):
+    r = np.random.default_rng(2)
+    z, signs, theta = cohort.columns(list(range(24))), rademacher(90, 64, 0), np.array([0.4, 0.2, 0.5])
+    w = r.uniform(0.1, 1, (24, 2))
+    w /= w.sum(1, keepdims=True)
+    rows = cohort.spark.createDataFrame([(v, k, float(w[v, k])) for v in range(24) for k in range(2)], "variant_idx long, group_idx int, w double")
+    table = blocks(cohort.geno, cohort.stats, geno.component_map(cohort.components.select(F.lit(0).alias("component_idx"), "variant_idx")), cohort.n, 24)
+    kernel = SoftKernel.build(table, cohort.stats, rows, cohort.n, 2)
+    problem = Problem(cohort.y, cohort.x, kernel, None, Options(method="stochastic", probes=1, slq_probes=1, slq_steps=2, tolerances=(1e-7,)))
+    got = np.zeros((24, 2))
+    for row in models.weight_gradient(rows, theta, problem, signs).collect():
+        got[row.variant_idx, row.group_idx] = row.grad
+    k = np.stack([(z * w[:, g]) @ z.T / w[:, g].sum() for g in range(2)])
+    hi = np.linalg.inv(np.einsum("g,gij->ij", theta[:2], k) + theta[2] * np.eye(90))
+    p = hi - np.outer(hi.sum(1), hi.sum(1)) / hi.sum()
+    py, ps = p @ problem.y, p @ signs
+    own = (z.T @ py) ** 2 - ((z.T @ signs) * (z.T @ ps)).mean(1)
+    shared = np.array([py @ m @ py - (signs * (m @ ps)).sum() / 64 for m in k])
+    assert np.allclose(got, theta[:2] * (own[:, None] - shared) / (2 * w.sum(0)), rtol=1e-4, atol=1e-5)
