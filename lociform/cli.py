@@ -172,8 +172,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             parts = spark.createDataFrame([(k, *map(float, e.random[:, k])) for k in range(data.n)], "sample_idx long, " + ", ".join(f"component_{g:03d} double" for g in range(len(e.random))))
             named = data.samples.join(parts, "sample_idx").withColumnRenamed("sample_idx", "sample_index")
             total = sum((F.col(f"component_{g:03d}") for g in range(len(e.random))), F.lit(0.0))
-            snps = e.snps.select(F.col("component_idx").alias("component_index"), F.col("local_idx").alias("component_local_snp_index"), F.col("variant_idx").alias("source_snp_index"), "beta")
-            sinks.write_effects(out, fixed, named.select("sample_index", "iid", total.alias("random_effect")), named, snps, {"theta": model.result.theta})
+            sinks.write_effects(out, fixed, named.select("sample_index", "iid", total.alias("random_effect")), named, sinks.effect_rows(e.snps), {"theta": model.result.theta})
             if a.prediction_bed_prefix:
                 people = text.read_fam(spark, f"{a.prediction_bed_prefix}.fam")
                 cells = bed.read_bed(spark, f"{a.prediction_bed_prefix}.bed", people.count())
@@ -196,14 +195,14 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         sinks.write_fit(f"{out}.round00", got.first)
         if got.second:
             sinks.write_fit(f"{out}.round01", got.second)
+        sinks.append_trace([trace_row(k, fit, got, a.z_cutoff, f"{out}.round{k:02d}") for k, fit in enumerate((got.first, got.second)) if fit], f"{out}.zscore_merge_trace.tsv")
         sinks.write_json(f"{out}.zscore_merge_summary.json", {"z": got.z, "se": got.se, "cutoff": a.z_cutoff})
         spec = got.components.groupBy("component_idx").agg(F.sort_array(F.collect_list("variant_idx")).alias("variant_indices"))
         specs.write_spec(spec.select("component_idx", F.format_string("component_%03d", "component_idx").alias("name"), "variant_indices", F.lit(None).cast("string").alias("annotation"), F.lit(None).cast("string").alias("provenance")), f"{out}.spec.json")
     elif a.analysis == "sparse":
         got = models.sparse(data, options(a), models.SparseOptions(outer=a.outer_max, screen=a.screen_topk, candidates=a.candidate_k, active=a.max_active))
-        rows = spark.createDataFrame([(int(i), float(b)) for i, b in zip(got.support, got.beta)], "variant_idx long, beta_lasso double")
-        support = screen.lookup(rows.select("variant_idx"), data.variants).join(rows, "variant_idx").withColumnRenamed("variant_idx", "snp_index")
-        sinks.write_selected(support, out, {"h2": got.h2, "h2_gls": got.h2_gls, "theta": got.fit.theta}, got.history)
+        rows = spark.createDataFrame([(int(i), float(b), float(g)) for i, b, g in zip(got.support, got.beta, got.gls)], "variant_idx long, beta_lasso double, beta_gls_reml double")
+        sinks.write_selected(sinks.selected_rows(rows, data.variants, data.cmap), out, {"h2": got.h2, "h2_gls": got.h2_gls, "theta": got.fit.theta}, got.history)
     else:
         start = screen.theta_random(data.stats.filter("inv_sd > 0"), a.n_groups, a.seed, 1.0, 1.01)
         own = options(a)
@@ -217,6 +216,19 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             sinks.write_relaxation(out, spark.createDataFrame(rows, "variant_idx long, group_idx int, w double"), got.fit, got.history)
 
 
+def trace_row(k: int, fit, got, cutoff: float, prefix: str) -> dict:
+    """What a round of merging adds to its trace; z-scores are those of the first fit."""
+    parts = len(fit.theta) - 1
+    row = {"round": k, "stage": "refit" if k else "fit", "n_components": parts, "h2": float(fit.h2), "sum_theta_g": float(fit.theta[:parts].sum()), "theta_e": float(fit.theta[parts]), "z_cutoff": cutoff}
+    row |= {"theta_npy": f"{prefix}.theta.npy", "ai_npy": f"{prefix}.ai.npy"}
+    if k:
+        return row
+    weak = int((got.z < cutoff).sum())
+    after = len(got.second.theta) - 1 if got.second else parts
+    z = {"z_min": float(got.z.min()), "z_median": float(np.median(got.z)), "z_max": float(got.z.max()), "se_median": float(np.median(got.se))}
+    return row | z | {"n_weak_z": weak, "n_reject_z": parts - weak, "n_merged_groups": int(weak > 1), "next_n_components": after}
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"lociform-{a.analysis}").getOrCreate()

@@ -258,6 +258,27 @@ def standardise_with(stats_train: DataFrame, variants: DataFrame) -> DataFrame:
     return variants.select("variant_idx").join(stats_train, "variant_idx", "left").fillna({"inv_sd": 0.0, "mean": 0.0})
 
 
+def pack_2bit(geno: DataFrame, samples: DataFrame, variants: DataFrame) -> DataFrame:
+    """``variant_idx``, ``packed``, ``n``: present cells, null where missing, as the bytes that ``unpack_2bit`` reads.
+
+    Only bytes with a present cell are rows; the bytes between them are filled in
+    as the text of a variant is put together, so the grid is never made.
+    """
+    code = F.when(F.col("dosage").isNull(), 1).when(F.col("dosage") == 2, 0).when(F.col("dosage") == 1, 2).otherwise(3)
+    # An absent cell is 3, so a present one takes what it lacks to 3 away from a byte of 255.
+    octet = (255 - F.sum((3 - code) * F.pow(F.lit(4), F.col("sample_idx") % 4))).cast("long")
+    octets = geno.groupBy("variant_idx", F.floor(F.col("sample_idx") / 4).alias("at")).agg(octet.alias("octet"))
+    lists = octets.groupBy("variant_idx").agg(F.sort_array(F.collect_list(F.struct("at", "octet"))).alias("list"))
+    n = samples.agg(F.count("*").alias("n"))
+    rows = variants.select("variant_idx").join(lists, "variant_idx", "left").crossJoin(F.broadcast(n))  # one row
+    rows = rows.withColumn("list", F.coalesce("list", F.array().cast("array<struct<at:bigint,octet:bigint>>")))
+    before = F.concat(F.array(F.lit(-1).cast("long")), F.transform("list", lambda x: x["at"]))
+    filler = lambda k: F.repeat(F.lit("FF"), k.cast("int"))
+    # One entry more than there are bytes: the last fills up to the end.
+    pieces = F.zip_with("list", before, lambda x, p: F.concat(filler(F.coalesce(x["at"], F.ceil(F.col("n") / 4)) - p - 1), F.coalesce(F.lpad(F.hex(x["octet"]), 2, "0"), F.lit(""))))
+    return rows.select("variant_idx", F.unhex(F.array_join(pieces, "")).alias("packed"), "n")
+
+
 def unpack_2bit(packed: DataFrame) -> DataFrame:
     """``variant_idx``, ``sample_idx``, ``dosage`` from bytes of four codes, low bits first: 0 is two copies, 1 missing, 2 one, 3 none."""
     octet = F.conv(F.hex(F.substring("packed", F.col("at") + 1, F.lit(1))), 16, 10).cast("int")

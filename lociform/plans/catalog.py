@@ -179,13 +179,7 @@ def component_eff_m(t: Tables) -> DataFrame:
 @query("SELECT variant_idx, sample_idx, CAST(g AS TINYINT) AS dosage FROM cells")
 def geno_unpack_2bit(t: Tables) -> DataFrame:
     g = G(t)
-    grid = g.samples.select("sample_idx").crossJoin(F.broadcast(g.variants.select("variant_idx")))  # 25 brands a sample
-    code = F.when(~F.coalesce("present", F.lit(False)), 3).when(F.col("dosage").isNull(), 1).when(F.col("dosage") == 2, 0).when(F.col("dosage") == 1, 2).otherwise(3)
-    cells = grid.join(g.geno.withColumn("present", F.lit(True)), ["sample_idx", "variant_idx"], "left").select("variant_idx", "sample_idx", code.alias("code"))
-    octets = cells.groupBy("variant_idx", F.floor(F.col("sample_idx") / 4).alias("at")).agg(F.sum(F.col("code") * F.pow(F.lit(4), F.col("sample_idx") % 4)).cast("int").alias("octet"))
-    packed = octets.groupBy("variant_idx").agg(F.sort_array(F.collect_list(F.struct("at", "octet"))).alias("list"))
-    text = F.array_join(F.transform("list", lambda x: F.lpad(F.hex(x["octet"].cast("long")), 2, "0")), "")
-    return geno.unpack_2bit(packed.select("variant_idx", F.unhex(text).alias("packed"), F.lit(g.n).alias("n")))
+    return geno.unpack_2bit(geno.pack_2bit(g.geno, g.samples, g.variants))
 
 
 # --- products ----------------------------------------------------------------
@@ -782,3 +776,5 @@ def relax_groups(t: Tables) -> DataFrame:
 
 
 QUERIES |= FITS
+
+from . import formats  # noqa: E402, F401 - registers the queries of readers and writers

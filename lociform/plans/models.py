@@ -156,6 +156,7 @@ class Sparse:
     h2: float
     h2_gls: float
     history: list[dict]
+    gls: np.ndarray  # effects of the support by generalised least squares
 
 
 def _chive(problem: Problem, theta: np.ndarray, z: np.ndarray, beta: np.ndarray, spark: SparkSession) -> float:
@@ -227,7 +228,7 @@ def sparse(data: Data, options: Options | None = None, so: SparseOptions | None
     zs = data.columns(support) if support else np.zeros((data.n, 0))
     hz = solve(np.concatenate([x, zs], 1))
     gls = spd_solve(np.concatenate([x, zs], 1).T @ hz, hz.T @ y)[x.shape[1] :]
-    return Sparse(support, beta, fit, _chive(problem, theta, zs, beta, data.spark), _chive(problem, theta, zs, gls, data.spark), history)
+    return Sparse(support, beta, fit, _chive(problem, theta, zs, beta, data.spark), _chive(problem, theta, zs, gls, data.spark), history, gls)
 
 
 # --- soft grouping -----------------------------------------------------------

@@ -43,6 +43,34 @@ def write_bed(path: str, dosage: np.ndarray) -> None:
         f.write(MAGIC + encode(dosage))
 
 
+def write_packed(packed: DataFrame, path: str, n: int, m: int) -> None:
+    """Writes ``packed(variant_idx, packed)``, as ``geno.pack_2bit`` makes it, to one file.
+
+    Every task puts its variants at their places, so a task that runs again
+    writes the same bytes; the path must be one that every executor can open.
+    """
+    stride = -(-n // 4)
+    with open(path, "wb") as f:
+        f.write(MAGIC)
+        f.truncate(len(MAGIC) + m * stride)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        with open(path, "r+b") as f:
+            for batch in batches:
+                for v, octets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if len(octets) != stride:
+                        raise ValueError(f"variant {v} has {len(octets)} bytes, not {stride}")
+                    f.seek(len(MAGIC) + v * stride)
+                    f.write(octets)
+                    done += 1
+        yield pa.record_batch([pa.array([done], pa.int64())], names=["done"])
+
+    done = packed.select("variant_idx", "packed").mapInArrow(place, "done long").agg({"done": "sum"}).first()[0]
+    if done != m:
+        raise ValueError(f"{done} of {m} variants were written")
+
+
 class _Range(InputPartition):
     def __init__(self, first: int, count: int):
         self.first, self.count = first, count

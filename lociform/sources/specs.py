@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import re
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files
+
 #: Keys of an array file that are not components, and names under which a rank may stand.
 RESERVED = ("component_names", "component_annotations_json", "component_provenance_json")
 RANK_KEYS = ("effective_rank", "retained_rank", "weight_rank", "rank")
@@ -34,14 +37,13 @@ def _row(k: int, c: dict) -> tuple:
 def read_spec(spark: SparkSession, path: str) -> DataFrame:
     """Components of a ``.json`` or ``.npz`` file, in the file's order."""
     if path.endswith(".npz"):
-        with np.load(path, allow_pickle=False) as z:
+        with np.load(io.BytesIO(files.get(path)), allow_pickle=False) as z:
             keys = sorted((k for k in z.files if k not in RESERVED), key=lambda k: int(k.rpartition("_")[2]))
             names = [str(x) for x in z["component_names"]] if "component_names" in z.files else [None] * len(keys)
             extra = {f: [json.loads(str(x)) for x in z[f"component_{f}s_json" if f == "annotation" else "component_provenance_json"]] if (f"component_{f}s_json" if f == "annotation" else "component_provenance_json") in z.files else [None] * len(keys) for f in ("annotation", "provenance")}
             rows = [_row(k, {"name": names[k], "variant_indices": z[key].tolist(), "annotation": extra["annotation"][k], "provenance": extra["provenance"][k]}) for k, key in enumerate(keys)]
     else:
-        with open(path) as f:
-            data = json.load(f)
+        data = json.loads(files.get(path))
         rows = [_row(k, c) for k, c in enumerate(data["components"] if isinstance(data, dict) else data)]
     return spark.createDataFrame(rows, SPEC)
 
@@ -58,23 +60,22 @@ def write_spec(spec: DataFrame, path: str) -> None:
         own = {"name": r["name"], "variant_indices": list(r["variant_indices"])}
         own |= {k: json.loads(r[k]) for k in ("annotation", "provenance") if r[k] is not None}
         out.append(own)
-    with open(path, "w") as f:
-        json.dump({"components": out}, f, indent=1)
+    files.put(path, json.dumps({"components": out}, indent=1).encode())
 
 
 def load_weights(path: str) -> np.ndarray:
     """A square, non-empty, finite matrix from ``.npy``, ``.npz`` (one array), ``.csv`` or text."""
     if path.endswith(".npy"):
-        w = np.load(path, mmap_mode="r")
+        w = np.load(io.BytesIO(files.get(path)))
     elif path.endswith(".npz"):
-        with np.load(path) as z:
+        with np.load(io.BytesIO(files.get(path))) as z:
             if len(z.files) != 1:
                 raise ValueError("a weight archive holds one array")
             w = z[z.files[0]]
     elif path.endswith(".rds"):
         raise ValueError("RDS files need R, which this engine does not call; save the matrix as .npy")
     else:
-        w = np.loadtxt(path, delimiter="," if path.endswith(".csv") else None, ndmin=2)
+        w = np.loadtxt(io.BytesIO(files.get(path)), delimiter="," if path.endswith(".csv") else None, ndmin=2)
     if w.ndim != 2 or w.shape[0] != w.shape[1] or not w.size:
         raise ValueError(f"weights must be a square matrix, not {w.shape}")
     if not np.issubdtype(w.dtype, np.number) or not np.isfinite(w).all():
@@ -86,9 +87,8 @@ def sidecar(path: str) -> dict:
     """Metadata next to a weight file, empty if there is none."""
     base = os.path.splitext(path)[0]
     for name in (base + ".json", base + ".meta.json", path + ".json"):
-        if os.path.exists(name):
-            with open(name) as f:
-                return json.load(f)
+        if files.exists(name):
+            return json.loads(files.get(name))
     return {}
 
 

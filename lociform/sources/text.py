@@ -7,16 +7,27 @@ DataFrame has none of its own.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 VARIANT_FIELDS = ("chrom", "variant_id", "cm", "bp", "a1", "a2")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line``, ``raw``: lines numbered from 0 over the whole file."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(rows, T.StructType([T.StructField("line", T.LongType(), False), T.StructField("raw", T.StringType())]))
+    """``line``, ``raw``: lines numbered from 0 over the whole file, or over a folder's files in order of their names.
+
+    A line's number is its place in its split and the count of all lines in
+    splits before; there is one count for each split.  Both come from one scan
+    each; splits that differ between the two are an error.
+    """
+    read = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    splits = read.groupBy("file", "start").agg(F.min("id").alias("base"), F.count("*").alias("n"))
+    before = W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)  # one row for each split
+    splits = splits.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    rows = read.join(F.broadcast(splits), ["file", "start"], "left")
+    place = F.col("id") - F.col("base")
+    number = F.when((place >= 0) & (place < F.col("n")), F.col("ahead") + place).otherwise(F.raise_error(F.lit("the file's splits changed while its lines were counted")).cast("long"))
+    return rows.select(number.alias("line"), "raw")
 
 
 def fields(raw: Column | str = "raw") -> Column:
@@ -99,7 +110,7 @@ def read_covar(spark: SparkSession, path: str) -> DataFrame:
     """``iid``, ``parts``: covariates as text; rows of another width than most are an error."""
     from ..operators.align import modal_width
 
-    rows = _wide(spark, path, 3, False, "covar").select(F.col("parts")[1].alias("iid"), F.slice("parts", 3, 1 << 20).alias("parts"))
+    rows = _wide(spark, path, 3, False, "covar").select(F.col("parts")[1].alias("iid"), F.slice("parts", F.lit(3), F.size("parts")).alias("parts"))
     odd = modal_width(rows).collect()
     if odd and odd[0]["deviating"]:
         raise ValueError(f"covar: {odd[0]['deviating']} rows do not have {odd[0]['width']} covariates")
