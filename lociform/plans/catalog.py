@@ -777,4 +777,4 @@ def relax_groups(t: Tables) -> DataFrame:
 
 QUERIES |= FITS
 
-from . import formats  # noqa: E402, F401 - registers the queries of readers and writers
+from . import algebra, formats  # noqa: E402, F401 - they register more queries
