@@ -130,3 +130,39 @@ def test_ancestry_rows_meet_samples_by_id(spark, tmp_path):
 def test_end_of_order_checks(spark):
     a = spark.createDataFrame([(0, "x"), (1, "y")], "sample_idx long, iid string")
     assert a.agg(F.count("*")).first()[0] == 2
+
+
+def test_lines_over_splits_and_folders(spark, tmp_path):
+    want = [f"row {k} " + "x" * (k * 37 % 50) for k in range(3000)]
+    write(tmp_path / "one", "\n".join(want) + "\n")
+    (tmp_path / "many").mkdir()
+    for k, (a, b) in enumerate(((0, 10), (10, 2500), (2500, 3000))):
+        write(tmp_path / "many" / f"part-{k:05d}", "\n".join(want[a:b]) + "\n")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("2048", "40000"):  # many splits, and several of them in a task
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "16")
+            for name in ("one", "many"):
+                got = text.lines(spark, str(tmp_path / name)).collect()
+                assert [r.raw for r in sorted(got, key=lambda r: r.line)] == want and sorted(r.line for r in got) == list(range(3000))
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    assert text.lines(spark, write(tmp_path / "none", "")).count() == 0
+
+
+def test_selected_trace_and_packed_bytes(spark, tmp_path):
+    trace = str(tmp_path / "trace")
+    sinks.append_trace([{"round": 0, "stage": "fit"}], trace)
+    sinks.append_trace([{"round": 1, "h2": 0.5}], trace)
+    rows = spark.read.option("sep", "\t").option("header", True).csv(trace)
+    assert rows.columns == [c for c, _ in sinks.TRACE] and sorted((r["round"], r.stage, r.h2) for r in rows.collect()) == [("0", "fit", None), ("1", None, "0.5")]
+    g = np.random.default_rng(3).choice(4, (5, 41), p=(0.9, 0.05, 0.03, 0.02)).astype(np.uint8)
+    g[2] = 0  # a variant without any cell
+    cells = [(int(v), int(s), None if g[v, s] == 3 else int(g[v, s])) for v, s in zip(*np.nonzero(g))]
+    packed = geno.pack_2bit(spark.createDataFrame(cells, "variant_idx long, sample_idx long, dosage byte"), spark.range(41), spark.range(5).withColumnRenamed("id", "variant_idx"))
+    path = str(tmp_path / "side.bed")
+    bed.write_packed(packed, path, 41, 5)
+    with open(path, "rb") as f:
+        assert np.array_equal(bed.decode(f.read()[3:], 41), g)
