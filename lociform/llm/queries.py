@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, near_dedup, neighbours, packing, pii, quality, secrets, substring_dedup
+from . import alignment, bpe, chat, exact_dedup, licenses, near_dedup, neighbours, packing, pii, quality, ranked, secrets, substring_dedup
 from .common import table
 
 
@@ -18,6 +18,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model_path() -> str:
+    """Where the sentencepiece model lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -66,7 +73,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_neighbours, op3_chat, op4_bpe, op5_packing, op6_substring_dedup, op7_secrets, op8_pii, op9_exact_dedup, op10_near_dedup)}
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"), tokenizer_path(), piece_model_path())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_neighbours, op3_chat, op4_bpe, op5_packing, op6_substring_dedup, op7_secrets, op8_pii, op9_exact_dedup, op10_near_dedup, op11_licenses, op12_ranked, op13_alignment)}
 
 def _spans_sql(kind: str, pattern: str, rank: int, keep: str = "true") -> str:
     """Spans of one pattern: matches and the parts between them give positions in code points."""
@@ -106,6 +125,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.top) AS component_id, w.doc_id = min(r.top) AS kept
         FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id
     """,
+    "op12_ranked": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+        f AS (SELECT r, doc_id, t, count(*) AS tf FROM t GROUP BY r, doc_id, t),
+        n AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY r),
+        s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+        m AS (SELECT r, 50 + (50 * n * docs) // total AS m FROM n, s),
+        q AS (SELECT DISTINCT CAST(item_id AS BIGINT) AS item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+        w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, CAST(count(*) AS DOUBLE) AS df FROM f GROUP BY t), s),
+        c AS (SELECT item_id, f.r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+            FROM q JOIN w ON q.t = w.t JOIN f ON f.t = q.t JOIN m ON m.r = f.r GROUP BY item_id, f.r, doc_id HAVING sum(w) > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0) WHERE rank <= 50
+    """,
     "op9_exact_dedup": """
         WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
