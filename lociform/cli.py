@@ -7,7 +7,6 @@ FAM and BIM files, and white-space separated phenotypes and covariates.
 from __future__ import annotations
 
 import argparse
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .operators import align, geno, gwas, screen
 from .plans import models
-from .plans.kernels import AdmixedKernel, HybridKernel, Kernel, WeightKernel
+from .plans.kernels import AdmixedKernel, Kernel, SparkKernel, WeightKernel
 from .plans.reml import Options
 from .sources import bed, sinks, specs, text
 
@@ -32,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--weights", action="append", help="comma list of files with the weights of consecutive blocks; once for each group")
     p.add_argument("--weight-scale", choices=("trace", "rank"), default="trace", help="divide by the trace, or by the effective ranks next to the files")
     p.add_argument("--ancestry", help="shares of each individual of the FAM file, one column for each ancestry")
-    p.add_argument("--rare-bed-prefix", help="further variants of the same individuals, as components of their own")
+    p.add_argument("--rare-bed-prefix", action="append", help="further variants of the same individuals, a component of their own; once for each source")
     p.add_argument("--out-prefix", required=True)
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--n-rand-vec", type=int, default=100)
@@ -64,8 +63,10 @@ def check(a: argparse.Namespace) -> None:
     special = [x for x in (a.weights, a.ancestry, a.rare_bed_prefix) if x]
     if len(special) > 1 or (a.weights or a.ancestry) and (a.component_spec or a.vc_block_sizes):
         raise ValueError("weights, ancestries and a second source exclude each other, the first two any components")
-    if special and (a.analysis != "reml" or a.compute_effects):
-        raise ValueError("weights, ancestries and a second source go with the reml analysis without effects")
+    if special and a.analysis != "reml":
+        raise ValueError("weights, ancestries and further sources go with the reml analysis")
+    if a.prediction_bed_prefix and (a.ancestry or a.rare_bed_prefix):
+        raise ValueError("prediction from files goes with one source without ancestries")
     if not a.max_active <= a.candidate_k <= a.screen_topk:
         raise ValueError("max-active <= candidate-k <= screen-topk must hold")
     if a.prediction_bed_prefix and not (a.analysis == "reml" and a.compute_effects):
@@ -94,18 +95,14 @@ def components(spark: SparkSession, a: argparse.Namespace, variants: DataFrame)
 def kernel_of(spark: SparkSession, a: argparse.Namespace, data: models.Data, rows: DataFrame) -> tuple[Kernel, np.ndarray | None]:
     """The kernel that the options ask for, and its residual components (a row each) where they are not the identity."""
     if a.weights:
-        tables, groups, ranks, first = [], [], [], 0
-        for group, text_list in enumerate(a.weights):
-            paths = specs.weight_list(text_list)
-            matrices = [specs.load_weights(path) for path in paths]
-            table = specs.weight_table(spark, matrices, m=data.variants.count())
-            tables.append(table.withColumn("block_idx", F.col("block_idx") + first))
-            groups += [(first + k, group) for k in range(len(paths))]
-            if a.weight_scale == "rank":
-                ranks.append(sum(specs.effective_rank(specs.sidecar(path), len(w)) for path, w in zip(paths, matrices)))
-            first += len(paths)
-        table = reduce(DataFrame.union, tables)
-        return WeightKernel.build(data.geno, data.stats, table, data.n, spark.createDataFrame(groups, "block_idx int, component_idx int"), ranks or None), None
+        paths = [specs.weight_list(text_list) for text_list in a.weights]
+        table = specs.weight_blocks(spark, paths, data.variants.count())
+        ranks = None
+        if a.weight_scale == "rank":
+            widths = {r["block_id"]: r["width"] for r in table.select("block_id", "width").collect()}
+            flat = iter(sorted(widths))
+            ranks = [sum(specs.effective_rank(specs.sidecar(path), widths[next(flat)]) for path in own) for own in paths]
+        return WeightKernel.of_files(data.raw, table, data.n, data.WIDTH, ranks), None
     if a.ancestry:
         fam = text.read_fam(spark, f"{a.bed_prefix}.fam")
         shares = text.read_admixture(spark, a.ancestry, data.samples, fam=fam).toPandas()
@@ -113,13 +110,15 @@ def kernel_of(spark: SparkSession, a: argparse.Namespace, data: models.Data, row
         q[shares["sample_idx"], shares["ancestry"]] = shares["q"]
         return AdmixedKernel(data.kernel(), q), q.T
     if a.rare_bed_prefix:
-        people = text.read_fam(spark, f"{a.rare_bed_prefix}.fam")
-        if align.order_mismatch(text.read_fam(spark, f"{a.bed_prefix}.fam"), people, "sample_idx", "iid").count():
-            raise ValueError("the two sources differ in their individuals")
-        variants = text.read_bim(spark, f"{a.rare_bed_prefix}.bim")
-        cells = bed.read_bed(spark, f"{a.rare_bed_prefix}.bed", people.count())
-        rare = models.Data.of(cells, variants, rows, variants.select(F.lit(0).alias("component_idx"), "variant_idx"))
-        return HybridKernel(data.kernel(), rare.kernel()), None
+        people, parts, widths = text.read_fam(spark, f"{a.bed_prefix}.fam"), [data.kernel()], [data.variants.count()]
+        for prefix in a.rare_bed_prefix:
+            if align.order_mismatch(people, text.read_fam(spark, f"{prefix}.fam"), "sample_idx", "iid").count():
+                raise ValueError(f"the individuals of {prefix} are not those of {a.bed_prefix}")
+            variants = text.read_bim(spark, f"{prefix}.bim")
+            own = models.Data.of_bed(spark, f"{prefix}.bed", people.select("sample_idx", "iid"), variants, rows, variants.select(F.lit(0).alias("component_idx"), "variant_idx"))
+            parts.append(own.kernel())
+            widths.append(variants.count())
+        return SparkKernel.joined(parts, widths), None
     return data.kernel(), None
 
 
@@ -141,10 +140,9 @@ def load(spark: SparkSession, a: argparse.Namespace) -> tuple[models.Data, align
     sinks.write_keep(rows, f"{a.out_prefix}.keep")
     align.dropped(samples.select("sample_idx", "iid"), pheno, covar, keep).select("iid").write.mode("overwrite").csv(f"{a.out_prefix}.dropped")
     variants = text.read_bim(spark, f"{a.bed_prefix}.bim")
-    n = samples.count()
-    cells = bed.read_bed(spark, f"{a.bed_prefix}.bed", n)
     aligned = rows.select("sample_idx", "iid", F.col("pheno").alias("y"), "x")
-    return models.Data.of(cells, variants, aligned, components(spark, a, variants)), transform, aligned
+    data = models.Data.of_bed(spark, f"{a.bed_prefix}.bed", samples.select("sample_idx", "iid"), variants, aligned, components(spark, a, variants))
+    return data, transform, aligned
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -777,4 +777,4 @@ def relax_groups(t: Tables) -> DataFrame:
 
 QUERIES |= FITS
 
-from . import algebra, formats  # noqa: E402, F401 - they register more queries
+from . import algebra, blockwise, formats  # noqa: E402, F401 - they register more queries

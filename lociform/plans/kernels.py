@@ -1,9 +1,10 @@
 """Covariance kernels as operators: they give products with a few vectors and never a sample-by-sample matrix.
 
-``SparkKernel`` keeps standardised genotype blocks as rows of a table and
+``SparkKernel`` keeps packed genotype blocks as rows of a table and
 computes a product in one job: the vectors are broadcast (samples x right-hand
 sides), each task adds up its blocks, and partial sums meet by slices of
-samples before the driver gets one n x c array for each component.
+samples before the driver gets one n x c array for each component.  Blocks come
+straight from the bytes of a BED file (``SparkKernel.of_bed``) or from a table of cells.
 ``DenseKernel`` is exact and for small sample counts.
 """
 
@@ -15,10 +16,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = 4096  # samples in one partial sum
+TILE = 256  # variants of a block that are unpacked at once
+#: Rows of a component map that are broadcast to split blocks, at most (about 20 bytes each).
+MAP_ROWS = 1 << 21
+#: Columns of one product with the base kernel of ancestry components.
+COLUMN_BUDGET = 256
 
 
 class Kernel(ABC):
@@ -61,23 +67,51 @@ class DenseKernel(Kernel):
 
 
 class AdmixedKernel(Kernel):
-    """``D_a^(1/2) K D_a^(1/2)`` for every ancestry: one product over columns scaled by each ancestry's share."""
+    """``D_a^(1/2) K D_a^(1/2)`` for every ancestry: products over columns scaled by each ancestry's share.
 
-    def __init__(self, base: Kernel, q: np.ndarray):
+    There are ancestries times right-hand sides of such columns; they are dealt
+    into products of at most ``budget``, so what is broadcast and what tasks
+    add up stays bounded however many there are.
+    """
+
+    def __init__(self, base: Kernel, q: np.ndarray, budget: int = COLUMN_BUDGET):
         if base.size != 1:
             raise ValueError("ancestry components need one base kernel")
-        self.base, self.root = base, np.sqrt(q)
+        if budget < 1:
+            raise ValueError("a product needs at least one column")
+        self.base, self.root, self.budget = base, np.sqrt(q), budget
         self.n, self.size = q.shape
 
     def stacked(self, v: np.ndarray) -> np.ndarray:
-        c = v.shape[1]
-        wide = (self.root[:, :, None] * v[:, None, :]).reshape(self.n, -1)
-        out = self.base.stacked(wide)[0].reshape(self.n, self.size, c)
-        return np.moveaxis(out * self.root[:, :, None], 1, 0)
+        out = np.empty((self.size, self.n, v.shape[1]))
+        pairs = [(a, c) for a in range(self.size) for c in range(v.shape[1])]
+        for k in range(0, len(pairs), self.budget):
+            a, c = np.array(pairs[k : k + self.budget]).T
+            own = self.base.stacked(self.root[:, a] * v[:, c])[0]
+            out[a, :, c] = (own * self.root[:, a]).T
+        return out
 
     def mean_diag(self) -> np.ndarray:
         return self.base.mean_diag()[0] * (self.root**2).mean(0)
 
+    def effects(self, alpha: np.ndarray, theta: np.ndarray) -> DataFrame:
+        """Effects of every variant in each ancestry: a sample's effect adds them up by the roots of its shares."""
+        parts = []
+        for k in range(0, self.size, self.budget):
+            own = self.base.scores(self.root[:, k : k + self.budget] * alpha[:, None])
+            parts.append(own.select((F.col("col") + k).alias("component_idx"), "variant_idx", "score"))
+        scores = parts[0]
+        for more in parts[1:]:
+            scores = scores.unionByName(more)
+        return _scaled(scores, self.base.cmap().drop("component_idx"), ["variant_idx"], theta[: self.size] / np.maximum(self.base.m_eff[0], 1))
+
+
+def _scaled(scores: DataFrame, cmap: DataFrame, on: list[str], scale: np.ndarray) -> DataFrame:
+    """``component_idx``, ``local_idx``, ``variant_idx``, ``beta`` from scores and a factor for each component."""
+    factors = scores.sparkSession.createDataFrame([(g, float(x)) for g, x in enumerate(scale)], "component_idx int, factor double")
+    rows = scores.join(cmap, on).join(F.broadcast(factors), "component_idx")  # a row for each component
+    return rows.select("component_idx", "local_idx", "variant_idx", (F.col("factor") * F.col("score")).alias("beta"))
+
 
 class HybridKernel(Kernel):
     """Components of several kernels one after another, such as common and rare variants."""
@@ -143,6 +177,49 @@ def standardised(raw: bytes, mean: np.ndarray, inv_sd: np.ndarray, n: int) -> np
     return z
 
 
+def tiles(row: dict, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """A block's variants in standardised parts (from, to, values): a wide block is never unpacked whole."""
+    mean, inv_sd = np.array(row["mean"]), np.array(row["inv_sd"])
+    stride = len(row["packed"]) // max(len(mean), 1)
+    for lo in range(0, len(mean), TILE):
+        hi = min(lo + TILE, len(mean))
+        yield lo, hi, standardised(row["packed"][lo * stride : hi * stride], mean[lo:hi], inv_sd[lo:hi], n)
+
+
+def component_blocks(raw: DataFrame, cmap: DataFrame | None, width: int) -> DataFrame:
+    """Blocks of ``bed.read_blocks`` (of ``width``) with a component; a block that several components share is split.
+
+    Variants are picked from a block's bytes where it lies.  Only the map is
+    grouped by block; beyond ``MAP_ROWS`` the packed blocks are shuffled once to
+    meet it.
+    """
+    names = ["variants", "cnt", "mean", "inv_sd"]
+    if cmap is None:
+        return raw.select(F.lit(0).alias("component_idx"), F.col("block_id").cast("int").alias("block_id"), *names, "packed")
+    own = cmap.groupBy(F.floor(F.col("variant_idx") / width).cast("long").alias("block_id")).agg(F.sort_array(F.collect_list(F.struct("component_idx", "variant_idx"))).alias("own"))
+    if cmap.limit(MAP_ROWS + 1).count() <= MAP_ROWS:
+        own = F.broadcast(own)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                octets = np.frombuffer(row["packed"], np.uint8).reshape(len(row["variants"]), -1)
+                component = np.array([x["component_idx"] for x in row["own"]], np.int32)
+                at = np.array([x["variant_idx"] for x in row["own"]], np.int64) - row["variants"][0]
+                if len(at) and at.max() >= len(octets):
+                    raise ValueError(f"component {component[at.argmax()]} names a variant that the file does not hold")
+                for g in np.unique(component):
+                    pick = at[component == g]
+                    lists = [pa.array([np.array(row[c])[pick]]) for c in names]
+                    yield pa.record_batch([pa.array([g], pa.int32()), pa.array([row["block_id"]], pa.int32()), *lists, pa.array([octets[pick].tobytes()], pa.binary())], names=["component_idx", "block_id", *names, "packed"])
+
+    return raw.select("block_id", *names, "packed").join(own, "block_id").mapInArrow(split, "component_idx int, block_id int, variants array<long>, cnt array<long>, mean array<double>, inv_sd array<double>, packed binary")
+
+
+def _moved(column: str, by: int) -> Column:
+    return F.transform(column, lambda x: x + by).alias(column)
+
+
 class SparkKernel(Kernel):
     """Kernel over a table of packed blocks."""
 
@@ -159,21 +236,68 @@ class SparkKernel(Kernel):
         size = max(rows) + 1
         return cls(blocks(geno, stats, cmap, n, width), n, size, np.array([rows[g]["m_eff"] if g in rows else 0 for g in range(size)], float), np.array([rows[g]["mean_diag"] if g in rows else 0.0 for g in range(size)]))
 
+    @classmethod
+    def of_blocks(cls, raw: DataFrame, n: int, cmap: DataFrame | None = None, width: int = 256) -> SparkKernel:
+        """From ``bed.read_blocks(..., width=width)``: neither cells nor their statistics become rows."""
+        table = component_blocks(raw, cmap, width).persist()
+        filled = F.aggregate(F.zip_with("cnt", "inv_sd", lambda c, x: F.when(x > 0, c).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
+        sums = table.select("component_idx", F.size(F.filter("inv_sd", lambda x: x > 0)).alias("m_eff"), filled.alias("filled"))
+        rows = {r["component_idx"]: r for r in sums.groupBy("component_idx").agg(F.sum("m_eff").alias("m_eff"), F.sum("filled").alias("filled")).collect()}
+        size = max(rows, default=-1) + 1
+        m_eff = np.array([rows[g]["m_eff"] if g in rows else 0 for g in range(size)], float)
+        return cls(table, n, size, m_eff, np.array([rows[g]["filled"] if g in rows else 0 for g in range(size)]) / n / np.maximum(m_eff, 1))
+
+    @classmethod
+    def of_bed(cls, spark, path: str, n: int, cmap: DataFrame | None = None, keep: np.ndarray | None = None, width: int = 256) -> SparkKernel:
+        """From a BED file of ``n`` samples, of which ``keep`` flags those that stay."""
+        from ..sources.bed import read_blocks
+
+        return cls.of_blocks(read_blocks(spark, path, n, keep, width), n if keep is None else int(keep.sum()), cmap, width)
+
+    @classmethod
+    def joined(cls, parts: list[SparkKernel], widths: list[int]) -> SparkKernel:
+        """Several sources of the same samples as one table, so that a product is one job whatever their number.
+
+        Components follow one another, and so do variants: a source's numbers
+        begin where the one before, of so many variants, ends.
+        """
+        if len(parts) != len(widths) or any(p.n != parts[0].n for p in parts) or any(p.extra for p in parts):
+            raise ValueError("sources need the same samples, plain kernels and their numbers of variants")
+        table, size, first = None, 0, 0
+        for part, width in zip(parts, widths):
+            own = part.table.select((F.col("component_idx") + size).alias("component_idx"), "block_id", _moved("variants", first), "mean", "inv_sd", "packed")
+            table = own if table is None else table.unionByName(own)
+            size, first = size + part.size, first + width
+        return cls(table, parts[0].n, size, np.concatenate([p.m_eff for p in parts]), np.concatenate([p.means for p in parts]))
+
     def mean_diag(self) -> np.ndarray:
         return self.means
 
-    def _sum(self, make, columns: int) -> np.ndarray:
-        """Adds ``make(z, row)`` (n x columns) over all blocks of each component."""
-        n, size = self.n, self.size
+    def cmap(self) -> DataFrame:
+        """The variants of each component, numbered inside it."""
+        from ..operators.geno import component_map
+
+        return component_map(self.table.select("component_idx", F.explode("variants").alias("variant_idx")))
+
+    @staticmethod
+    def weigh(row: dict, s: np.ndarray) -> np.ndarray:
+        """What stands between Z' and Z in a product."""
+        return s
+
+    def _sum(self, v: np.ndarray, columns: int) -> np.ndarray:
+        """Adds ``Z weigh(Z' v)`` (n x columns) over all blocks of each component."""
+        n, size, weigh = self.n, self.size, type(self).weigh
+        shared = self.table.sparkSession.sparkContext.broadcast(np.ascontiguousarray(v))
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
             for batch in batches:
                 for row in batch.to_pylist():
-                    z = standardised(row["packed"], np.array(row["mean"]), np.array(row["inv_sd"]), n)
-                    own = make(z, row)
-                    g = row["component_idx"]
-                    total[g] = total[g] + own if g in total else own
+                    parts = list(tiles(row, n)) if len(row["mean"]) <= TILE else None
+                    t = weigh(row, np.concatenate([z @ shared.value for _, _, z in parts or tiles(row, n)]))
+                    own = total.setdefault(row["component_idx"], np.zeros((n, t.shape[1])))
+                    for lo, hi, z in parts or tiles(row, n):
+                        own += z.T @ t[lo:hi]
             rows = [(g, lo, t[lo : lo + SLICE].tobytes()) for g, t in total.items() for lo in range(0, n, SLICE)]
             yield _rows(rows)
 
@@ -192,30 +316,36 @@ class SparkKernel(Kernel):
         for row in parts.toArrow().to_pylist():
             part = np.frombuffer(row["part"], float).reshape(-1, columns)
             out[row["g"], row["lo"] : row["lo"] + len(part)] = part
+        shared.unpersist()
         return out
 
     def stacked(self, v: np.ndarray) -> np.ndarray:
-        shared = self.table.sparkSession.sparkContext.broadcast(np.ascontiguousarray(v))
-        out = self._sum(lambda z, row: z.T @ (z @ shared.value), v.shape[1])
-        shared.unpersist()
-        return out / np.maximum(self.m_eff, 1)[:, None, None]
+        return self._sum(v, v.shape[1]) / np.maximum(self.m_eff, 1)[:, None, None]
 
-    def scores(self, v: np.ndarray) -> DataFrame:
-        """``component_idx``, ``variant_idx``, ``col``, ``score``: Z'V, left distributed."""
-        shared, n = self.table.sparkSession.sparkContext.broadcast(np.ascontiguousarray(v)), self.n
+    def scores(self, v: np.ndarray, weighed: bool = False) -> DataFrame:
+        """``component_idx``, ``variant_idx``, ``col``, ``score``: Z'V, left distributed; ``weighed``, what a product makes of it before Z, for valid variants."""
+        shared, n, weigh = self.table.sparkSession.sparkContext.broadcast(np.ascontiguousarray(v)), self.n, type(self).weigh
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    s = standardised(row["packed"], np.array(row["mean"]), np.array(row["inv_sd"]), n) @ shared.value
+                    s = np.concatenate([z @ shared.value for _, _, z in tiles(row, n)])
+                    variants = np.array(row["variants"], np.int64)
+                    if weighed:
+                        valid = np.array(row["inv_sd"]) > 0
+                        s, variants = weigh(row, s)[valid], variants[valid]
                     w, c = s.shape
                     yield pa.record_batch(
-                        [pa.array(np.full(w * c, row["component_idx"], np.int32)), pa.array(np.repeat(np.array(row["variants"], np.int64), c)), pa.array(np.tile(np.arange(c, dtype=np.int32), w)), pa.array(s.ravel())],
+                        [pa.array(np.full(w * c, row["component_idx"], np.int32)), pa.array(np.repeat(variants, c)), pa.array(np.tile(np.arange(c, dtype=np.int32), w)), pa.array(s.ravel())],
                         names=["component_idx", "variant_idx", "col", "score"],
                     )
 
         return self.table.mapInArrow(run, "component_idx int, variant_idx long, col int, score double")
 
+    def effects(self, alpha: np.ndarray, theta: np.ndarray) -> DataFrame:
+        """``component_idx``, ``local_idx``, ``variant_idx``, ``beta``: theta over the divisor times the product's inner half, left distributed."""
+        return _scaled(self.scores(alpha[:, None], True).drop("col"), self.cmap(), ["component_idx", "variant_idx"], theta[: self.size] / np.maximum(self.m_eff, 1e-300))
+
     def close(self) -> None:
         self.table.unpersist()
 
@@ -223,17 +353,16 @@ class SparkKernel(Kernel):
 class WeightKernel(SparkKernel):
     """``sum_b Z_b W_b Z_b' / c`` of block-diagonal symmetric weights; every group of blocks is a component.
 
-    A row of the table is a block of the weights with its genotypes, so a product costs the same job as without weights.
+    A row of the table is a block of the weights, dense and row by row (``w``),
+    with its genotypes, so a product costs the same job as without weights.  A
+    task holds one block at a time; its genotypes are unpacked in tiles.
     """
 
     extra = ("w",)
 
     @classmethod
     def build(cls, geno: DataFrame, stats: DataFrame, w: DataFrame, n: int, groups: DataFrame | None = None, ranks: list[float] | None = None) -> WeightKernel:
-        """From ``w(block_idx, i, j, w)`` and ``groups(block_idx, component_idx)``, one group where none are given.
-
-        The divisor c is the trace over n, so that every component has mean diagonal 1, or a group's effective rank.
-        """
+        """From entries ``w(block_idx, i, j, w)`` and ``groups(block_idx, component_idx)``, one group where none are given."""
         ids = w.select("block_idx", F.col("i").alias("variant_idx")).union(w.select("block_idx", F.col("j"))).distinct()
         place = F.row_number().over(Window.partitionBy("block_idx").orderBy("variant_idx")) - 1
         rows = ids.withColumn("local_idx", place.cast("int"))
@@ -242,13 +371,61 @@ class WeightKernel(SparkKernel):
         at = rows.select("block_idx", "variant_idx", "local_idx")
         cells = w.join(at.withColumnsRenamed({"variant_idx": "i", "local_idx": "row"}), ["block_idx", "i"]).join(at.withColumnsRenamed({"variant_idx": "j", "local_idx": "at"}), ["block_idx", "j"])
         cells = cells.groupBy(F.col("block_idx").alias("block_id")).agg(F.collect_list(F.struct("row", "at", "w")).alias("w"))
-        table = packed.join(cells, "block_id").persist()
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            k = None
+            for batch in batches:
+                k = k if k is not None else batch.schema.get_field_index("w")
+                dense = []
+                for mean, entries in zip(batch.column("mean"), batch.column(k)):
+                    own = np.zeros((len(mean), len(mean)))
+                    flat = entries.values.flatten()
+                    own[flat[0].to_numpy(), flat[1].to_numpy()] = flat[2].to_numpy()
+                    dense.append(own.tobytes())
+                yield batch.set_column(k, "w", pa.array(dense, pa.binary()))
+
+        table = packed.join(cells, "block_id")
+        return cls.over(table.mapInArrow(fill, _with_weights(table)), n, ranks)
+
+    @classmethod
+    def of_files(cls, raw: DataFrame, weights: DataFrame, n: int, width: int = 256, ranks: list[float] | None = None) -> WeightKernel:
+        """From ``bed.read_blocks`` and ``specs.weight_blocks``; neither weights nor genotypes pass through the driver."""
+        each = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("width") - 1)).alias("variant_idx")
+        parts = component_blocks(raw, weights.select(F.col("block_id").cast("int").alias("component_idx"), each), width)
+        lists = parts.groupBy(F.col("component_idx").alias("block_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("variants")[0].alias("at"), "variants", "mean", "inv_sd", "packed"))).alias("parts"))
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(len(batch)):
+                    row = batch.slice(k, 1).select(["component_idx", "block_id", "parts", "width", "w"]).to_pylist()[0]
+                    lists = [[x for p in row["parts"] for x in p[c]] for c in ("variants", "mean", "inv_sd")]
+                    if len(lists[0]) != row["width"]:
+                        raise ValueError(f"weights of block {row['block_id']} are {row['width']} wide, for {len(lists[0])} variants")
+                    octets = b"".join(p["packed"] for p in row["parts"])
+                    yield pa.record_batch(
+                        [pa.array([row["component_idx"]], pa.int32()), pa.array([row["block_id"]], pa.int32()), pa.array([lists[0]], pa.list_(pa.int64())), *(pa.array([x], pa.list_(pa.float64())) for x in lists[1:]), pa.array([octets], pa.binary()), pa.array([row["w"]], pa.binary())],
+                        names=["component_idx", "block_id", "variants", "mean", "inv_sd", "packed", "w"],
+                    )
+
+        table = weights.join(lists, "block_id").mapInArrow(join, "component_idx int, block_id int, variants array<long>, mean array<double>, inv_sd array<double>, packed binary, w binary")
+        return cls.over(table, n, ranks)
+
+    @classmethod
+    def over(cls, table: DataFrame, n: int, ranks: list[float] | None = None) -> WeightKernel:
+        """Over blocks with their weights.  The divisor c is the trace over n, so that every component has mean diagonal 1, or a group's effective rank."""
+        table = table.persist()
 
         def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
-                    z = standardised(row["packed"], np.array(row["mean"]), np.array(row["inv_sd"]), n)
-                    yield pa.record_batch([pa.array([row["component_idx"]], pa.int32()), pa.array([float((z * (block_weights(row) @ z)).sum()) / n])], names=["g", "trace"])
+                for row in batch.select(["component_idx", "mean", "inv_sd", "packed", "w"]).to_pylist():
+                    w, mean, inv_sd = block_weights(row), np.array(row["mean"]), np.array(row["inv_sd"])
+                    octets = np.frombuffer(row["packed"], np.uint8).reshape(len(mean), -1)
+                    own = 0.0
+                    for lo in range(0, n, SLICE):  # of samples
+                        some = min(SLICE, n - lo)
+                        z = standardised(np.ascontiguousarray(octets[:, lo // 4 : -(-(lo + some) // 4)]).tobytes(), mean, inv_sd, some)
+                        own += float((z * (w @ z)).sum())
+                    yield pa.record_batch([pa.array([row["component_idx"]], pa.int32()), pa.array([own / n])], names=["g", "trace"])
 
         sums = {r["g"]: r["trace"] for r in table.mapInArrow(traces, "g int, trace double").groupBy("g").agg(F.sum("trace").alias("trace")).collect()}
         trace = np.array([sums.get(g, 0.0) for g in range(max(sums, default=-1) + 1)])
@@ -259,20 +436,21 @@ class WeightKernel(SparkKernel):
             raise ValueError("an effective rank is needed for every group")
         return cls(table, n, len(c), c, trace / c)
 
+    @staticmethod
+    def weigh(row: dict, s: np.ndarray) -> np.ndarray:
+        return block_weights(row) @ s
+
     def stacked(self, v: np.ndarray) -> np.ndarray:
-        shared = self.table.sparkSession.sparkContext.broadcast(np.ascontiguousarray(v))
-        out = self._sum(lambda z, row: z.T @ (block_weights(row) @ (z @ shared.value)), v.shape[1])
-        shared.unpersist()
-        return out / self.m_eff[:, None, None]
+        return self._sum(v, v.shape[1]) / self.m_eff[:, None, None]
+
+
+def _with_weights(table: DataFrame) -> str:
+    return ", ".join(f"{f.name} {'binary' if f.name == 'w' else f.dataType.simpleString()}" for f in table.schema)
 
 
 def block_weights(row: dict) -> np.ndarray:
-    """The dense weights of one block; absent entries are 0."""
-    width = len(row["mean"])
-    out = np.zeros((width, width))
-    for cell in row["w"]:
-        out[cell["row"], cell["at"]] = cell["w"]
-    return out
+    """The dense weights of one block."""
+    return np.frombuffer(row["w"], float).reshape(len(row["mean"]), -1)
 
 
 class SoftKernel(SparkKernel):
@@ -296,15 +474,14 @@ class SoftKernel(SparkKernel):
         out = cls(rows, n, groups, total, np.array([sums[g]["filled"] for g in range(groups)]) / n / total)
         return out
 
-    def stacked(self, v: np.ndarray) -> np.ndarray:
-        shared, size, c = self.table.sparkSession.sparkContext.broadcast(np.ascontiguousarray(v)), self.size, v.shape[1]
+    @staticmethod
+    def weigh(row: dict, s: np.ndarray) -> np.ndarray:
+        w = np.array(row["w"]).reshape(len(s), -1)  # variants x groups
+        return (w[:, :, None] * s[:, None, :]).reshape(len(s), -1)
 
-        def make(z: np.ndarray, row: dict) -> np.ndarray:
-            s = z @ shared.value
-            return z.T @ (np.array(row["w"]).reshape(-1, size, 1) * s[:, None, :]).reshape(len(s), -1)
-
-        out = self._sum(make, size * c)[0].reshape(self.n, size, c)
-        shared.unpersist()
+    def stacked(self, v: np.ndarray) -> np.ndarray:
+        size, c = self.size, v.shape[1]
+        out = self._sum(v, size * c)[0].reshape(self.n, size, c)
         return np.moveaxis(out, 1, 0) / self.m_eff[:, None, None]
 
 

@@ -7,11 +7,13 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.linalg import independent_columns, spd_solve
+from ..operators import align, screen
 from ..operators import geno as G
-from ..operators import screen
-from .kernels import DenseKernel, Kernel, SoftKernel, SparkKernel, blocks
+from ..sources import bed
+from .kernels import DenseKernel, Kernel, SoftKernel, SparkKernel, blocks, component_blocks
 from .krylov import rademacher
 from .lasso import LassoOptions, profile, select
 from .reml import Fit, Options, Problem, merge_z
@@ -28,13 +30,22 @@ class Data:
     y: np.ndarray
     x: np.ndarray
     components: DataFrame  # component_idx, variant_idx
+    raw: DataFrame | None = None  # packed blocks of a BED file over the same samples, ``WIDTH`` variants each
+
+    WIDTH = 256
 
     def __post_init__(self):
         self.n = len(self.y)
         self.geno = self.geno.persist()
-        self.stats = G.variant_stats(self.geno, self.variants, self.n).persist()
+        rows = G.variant_stats(self.geno, self.variants, self.n) if self.raw is None else bed.variant_rows(self.raw)
+        self.stats = rows.persist()
         self.cmap = G.component_map(self.components).persist()
 
+    def close(self) -> None:
+        """Gives back what is kept."""
+        for table in (self.geno, self.stats, self.cmap):
+            table.unpersist()
+
     @classmethod
     def of(cls, geno: DataFrame, variants: DataFrame, aligned: DataFrame, components: DataFrame) -> Data:
         """From ``aligned(sample_idx, iid, y, x)``, whose positions may have gaps; n rows go to the driver."""
@@ -44,7 +55,26 @@ class Data:
         own = geno.join(place.select(F.col("old").alias("sample_idx"), F.col("sample_idx").alias("new")), "sample_idx").select(F.col("new").alias("sample_idx"), "variant_idx", "dosage")
         return cls(spark, own, variants, place.select("sample_idx", "iid"), np.array([r["y"] for r in rows], float), np.array([r["x"] for r in rows], float), components)
 
+    @classmethod
+    def of_bed(cls, spark: SparkSession, path: str, people: DataFrame, variants: DataFrame, aligned: DataFrame, components: DataFrame) -> Data:
+        """From a BED file of ``people(sample_idx, iid)``: the reader keeps the samples of ``aligned`` and decodes no others.
+
+        Statistics and kernels come from the file's blocks; cells are read only
+        where an analysis asks for them.
+        """
+        rows = aligned.select("sample_idx", "iid", "y", "x").orderBy("sample_idx").collect()
+        kept = spark.createDataFrame([(r["iid"], k) for k, r in enumerate(rows)], T.StructType([aligned.schema["iid"], T.StructField("rank", T.LongType())]))
+        align.subsequence(people, kept)
+        n = people.count()
+        keep = np.zeros(n, bool)
+        keep[[r["sample_idx"] for r in rows]] = True
+        own = kept.select(F.col("rank").alias("sample_idx"), "iid")
+        y, x = np.array([r["y"] for r in rows], float), np.array([r["x"] for r in rows], float)
+        return cls(spark, bed.read_bed(spark, path, n, keep), variants, own, y, x, components, bed.read_blocks(spark, path, n, keep, cls.WIDTH))
+
     def kernel(self, width: int = 256) -> SparkKernel:
+        if self.raw is not None:
+            return SparkKernel.of_blocks(self.raw, self.n, self.cmap, self.WIDTH)
         return SparkKernel.build(self.geno, self.stats, self.cmap, self.n, width)
 
     def vector(self, v: np.ndarray) -> DataFrame:
@@ -86,16 +116,11 @@ class Model:
         return self.result
 
     def effects(self) -> Effects:
+        """Fixed effects, P y, each component's random effect, and effects of variants, which stay a table."""
         theta, p = self.result.theta, self.problem
-        if len(theta) != p.g + 1:
-            raise ValueError("effects need one residual component")
         alpha, beta = p.projected_response(theta)
         random = theta[: p.g, None] * p.kernel.stacked(alpha[:, None])[:, :, 0]
-        m = G.component_stats(self.data.stats, self.data.cmap, self.data.n).select("component_idx", "m_eff")
-        weights = self.data.spark.createDataFrame([(g, float(theta[g])) for g in range(p.g)], "component_idx int, theta double")
-        score = G.xtv(self.data.geno, self.data.stats, self.data.vector(alpha[:, None])).select("variant_idx", "score")
-        snps = score.join(self.data.cmap, "variant_idx").join(F.broadcast(m), "component_idx").join(F.broadcast(weights), "component_idx")  # a row for each component
-        return Effects(beta, alpha, random, snps.select("component_idx", "local_idx", "variant_idx", (F.col("theta") * F.col("score") / F.col("m_eff")).alias("beta")))
+        return Effects(beta, alpha, random, self.source.effects(alpha, theta))
 
     def predict(self, effects: Effects, geno: DataFrame, samples: DataFrame, x: np.ndarray) -> DataFrame:
         """Predictions for other samples under the training standardisation."""
@@ -127,7 +152,7 @@ def merge(data: Data, options: Options | None = None, cutoff: float = screen.WEA
     if G.same_coverage(data.cmap, merged).limit(1).count():
         raise RuntimeError("merging changed the variants covered")
     fewer = targets.select("target").distinct().count() < len(z)
-    second = Model(Data(data.spark, data.geno, data.variants, data.samples, data.y, data.x, merged), options).fit() if fewer else None
+    second = Model(replace(data, components=merged), options).fit() if fewer else None
     return Merged(first, z, se, merged, second)
 
 
@@ -326,7 +351,10 @@ def relax_streamed(data: Data, start: DataFrame, groups: int, rate: float = 1e-3
     valid = data.stats.filter("inv_sd > 0").select("variant_idx")
     own = Window.partitionBy("variant_idx")
     weights = _kept(start.join(valid, "variant_idx").select("variant_idx", "group_idx", (F.col("w") / F.sum("w").over(own)).alias("w")))
-    table = blocks(data.geno, data.stats, G.component_map(data.stats.select(F.lit(0).alias("component_idx"), "variant_idx")), data.n).persist()
+    if data.raw is not None:
+        table = component_blocks(data.raw, None, data.WIDTH).persist()
+    else:
+        table = blocks(data.geno, data.stats, G.component_map(data.stats.select(F.lit(0).alias("component_idx"), "variant_idx")), data.n).persist()
     signs = rademacher(data.n, probes, o.seed)
 
     def fit_at(w: DataFrame) -> tuple[Fit, Problem]:

@@ -16,6 +16,12 @@ def _at(path: str):
     return place.getFileSystem(context._jsc.hadoopConfiguration()), place
 
 
+def qualified(path: str) -> str:
+    """The path with its file system, as Spark names files that it reads."""
+    system, place = _at(path)
+    return system.makeQualified(place).toString()
+
+
 def put(path: str, data: bytes) -> None:
     """Writes one file, in the place of an older one."""
     system, place = _at(path)

@@ -1,4 +1,4 @@
-"""Component specifications, weight matrices and their lists: small files read on the driver."""
+"""Component specifications and lists, small files read on the driver, and weight matrices, read in tasks."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import io
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,17 +67,22 @@ def write_spec(spec: DataFrame, path: str) -> None:
 
 def load_weights(path: str) -> np.ndarray:
     """A square, non-empty, finite matrix from ``.npy``, ``.npz`` (one array), ``.csv`` or text."""
+    return parse_weights(path, b"" if path.endswith(".rds") else files.get(path))
+
+
+def parse_weights(path: str, data: bytes) -> np.ndarray:
+    """``load_weights`` from a file's bytes."""
     if path.endswith(".npy"):
-        w = np.load(io.BytesIO(files.get(path)))
+        w = np.load(io.BytesIO(data))
     elif path.endswith(".npz"):
-        with np.load(io.BytesIO(files.get(path))) as z:
+        with np.load(io.BytesIO(data)) as z:
             if len(z.files) != 1:
                 raise ValueError("a weight archive holds one array")
             w = z[z.files[0]]
     elif path.endswith(".rds"):
         raise ValueError("RDS files need R, which this engine does not call; save the matrix as .npy")
     else:
-        w = np.loadtxt(io.BytesIO(files.get(path)), delimiter="," if path.endswith(".csv") else None, ndmin=2)
+        w = np.loadtxt(io.BytesIO(data), delimiter="," if path.endswith(".csv") else None, ndmin=2)
     if w.ndim != 2 or w.shape[0] != w.shape[1] or not w.size:
         raise ValueError(f"weights must be a square matrix, not {w.shape}")
     if not np.issubdtype(w.dtype, np.number) or not np.isfinite(w).all():
@@ -83,6 +90,39 @@ def load_weights(path: str) -> np.ndarray:
     return np.asarray(w, float)
 
 
+def weight_blocks(spark: SparkSession, groups: list[list[str]], m: int | None = None) -> DataFrame:
+    """``component_idx`` (a group), ``block_id``, ``first``, ``width``, ``w`` (8-byte floats row by row) of weight files.
+
+    Files are read and parsed in tasks, a row for each; the driver gets their
+    widths only.  The blocks of a group lie one after another along the variant
+    axis and, where ``m`` is given, must cover it.
+    """
+    full = [[files.qualified(path) for path in own] for own in groups]
+    for path in (p for own in full for p in own):
+        if path.endswith(".rds"):
+            load_weights(path)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column(0), batch.column(1)):
+                w = parse_weights(path.as_py(), data.as_py())
+                yield pa.record_batch([pa.array([path.as_py()]), pa.array([len(w)], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["path", "width", "w"])
+
+    read = spark.read.format("binaryFile").load(sorted({p for own in full for p in own}))
+    parsed = read.select("path", "content").mapInArrow(parse, "path string, width long, w binary")
+    widths = {r["path"]: r["width"] for r in parsed.select("path", "width").collect()}
+    rows = []
+    for group, own in enumerate(full):
+        first = 0
+        for path in own:
+            rows.append((group, len(rows), path, first))
+            first += widths[path]
+        if m is not None and first != m:
+            raise ValueError(f"blocks cover {first} of {m} variants")
+    places = spark.createDataFrame(rows, "component_idx int, block_id int, path string, first long")
+    return parsed.join(F.broadcast(places), "path").drop("path")  # a row for each file
+
+
 def sidecar(path: str) -> dict:
     """Metadata next to a weight file, empty if there is none."""
     base = os.path.splitext(path)[0]

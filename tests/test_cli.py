@@ -62,7 +62,10 @@ def test_kernels_from_files(spark, files):
         (files / f"w{k}.json").write_text(json.dumps({"effective_rank": width / 2}))
     np.savetxt(files / "ones.txt", np.eye(18))
     blocks = f"{files}/w0.npy,{files}/w1.npy"
-    assert len(np.load(run(spark, files, "reml", "--weights", blocks) + ".theta.npy")) == 2
+    out = run(spark, files, "reml", "--weights", blocks, "--compute-effects", "--prediction-bed-prefix", f"{files}/x", "--prediction-covar-txt", f"{files}/c")
+    assert len(np.load(out + ".theta.npy")) == 2
+    predicted = spark.read.option("sep", "\t").option("header", True).csv(out + ".prediction.tsv")
+    assert predicted.count() == 60 and predicted.selectExpr("stddev(cast(random_effect as double))").first()[0] > 0
     assert len(np.load(run(spark, files, "reml", "--weights", blocks, "--weight-scale", "rank") + ".theta.npy")) == 2
     assert len(np.load(run(spark, files, "reml", "--weights", blocks, "--weights", f"{files}/ones.txt") + ".theta.npy")) == 3
     q = r.dirichlet((1, 1), 60)
@@ -70,7 +73,8 @@ def test_kernels_from_files(spark, files):
     out = run(spark, files, "reml", "--ancestry", f"{files}/q.2.Q")
     summary = json.load(open(out + ".ancestry_summary.json"))
     assert len(np.load(out + ".theta.npy")) == 4 and 0 <= summary["weighted_h2"] <= 1
-    assert len(np.load(run(spark, files, "reml", "--rare-bed-prefix", f"{files}/x", "--vc-block-sizes", "10,8") + ".theta.npy")) == 4
+    more = ("--rare-bed-prefix", f"{files}/x", "--rare-bed-prefix", f"{files}/x", "--vc-block-sizes", "10,8", "--compute-effects")
+    assert len(np.load(run(spark, files, "reml", *more) + ".theta.npy")) == 5
     with pytest.raises(ValueError):
         run(spark, files, "reml", "--ancestry", f"{files}/q.2.Q", "--weights", blocks)
 
