@@ -11,9 +11,10 @@ Every row is filed under a leaf.
 A query walks the tree best-bin-first through a priority queue.  The number of
 leaves it visits is widened until calibration queries, whose true neighbours in
 the whole table are known, reach a recall of ``RECALL``, and further for a query
-whose leaves hold too few rows to give ``k``.  Rows in visited leaves are scored
-exactly.  A query's ``k`` best rows of the sample are candidates too; as its
-``k``-th best of all is never below theirs, rows below it are not handed on.
+whose leaves hold too few rows to give ``k``.  Candidates are the rows of visited
+leaves and no others; they are scored exactly.  The sample only fits the tree and
+prunes: its rows lie in leaves too, so a row worse than the ``k``-th best sample
+row of the visited leaves cannot be among the best found, and is not handed on.
 
 Leaves and their queries are cut into blocks of bounded size, so a leaf of very
 many equal vectors spreads over many tasks, each returning its best ``k``.
@@ -218,6 +219,24 @@ def fit(rows: DataFrame, points: np.ndarray, n: int, longest: float) -> Tree:
     return tree
 
 
+class Pruning:
+    """Sample rows by the leaf that they lie in, one for each id."""
+
+    def __init__(self, leaf: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        once = np.unique(ids, return_index=True)[1]
+        order = once[np.argsort(leaf[once], kind="stable")]
+        self.leaf, self.ids, self.vectors = leaf[order], ids[order], vectors[order]
+
+    def bound(self, query: np.ndarray, own: int, leaves: list[int], k: int) -> float:
+        """A score that the query's ``k``-th best row of these leaves reaches at least; minus infinity where that is not known."""
+        lo, hi = np.searchsorted(self.leaf, leaves), np.searchsorted(self.leaf, leaves, side="right")
+        if (hi - lo).sum() < k:
+            return -np.inf
+        at = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
+        at = at[self.ids[at] != own]
+        return float(np.partition(self.vectors[at] @ query, -k)[-k]) if len(at) >= k else -np.inf
+
+
 def _nearest_leaves(filed: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> list[list[int]]:
     """Leaves of each query's ``k`` nearest rows of the whole table, by brute force in tasks."""
     known = filed.sparkSession.sparkContext.broadcast((ids, queries))
@@ -290,10 +309,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     asks = usable(queries).filter(F.size("vector") == size)
     most = min(SAMPLE, max(QUERIES, TREE // (8 * size)))
     ids, some = sample(rows, most)
-    known = spark.sparkContext.broadcast((fit(rows, lift(some, longest), n, longest), longest, ids, some))
+    tree = fit(rows, lift(some, longest), n, longest)
+    known = spark.sparkContext.broadcast((tree, longest, Pruning(tree.file(lift(some, longest)), ids, some)))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, longest, *_ = known.value
+        tree, longest, _ = known.value
         for batch in batches:
             if len(batch):
                 leaf = tree.file(lift(_matrix(batch.column(1)), longest))
@@ -301,7 +321,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     kind = dict(rows.dtypes)["vector"]
     filed = saved(rows.mapInArrow(tidy(file), f"vec_id long, vector {kind}, leaf long"), "filed")
-    tree = known.value[0]
     own, q = sample(asks, QUERIES)
     if len(own):
         tree.calibrate(_asked(q, longest), _nearest_leaves(filed, own, q, k))
@@ -314,22 +333,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     held_by = spark.sparkContext.broadcast(held)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, longest, ids, some = known.value
+        tree, longest, pruning = known.value
         tree.visits = visits
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
                 x = _matrix(part.column(1))
                 found = [tree.visit(q, held_by.value, k) for q in _asked(x, longest)]
-                score = x @ some.T
-                score[part.column(0).to_numpy()[:, None] == ids[None]] = -np.inf
-                best = np.argsort(-score, 1, kind="stable")[:, :k]
-                bound = np.take_along_axis(score, best, 1)[:, -1] if len(ids) >= k else np.full(len(x), -np.inf)
-                hits = [[{"vec_id": int(ids[j]), "score": float((some[j] * x[i]).sum())} for j in best[i].tolist() if np.isfinite(score[i, j])] for i in range(len(x))]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(bound), pa.array(found, pa.list_(pa.int64())), pa.array(hits, hit)], names=["vec_id", "vector", "bound", "leaves", "hits"])
+                bound = [pruning.bound(q, i, own, k) for q, i, own in zip(x, part.column(0).to_pylist(), found)]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(bound, pa.float64()), pa.array(found, pa.list_(pa.int64()))], names=["vec_id", "vector", "bound", "leaves"])
 
-    hit = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
-    walked = saved(asks.mapInArrow(tidy(walk), f"vec_id long, vector {kind}, bound double, leaves array<long>, hits array<struct<vec_id:long,score:double>>"), "walked")
+    walked = saved(asks.mapInArrow(tidy(walk), f"vec_id long, vector {kind}, bound double, leaves array<long>"), "walked")
     asked = walked.select("vec_id", "vector", "bound", F.explode("leaves").alias("leaf"))
     # One row for each leaf of a tree of bounded size.
     blocks = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
@@ -339,7 +353,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     left = filed.join(counts, "leaf").select("leaf", "vec_id", "vector", F.lit(None).cast("double").alias("bound"), slot("rblocks").alias("rb"), each("qblocks").alias("qb"))
     right = asked.join(counts, "leaf").select("leaf", "vec_id", "vector", "bound", each("rblocks").alias("rb"), slot("qblocks").alias("qb"))
     found = left.unionByName(right).groupBy("leaf", "rb", "qb").applyInPandas(_best(k), "query_id long, vec_id long, score double")
-    found = found.unionByName(walked.select(F.col("vec_id").alias("query_id"), F.inline("hits")))
     # Equal ids with equal scores share a rank and count once.
     rank = F.dense_rank().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")

@@ -16,6 +16,13 @@ def brute(rows, k):
     return out
 
 
+def clusters(n, seed=3, d=24):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, d))
+    x = (centres[rng.integers(0, 40, n)] + rng.normal(0, 0.4, (n, d))) * rng.uniform(0.2, 3, (n, 1))
+    return [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+
+
 def recall(spark, rows, k=20):
     df = spark.createDataFrame([(i, v, "clash", 1) for i, v in rows], SCHEMA)
     got = neighbours.search(df, df.filter("vec_id % 20 = 0"), k).collect()
@@ -34,10 +41,61 @@ def recall(spark, rows, k=20):
 
 
 def test_recall_on_clusters_of_many_lengths(spark):
-    rng = np.random.default_rng(3)
-    centres = rng.normal(size=(40, 24))
-    x = (centres[rng.integers(0, 40, 3000)] + rng.normal(0, 0.4, (3000, 24))) * rng.uniform(0.2, 3, (3000, 1))
-    assert recall(spark, [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]) >= 0.9
+    assert recall(spark, clusters(3000)) >= 0.9
+
+
+def test_recall_with_a_sample_far_below_the_table(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 256)
+    monkeypatch.setattr(neighbours, "TREE", 1 << 16)
+    assert recall(spark, clusters(3000, 5)) >= 0.9
+
+
+def test_recall_and_rows_scored_beyond_the_sample(spark, monkeypatch):
+    """A table of more rows than the sample; leaves alone give the recall, and only a part of the rows is scored."""
+    rows = clusters(20000, 7, 12)
+    scored = []
+    calibrate = neighbours.Tree.calibrate
+
+    def counted(self, asked, wanted):
+        calibrate(self, asked, wanted)
+        scored.append((self.visits, self.leaves))
+
+    monkeypatch.setattr(neighbours.Tree, "calibrate", counted)
+    x = np.array([v for _, v in rows])
+    df = spark.createDataFrame([(i, v, "", 0) for i, v in rows], SCHEMA)
+    asked = list(range(0, 20000, 200))
+    got = neighbours.search(df, df.filter("vec_id % 200 = 0"), 20).collect()
+    found = {q: set() for q in asked}
+    for r in got:
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in asked:
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-score, kind="stable")[:20].tolist()))
+        assert len(found[q]) == 20
+    assert hits / (20 * len(asked)) >= 0.9 and scored[0][1] > 50 and scored[0][0] < 0.7 * scored[0][1]
+
+
+def test_results_come_from_leaves(spark, monkeypatch):
+    """Where visited leaves answer nothing there is no result: nothing stands beside the tree."""
+    import pandas as pd
+
+    nothing = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    monkeypatch.setattr(neighbours, "_best", lambda k: lambda pdf: nothing)
+    df = spark.createDataFrame([(i, v, "", 0) for i, v in clusters(800)], SCHEMA)
+    assert neighbours.search(df, df.filter("vec_id % 20 = 0"), 20).count() == 0
+
+
+def test_pruning_keeps_what_leaves_hold():
+    rng = np.random.default_rng(2)
+    x, leaf = rng.normal(size=(300, 6)), rng.integers(0, 12, 300)
+    prune = neighbours.Pruning(leaf, np.arange(300), x)
+    for q in range(40):
+        leaves = rng.choice(12, rng.integers(1, 6), replace=False).tolist()
+        inside = [i for i in range(300) if leaf[i] in leaves and i != q]
+        bound = prune.bound(x[q], q, leaves, 20)
+        assert bound == -np.inf if len(inside) < 20 else sum(x[i] @ x[q] >= bound - 1e-12 for i in inside) == 20
 
 
 def test_equal_vectors_tie_to_smaller_ids(spark):
