@@ -3,7 +3,9 @@
 A conversation's turns are put in order; a fold over their tokens chooses
 turn-aligned spans, one for each window.  A window holds the conversation's
 system turn, a limited number of turns of history, and its own span; a span is
-closed before the turn that would take all of these over the budget.  Only
+closed before the turn that would take all of these over the budget.  History is
+limited by that budget too: where a window's first own turn and the system turn
+leave no room for all of it, the oldest turns are not repeated.  Only
 assistant turns of the own span are under the loss mask, so a target that is
 repeated as history is masked out.
 
@@ -14,9 +16,9 @@ character, and so are escaped ones, so unescaping restores the input exactly.
 Defined results: null text and null role count as empty; rows of a conversation
 are ordered by turn (null first), then role, then text, and equal rows all stay;
 a null ``conv_id`` is a conversation of its own; an empty table gives an empty
-result; other columns are not read.  Only a window whose own span is one turn may
-exceed the budget, as turns are never cut and such a turn keeps its system turn
-and history.
+result; other columns are not read; very long texts are formatted whole.  Only a
+window whose one own turn and system turn exceed the budget together does so, as
+turns are never cut; it repeats no history.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def _tokens(text: Column) -> Column:
 
 
 def turns(conversations: DataFrame, budget: int, history: int, history_budget: int) -> DataFrame:
-    """Ordered turns with their prefix sums and the window that their own span belongs to."""
+    """Ordered turns, the window that their own span belongs to, and how many turns a window that begins with one repeats."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = rows.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("tokens", _tokens(F.col("text")))
@@ -58,10 +60,13 @@ def turns(conversations: DataFrame, budget: int, history: int, history_budget: i
     first_system = F.min(F.when(F.col("role") == "system", F.col("rank"))).over(by_rank.rowsBetween(W.unboundedPreceding, -1))
     rows = rows.withColumn("is_system", (F.col("role") == "system") & first_system.isNull())
     repeated = F.coalesce(F.max(F.when(F.col("is_system"), F.col("tokens"))).over(by_rank.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    fits, kept = F.lit(True), F.lit(0)
     for k in range(1, history + 1):
-        near = (F.col("ahead") - F.lag("ahead", k).over(by_rank) <= history_budget) & ~F.lag("is_system", k).over(by_rank)
-        repeated = repeated + F.when(near, F.lag("tokens", k).over(by_rank)).otherwise(0)
-    turn = F.struct("rank", "role", "text", "tokens", "ahead", "is_system", repeated.alias("repeated"))
+        before = F.when(F.lag("is_system", k).over(by_rank), 0).otherwise(F.lag("tokens", k).over(by_rank))
+        near = F.col("ahead") - F.lag("ahead", k).over(by_rank) <= history_budget
+        fits = fits & F.coalesce(near & (repeated + before + F.col("tokens") <= budget), F.lit(False))
+        repeated, kept = repeated + F.when(fits, before).otherwise(0), kept + F.when(fits, 1).otherwise(0)
+    turn = F.struct("rank", "role", "text", "tokens", "ahead", "is_system", repeated.alias("repeated"), kept.alias("history"))
     packed = rows.select("conv_id", turn.alias("turn")).groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
 
     # The first turns of windows after the first; a thousand at a time, so that growing the list stays cheap.
@@ -83,7 +88,8 @@ def turns(conversations: DataFrame, budget: int, history: int, history_budget: i
     ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("turns").cast("bigint") + 1))
     spans = F.zip_with("starts", ends, lambda a, b: F.slice("turns", a.cast("int"), (b - a).cast("int")))
     spans = packed.select("conv_id", F.posexplode(spans).alias("at", "span"))
-    return spans.select("conv_id", (F.col("at") + 1).alias("window"), F.explode("span").alias("turn")).select("conv_id", "window", "turn.rank", "turn.role", "turn.text", "turn.ahead", "turn.is_system")
+    each = spans.select("conv_id", (F.col("at") + 1).alias("window"), F.posexplode("span").alias("place", "turn"))
+    return each.select("conv_id", "window", "turn.rank", "turn.role", "turn.text", "turn.is_system", F.when(F.col("place") == 0, F.col("turn.history")).otherwise(0).alias("history"))
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_budget: int = HISTORY_BUDGET) -> DataFrame:
@@ -92,11 +98,8 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     base = turns(conversations, budget, history, history_budget)
     order = W.partitionBy("conv_id").orderBy("rank")
     whole = W.partitionBy("conv_id")
-    # The windows of the next turns: a turn is history of those that begin within reach.
-    reach = []
-    for k in range(1, history + 1):
-        gap = F.lead("ahead", k).over(order) - F.col("ahead")
-        reach.append(F.when(gap <= history_budget, F.lead("window", k).over(order)))
+    # A turn is history of the windows that begin within the next few turns and reach back to it.
+    reach = [F.when(F.lead("history", k).over(order) >= k, F.lead("window", k).over(order)) for k in range(1, history + 1)]
     base = base.withColumn("later", F.array_compact(F.array_distinct(F.array(*reach)))).withColumn("last", F.max("window").over(whole))
     column = ["conv_id", "rank", "role", "text", F.col("window").alias("home")]
     own = base.filter(~F.col("is_system")).select(*column, F.explode(F.array_distinct(F.concat(F.array("window"), "later"))).alias("window"))

@@ -40,9 +40,12 @@ def test_round_trip(spark):
 
 
 def test_windows(spark):
+    """Three turns of some 130 tokens fit 400: the system turn, one of history and an own one; of 300 history has no room."""
     text = "word " * 100
     data = [(1, k, "system" if k == 0 else ("user", "assistant")[k % 2 == 0], f"{k} {text}", "", "") for k in range(30)]
-    got = chat.windows(spark.createDataFrame(data, SCHEMA), budget=300, history=1, history_budget=300).orderBy("window").collect()
+    tight = chat.windows(spark.createDataFrame(data, SCHEMA), budget=300, history=1, history_budget=300).orderBy("window").collect()
+    assert all(len(w.own) == 2 for w in tight) and sum(sum(w.own) for w in tight) == 30
+    got = chat.windows(spark.createDataFrame(data, SCHEMA), budget=400, history=1, history_budget=300).orderBy("window").collect()
     assert len(got) > 3
     for k, w in enumerate(got):
         assert w.formatted.startswith("<s>system[INST]0 word")  # the system turn is in every window
@@ -69,8 +72,10 @@ def test_windows_fit_the_budget(spark):
     for w in sorted(got, key=lambda w: w.window):
         turns = [piece.split("[INST]", 1)[1] for piece in w.formatted.split("[/INST]</s>")[:-1]]
         total = sum(map(cost, turns))
-        assert sum(w.own) == 1 or total <= chat.BUDGET
+        alone = sum(w.own) == 1 and len(w.own) <= 1 + w.formatted.startswith("<s>system[INST]")
+        assert total <= chat.BUDGET or alone  # an own turn and the system turn, and no history
         spans[w.conv_id].append((total, [t for t, own in zip(turns, w.own) if own]))
+    assert any(len(w.own) > 1 + sum(w.own) for w in got)  # history is repeated where it fits
     assert any(len(own) > 1 for windows in spans.values() for _, own in windows)
     assert len(spans[100]) == 2 and len(spans[None]) > 1000
     for c, own in convs.items():
