@@ -121,13 +121,19 @@ def masked(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Col
     return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
 
 
-def rewritten(df: DataFrame, columns: list[str], changed: Column, text: Column) -> DataFrame:
-    """``columns`` of ``df`` with ``text`` where ``changed``; ``n_chars``, where it is present, is counted anew there."""
-    df = df.withColumn("__new", F.when(changed, text).otherwise(F.col("text"))).withColumn("__changed", changed)
-    own = {"text": F.col("__new")}
-    if "n_chars" in columns:
-        own["n_chars"] = F.when(F.col("__changed"), F.length("__new").cast(dict(df.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    return df.select(*(own.get(c, F.col(f"`{c}`")).alias(c) for c in columns))
+def as_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, so that no name of theirs meets a name that an operator uses."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
+def rewritten(df: DataFrame, changed: Column, text: Column) -> DataFrame:
+    """The columns of ``row`` with ``text`` where ``changed``; ``n_chars``, where it is present, is counted anew there."""
+    kinds = {f.name: f.dataType for f in df.schema["row"].dataType}
+    df = df.select("row", changed.alias("changed"), F.when(changed, text).otherwise(F.col("row.text")).alias("new"))
+    own = {"text": F.col("new")}
+    if "n_chars" in kinds:
+        own["n_chars"] = F.when(F.col("changed"), F.length("new").cast(kinds["n_chars"])).otherwise(F.col("row.n_chars"))
+    return df.select(*(own.get(c, F.col(f"row.`{c}`")).alias(c) for c in kinds))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -78,8 +78,8 @@ def dedup(docs: DataFrame, salts: int = 4096) -> DataFrame:
         text.alias("text"),
         F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"),
         F.struct(F.col("doc_id").cast("long").alias("id"), (-F.monotonically_increasing_id()).alias("nrid")).alias("order"),
-        F.struct(F.col("text").isNull().alias("__null"), *others).alias("row"),
+        F.struct(F.col("text").isNull().alias("null"), F.struct(*others).alias("others")).alias("row"),
     )
     best = lambda df, *keys: df.groupBy(*keys).agg(F.max_by("row", "order").alias("row"), F.max("order").alias("order"))
     kept = best(best(rows, "digest", "text", "salt"), "digest", "text")
-    return kept.select(*(F.when(~F.col("row.__null"), F.col("text")).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return kept.select(*(F.when(~F.col("row.null"), F.col("text")).alias(c) if c == "text" else F.col(f"row.others.`{c}`").alias(c) for c in docs.columns))

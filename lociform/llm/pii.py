@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
-from .common import id_and_text, masked, rewritten
+from .common import as_row, id_and_text, masked, rewritten
 
 #: Base formats.  \G stands for the end of the previous match.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -314,6 +314,6 @@ def redact(docs: DataFrame, trees: dict[str, Boosted] | None = None) -> DataFram
 
     All columns stay; ``n_chars``, where it is present, is counted anew for changed texts.
     """
-    rows = _found(docs, trees or models(docs)).withColumn("__spans", _sorted(F.concat("__base", "__added")))
+    rows = _found(docs.select(as_row(docs), "text"), trees or models(docs)).withColumn("__spans", _sorted(F.concat("__base", "__added")))
     mark = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-    return rewritten(rows, docs.columns, F.size("__spans") > 0, masked(F.col("text"), F.col("__spans"), mark))
+    return rewritten(rows, F.size("__spans") > 0, masked(F.col("text"), F.col("__spans"), mark))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attached, fresh_path, masked, rewritten, saved, strings, tidy
+from .common import as_row, attached, fresh_path, masked, rewritten, saved, strings, tidy
 
 #: Base rules, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -156,16 +156,14 @@ def redact(docs: DataFrame, ledger: Ledger, mark: str = "[SECRET]") -> DataFrame
     is present, is counted anew for changed texts.
     """
     ledger.update(docs)
-    blobs = docs.groupBy(_blob().alias("__blob")).agg(F.count("*").alias("__n"))
-    facts = saved(blobs.join(ledger.findings().select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "__blob"), "facts")
-    keyed = docs.withColumn("__blob", _blob())
+    blobs = docs.groupBy(_blob().alias("blob")).agg(F.count("*").alias("n"))
+    facts = saved(blobs.join(ledger.findings(), "blob"), "facts")
+    keyed = docs.select(as_row(docs), _blob().alias("blob"))
     if facts.count() <= PICKED:
-        out = keyed.join(F.broadcast(facts), "__blob", "left")
+        out = keyed.join(F.broadcast(facts), "blob", "left")
     else:
-        out = attached(keyed, facts, "__blob", "__n", "left")
-
-    hit = F.col("__spans").isNotNull()
-    return rewritten(out, docs.columns, hit, masked(F.col("text"), F.col("__spans"), lambda _: F.lit(mark)))
+        out = attached(keyed, facts, "blob", "n", "left")
+    return rewritten(out, F.col("spans").isNotNull(), masked(F.col("row.text"), F.col("spans"), lambda _: F.lit(mark)))
 
 
 def new_ledger(spark: SparkSession) -> Ledger:
