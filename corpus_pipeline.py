@@ -1,11 +1,20 @@
-"""A training-data pipeline over ``documents``: each stage applies one operator to all that the stage before it kept."""
+"""A training-data pipeline over ``documents``: each stage applies one operator to all that the stage before it kept.
+
+Defined results: a null or empty text is scored like any other, and is one of
+the equal texts (null counts as empty); null ids stay, and lose to numbers where
+the largest id is kept; of repeated rows one is left; very long texts go through
+whole; extra columns stay as they are until packing, whatever their names; an
+empty table gives an empty result.  Each stage's result is a table in the shared
+folder, so a lost executor costs no earlier stage, and is deleted once the next
+one is written.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lociform.llm import exact_dedup, near_dedup, packing, quality, secrets
-from lociform.llm.common import saved, table
+from lociform.llm.common import forget, saved, table
 from lociform.llm.queries import tokenizer_path
 
 
@@ -42,7 +51,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; every stage's result is a table in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
