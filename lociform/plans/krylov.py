@@ -89,12 +89,17 @@ def rademacher(n: int, columns: int, seed: int) -> np.ndarray:
 
 def low_rank(apply: Apply, n: int, rank: int, seed: int = 0, extra: int = 8) -> np.ndarray:
     """Basis of the leading eigenvectors by a Gaussian sketch: two products."""
+    return ritz(apply, n, rank, seed, extra)[0]
+
+
+def ritz(apply: Apply, n: int, rank: int, seed: int = 0, extra: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """``low_rank`` and its Ritz values, which are ``U' A U`` without another product."""
     rank = min(rank, n)
     sketch = np.random.default_rng([seed, 99]).normal(size=(n, min(rank + extra, n)))
     q, _ = np.linalg.qr(apply(sketch))
     values, vectors = np.linalg.eigh(q.T @ apply(q))
     order = np.argsort(values)[::-1][:rank]
-    return q @ vectors[:, order]
+    return q @ vectors[:, order], values[order]
 
 
 @dataclass

@@ -169,6 +169,7 @@ class SparseOptions:
     kkt_add: int = 256
     kkt_rounds: int = 20
     theta_tol: float = 1e-2
+    still_rounds: int = 1  # rounds in which support and components stand still before the search ends
     pcg_tol: float = 5e-3
     lasso: LassoOptions = field(default_factory=LassoOptions)
 
@@ -208,6 +209,7 @@ def sparse(data: Data, options: Options | None = None, so: SparseOptions | None
     history: list[dict] = []
     fit: Fit | None = None
     beta = np.zeros(0)
+    settled, still = False, 0
     m = data.variants.count()
 
     def solve(b: np.ndarray) -> np.ndarray:
@@ -242,13 +244,21 @@ def sparse(data: Data, options: Options | None = None, so: SparseOptions | None
             raise RuntimeError("no certificate of optimality")
         new = [chosen[k] for k in active]
         beta = got.beta[active]
+        same = fit is not None and new == support
+        if same and settled:  # a refit would give the components that are there
+            still += 1
+            history.append({"outer": outer, "support": new, "penalty": got.penalty, "moved": 0.0, "m": m, "refit": False})
+            if still >= so.still_rounds:
+                break
+            continue
         zs = z[:, active]
         keep = independent_columns(x, zs)
         refit = Problem(data.y, np.concatenate([x, zs[:, keep]], 1), problem.kernel, None, options).fit()
         moved = float((np.abs(refit.theta - theta) / np.maximum(np.abs(theta), 1e-8)).max())
-        history.append({"outer": outer, "support": new, "penalty": got.penalty, "moved": moved, "m": m})
-        same, theta, support, fit = new == support, refit.theta, new, refit
-        if same and (moved < so.theta_tol or not new):
+        history.append({"outer": outer, "support": new, "penalty": got.penalty, "moved": moved, "m": m, "refit": True})
+        theta, support, fit, settled = refit.theta, new, refit, moved < so.theta_tol
+        still = int(same and settled)
+        if same and (still >= so.still_rounds or not new):
             break
     zs = data.columns(support) if support else np.zeros((data.n, 0))
     hz = solve(np.concatenate([x, zs], 1))

@@ -8,7 +8,7 @@ import numpy as np
 
 from ..functions.linalg import limit_threads, logdet_spd, nnls, spd_solve
 from .kernels import DenseKernel, Kernel
-from .krylov import Preconditioner, lanczos, low_rank, pcg, rademacher, slq_logdet
+from .krylov import Preconditioner, lanczos, pcg, rademacher, ritz, slq_logdet
 
 
 @dataclass
@@ -28,6 +28,8 @@ class Options:
     seed: int = 0
     optimizer: str = "strict"  # or "scoring": one trial a step, downhill allowed
     scoring_tol: float = 1e-4
+    first_order: float = 0.05  # share of the variance that may move before scoring takes the log determinant anew
+    refresh: float = 0.2  # share of the genetic variance that may move between components before the preconditioner is built anew
 
 
 @dataclass
@@ -59,16 +61,43 @@ def _validate(o: Options, y: np.ndarray, x: np.ndarray) -> None:
         raise ValueError("the first share of variance lies between 0 and 1")
     if min(o.iterations, o.probes, o.slq_probes, o.slq_steps, o.pcg_iterations) < 1 or o.rank < 0 or not o.tolerances or min(o.tolerances) <= 0:
         raise ValueError("counts and tolerances must be positive")
+    if o.first_order < 0 or o.refresh < 0:
+        raise ValueError("shares that may move are not negative")
     if y.ndim != 1 or x.ndim != 2 or len(x) != len(y):
         raise ValueError("the response and the design differ in their rows")
     if not (np.isfinite(y).all() and np.isfinite(x).all()):
         raise ValueError("the response and the design must be finite")
-    if np.linalg.matrix_rank(x) < x.shape[1]:
-        raise ValueError("columns of the design depend on each other")
+    check_rank(x)
     if len(y) <= x.shape[1]:
         raise ValueError("too few samples for the design")
 
 
+#: Least ratio of the smallest to the largest eigenvalue of a design's normalised cross products.
+RANK_RATIO = 1e-10
+
+
+def check_rank(x: np.ndarray) -> None:
+    """Raises where columns of a design depend on each other: they are scaled to length 1 first, so units don't matter."""
+    size = np.linalg.norm(x, axis=0)
+    if (size == 0).any():
+        raise ValueError("a column of the design is zero: columns depend on each other")
+    if x.shape[1]:
+        values = np.linalg.eigvalsh((x / size).T @ (x / size))
+        if values[0] <= RANK_RATIO * values[-1]:
+            raise ValueError("columns of the design depend on each other")
+
+
+@dataclass
+class Work:
+    """What a stochastic fit has cost: products with the kernel, the columns in them, and runs of each part."""
+
+    products: int = 0
+    columns: int = 0
+    quadratures: int = 0
+    steps: int = 0  # of conjugate gradients
+    bases: int = 0
+
+
 class Problem:
     """One response, its fixed effects, a kernel, and residual kernels that are diagonal."""
 
@@ -85,19 +114,50 @@ class Problem:
         self.exact = exact
         self.atoms = np.concatenate([kernel.mean_diag(), self.r.mean(1)])
         self.g = kernel.size
+        self.work = Work()
         if not exact:
             self.z = rademacher(self.n, self.o.probes, self.o.seed)
-            self.kz = np.concatenate([self.kernel.stacked(self.z), self.r[:, :, None] * self.z[None]])
+            self.kz = np.concatenate([self._stacked(self.z), self.r[:, :, None] * self.z[None]])
             start = rademacher(self.n, self.o.slq_probes, self.o.seed + 1)
-            self.affine = lanczos(lambda v: self.kernel.stacked(v)[0], start, self.o.slq_steps) if self.g == 1 and len(self.r) == 1 and (self.r == 1).all() else None
+            self.affine = self._quadrature(lambda v: self._stacked(v)[0], start) if self.g == 1 and len(self.r) == 1 and (self.r == 1).all() else None
             self.start = start
-            self.pre = None
-            if self.o.rank:
-                u = low_rank(lambda v: self.kernel.weighted(self.start_theta()[: self.g], v), self.n, self.o.rank, self.o.seed)
-                self.pre = Preconditioner(u, self.kernel.core(u), self.kernel.mean_diag())
+            self.pre: Preconditioner | None = None
+            self.known: tuple[np.ndarray, float, np.ndarray] | None = None  # theta, log determinant and its gradient there
             self.warm: np.ndarray | None = None
             self.warm_ai: np.ndarray | None = None
 
+    def _stacked(self, v: np.ndarray) -> np.ndarray:
+        self.work.products, self.work.columns = self.work.products + 1, self.work.columns + v.shape[1]
+        return self.kernel.stacked(v)
+
+    def _quadrature(self, apply, start: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        self.work.quadratures += 1
+        return lanczos(apply, start, self.o.slq_steps)
+
+    def _precondition(self, theta: np.ndarray) -> Preconditioner | None:
+        """A basis of the weighted kernel and every component's core in it.
+
+        One component's core is its Ritz values.  Several need a product more,
+        and all is built anew once the components' shares of the variance have
+        moved by ``refresh``; warm starts stay.
+        """
+        own = theta[: self.g] * self.atoms[: self.g]
+        if not self.o.rank or not own.sum() > 0:
+            return self.pre
+        share = own / own.sum()
+        if self.pre is not None and (self.g == 1 or 0.5 * np.abs(share - self.pre_share).sum() <= self.o.refresh):
+            return self.pre
+        weights = share / np.where(self.atoms[: self.g] > 0, self.atoms[: self.g], 1)
+
+        def weighted(v: np.ndarray) -> np.ndarray:
+            return np.einsum("g,gnc->nc", weights, self._stacked(v))
+
+        u, values = ritz(weighted, self.n, self.o.rank, self.o.seed)
+        core = np.diag(values / weights[0])[None] if self.g == 1 else np.einsum("nk,gnl->gkl", u, self._stacked(u))
+        self.work.bases += 1
+        self.pre, self.pre_share = Preconditioner(u, core, self.kernel.mean_diag()), share
+        return self.pre
+
     def start_theta(self) -> np.ndarray:
         """The first guess spreads ``h2`` and its rest by traces."""
         own = self.atoms[: self.g] > 0
@@ -111,11 +171,12 @@ class Problem:
         return float(part[: self.g].sum() / part.sum())
 
     def hv(self, theta: np.ndarray, v: np.ndarray) -> np.ndarray:
+        self.work.products, self.work.columns = self.work.products + 1, self.work.columns + v.shape[1]
         return self.kernel.weighted(theta[: self.g], v) + (theta[self.g :] @ self.r)[:, None] * v
 
     def products(self, v: np.ndarray) -> np.ndarray:
         """``A_i v`` of all components, genetic and residual: components x n."""
-        return np.concatenate([self.kernel.stacked(v[:, None])[:, :, 0], self.r * v[None]])
+        return np.concatenate([self._stacked(v[:, None])[:, :, 0], self.r * v[None]])
 
     def evaluate(self, theta: np.ndarray, tol: float) -> _Evaluation:
         return self._exact(theta) if self.exact else self._stochastic(theta, tol)
@@ -137,12 +198,14 @@ class Problem:
     def _stochastic(self, theta: np.ndarray, tol: float) -> _Evaluation:
         n, o = self.n, self.o
         hv = lambda v: self.hv(theta, v)
-        inverse, root, log_m = (None, None, 0.0) if self.pre is None else self.pre.at(theta[: self.g], float(theta[self.g :] @ self.r.mean(1)))
+        pre = self._precondition(theta)
+        inverse, root, log_m = (None, None, 0.0) if pre is None else pre.at(theta[: self.g], float(theta[self.g :] @ self.r.mean(1)))
         rhs = np.concatenate([self.x, self.y[:, None], self.z], 1)
-        sol, worst, _ = pcg(hv, rhs, self.warm, inverse, tol, o.pcg_iterations)
+        sol, worst, steps = pcg(hv, rhs, self.warm, inverse, tol, o.pcg_iterations)
         if worst > 1.05 * tol:
             raise RuntimeError(f"conjugate gradients stopped at {worst:.2e}, asked for {tol:.2e}")
         self.warm = sol
+        self.work.steps += steps
         k = self.x.shape[1]
         hx, hy, hz = sol[:, :k], sol[:, k], sol[:, k + 1 :]
         xhx = self.x.T @ hx
@@ -156,16 +219,30 @@ class Problem:
             raise RuntimeError(f"conjugate gradients stopped at {worst:.2e}, asked for {tol:.2e}")
         self.warm_ai = hay
         pay = fix(hay, hx.T @ ay)
-        if self.affine is not None:
-            logdet = slq_logdet(self.affine, n, theta[0], theta[1])
-        elif root is not None:
-            logdet = log_m + slq_logdet(lanczos(lambda v: root(hv(root(v))), self.start, o.slq_steps), n)
-        else:
-            logdet = slq_logdet(lanczos(hv, self.start, o.slq_steps), n)
+        logdet = self._logdet(theta, np.einsum("nr,gnr->g", hz, self.kz) / o.probes, hv, root, log_m)
         loglik = -0.5 * (self.y @ py + logdet + logdet_spd(xhx)) / n
         ai = 0.5 * (ay.T @ pay) / n
         return _Evaluation(float(loglik), 0.5 * (ay.T @ py - traces) / n, (ai + ai.T) / 2, py)
 
+    def _logdet(self, theta: np.ndarray, slope: np.ndarray, hv, root, log_m: float) -> float:
+        """Log determinant of H, whose gradient at ``theta`` is ``slope``, the traces of ``H^-1 A_i``.
+
+        Scoring carries the last quadrature's value over small steps by the mean
+        of the gradients at both ends, which the probes give in any case.
+        """
+        if self.affine is not None:
+            return slq_logdet(self.affine, self.n, theta[0], theta[1])
+        if self.o.optimizer == "scoring" and self.known is not None:
+            there, value, before = self.known
+            if np.abs((theta - there) * self.atoms).sum() <= self.o.first_order * (there * self.atoms).sum():
+                return value + 0.5 * float((before + slope) @ (theta - there))
+        if root is not None:
+            value = log_m + slq_logdet(self._quadrature(lambda v: root(hv(root(v))), self.start), self.n)
+        else:
+            value = slq_logdet(self._quadrature(hv, self.start), self.n)
+        self.known = (theta.copy(), value, slope)
+        return value
+
     def floors(self) -> np.ndarray:
         return np.concatenate([np.zeros(self.g), np.full(len(self.r), self.o.floor)])
 
