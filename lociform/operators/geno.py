@@ -88,20 +88,19 @@ def _literal(c):
     return F.struct(*(F.lit(x).alias(n) for n, x in c.asDict().items())) if isinstance(c, Row) else F.lit(c)
 
 
-def right_hand_sides(v: DataFrame, value: str = "v") -> tuple[list, list[Row]]:
-    """The right-hand sides of ``v``, which are few, and a row with the total of each."""
-    rows = v.groupBy("col").agg(F.sum(value).alias("tv")).collect()
-    columns = sorted((r["col"] for r in rows), key=str)
-    return columns, rows
+def right_hand_sides(v: DataFrame) -> tuple[list, int]:
+    """The right-hand sides of ``v``, which are few, and how many numbers they hold: one job."""
+    rows = v.groupBy("col").agg(F.count("*").alias("n")).collect()
+    return sorted((r["col"] for r in rows), key=str), sum(r["n"] for r in rows)
 
 
 #: Samples or variants times right-hand sides up to which a side is broadcast (8 bytes each).
 BROADCAST = 1 << 20
 
 
-def _small(rows: DataFrame, width: int) -> DataFrame:
-    """``rows``, broadcast if they are few; they are counted first."""
-    return F.broadcast(rows) if rows.limit(BROADCAST // max(width, 1) + 1).count() <= BROADCAST // max(width, 1) else rows
+def _small(rows: DataFrame, numbers: int) -> DataFrame:
+    """``rows``, broadcast if they hold few numbers, which the caller has counted."""
+    return F.broadcast(rows) if numbers <= BROADCAST else rows
 
 
 def _unpacked(rows: DataFrame, columns: list, kind: str) -> DataFrame:
@@ -110,25 +109,57 @@ def _unpacked(rows: DataFrame, columns: list, kind: str) -> DataFrame:
     return rows.withColumn("each", F.explode(each)).select(*(c for c in rows.columns if c != "v"), "each.col", "each.value")
 
 
-def xtv(geno: DataFrame, stats: DataFrame, v: DataFrame) -> DataFrame:
-    """``variant_idx``, ``col``, ``score``: standardised columns times vectors, for every valid variant.
+def _kind(v: DataFrame) -> str:
+    return v.schema["col"].dataType.simpleString()
+
+
+def _gathered(geno: DataFrame, stats: DataFrame, v: DataFrame, columns: list, numbers: int) -> DataFrame:
+    """``variant_idx``, ``mean``, ``inv_sd``, ``v``: scores of every valid variant side by side.
 
-    A sample's right-hand sides lie side by side, so each cell is joined and
-    shuffled once however many there are.
+    A sample's right-hand sides lie in one array, so each cell is joined and
+    shuffled once however many there are; their totals, which stand for absent
+    cells, are a row of the same plan.
     """
-    kind = v.schema["col"].dataType.simpleString()
-    columns, totals = right_hand_sides(v)
-    if not columns:
-        return stats.select("variant_idx", F.lit(None).cast(kind).alias("col"), F.lit(0.0).alias("score")).limit(0)
-    total = {str(r["col"]): float(r["tv"] or 0.0) for r in totals}
-    wide = _small(packed(v, "sample_idx", "v", columns), len(columns))
+    wide = packed(v, "sample_idx", "v", columns)
+    total = v.groupBy().agg(F.array(*(F.coalesce(F.sum(F.when(F.col("col").eqNullSafe(_literal(c)), F.col("v"))), F.lit(0.0)) for c in columns)).alias("total"))
     gv = [F.sum(F.col("dosage") * F.col("v")[k]) for k in range(len(columns))]
     mv = [F.sum(F.when(F.col("dosage").isNull(), F.col("v")[k])) for k in range(len(columns))]
-    cells = geno.join(wide, "sample_idx").groupBy("variant_idx").agg(F.array(*gv).alias("gv"), F.array(*mv).alias("mv"))
-    out = stats.filter("inv_sd > 0").select("variant_idx", "mean", "inv_sd").join(cells, "variant_idx", "left")
+    cells = geno.join(_small(wide, numbers), "sample_idx").groupBy("variant_idx").agg(F.array(*gv).alias("gv"), F.array(*mv).alias("mv"))
+    out = stats.filter("inv_sd > 0").select("variant_idx", "mean", "inv_sd").join(cells, "variant_idx", "left").crossJoin(F.broadcast(total))  # one row
     zero = lambda c, k: F.coalesce(F.col(c)[k], F.lit(0.0))
-    each = [F.col("inv_sd") * (zero("gv", k) - F.col("mean") * (F.lit(total[str(c)]) - zero("mv", k))) for k, c in enumerate(columns)]
-    return _unpacked(out.select("variant_idx", F.array(*each).alias("v")), columns, kind).withColumnRenamed("value", "score")
+    each = [F.col("inv_sd") * (zero("gv", k) - F.col("mean") * (F.col("total")[k] - zero("mv", k))) for k in range(len(columns))]
+    return out.select("variant_idx", "mean", "inv_sd", F.array(*each).alias("v"))
+
+
+def _spread(geno: DataFrame, wide: DataFrame, width: int, samples: DataFrame, numbers: int) -> DataFrame:
+    """``sample_idx``, ``v``: rows of dosages times ``wide(variant_idx, mean, v)``, whose ``v`` are coefficients over the scale.
+
+    The constant that absent cells give is a row of the same plan, so what lies
+    behind ``wide`` is shuffled once for both of its uses.
+    """
+    shift = wide.groupBy().agg(F.array(*(F.coalesce(F.sum(F.col("mean") * F.col("v")[k]), F.lit(0.0)) for k in range(width))).alias("shift"))
+    dose = F.coalesce(F.col("dosage").cast("double"), F.col("mean"))
+    cells = geno.join(_small(wide, numbers), "variant_idx").groupBy("sample_idx").agg(F.array(*(F.sum(dose * F.col("v")[k]) for k in range(width))).alias("sums"))
+    each = [F.coalesce(F.col("sums")[k], F.lit(0.0)) - F.col("shift")[k] for k in range(width)]
+    return samples.select("sample_idx").join(cells, "sample_idx", "left").crossJoin(F.broadcast(shift)).select("sample_idx", F.array(*each).alias("v"))  # one row
+
+
+def _scaled(wide: DataFrame, factors: list[Column], width: int) -> DataFrame:
+    """``wide`` as coefficients over the scale: every factor times all right-hand sides, one factor after another."""
+    return wide.select("variant_idx", "mean", F.array(*(F.col("inv_sd") * F.col("v")[k] * f for f in factors for k in range(width))).alias("v"))
+
+
+def valid_count(stats: DataFrame) -> int:
+    """How many variants have a scale: the divisor of the standard kernel, and what a side of variants holds."""
+    return stats.filter("inv_sd > 0").count()
+
+
+def xtv(geno: DataFrame, stats: DataFrame, v: DataFrame) -> DataFrame:
+    """``variant_idx``, ``col``, ``score``: standardised columns times vectors, for every valid variant."""
+    columns, numbers = right_hand_sides(v)
+    if not columns:
+        return stats.select("variant_idx", F.lit(None).cast(_kind(v)).alias("col"), F.lit(0.0).alias("score")).limit(0)
+    return _unpacked(_gathered(geno, stats, v, columns, numbers).select("variant_idx", "v"), columns, _kind(v)).withColumnRenamed("value", "score")
 
 
 def zb(geno: DataFrame, stats: DataFrame, b: DataFrame, samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -139,50 +170,66 @@ def zb(geno: DataFrame, stats: DataFrame, b: DataFrame, samples: DataFrame, by:
     """
     if by:  # one right-hand side for each group and column
         b = b.withColumn("col", F.struct("col", *by))
-    kind = b.schema["col"].dataType.simpleString()
-    scaled = b.join(stats.filter("inv_sd > 0").select("variant_idx", "mean", "inv_sd"), "variant_idx").select("variant_idx", "col", "mean", (F.col("inv_sd") * F.col("b")).alias("w"))
-    columns, totals = right_hand_sides(scaled.withColumn("shift", F.col("mean") * F.col("w")), "shift")
-    shift = {str(r["col"]): float(r["tv"] or 0.0) for r in totals}
-    wide = _small(packed(scaled, "variant_idx", "w", columns, F.max("mean").alias("mean")), len(columns)) if columns else None
-    if wide is None:
-        out = samples.select("sample_idx", F.lit(None).cast(kind).alias("col"), F.lit(0.0).alias("value")).limit(0)
+    columns, numbers = right_hand_sides(b)
+    if not columns:
+        out = samples.select("sample_idx", F.lit(None).cast(_kind(b)).alias("col"), F.lit(0.0).alias("value")).limit(0)
     else:
-        own = geno.join(wide, "variant_idx")
-        dose = F.coalesce(F.col("dosage").cast("double"), F.col("mean"))
-        cells = own.groupBy("sample_idx").agg(F.array(*(F.sum(dose * F.col("v")[k]) for k in range(len(columns)))).alias("sums"))
-        each = [F.coalesce(F.col("sums")[k], F.lit(0.0)) - F.lit(shift[str(c)]) for k, c in enumerate(columns)]
-        out = _unpacked(samples.select("sample_idx").join(cells, "sample_idx", "left").select("sample_idx", F.array(*each).alias("v")), columns, kind)
+        scaled = b.join(stats.filter("inv_sd > 0").select("variant_idx", "mean", "inv_sd"), "variant_idx").withColumn("w", F.col("inv_sd") * F.col("b"))
+        wide = packed(scaled, "variant_idx", "w", columns, F.max("mean").alias("mean"))
+        out = _unpacked(_spread(geno, wide, len(columns), samples, numbers), columns, _kind(b))
     return out.select("sample_idx", "col.*", "value") if by else out
 
 
+def _product(geno: DataFrame, stats: DataFrame, v: DataFrame, samples: DataFrame, weights: DataFrame | None, factors: list[Column], numbers: int) -> tuple[DataFrame, list]:
+    """Z diag(f) Z' V for every factor f, a column over ``weights`` by variant: ``sample_idx`` and an array, factor by factor."""
+    columns, given = right_hand_sides(v)
+    wide = _gathered(geno, stats, v, columns, given)
+    if weights is not None:
+        wide = wide.join(weights, "variant_idx")
+    width = len(columns) * len(factors)
+    return _spread(geno, _scaled(wide, factors, len(columns)), width, samples, numbers * width), columns
+
+
 def kv(geno: DataFrame, stats: DataFrame, v: DataFrame, samples: DataFrame) -> DataFrame:
     """``K V`` with ``K = Z Z' / m_eff``."""
-    m_eff = stats.agg(F.count_if(F.col("inv_sd") > 0).alias("m_eff"))
-    out = zb(geno, stats, xtv(geno, stats, v).withColumnRenamed("score", "b"), samples)
-    return out.crossJoin(F.broadcast(m_eff)).select("sample_idx", "col", (F.col("value") / F.col("m_eff")).alias("value"))  # one row
+    m_eff = valid_count(stats)
+    out, columns = _product(geno, stats, v, samples, None, [F.lit(1.0 / max(m_eff, 1))], m_eff)
+    return _unpacked(out, columns, _kind(v))
+
+
+def _by_factor(out: DataFrame, names: list, name: str, columns: list, kind: str) -> DataFrame:
+    """A row for each factor's part of the arrays that ``_product`` gives."""
+    width = len(columns)
+    each = F.array(*(F.struct(F.lit(g).alias("g"), F.slice("v", k * width + 1, width).alias("v")) for k, g in enumerate(names)))
+    parts = out.select("sample_idx", F.inline(each)).select(F.col("g").alias(name), "sample_idx", "v")
+    return _unpacked(parts, columns, kind)
 
 
 def stacked_kv(geno: DataFrame, stats: DataFrame, cmap: DataFrame, v: DataFrame, samples: DataFrame) -> DataFrame:
-    """``K_g V`` of every component in one pass, keyed by ``component_idx``."""
-    effective = component_stats(stats, cmap, 1).select("component_idx", "m_eff")
-    b = xtv(geno, stats, v).join(cmap.select("variant_idx", "component_idx"), "variant_idx").withColumnRenamed("score", "b")
-    out = zb(geno, stats, b, samples, ("component_idx",)).join(F.broadcast(effective), "component_idx")
-    return out.select("component_idx", "sample_idx", "col", F.when(F.col("m_eff") > 0, F.col("value") / F.col("m_eff")).otherwise(0.0).alias("value"))
+    """``K_g V`` of every component in one pass, keyed by ``component_idx``; a variant may lie in several."""
+    rows = sorted(component_stats(stats, cmap, 1).select("component_idx", "m", "m_eff").collect())  # a row for each component
+    own = cmap.groupBy("variant_idx").agg(F.collect_set("component_idx").alias("components"))
+    factors = [F.when(F.array_contains("components", F.lit(r["component_idx"])), F.lit(1.0 / max(r["m_eff"], 1))).otherwise(F.lit(0.0)) for r in rows]
+    out, columns = _product(geno, stats, v, samples, own, factors, sum(r["m"] for r in rows))
+    return _by_factor(out, [r["component_idx"] for r in rows], "component_idx", columns, _kind(v))
 
 
 def weighted_hv(geno: DataFrame, stats: DataFrame, cmap: DataFrame, theta: DataFrame, theta_e: float, v: DataFrame, samples: DataFrame) -> DataFrame:
     """``H V = theta_e V + sum_g theta_g K_g V`` in one pass: coefficients are scaled by theta_g / m_eff_g."""
-    scale = component_stats(stats, cmap, 1).join(theta, "component_idx").filter("m_eff > 0").select("component_idx", (F.col("theta") / F.col("m_eff")).alias("scale"))
-    weight = cmap.join(F.broadcast(scale), "component_idx").select("variant_idx", "scale")
-    b = xtv(geno, stats, v).join(weight, "variant_idx").select("variant_idx", "col", (F.col("score") * F.col("scale")).alias("b"))
-    return zb(geno, stats, b, samples).join(v, ["sample_idx", "col"]).select("sample_idx", "col", (F.col("value") + theta_e * F.col("v")).alias("value"))
+    parts = component_stats(stats, cmap, 1).join(theta, "component_idx").filter("m_eff > 0").select("component_idx", "m", (F.col("theta") / F.col("m_eff")).alias("scale")).collect()
+    scale = geno.sparkSession.createDataFrame([(r["component_idx"], r["scale"]) for r in parts], "component_idx int, scale double")
+    weight = cmap.join(F.broadcast(scale), "component_idx").groupBy("variant_idx").agg(F.sum("scale").alias("scale"))  # a row for each component
+    out, columns = _product(geno, stats, v, samples, weight, [F.col("scale")], sum(r["m"] for r in parts))
+    return _unpacked(out, columns, _kind(v)).join(v, ["sample_idx", "col"]).select("sample_idx", "col", (F.col("value") + theta_e * F.col("v")).alias("value"))
 
 
 def soft_kv(geno: DataFrame, stats: DataFrame, theta: DataFrame, v: DataFrame, samples: DataFrame) -> DataFrame:
     """``Z diag(theta_k) Z' V / sum theta_k`` for every group k of ``theta(variant_idx, group_idx, w)``."""
-    total = theta.groupBy("group_idx").agg(F.sum("w").alias("total"))
-    b = xtv(geno, stats, v).join(theta, "variant_idx").join(F.broadcast(total), "group_idx").select("variant_idx", "col", "group_idx", (F.col("score") * F.col("w") / F.col("total")).alias("b"))
-    return zb(geno, stats, b, samples, ("group_idx",))
+    rows = sorted(theta.groupBy("group_idx").agg(F.sum("w").alias("total"), F.count("*").alias("n")).collect())  # a row for each group
+    sums = [F.coalesce(F.sum(F.when(F.col("group_idx") == r["group_idx"], F.col("w"))), F.lit(0.0)) / F.lit(r["total"]) for r in rows]
+    own = theta.groupBy("variant_idx").agg(F.array(*sums).alias("share"))
+    out, columns = _product(geno, stats, v, samples, own, [F.col("share")[k] for k in range(len(rows))], max((r["n"] for r in rows), default=0))
+    return _by_factor(out, [r["group_idx"] for r in rows], "group_idx", columns, _kind(v)).select("sample_idx", "col", "group_idx", "value")
 
 
 def admixed_kv(geno: DataFrame, stats: DataFrame, q: DataFrame, v: DataFrame, samples: DataFrame) -> DataFrame:
@@ -253,11 +300,6 @@ def columns_of(geno: DataFrame, stats: DataFrame, wanted: DataFrame, n: int) ->
     return wanted.join(z, "variant_idx").select("position", "variant_idx", "sample_idx", "z")
 
 
-def standardise_with(stats_train: DataFrame, variants: DataFrame) -> DataFrame:
-    """Training statistics for a test table's variants, matched by position; unknown ones are invalid."""
-    return variants.select("variant_idx").join(stats_train, "variant_idx", "left").fillna({"inv_sd": 0.0, "mean": 0.0})
-
-
 def pack_2bit(geno: DataFrame, samples: DataFrame, variants: DataFrame) -> DataFrame:
     """``variant_idx``, ``packed``, ``n``: present cells, null where missing, as the bytes that ``unpack_2bit`` reads.
 
