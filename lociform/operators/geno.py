@@ -113,21 +113,20 @@ def _kind(v: DataFrame) -> str:
     return v.schema["col"].dataType.simpleString()
 
 
-def _gathered(geno: DataFrame, stats: DataFrame, v: DataFrame, columns: list, numbers: int) -> DataFrame:
-    """``variant_idx``, ``mean``, ``inv_sd``, ``v``: scores of every valid variant side by side.
+def gathered(geno: DataFrame, stats: DataFrame, wide: DataFrame, width: int, numbers: int) -> DataFrame:
+    """``variant_idx``, ``mean``, ``inv_sd``, ``v``: scores of every valid variant side by side, from ``wide(sample_idx, v)``.
 
     A sample's right-hand sides lie in one array, so each cell is joined and
     shuffled once however many there are; their totals, which stand for absent
     cells, are a row of the same plan.
     """
-    wide = packed(v, "sample_idx", "v", columns)
-    total = v.groupBy().agg(F.array(*(F.coalesce(F.sum(F.when(F.col("col").eqNullSafe(_literal(c)), F.col("v"))), F.lit(0.0)) for c in columns)).alias("total"))
-    gv = [F.sum(F.col("dosage") * F.col("v")[k]) for k in range(len(columns))]
-    mv = [F.sum(F.when(F.col("dosage").isNull(), F.col("v")[k])) for k in range(len(columns))]
+    total = wide.groupBy().agg(F.array(*(F.coalesce(F.sum(F.col("v")[k]), F.lit(0.0)) for k in range(width))).alias("total"))
+    gv = [F.sum(F.col("dosage") * F.col("v")[k]) for k in range(width)]
+    mv = [F.sum(F.when(F.col("dosage").isNull(), F.col("v")[k])) for k in range(width)]
     cells = geno.join(_small(wide, numbers), "sample_idx").groupBy("variant_idx").agg(F.array(*gv).alias("gv"), F.array(*mv).alias("mv"))
     out = stats.filter("inv_sd > 0").select("variant_idx", "mean", "inv_sd").join(cells, "variant_idx", "left").crossJoin(F.broadcast(total))  # one row
     zero = lambda c, k: F.coalesce(F.col(c)[k], F.lit(0.0))
-    each = [F.col("inv_sd") * (zero("gv", k) - F.col("mean") * (F.col("total")[k] - zero("mv", k))) for k in range(len(columns))]
+    each = [F.col("inv_sd") * (zero("gv", k) - F.col("mean") * (F.col("total")[k] - zero("mv", k))) for k in range(width)]
     return out.select("variant_idx", "mean", "inv_sd", F.array(*each).alias("v"))
 
 
@@ -159,7 +158,8 @@ def xtv(geno: DataFrame, stats: DataFrame, v: DataFrame) -> DataFrame:
     columns, numbers = right_hand_sides(v)
     if not columns:
         return stats.select("variant_idx", F.lit(None).cast(_kind(v)).alias("col"), F.lit(0.0).alias("score")).limit(0)
-    return _unpacked(_gathered(geno, stats, v, columns, numbers).select("variant_idx", "v"), columns, _kind(v)).withColumnRenamed("value", "score")
+    wide = gathered(geno, stats, packed(v, "sample_idx", "v", columns), len(columns), numbers)
+    return _unpacked(wide.select("variant_idx", "v"), columns, _kind(v)).withColumnRenamed("value", "score")
 
 
 def zb(geno: DataFrame, stats: DataFrame, b: DataFrame, samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -183,7 +183,7 @@ def zb(geno: DataFrame, stats: DataFrame, b: DataFrame, samples: DataFrame, by:
 def _product(geno: DataFrame, stats: DataFrame, v: DataFrame, samples: DataFrame, weights: DataFrame | None, factors: list[Column], numbers: int) -> tuple[DataFrame, list]:
     """Z diag(f) Z' V for every factor f, a column over ``weights`` by variant: ``sample_idx`` and an array, factor by factor."""
     columns, given = right_hand_sides(v)
-    wide = _gathered(geno, stats, v, columns, given)
+    wide = gathered(geno, stats, packed(v, "sample_idx", "v", columns), len(columns), given)
     if weights is not None:
         wide = wide.join(weights, "variant_idx")
     width = len(columns) * len(factors)

@@ -10,18 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import t_two_sided_many
-from .geno import xtv
+from .geno import gathered
 
 X_VAR_FLOOR = 1e-8
 #: The columns of an association table, in order.
 COLUMNS = ("component_index", "component_name", "variant_index_global", "variant_index_local", "chrom", "variant_id", "cm", "bp", "a1", "a2", "af", "n_obs", "beta", "se", "beta_std", "se_std", "t", "p")
 
 
-def basis(rows: DataFrame, width: int) -> np.ndarray:
+def basis(gram: np.ndarray) -> np.ndarray:
     """A matrix R such that ``x R`` has orthonormal columns, from the Gram matrix of ``x``: p x rank, whatever the sample count."""
-    each = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"g{i}_{j}") for i in range(width) for j in range(i + 1)]
-    row = rows.agg(*each).first()
-    gram = np.array([[row[f"g{max(i, j)}_{min(i, j)}"] for j in range(width)] for i in range(width)], float)
+    width = len(gram)
     chosen: list[int] = []
     for _ in range(width):  # pivoted Cholesky: columns join while they add something new
         rest = [gram[k, k] - (gram[k, chosen] @ np.linalg.solve(gram[np.ix_(chosen, chosen)], gram[chosen, k]) if chosen else 0) if k not in chosen else 0 for k in range(width)]
@@ -34,21 +32,20 @@ def basis(rows: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def project(rows: DataFrame, width: int) -> tuple[DataFrame, int, int, float]:
-    """Residual response and basis as right-hand sides ``v(sample_idx, col, v)``: col 0 is y, then the basis.
+def project(rows: DataFrame, width: int) -> tuple[DataFrame, int, int]:
+    """``sample_idx``, ``v``: the residual of the response and then the basis, side by side; the sample count and the rank.
 
-    Also the sample count, the rank and the residual's sum of squares.
+    One pass gives the count, the Gram matrix of ``x`` and its products with the response.
     """
-    r = basis(rows, width)
-    rank = r.shape[1]
-    q = [sum((F.col("x")[i] * float(r[i, k]) for i in range(width) if r[i, k]), F.lit(0.0)) for k in range(rank)]
-    rows = rows.select("sample_idx", "y", *(c.alias(f"q{k}") for k, c in enumerate(q)))
-    fit = rows.agg(F.count("*").alias("n"), *(F.sum(F.col("y") * F.col(f"q{k}")).alias(f"c{k}") for k in range(rank))).first()
-    resid = F.col("y") - sum((F.lit(float(fit[f"c{k}"])) * F.col(f"q{k}") for k in range(rank)), F.lit(0.0))
-    rows = rows.withColumn("resid", resid)
-    square = rows.agg(F.sum(F.col("resid") * F.col("resid"))).first()[0]
-    columns = F.array(F.col("resid"), *(F.col(f"q{k}") for k in range(rank)))
-    return rows.select("sample_idx", F.posexplode(columns).alias("col", "v")), fit["n"], rank, float(square)
+    x = [F.col("x")[k] for k in range(width)]
+    each = [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(width) for j in range(i + 1)]
+    row = rows.agg(F.count("*").alias("n"), *each, *(F.sum(x[k] * F.col("y")).alias(f"y{k}") for k in range(width))).first()
+    gram = np.array([[row[f"g{max(i, j)}_{min(i, j)}"] for j in range(width)] for i in range(width)], float)
+    r = basis(gram)
+    fitted = r @ (r.T @ np.array([row[f"y{k}"] for k in range(width)], float))
+    q = [sum((x[i] * float(r[i, k]) for i in range(width) if r[i, k]), F.lit(0.0)) for k in range(r.shape[1])]
+    resid = F.col("y") - sum((x[i] * float(fitted[i]) for i in range(width) if fitted[i]), F.lit(0.0))
+    return rows.select("sample_idx", F.array(resid, *q).alias("v")), row["n"], r.shape[1]
 
 
 def scan(geno: DataFrame, stats: DataFrame, samples: DataFrame, width: int) -> DataFrame:
@@ -57,18 +54,19 @@ def scan(geno: DataFrame, stats: DataFrame, samples: DataFrame, width: int) -> D
     Invalid variants keep NaN in all estimates; a zero residual keeps NaN in
     beta, se, t and p only.
     """
-    v, n, rank, square = project(samples, width)
+    wide, n, rank = project(samples, width)
     dof = n - rank - 1
     if dof <= 0:
         raise ValueError("too few samples for the covariates")
-    scores = xtv(geno, stats, v)
-    sums = scores.groupBy("variant_idx").agg(F.sum(F.when(F.col("col") == 0, F.col("score"))).alias("zy"), F.sum(F.when(F.col("col") > 0, F.col("score") * F.col("score"))).alias("zq"))
-    rows = stats.select("variant_idx", "cnt", "mean", "inv_sd").join(sums, "variant_idx", "left")
+    zq = sum((F.col("v")[k] * F.col("v")[k] for k in range(1, rank + 1)), F.lit(0.0))
+    sums = gathered(geno, stats, wide, rank + 1, n * (rank + 1)).select("variant_idx", F.col("v")[0].alias("zy"), zq.alias("zq"))
+    square = wide.agg(F.sum(F.col("v")[0] * F.col("v")[0]).alias("square"))
+    rows = stats.select("variant_idx", "cnt", "mean", "inv_sd").join(sums, "variant_idx", "left").crossJoin(F.broadcast(square))  # one row
     x_var = F.col("cnt") - F.coalesce("zq", F.lit(0.0))
     valid = (F.col("inv_sd") > 0) & (x_var > X_VAR_FLOOR)
     nan = F.lit(float("nan"))
     rows = rows.withColumn("x_var", x_var).withColumn("valid", valid).withColumn("beta_std", F.when(F.col("valid"), F.col("zy") / F.col("x_var")).otherwise(nan))
-    rss = F.greatest(F.lit(square) - F.col("beta_std") * F.col("zy"), F.lit(0.0))
+    rss = F.greatest(F.col("square") - F.col("beta_std") * F.col("zy"), F.lit(0.0))
     rows = rows.withColumn("se_std", F.when(F.col("valid"), F.sqrt(rss / dof / F.col("x_var"))).otherwise(nan))
     firm = F.col("valid") & (F.col("se_std") > 0)
     rows = rows.select(

@@ -97,9 +97,10 @@ def covar_mode_width(t: Tables) -> DataFrame:
     UNION ALL SELECT 1, round(avg(x1), 4) + 0.0, round(stddev_pop(x1), 4) + 0.0, stddev_pop(x1) > 0 FROM covar UNION ALL SELECT 2, round(avg(x2), 4) + 0.0, round(stddev_pop(x2), 4) + 0.0, stddev_pop(x2) > 0 FROM covar
     UNION ALL SELECT 3, round(avg(x3), 4) + 0.0, round(stddev_pop(x3), 4) + 0.0, stddev_pop(x3) > 0 FROM covar""")
 def covar_transform(t: Tables) -> DataFrame:
-    rows = t.covar().select(F.posexplode("cov").alias("covariate", "x"))
-    out = rows.groupBy("covariate").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
-    return out.select("covariate", (F.round("mean", 4) + 0.0).alias("mean"), (F.round("sd", 4) + 0.0).alias("sd"), (F.col("sd") > 0).alias("keep"))
+    fit = align.CovariateTransform.fit(t.covar(), 4)
+    rows = [(k, float(fit.mean[k]), float(fit.sd[k]), bool(fit.keep[k])) for k in range(4)]
+    out = t.spark.createDataFrame(rows, "covariate int, mean double, sd double, keep boolean")
+    return out.select("covariate", (F.round("mean", 4) + 0.0).alias("mean"), (F.round("sd", 4) + 0.0).alias("sd"), "keep")
 
 
 @query("""SELECT iid, round((x0 - (SELECT avg(x0) FROM covar)) / (SELECT stddev_pop(x0) FROM covar), 6) + 0.0 AS z0, round((x1 - (SELECT avg(x1) FROM covar)) / (SELECT stddev_pop(x1) FROM covar), 6) + 0.0 AS z1,
@@ -537,17 +538,35 @@ def kkt_violators(t: Tables) -> DataFrame:
     return _rounded(screen.kkt_violators(_scores(t), t.variants().filter("variant_idx % 2 = 0"), 20.0), "score")
 
 
-@query("SELECT CAST(k AS INTEGER) AS k, round(exp(ln(2.0) + k * (ln(0.1) - ln(2.0)) / 9), 6) + 0.0 AS lam FROM range(10) r(k)", tables=False)
+@query(f"SELECT CAST(k AS INTEGER) AS k, round(exp(ln(top) + k * (ln(0.05 * top) - ln(top)) / 9), 6) + 0.0 AS lam FROM (SELECT max(abs(score)) AS top FROM {_S0}), range(10) r(k)")
 def lambda_path_grid(t: Tables) -> DataFrame:
-    rows = [(k, float(x)) for k, x in enumerate(lambda_path(2.0, 0.05, 10))]
+    """Penalties down from the largest score, under which nothing is selected."""
+    top = _scores(t).agg(F.max(F.abs("score"))).first()[0]
+    rows = [(k, float(x)) for k, x in enumerate(lambda_path(top, 0.05, 10))]
     return _rounded(t.spark.createDataFrame(rows, "k int, lam double"), "lam")
 
 
-@query("""SELECT k, lam, round(e, 6) + 0.0 AS ebic FROM (SELECT *, 100 * ln(rss / 100) + k * ln(100) + 2 * 0.5 * (lgamma(51) - lgamma(k + 1) - lgamma(50 - k + 1)) AS e
-    FROM (SELECT CAST(i AS INTEGER) AS k, 2.0 / (i + 1) AS lam, 60.0 / (1 + i) + 3 AS rss FROM range(12) r(i))) ORDER BY e, k LIMIT 1""", tables=False)
+_NATIONS = """, o AS (SELECT CAST(c_nationkey AS BIGINT) AS nation, CAST(c_acctbal AS DOUBLE) - 4500 + 3000 * (c_nationkey % 5 - 2) AS y FROM customer),
+    g AS (SELECT nation, CAST(count(*) AS DOUBLE) AS n, sum(y) AS q FROM o GROUP BY 1), tot AS (SELECT sum(y * y) AS yy, CAST(count(*) AS DOUBLE) AS n, (SELECT count(*) FROM g) AS p, (SELECT max(abs(q)) FROM g) AS top FROM o),
+    pen AS (SELECT k, exp(ln(top) + k * ln(0.05) / 59) AS lam FROM tot, range(60) r(k)),
+    beta AS (SELECT k, lam, nation, n, q, CASE WHEN abs(q) > lam * (1 + 1e-12) THEN sign(q) * (abs(q) - lam) / n ELSE 0 END AS b FROM pen, g),
+    path AS (SELECT k, lam, count(*) FILTER (b <> 0) AS size, any_value(yy) - sum(2 * b * q - n * b * b) AS rss FROM (SELECT beta.*, yy FROM beta, tot) GROUP BY 1, 2),
+    crit AS (SELECT path.*, tot.n * ln(rss / tot.n) + size * ln(tot.n) + 2 * 0.5 * CASE WHEN size > 0 THEN lgamma(p + 1) - lgamma(size + 1) - lgamma(p - size + 1) ELSE 0 END AS e FROM path, tot),
+    best AS (SELECT * FROM crit ORDER BY e, size, k LIMIT 1)"""
+
+
+@query(f"{_NATIONS} SELECT nation, round(b, 5) + 0.0 AS beta, round(best.lam, 5) + 0.0 AS lam, CAST(best.size AS INTEGER) AS size, round(best.e, 5) + 0.0 AS ebic FROM beta JOIN best USING (k) WHERE b <> 0")
 def ebic_select(t: Tables) -> DataFrame:
-    path = t.spark.range(12).select(F.col("id").cast("int").alias("k"), (2.0 / (F.col("id") + 1)).alias("lam"), (60.0 / (1 + F.col("id")) + 3).alias("rss"))
-    return _rounded(screen.ebic_best(path, 100, 50).select("k", "lam", "ebic"), "ebic")
+    """The solver's whole path and its choice, over columns that mark a customer's nation: they are orthogonal, so SQL has the solutions."""
+    y = F.col("c_acctbal").cast("double") - 4500 + 3000 * (F.col("c_nationkey") % 5 - 2)
+    rows = t.read("customer").select(F.col("c_nationkey").cast("long").alias("nation"), y.alias("y"))
+    sums = rows.groupBy("nation").agg(F.count("*").alias("n"), F.sum("y").alias("q"), F.sum(F.col("y") * F.col("y")).alias("yy")).orderBy("nation").collect()  # 25 nations
+    gram, q = np.diag([float(r["n"]) for r in sums]), np.array([r["q"] for r in sums])
+    o = lasso.LassoOptions(patience=60, tol=1e-12)
+    got = lasso.select(gram, q, sum(r["yy"] for r in sums), int(np.trace(gram)), len(sums), o)
+    size = int((got.beta != 0).sum())
+    out = [(int(r["nation"]), round(float(b), 5) + 0.0, round(got.penalty, 5) + 0.0, size, round(got.criterion, 5) + 0.0) for r, b in zip(sums, got.beta) if b != 0]
+    return t.spark.createDataFrame(out, "nation long, beta double, lam double, size int, ebic double")
 
 
 @query(f"SELECT variant_idx, round(CASE WHEN abs(score) > 15 THEN sign(score) * (abs(score) - 15) ELSE 0 END, 6) + 0.0 AS beta FROM {_S0}")
@@ -587,13 +606,27 @@ def admixed_summary(t: Tables) -> DataFrame:
     return _rounded(screen.admixed_summary(t.admixture(), geno.exact_diag(g.geno, g.stats, g.samples), parts), "weighted_genetic", "weighted_sigma", "weighted_h2")
 
 
-@query("SELECT CAST(0 AS INTEGER) AS i, CAST(0 AS INTEGER) AS j, round(sum(a.z * a.z) / (SELECT n FROM cnt), 6) + 0.0 AS g FROM z a WHERE a.variant_idx = 3 UNION ALL SELECT 0, 1, round(sum(a.z * c.z) / (SELECT n FROM cnt), 6) + 0.0 FROM z a JOIN z c USING (sample_idx) WHERE a.variant_idx = 3 AND c.variant_idx = 11 UNION ALL SELECT 1, 1, round(sum(a.z * a.z) / (SELECT n FROM cnt), 6) + 0.0 FROM z a WHERE a.variant_idx = 11")
+_GLS = """, r AS (SELECT sample_idx, pheno / 1000 AS y, 1.0 / (1 + x0) AS w FROM samples JOIN pheno USING (iid) JOIN covar USING (iid)),
+    c AS (SELECT 0 AS i, sample_idx, z FROM z WHERE variant_idx = 3 UNION ALL SELECT 1, sample_idx, z FROM z WHERE variant_idx = 11 UNION ALL SELECT 2, sample_idx, y FROM r),
+    s AS (SELECT i, sum(w * z) AS s FROM c JOIN r USING (sample_idx) GROUP BY 1), t AS (SELECT sum(w) + 1e-6 AS w FROM r),
+    m AS (SELECT a.i AS i, b.i AS j, sum(w * a.z * b.z) AS m FROM c a JOIN c b USING (sample_idx) JOIN r USING (sample_idx) GROUP BY 1, 2)"""
+
+
+@query(f"{_GLS} SELECT CAST(m.i AS INTEGER) AS i, CAST(m.j AS INTEGER) AS j, round(m - a.s * b.s / w, 5) + 0.0 AS g FROM m JOIN s a ON a.i = m.i JOIN s b ON b.i = m.j, t WHERE m.i <= m.j")
 def gls_normal_eq(t: Tables) -> DataFrame:
+    """Normal equations of two variants and the response under H, a diagonal of nations, with the intercept profiled out."""
     g = G(t)
+    kept = g.samples.join(t.pheno(), "iid").join(t.covar(), "iid").select("sample_idx", (F.col("pheno") / 1000).alias("y"), F.col("cov")[0].alias("x0")).orderBy("sample_idx").toPandas()  # n rows, as every solve
     wanted = t.spark.sql("SELECT * FROM VALUES (0, 3L), (1, 11L) AS t(position, variant_idx)")
-    z = geno.columns_of(g.geno, g.stats, wanted, g.n)
-    a, b = z.select(F.col("position").alias("i"), "sample_idx", F.col("z").alias("x")), z.select(F.col("position").alias("j"), "sample_idx", F.col("z").alias("y"))
-    return a.join(b, "sample_idx").filter("i <= j").groupBy("i", "j").agg(r6(F.sum(F.col("x") * F.col("y")) / g.n).alias("g"))
+    z = np.zeros((g.n, 2))
+    for r in geno.columns_of(g.geno, g.stats, wanted, g.n).toPandas().itertuples():
+        z[r.sample_idx, r.position] = r.z
+    h, y, x = 1 + kept["x0"].to_numpy(), kept["y"].to_numpy(), np.ones((len(kept), 1))
+    z = z[kept["sample_idx"].to_numpy()]
+    gram, q, square = lasso.profile(z, z / h[:, None], x, x / h[:, None], y, y / h)
+    full = np.block([[gram, q[:, None]], [q[None], np.array([[square]])]])
+    rows = [(i, j, round(float(full[i, j]), 5) + 0.0) for i in range(3) for j in range(i, 3)]
+    return t.spark.createDataFrame(rows, "i int, j int, g double")
 
 
 # --- merging, grouping, summaries --------------------------------------------
@@ -659,9 +692,8 @@ def replicate_se(t: Tables) -> DataFrame:
 def snp_effects(t: Tables) -> DataFrame:
     """theta_g Z_g' alpha / m_eff,g for a given alpha = P y."""
     g = G(t)
-    m = geno.component_stats(g.stats, g.cmap, g.n).select("component_idx", "m_eff")
-    out = _scores(t).join(g.cmap, "variant_idx").join(F.broadcast(m), "component_idx")
-    return _rounded(out.select("component_idx", "local_idx", "variant_idx", (0.5 * F.col("score") / F.col("m_eff")).alias("beta")), "beta")
+    kernel = SparkKernel.build(g.geno, g.stats, g.cmap, g.n, 8)
+    return _rounded(kernel.effects(_signs(g.n)[:, 0], np.full(kernel.size, 0.5)), "beta")
 
 
 @query("SELECT sample_idx, round(100 + 20 * (0.25 + zb), 5) + 0.0 AS y_pred FROM (SELECT sample_idx, sum(z * b) AS zb FROM z JOIN b USING (variant_idx) GROUP BY 1)")
@@ -685,10 +717,10 @@ def support_lookup(t: Tables) -> DataFrame:
 # --- iterative fits: no SQL, held against dense algebra in the tests ----------
 
 
-def _data(t: Tables, components: DataFrame | None = None):
+def _data(t: Tables, components: DataFrame | None = None, response: DataFrame | None = None):
     from .models import Data
 
-    rows = t.samples().join(t.pheno(), "iid").select("sample_idx", "iid", F.col("pheno").alias("y"), F.array(F.lit(1.0)).alias("x"))
+    rows = t.samples().join(t.pheno() if response is None else response, "iid").select("sample_idx", "iid", F.col("pheno").alias("y"), F.array(F.lit(1.0)).alias("x"))
     one = t.variants().select(F.lit(0).alias("component_idx"), "variant_idx")
     return Data.of(t.geno(), t.variants(), rows, one if components is None else components)
 
@@ -721,12 +753,13 @@ def reml_effects(t: Tables) -> DataFrame:
     return model.effects().snps
 
 
-@query("SELECT sample_idx, round((pheno - (SELECT avg(pheno) FROM pheno JOIN samples USING (iid))) / ((SELECT stddev_pop(pheno) FROM pheno JOIN samples USING (iid)) + 1e-6), 4) + 0.0 AS value FROM samples JOIN pheno USING (iid)")
-def reml_decomposition(t: Tables) -> DataFrame:
-    """A fit's fixed effects, its variants' effects summed over genotypes, and its residuals give the response again."""
+_RESPONSE = "SELECT sample_idx, round((pheno - (SELECT avg(pheno) FROM pheno JOIN samples USING (iid))) / ((SELECT stddev_pop(pheno) FROM pheno JOIN samples USING (iid)) + 1e-6), 4) + 0.0 AS value FROM samples JOIN pheno USING (iid)"
+
+
+def _decomposed(t: Tables, options=None) -> DataFrame:
     from .models import Model
 
-    model = Model(_data(t, t.components()))
+    model = Model(_data(t, t.components()), options)
     fit = model.fit()
     e, d = model.effects(), model.data
     rest = d.x @ e.fixed + fit.theta[-1] * e.alpha
@@ -735,18 +768,47 @@ def reml_decomposition(t: Tables) -> DataFrame:
     return rows.select("sample_idx", (F.round(F.col("value") + F.col("v"), 4) + 0.0).alias("value"))
 
 
-@query("SELECT TRUE AS converged, 1.0 AS share, n - 1 AS degrees FROM cnt")
-def reml_stationary(t: Tables) -> DataFrame:
-    """At a maximum of the restricted likelihood y'Py is n less the columns of the design."""
+def _probes(**more):
+    """Fits by probes over packed blocks, never dense; the basis spans the fixture's 25 variants."""
+    from .reml import Options
+
+    return Options(method="stochastic", rank=32, **more)
+
+
+@query(_RESPONSE)
+def reml_decomposition(t: Tables) -> DataFrame:
+    """A fit's fixed effects, its variants' effects summed over genotypes, and its residuals give the response again."""
+    return _decomposed(t)
+
+
+@query(_RESPONSE)
+def reml_decomposition_probes(t: Tables) -> DataFrame:
+    """The same of a fit by probes, whose solves must be tight for it."""
+    return _decomposed(t, _probes(solve_tol=1e-8))
+
+
+def _stationary(t: Tables, options=None) -> DataFrame:
     from .models import Model
 
-    model = Model(_data(t))
+    model = Model(_data(t), options)
     fit = model.fit()
     py, _ = model.problem.projected_response(fit.theta)
     degrees = model.data.n - model.data.x.shape[1]
     return t.spark.createDataFrame([(fit.converged, round(float(model.problem.y @ py) / degrees, 2), degrees)], "converged boolean, share double, degrees long")
 
 
+@query("SELECT TRUE AS converged, 1.0 AS share, n - 1 AS degrees FROM cnt")
+def reml_stationary(t: Tables) -> DataFrame:
+    """At a maximum of the restricted likelihood y'Py is n less the columns of the design."""
+    return _stationary(t)
+
+
+@query("SELECT TRUE AS converged, 1.0 AS share, n - 1 AS degrees FROM cnt")
+def reml_stationary_probes(t: Tables) -> DataFrame:
+    """Probes of signs keep that: their quadratic forms with the identity are n exactly."""
+    return _stationary(t, _probes(tolerances=(1e-3, 1e-4)))
+
+
 @query()
 def merge_refit(t: Tables) -> DataFrame:
     from .models import merge
@@ -759,7 +821,7 @@ def merge_refit(t: Tables) -> DataFrame:
 def sparse_reml(t: Tables) -> DataFrame:
     from .models import SparseOptions, sparse
 
-    got = sparse(_data(t), so=SparseOptions(outer=2))
+    got = sparse(_data(t, response=t.spending()), so=SparseOptions())
     rows = [(int(v), float(b), float(got.h2)) for v, b in zip(got.support, got.beta)]
     return t.spark.createDataFrame(rows, "variant_idx long, beta double, h2 double")
 
@@ -770,7 +832,7 @@ def relax_groups(t: Tables) -> DataFrame:
 
     data = _data(t)
     start = np.array([[((v * 7919 + g * 104729) % 1009) + 1.0 for g in range(2)] for v in range(data.stats.filter("inv_sd > 0").count())])
-    got = relax(data, start, outers=1, trials=1)
+    got = relax(data, start)
     rows = [(v, g, float(got.theta[k, g])) for k, v in enumerate(got.variants) for g in range(2)]
     return t.spark.createDataFrame(rows, "variant_idx long, group_idx int, w double")
 

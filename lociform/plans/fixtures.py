@@ -26,6 +26,14 @@ class Tables:
         c = self.read("customer")
         return c.select(F.col("c_custkey").cast("long").alias("iid"), F.when(F.col("c_custkey") % 50 != 0, F.col("c_acctbal").cast("double")).alias("pheno"))
 
+    def spending(self) -> DataFrame:
+        """``iid``, ``pheno``: what a customer's line items of three brands cost, so some variants have effects to find."""
+        line = self.read("lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"))
+        orders = self.read("orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").cast("long").alias("iid"))
+        part = self.read("part").filter(F.col("p_brand").isin("Brand#11", "Brand#23", "Brand#42")).select(F.col("p_partkey").alias("p"))
+        spent = line.join(orders, "o").join(part, "p").groupBy("iid").agg(F.count("*").cast("double").alias("items"))
+        return self.pheno().filter("pheno IS NOT NULL").join(spent, "iid", "left").select("iid", (F.col("pheno") / 5000 + 2 * F.coalesce("items", F.lit(0.0))).alias("pheno"))
+
     def samples(self) -> DataFrame:
         """``sample_idx``, ``iid``: customers with orders and a phenotype, in key order."""
         o = self.read("orders").select(F.col("o_custkey").cast("long").alias("iid"))

@@ -315,16 +315,22 @@ def write_relaxation(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{prefix}.theta").withColumn("w", r6("w")).join(parts, "group_idx")
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(ai AS DOUBLE) AS ai, CAST(theta AS DOUBLE) AS theta, CAST(grad AS DOUBLE) AS grad, TRUE AS converged FROM (VALUES (0, 0, 2, 0.5, 0.01), (0, 1, 1, 0.5, 0.01), (1, 0, 1, 0.25, -0.02), (1, 1, 3, 0.25, -0.02)) AS a(i, j, ai, theta, grad)", tables=False)
+@query("""SELECT CAST(a.col AS INTEGER) AS i, CAST(b.col AS INTEGER) AS j, round(any_value(g), 5) + 0.0 AS ai, any_value(theta) AS theta, any_value(s) AS grad, TRUE AS converged FROM (VALUES (0), (1)) a(col), (VALUES (0), (1)) b(col),
+    (SELECT x.col AS p, y.col AS q, sum(x.score * y.score) AS g FROM zv x JOIN zv y USING (variant_idx) GROUP BY 1, 2), theta, (SELECT col, sum(v) AS s FROM v GROUP BY 1) sv WHERE p = a.col AND q = b.col AND component_idx = a.col AND sv.col = a.col GROUP BY 1, 2""")
 def write_fit(t: Tables) -> DataFrame:
-    """The information matrix, components and gradient of a fit, as arrays, with their statistics."""
+    """The information matrix, components and gradient of a fit, as arrays, with their statistics; all three are taken from the tables."""
     from types import SimpleNamespace
 
-    prefix = files.scratch(t.spark, "fit")
-    sinks.write_fit(prefix, SimpleNamespace(theta=np.array([0.5, 0.25]), ai=np.array([[2.0, 1.0], [1.0, 3.0]]), score=np.array([0.01, -0.02]), loglik=-2.0, h2=0.5, converged=True, history=[1]))
+    g, prefix = G(t), files.scratch(t.spark, "fit")
+    score = geno.xtv(g.geno, g.stats, t.v()).groupBy("variant_idx").pivot("col", [0, 1]).agg(F.first("score"))
+    sums = score.agg(*(F.sum(F.col(str(i)) * F.col(str(j))).alias(f"{i}{j}") for i in (0, 1) for j in (0, 1))).first()
+    own = {r["component_idx"]: r["theta"] for r in t.theta().collect()}
+    grad = {r["col"]: r["s"] for r in t.v().groupBy("col").agg(F.sum("v").alias("s")).collect()}
+    fit = SimpleNamespace(theta=np.array([own[0], own[1]]), ai=np.array([[sums["00"], sums["01"]], [sums["10"], sums["11"]]]), score=np.array([grad[0], grad[1]]), loglik=-2.0, h2=0.5, converged=True, history=[1])
+    sinks.write_fit(prefix, fit)
     ai, theta, grad = (np.load(io.BytesIO(files.get(f"{prefix}.{n}.npy"))) for n in ("ai", "theta", "grad"))
     done = json.loads(files.get(f"{prefix}.ai_stats.json"))["converged"]
-    return t.spark.createDataFrame([(i, j, float(ai[i, j]), float(theta[i]), float(grad[i]), done) for i in range(2) for j in range(2)], "i int, j int, ai double, theta double, grad double, converged boolean")
+    return t.spark.createDataFrame([(i, j, round(float(ai[i, j]), 5) + 0.0, float(theta[i]), float(grad[i]), done) for i in range(2) for j in range(2)], "i int, j int, ai double, theta double, grad double, converged boolean")
 
 
 # --- rules that had no query ---------------------------------------------------

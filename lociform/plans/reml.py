@@ -29,6 +29,7 @@ class Options:
     optimizer: str = "strict"  # or "scoring": one trial a step, downhill allowed
     scoring_tol: float = 1e-4
     first_order: float = 0.05  # share of the variance that may move before scoring takes the log determinant anew
+    solve_tol: float = 1e-3  # of the solves behind effects
     refresh: float = 0.2  # share of the genetic variance that may move between components before the preconditioner is built anew
 
 
@@ -296,14 +297,16 @@ class Problem:
         """``H^-1 b``: exactly, or by conjugate gradients that must reach ``tol``."""
         if self.exact:
             return np.linalg.solve(np.einsum("g,gij->ij", theta[: self.g], self.kernel.k) + np.diag(theta[self.g :] @ self.r), b)
-        x, worst, _ = pcg(lambda v: self.hv(theta, v), b, tol=tol, most=self.o.pcg_iterations)
+        pre = self._precondition(theta)
+        inverse = pre.at(theta[: self.g], float(theta[self.g :] @ self.r.mean(1)))[0] if pre else None
+        x, worst, _ = pcg(lambda v: self.hv(theta, v), b, None, inverse, tol, self.o.pcg_iterations)
         if worst > 1.05 * tol:
             raise RuntimeError(f"conjugate gradients stopped at {worst:.2e}, asked for {tol:.2e}")
         return x
 
-    def projected_response(self, theta: np.ndarray, tol: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    def projected_response(self, theta: np.ndarray, tol: float | None = None) -> tuple[np.ndarray, np.ndarray]:
         """``P y`` and the fixed effects at ``theta``."""
-        sol = self.solve(theta, np.concatenate([self.x, self.y[:, None]], 1), tol)
+        sol = self.solve(theta, np.concatenate([self.x, self.y[:, None]], 1), tol or self.o.solve_tol)
         k = self.x.shape[1]
         beta = spd_solve(self.x.T @ sol[:, :k], self.x.T @ sol[:, k])
         return sol[:, k] - sol[:, :k] @ beta, beta
