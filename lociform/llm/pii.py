@@ -8,9 +8,9 @@ base format takes.  Boosted trees score these by format and context; a kind's
 threshold is calibrated on held-out examples.  Of what reaches it, spans that
 overlap a base span go, then of overlapping ones all but the first and longest.
 
-Trees learn from made-up examples and from a bounded sample (``WEAK`` of each
-kind and label) of candidates over the whole corpus.  These are labelled by weak
-rules: a candidate inside a base span is personal, one that touches neither a
+Trees learn from made-up examples and from candidates of some ``DOCS`` documents
+that a hash chooses over the whole corpus, at most ``WEAK`` of each kind and
+label; all documents are scored.  Candidates are labelled by weak rules: a candidate inside a base span is personal, one that touches neither a
 base span nor a match of a base generator that fails its format is not, and
 others are left out.
 
@@ -57,6 +57,8 @@ ADDED = ("number", "account", "spelled", "cardpart", "phonepart")
 KINDS = (*BASE, *ADDED)
 #: The most weakly labelled candidates of each kind and label that trees learn from.
 WEAK = 400
+#: About how many documents they are taken from; learning costs a part of a pass beyond it.
+DOCS = 4096
 _FENCE, _STAND_IN, _BLOCK = "\x01", "\x02", 256
 _SPAN = "struct<kind:string,start:long,end:long>"
 
@@ -189,10 +191,19 @@ def model(kind: str) -> Boosted:
     return Boosted().fit(*examples(kind))
 
 
+def _some(docs: DataFrame, most: int = 0) -> DataFrame:
+    """Texts of about ``DOCS`` documents (or ``most``), chosen by a hash of the whole text; all of a smaller table."""
+    total = docs.count()
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    if total <= (most or DOCS):
+        return texts
+    return texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((most or DOCS) / total * (1 << 30)))
+
+
 def models(docs: DataFrame) -> dict[str, Boosted]:
     """Trees of each added kind, from made-up examples and weakly labelled candidates of the corpus."""
     own: dict[str, list] = {kind: [] for kind in ADDED}
-    for row in sorted(weak(docs).collect()):
+    for row in sorted(weak(_some(docs)).collect()):
         own[row["kind"]].append((features(row["kind"], row["match"], row["before"]), int(row["label"])))
     out = {}
     for kind, more in own.items():

@@ -112,6 +112,7 @@ def test_pii_weak_labels(spark):
     assert rows[("phonepart", "+1 (555) 123-4567")] == 1 and rows[("number", "12.34")] == 0 and rows[("cardpart", "4111 1111 1111 1111")] == 1
     many = spark.range(3000).select(F.concat(F.lit("go 12."), (F.col("id") + 1000).cast("string"), F.lit(" on")).alias("text"))
     assert pii.weak(many, 50).count() == 50
+    assert pii._some(many).count() == 3000 and 350 < pii._some(many, 500).count() < 650
 
 
 def test_secrets_base_spans_and_ledger(spark):
