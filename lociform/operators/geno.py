@@ -58,6 +58,16 @@ def overlapping(components: DataFrame) -> DataFrame:
     return components.groupBy("variant_idx").agg(F.count("*").alias("claims")).filter("claims > 1")
 
 
+def check_components(components: DataFrame, m: int) -> None:
+    """Raises on a claim outside ``m`` variants, and on a variant that is claimed twice, by one component or by several."""
+    outside = components.filter((F.col("variant_idx") < 0) | (F.col("variant_idx") >= m) | F.col("variant_idx").isNull()).orderBy("component_idx", "variant_idx").limit(1).collect()
+    if outside:
+        raise ValueError(f"component {outside[0]['component_idx']} names variant {outside[0]['variant_idx']} of {m}")
+    twice = overlapping(components).orderBy("variant_idx").limit(1).collect()
+    if twice:
+        raise ValueError(f"components overlap: variant {twice[0]['variant_idx']} is claimed {twice[0]['claims']} times")
+
+
 def same_coverage(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows by which two component tables differ in the variants they cover, as multisets."""
     a, b = before.select("variant_idx"), after.select("variant_idx")

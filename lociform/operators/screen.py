@@ -149,12 +149,6 @@ def admixed_summary(shares: DataFrame, diag: DataFrame, components: DataFrame) -
     return rows.agg(F.avg("genetic").alias("weighted_genetic"), F.avg("sigma").alias("weighted_sigma"), F.avg(F.when(total > 0, F.col("genetic") / total)).alias("weighted_h2"))
 
 
-def component_h2(components: DataFrame) -> DataFrame:
-    """``h2`` of each of ``components(ancestry, tau2, sigma2, genetic_atom, residual_atom)``; null without variance."""
-    g, e = F.col("tau2") * F.col("genetic_atom"), F.col("sigma2") * F.col("residual_atom")
-    return components.select("ancestry", F.when(g + e > 0, g / (g + e)).alias("h2"))
-
-
 def predict(parts: DataFrame, mean: float, scale: float) -> DataFrame:
     """Predictions on the raw scale from ``parts(sample_idx, fixed_effect, random_effect)``."""
     std = F.col("fixed_effect") + F.col("random_effect")

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import geno, screen
+from ..operators import align, geno, screen
 from ..sources import bed, files, specs
 from .catalog import _KV, _KV_W, G, _products, _rounded, _signs, query
 from .fixtures import Tables
@@ -56,6 +56,14 @@ def kernel_bed_components(t: Tables) -> DataFrame:
     return _products(t, SparkKernel.of_bed(t.spark, _bed(t, g), g.n, g.cmap, width=WIDTH))
 
 
+@query("SELECT iid, CAST(row_number() OVER (ORDER BY sample_idx) - 1 AS BIGINT) AS rank, sample_idx FROM samples WHERE iid % 7 <> 3")
+def keep_order(t: Tables) -> DataFrame:
+    """Positions of kept samples, which must follow the file's order."""
+    samples = t.samples()
+    kept = align.ordered(samples.filter("iid % 7 <> 3"), "sample_idx").select("iid", F.col("number").alias("rank"))
+    return align.subsequence(samples, kept).select("iid", "rank", "sample_idx")
+
+
 def _weight_files(t: Tables) -> list[str]:
     """The fixture's weight blocks as files, as a user would hand them in."""
     dense: dict[int, np.ndarray] = {}

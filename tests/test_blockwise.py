@@ -225,3 +225,15 @@ def test_data_from_a_file_equals_data_from_cells(spark, path, genotypes):
         models.Data.of_bed(spark, path, people.filter("sample_idx > 2"), variants, aligned, one)
     a.close()
     b.close()
+
+
+def test_prediction_needs_the_training_geometry(spark):
+    frame = spark.createDataFrame
+    stats = frame([(0, 1.0), (1, 1.0), (2, 0.0), (3, 1.0)], "variant_idx long, inv_sd double")
+    cmap = frame([(0, 0, 0), (0, 1, 1), (0, 2, 2), (1, 0, 3)], "component_idx int, local_idx long, variant_idx long")
+    good = [(0, 0, 0, 0.5), (0, 1, 1, 0.1), (1, 0, 3, 0.2)]
+    schema = "component_idx int, local_idx long, variant_idx long, beta double"
+    models.check_geometry(frame(good, schema), stats, cmap)
+    for bad in (good[:2], [*good, (0, 0, 0, 0.1)], [*good, (2, 0, 0, 0.1)], [(1, 0, 0, 0.5), *good[1:]], [(0, 5, 0, 0.5), *good[1:]], [(0, 0, 0, float("nan")), *good[1:]], [*good, (0, 2, 2, 0.1)]):
+        with pytest.raises(ValueError, match="differ"):
+            models.check_geometry(frame(bad, schema), stats, cmap)
