@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,16 +40,22 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of ``BATCH_BYTES`` in the jobs that start inside: an executor holds several at a time."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor costs no rerun."""
     path = fresh_path(df.sparkSession, name)
-    conf = df.sparkSession.conf
-    before = conf.get(BATCH)
-    conf.set(BATCH, BATCH_BYTES)
-    try:
+    with small_batches(df.sparkSession):
         df.write.parquet(path)
-    finally:
-        conf.set(BATCH, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out

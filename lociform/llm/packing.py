@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import vocabulary
-from .common import id_and_text, strings, tidy
+from .common import id_and_text, saved, strings, tidy
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, moved boolean"
 #: Tokens in open windows of a task before they are settled, and bytes of input that a task should have.
@@ -148,8 +148,9 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, window: int = 1024, separator: int = 0) -> DataFrame:
     """A row for each piece of a document: where it lies in the document and in its sequence.
 
-    One pass over the scan without a shuffle.  A task holds one batch of texts
-    and the ids of its open windows, at most ``HELD``.
+    One pass over the scan without a shuffle.  A task holds one small batch of texts
+    and the ids of its open windows, at most ``HELD``; the pieces, some 60 bytes each, are a table in
+    the shared folder.
     """
     known = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))
 
@@ -167,4 +168,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, separator: int = 0
 
     rows = id_and_text(docs)
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.coalesce(max(1, min(-(-size // TASK), 1 << 30))).mapInArrow(tidy(run), SCHEMA)
+    return saved(rows.coalesce(max(1, min(-(-size // TASK), 1 << 30))).mapInArrow(tidy(run), SCHEMA), "packed")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_row, attached, fresh_path, masked, rewritten, saved, strings, tidy
+from .common import as_row, attached, fresh_path, masked, rewritten, saved, small_batches, strings, tidy
 
 #: Base rules, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -100,7 +100,9 @@ class Ledger:
         texts = rows.groupBy("id", "blob").agg(F.first("text").alias("text"))
         if n > PICKED:
             texts = texts.join(unseen, ["id", "blob"], "left_semi")
-        if n:
+        if not n:
+            return
+        with small_batches(self.spark):
             texts.select("blob", "text").mapInArrow(tidy(_scan), f"blob binary, spans {SPANS}").select("blob", F.lit(self.rules).alias("rules"), "spans").write.mode("append").parquet(self.path)
 
     def findings(self) -> DataFrame:
