@@ -257,7 +257,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         else:
             start, groups = screen.theta_random(valid, a.groups, a.seed, 1.0, 1.01), a.groups
         own, rounds = options(a), a.rounds or 5
-        if own.method == "stochastic" or (own.method == "auto" and data.n > own.exact_up_to):
+        if own.method == "stochastic" or (own.method == "auto" and not models.fits_dense(data, own)):
             wide = models.relax_streamed(data, start, groups, a.rate, rounds, a.trials, options=own)
             sinks.write_relaxation(out, wide.weights, wide.fit, wide.history)
         else:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,7 @@ from ..functions.linalg import independent_columns, spd_solve
 from ..operators import align, screen
 from ..operators import geno as G
 from ..sources import bed
-from .kernels import DenseKernel, Kernel, SoftKernel, SparkKernel, blocks, component_blocks
+from .kernels import DenseKernel, Kernel, SoftKernel, SparkKernel, blocks, component_blocks, standardised
 from .krylov import rademacher
 from .lasso import LassoOptions, profile, select
 from .reml import Fit, Options, Problem, merge_z
@@ -85,11 +87,31 @@ class Data:
         return self.spark.createDataFrame(pd.DataFrame({"sample_idx": np.repeat(np.arange(n), c), "col": np.tile(np.arange(c, dtype=np.int32), n), "v": v.ravel()}))
 
     def columns(self, indices: list[int]) -> np.ndarray:
-        """Standardised columns n x k in the order asked for."""
-        wanted = self.spark.createDataFrame([(k, int(i)) for k, i in enumerate(indices)], "position int, variant_idx long")
+        """Standardised columns n x k in the order asked for; repeats are kept.
+
+        From a file only the blocks that hold them are read and decoded.
+        """
         out = np.zeros((self.n, len(indices)))
-        for r in G.columns_of(self.geno, self.stats, wanted, self.n).toPandas().itertuples():
-            out[r.sample_idx, r.position] = r.z
+        place: dict[int, list[int]] = {}
+        for k, i in enumerate(indices):
+            place.setdefault(int(i), []).append(k)
+        if self.raw is not None:
+            asked, n = sorted(place), self.n
+            blocks = self.raw.filter(F.col("block_id").isin(sorted({i // self.WIDTH for i in asked}))).select("variants", "mean", "inv_sd", "packed")
+
+            def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        at = np.flatnonzero(np.isin(row["variants"], asked))
+                        z = standardised(row["packed"], np.array(row["mean"]), np.array(row["inv_sd"]), n)[at]
+                        yield pa.record_batch([pa.array(np.array(row["variants"], np.int64)[at]), pa.array([x.tobytes() for x in z], pa.binary())], names=["variant_idx", "z"])
+
+            for r in blocks.mapInArrow(pick, "variant_idx long, z binary").toArrow().to_pylist() if asked else ():
+                out[:, place[r["variant_idx"]]] = np.frombuffer(r["z"], float)[:, None]
+            return out
+        wanted = self.spark.createDataFrame([(k, int(i)) for k, i in enumerate(indices)], "position int, variant_idx long")
+        rows = G.columns_of(self.geno, self.stats, wanted, self.n).select("sample_idx", "position", "z").toArrow()
+        out[rows["sample_idx"].to_numpy(), rows["position"].to_numpy()] = rows["z"].to_numpy()
         return out
 
 
@@ -293,13 +315,23 @@ class Relaxed:
     history: list[dict]
 
 
+#: Standardised values (8 bytes each) that soft grouping holds on the driver, at most.
+DENSE = 1 << 26
+
+
+def fits_dense(data: Data, options: Options | None = None) -> bool:
+    """Whether ``relax`` takes the data."""
+    return data.n <= (options or Options()).exact_up_to and data.n * data.variants.count() <= DENSE
+
+
 def relax(data: Data, start: np.ndarray, rate: float = 1e-3, outers: int = 5, trials: int = 3, probes: int = 32, options: Options | None = None) -> Relaxed:
     """Learns each variant's weights over groups by exponentiated gradients on the likelihood.
 
-    Exact and dense on the driver: for sample counts up to ``exact_up_to``.
+    Exact and dense on the driver: for sample counts up to ``exact_up_to`` and
+    ``DENSE`` standardised values.
     """
-    if data.n > (options or Options()).exact_up_to:
-        raise ValueError("too many samples for dense matrices; use relax_streamed")
+    if not fits_dense(data, options):
+        raise ValueError("too many samples or variants for dense matrices; use relax_streamed")
     ids = [r[0] for r in data.stats.filter("inv_sd > 0").select("variant_idx").orderBy("variant_idx").collect()]
     z = data.columns(ids)
     theta = start / start.sum(1, keepdims=True)

@@ -221,12 +221,26 @@ def test_data_from_a_file_equals_data_from_cells(spark, path, genotypes):
     assert np.allclose(left.theta, right.theta) and np.isclose(left.loglik, right.loglik)
     e, f = ({(r.component_idx, r.local_idx, r.variant_idx): r.beta for r in m.effects().snps.collect()} for m in fits)
     assert e.keys() == f.keys() and np.allclose([e[k] for k in sorted(e)], [f[k] for k in sorted(e)])
+    picked = [3, 69, 3, 5, 30]
+    z = dense(genotypes[:, [k for k in range(N) if k % 6]])
+    assert np.allclose(a.columns(picked), z[picked].T) and np.allclose(b.columns(picked), z[picked].T) and a.columns([]).shape == (len(z[0]), 0)
     with pytest.raises(ValueError, match="unknown sample"):
         models.Data.of_bed(spark, path, people.filter("sample_idx > 2"), variants, aligned, one)
     a.close()
     b.close()
 
 
+def test_soft_grouping_is_bounded(spark, path, monkeypatch):
+    people = spark.createDataFrame([(k, f"i{k}") for k in range(N)], "sample_idx long, iid string")
+    variants = spark.range(M).withColumnRenamed("id", "variant_idx")
+    aligned = people.selectExpr("sample_idx", "iid", "cast(sample_idx as double) as y", "array(1.0D) as x")
+    data = models.Data.of_bed(spark, path, people, variants, aligned, variants.selectExpr("0 as component_idx", "variant_idx"))
+    monkeypatch.setattr(models, "DENSE", N * M - 1)
+    with pytest.raises(ValueError, match="streamed"):
+        models.relax(data, np.ones((M, 2)))
+    data.close()
+
+
 def test_prediction_needs_the_training_geometry(spark):
     frame = spark.createDataFrame
     stats = frame([(0, 1.0), (1, 1.0), (2, 0.0), (3, 1.0)], "variant_idx long, inv_sd double")
