@@ -827,6 +827,22 @@ def reml_stationary_probes(t: Tables) -> DataFrame:
     return _stationary(t, _probes(tolerances=(1e-3, 1e-4)))
 
 
+@query("SELECT group_idx, CAST(count(*) AS BIGINT) AS n, 0.0 AS balance, TRUE AS moves FROM soft JOIN stats USING (variant_idx) WHERE inv_sd > 0 GROUP BY 1")
+def soft_grad_balance(t: Tables) -> DataFrame:
+    """The likelihood's gradient over weights, by probes: more of every weight of a group is no change, so weights times gradients add up to 0."""
+    from .models import weight_gradient
+    from .reml import Problem
+
+    data, one = _data(t), t.variants().select(F.lit(0).alias("component_idx"), "variant_idx")
+    weights = t.soft().join(data.stats.filter("inv_sd > 0").select("variant_idx"), "variant_idx")
+    kernel = SoftKernel.build(blocks(data.geno, data.stats, geno.component_map(one), data.n, 8), data.stats, weights, data.n, 2)
+    problem = Problem(data.y, data.x, kernel, None, _probes(tolerances=(1e-9,), probes=8))
+    grad = weight_gradient(weights, np.array([0.4, 0.2, 0.5]), problem, krylov.rademacher(data.n, 16, 0))
+    rows = grad.select("variant_idx", "group_idx", "grad").join(weights, ["variant_idx", "group_idx"])
+    sums = rows.groupBy("group_idx").agg(F.count("*").alias("n"), F.round(F.sum(F.col("w") * F.col("grad")) / F.max(F.abs("grad")), 4).alias("balance"), F.max(F.abs("grad")).alias("most"))
+    return sums.select("group_idx", "n", (F.col("balance") + 0.0).alias("balance"), (F.col("most") > 0).alias("moves"))
+
+
 @query()
 def merge_refit(t: Tables) -> DataFrame:
     from .models import merge
