@@ -10,6 +10,7 @@ import argparse
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,7 +196,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     data, transform, aligned = load(spark, a)
     out = a.out
     if a.analysis == "gwas":
-        rows = spark.createDataFrame([(k, float(y), [float(v) for v in x]) for k, (y, x) in enumerate(zip(data.y, data.x))], "sample_idx long, y double, x array<double>")
+        x = pa.FixedSizeListArray.from_arrays(pa.array(data.x.ravel()), data.x.shape[1]).cast(pa.list_(pa.float64()))
+        rows = spark.createDataFrame(pa.table({"sample_idx": np.arange(data.n), "y": data.y, "x": x}))
         names = data.cmap.select("component_idx").distinct().withColumn("component_name", F.format_string("component_%03d", "component_idx"))
         sinks.write_gwas(gwas.table(gwas.scan(data.geno, data.stats, rows, data.x.shape[1]), data.cmap, names, data.variants), out, {"n": data.n})
     elif a.analysis == "reml":
@@ -208,14 +210,15 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             sinks.write_json(f"{out}.replicates.json", {"count": a.replicates, "mean": mean, "monte_carlo_se": error})
         if a.ancestry:
             k = kernel.size
-            shares = spark.createDataFrame([(s, g, float(x)) for s, row in enumerate(residual.T) for g, x in enumerate(row)], "sample_idx long, ancestry int, q double")
+            at = np.indices(residual.T.shape).reshape(2, -1)
+            shares = spark.createDataFrame(pa.table({"sample_idx": at[0], "ancestry": at[1].astype(np.int32), "q": residual.T.ravel()}))
             parts = spark.createDataFrame([(g, float(fit.theta[g]), float(fit.theta[k + g])) for g in range(k)], "ancestry int, tau2 double, sigma2 double")
             sinks.write_json(f"{out}.ancestry_summary.json", screen.admixed_summary(shares, geno.exact_diag(data.geno, data.stats, data.samples), parts).first().asDict())
         if a.effects:
             e = model.effects()
             labels = ["intercept", *(f"covariate_{k}" for k in range(1, len(e.fixed)))]
             fixed = spark.createDataFrame([(k, label, float(b)) for k, (label, b) in enumerate(zip(labels, e.fixed))], "covariate_index int, label string, beta double")
-            parts = spark.createDataFrame([(k, *map(float, e.random[:, k])) for k in range(data.n)], "sample_idx long, " + ", ".join(f"component_{g:03d} double" for g in range(len(e.random))))
+            parts = spark.createDataFrame(pa.table({"sample_idx": np.arange(data.n)} | {f"component_{g:03d}": own for g, own in enumerate(e.random)}))
             named = data.samples.join(parts, "sample_idx").withColumnRenamed("sample_idx", "sample_index")
             total = sum((F.col(f"component_{g:03d}") for g in range(len(e.random))), F.lit(0.0))
             sinks.write_effects(out, fixed, named.select("sample_index", "iid", total.alias("random_effect")), named, sinks.effect_rows(e.snps), {"theta": model.result.theta})
@@ -226,15 +229,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
                     raise ValueError("training and prediction files differ in their variants")
                 if transform:
                     people = transform.apply(people.join(align.parse_covar(text.read_covar(spark, a.predict_covariates)), "iid"))
-                    rows = people.select("sample_idx", "x").orderBy("sample_idx").collect()
-                    x, own = np.array([r["x"] for r in rows]), people.select("sample_idx")
-                    place = {r["sample_idx"]: k for k, r in enumerate(rows)}
-                    fixed_at = spark.createDataFrame([(s, float(x[k] @ e.fixed)) for s, k in place.items()], "sample_idx long, fixed_effect double")
-                    b = e.snps.select("variant_idx", F.lit(0).alias("col"), F.col("beta").alias("b"))
-                    random = geno.zb(cells, data.stats, b, own).select("sample_idx", F.col("value").alias("random_effect"))
-                    predicted = screen.predict(random.join(fixed_at, "sample_idx"), model.result.y_mean, model.result.y_scale)
                 else:
-                    predicted = model.predict(e, cells, people, np.ones((people.count(), 1)))
+                    people = people.withColumn("x", F.array(F.lit(1.0)))
+                predicted = model.predict(e, cells, people)
                 sinks.write_prediction(predicted.join(people.select("sample_idx", "iid"), "sample_idx").withColumnRenamed("sample_idx", "sample_index"), out, {"theta": model.result.theta})
     elif a.analysis == "merge":
         got = models.merge(data, options(a), a.weak_below, a.effective_samples)

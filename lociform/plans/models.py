@@ -144,12 +144,18 @@ class Model:
         random = theta[: p.g, None] * p.kernel.stacked(alpha[:, None])[:, :, 0]
         return Effects(beta, alpha, random, self.source.effects(alpha, theta))
 
-    def predict(self, effects: Effects, geno: DataFrame, samples: DataFrame, x: np.ndarray) -> DataFrame:
-        """Predictions for other samples under the training standardisation, which must know every variant with an effect."""
+    def predict(self, effects: Effects, geno: DataFrame, samples: DataFrame, x: np.ndarray | None = None) -> DataFrame:
+        """Predictions for other samples under the training standardisation, which must know every variant with an effect.
+
+        Fixed effects come from the column ``x`` of ``samples``, or from an array of their rows in order.
+        """
         check_geometry(effects.snps, self.data.stats, self.source.cmap() if isinstance(self.source, SparkKernel) else self.data.cmap)
-        b = effects.snps.select("variant_idx", F.lit(0).alias("col"), "beta").withColumnRenamed("beta", "b")
+        b = effects.snps.select("variant_idx", F.lit(0).alias("col"), F.col("beta").alias("b"))
         random = G.zb(geno, self.data.stats, b, samples).select("sample_idx", F.col("value").alias("random_effect"))
-        fixed = self.data.spark.createDataFrame([(k, float(v)) for k, v in enumerate(x @ effects.fixed)], "sample_idx long, fixed_effect double")
+        if x is None:
+            fixed = samples.select("sample_idx", sum((F.col("x")[k] * float(v) for k, v in enumerate(effects.fixed)), F.lit(0.0)).alias("fixed_effect"))
+        else:
+            fixed = self.data.spark.createDataFrame(pa.table({"sample_idx": np.arange(len(x)), "fixed_effect": x @ effects.fixed}))
         return screen.predict(random.join(fixed, "sample_idx"), self.result.y_mean, self.result.y_scale)
 
 
