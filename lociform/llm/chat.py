@@ -1,7 +1,7 @@
 """Operator 3: chat formatting in budgeted windows, in DataFrame functions only.
 
-A conversation's turns are put in order; a fold over their tokens chooses
-turn-aligned spans, one for each window.  A window holds the conversation's
+A conversation's turns are put in order; a fold over their tokens, in stretches
+of ``STRETCH`` turns, chooses turn-aligned spans, one for each window.  A window holds the conversation's
 system turn, a limited number of turns of history, and its own span; a span is
 closed before the turn that would take all of these over the budget.  History is
 limited by that budget too: where a window's first own turn and the system turn
@@ -33,6 +33,8 @@ _ESCAPE = r"([<\[])(\\*(?:/?s>|/?INST\]))"
 _UNESCAPE = r"([<\[])\\(\\*(?:/?s>|/?INST\]))"
 
 BUDGET, HISTORY, HISTORY_BUDGET = 512, 2, 256
+#: Turns of a conversation that lie in one array while spans are chosen; a longer one begins a window at each multiple.
+STRETCH = 4096
 
 
 def escape(text: Column) -> Column:
@@ -67,12 +69,14 @@ def turns(conversations: DataFrame, budget: int, history: int, history_budget: i
         fits = fits & F.coalesce(near & (repeated + before + F.col("tokens") <= budget), F.lit(False))
         repeated, kept = repeated + F.when(fits, before).otherwise(0), kept + F.when(fits, 1).otherwise(0)
     turn = F.struct("rank", "role", "text", "tokens", "ahead", "is_system", repeated.alias("repeated"), kept.alias("history"))
-    packed = rows.select("conv_id", turn.alias("turn")).groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    # A conversation is folded in stretches of ``STRETCH`` turns, each of which begins a window.
+    stretch = F.floor((F.col("rank") - 1) / STRETCH).alias("stretch")
+    packed = rows.select("conv_id", stretch, turn.alias("turn")).groupBy("conv_id", "stretch").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
 
     # The first turns of windows after the first; a thousand at a time, so that growing the list stays cheap.
     def step(acc: Column, t: Column) -> Column:
         over = acc["used"] + t["tokens"] > budget
-        opens = over & (t["rank"] > 1)
+        opens = over & (t["rank"] > F.col("turns")[0]["rank"])
         full = F.size(acc["some"]) >= 1000
         some = F.concat(F.when(full, none).otherwise(acc["some"]), F.array(t["rank"]))
         return F.struct(
@@ -82,13 +86,17 @@ def turns(conversations: DataFrame, budget: int, history: int, history_budget: i
         )
 
     none = F.array().cast("array<bigint>")
-    begin = F.struct(F.lit(0).cast("bigint").alias("used"), none.alias("some"), F.array().cast("array<array<bigint>>").alias("done"))
-    starts = F.aggregate("turns", begin, step, lambda acc: F.concat(F.array(F.lit(1).cast("bigint")), F.flatten(F.concat(acc["done"], F.array(acc["some"])))))
+    begin = F.struct(F.when(F.col("stretch") > 0, F.col("turns")[0]["repeated"]).otherwise(0).cast("bigint").alias("used"), none.alias("some"), F.array().cast("array<array<bigint>>").alias("done"))
+    starts = F.aggregate("turns", begin, step, lambda acc: F.concat(F.array(F.col("turns")[0]["rank"]), F.flatten(F.concat(acc["done"], F.array(acc["some"])))))
     packed = packed.withColumn("starts", starts)
-    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("turns").cast("bigint") + 1))
-    spans = F.zip_with("starts", ends, lambda a, b: F.slice("turns", a.cast("int"), (b - a).cast("int")))
-    spans = packed.select("conv_id", F.posexplode(spans).alias("at", "span"))
-    each = spans.select("conv_id", (F.col("at") + 1).alias("window"), F.posexplode("span").alias("place", "turn"))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.col("turns")[0]["rank"] + F.size("turns")))
+    first = F.col("turns")[0]["rank"] - 1
+    spans = F.zip_with("starts", ends, lambda a, b: F.slice("turns", (a - first).cast("int"), (b - a).cast("int")))
+    before = F.coalesce(F.sum(F.size("starts")).over(W.partitionBy("conv_id").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # Windows are counted over stretches, before these become rows for each window.
+    counted = packed.select("conv_id", before.cast("int").alias("before"), spans.alias("spans"))
+    spans = counted.select("conv_id", "before", F.posexplode("spans").alias("at", "span"))
+    each = spans.select("conv_id", (F.col("before") + F.col("at") + 1).alias("window"), F.posexplode("span").alias("place", "turn"))
     return each.select("conv_id", "window", "turn.rank", "turn.role", "turn.text", "turn.is_system", F.when(F.col("place") == 0, F.col("turn.history")).otherwise(0).alias("history"))
 
 

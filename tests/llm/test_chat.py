@@ -84,5 +84,23 @@ def test_windows_fit_the_budget(spark):
         assert all(total + cost(after[0]) > chat.BUDGET for (total, _), (_, after) in zip(spans[c], spans[c][1:]))
 
 
+def test_stretches_of_a_long_conversation(spark, monkeypatch):
+    """A conversation in several stretches keeps its turns, targets and budget; each stretch begins a window."""
+    monkeypatch.setattr(chat, "STRETCH", 16)
+    data = rows() + [(70, k, "system" if k == 2 else ("user", "assistant")[k % 2], f"{k} " + "word " * (k % 90), "", "") for k in range(200)]
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.report(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got == want(data)
+    windows = chat.windows(spark.createDataFrame(data, SCHEMA)).filter("conv_id = 70").orderBy("window").collect()
+    assert [w.window for w in windows] == list(range(1, len(windows) + 1))
+    seen, starts = 0, []
+    for w in windows:
+        starts.append(seen)
+        seen += sum(w.own)
+        turns = [piece.split("[INST]", 1)[1] for piece in w.formatted.split("[/INST]</s>")[:-1]]
+        assert sum(map(cost, turns)) <= chat.BUDGET or sum(w.own) == 1
+        assert seen <= 3 or w.formatted.count("<s>system[INST]2 ") == 1
+    assert set(range(0, 200, 16)) <= set(starts)
+
+
 def test_empty(spark):
     assert chat.report(spark.createDataFrame([], SCHEMA)).count() == 0
