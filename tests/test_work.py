@@ -131,3 +131,30 @@ def test_repeated_support_skips_refits(spark, monkeypatch, rounds, refits, outer
     assert 4 in got.support and len(got.history) == outer and len(fits) == refits
     assert [h["refit"] for h in got.history] == [True] * refits + [False] * (outer - refits)
     data.close()
+
+
+def test_streamed_soft_grouping_whole(spark, tmp_path):
+    """A whole run over the blocks of a file: weights stay a distribution, and what is taken is no worse under the same probes."""
+    from lociform.sources import bed
+
+    r = np.random.default_rng(12)
+    g = r.binomial(2, 0.4, (12, 40)).astype(np.uint8)
+    bed.write_bed(str(tmp_path / "s.bed"), g)
+    z = (g - g.mean(1, keepdims=True)) / g.std(1, keepdims=True)
+    y = z[:4].T @ r.normal(0, 0.6, 4) + r.normal(0, 0.5, 40)
+    people = spark.createDataFrame([(k, f"i{k}") for k in range(40)], "sample_idx long, iid string")
+    aligned = spark.createDataFrame([(k, f"i{k}", float(y[k]), [1.0]) for k in range(40)], "sample_idx long, iid string, y double, x array<double>")
+    variants = spark.range(12).withColumnRenamed("id", "variant_idx")
+    data = models.Data.of_bed(spark, str(tmp_path / "s.bed"), people, variants, aligned, variants.selectExpr("0 as component_idx", "variant_idx"))
+    start = spark.createDataFrame([(v, k, 0.7 if k == (v >= 4) else 0.3) for v in range(12) for k in range(2)], "variant_idx long, group_idx int, w double")
+    o = Options(probes=8, slq_probes=4, slq_steps=6, iterations=3, rank=12, tolerances=(1e-3,))
+    got = models.relax_streamed(data, start, 2, rate=5.0, outers=1, trials=1, probes=8, options=o)
+    rows = got.weights.collect()
+    sums = {}
+    for row in rows:
+        sums[row.variant_idx] = sums.get(row.variant_idx, 0.0) + row.w
+    assert len(rows) == 24 and np.allclose(list(sums.values()), 1) and len(got.history) == 2
+    assert got.history[1]["loglik"] >= got.history[0]["loglik"] and (got.fit.theta >= 0).all()
+    changed = max(abs(row.w - (0.7 if row.group_idx == (row.variant_idx >= 4) else 0.3)) for row in rows)
+    assert (changed > 1e-6) == got.history[1]["taken"]
+    data.close()
