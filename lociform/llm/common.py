@@ -62,11 +62,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes tables that ``saved`` wrote, once nothing reads them any more."""
+    """Deletes tables that ``saved`` wrote, once nothing reads them any more, and lets Spark delete the shuffles behind them.
+
+    Spark deletes a shuffle's files when the driver's garbage collection finds its plan gone; long before memory runs short, disks may.
+    """
     for df in tables:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df.saved_at)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        context._jvm.java.lang.System.gc()
 
 
 #: A key with more rows than this share of all is hot, and so is none with fewer rows than the second figure.

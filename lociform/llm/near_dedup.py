@@ -6,11 +6,14 @@
    frequent ones last, and a node is posted only under a prefix of its own: two
    nodes that agree in ``least`` of ``coordinates`` places share at least
    ``COLLISIONS`` postings there.
-3. Postings of up to ``SMALL`` nodes are merged: collisions are counted, and
-   pairs with ``COLLISIONS`` of them and ``least`` equal coordinates stay.
+3. Each posting names a leader, its most typical node.  Nodes that collide and
+   agree with a leader often enough are compared with it first, so that a
+   cluster of many near copies joins by about one comparison a node.
+   Then postings of up to ``SMALL`` nodes are merged: collisions are counted
+   between nodes that no link joins so far, and pairs with ``COLLISIONS`` of them
+   and ``least`` equal coordinates stay.
 4. Longer postings are skipped in the merge, as their pairs would be quadratic.
-   Each names a leader, its most typical node, and every node of the posting is
-   measured against the leader.  Nodes that this does not link are compared with
+   Every node of such a posting is measured against the leader.  Nodes that this does not link are compared with
    those of the leader's group whose size and whose distance from the leader
    permit a link (a triangle inequality), in blocks of bounded bytes inside
    tasks that return a spanning forest of links.
@@ -157,13 +160,25 @@ def postings(nodes: DataFrame, measure: Measure) -> DataFrame:
     return nodes.select("node", "n", "sig").mapInArrow(tidy(run), "token long, node long, n long, typical double")
 
 
-def _small_pairs(shared: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
-    """Pairs from postings of up to ``SMALL`` nodes that collide and agree often enough."""
-    lists = shared.filter(F.col("size") <= SMALL).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("list"))
+def _star_pairs(shared: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
+    """Nodes and leaders of postings of up to ``SMALL`` nodes that collide and agree often enough: at most one pair a posting and node."""
+    stars = shared.filter((F.col("size") <= SMALL) & (F.col("node") != F.col("leader"))).groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).count()
+    return _agreeing(stars.filter(F.col("count") >= COLLISIONS), nodes, measure)
+
+
+def _small_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
+    """Pairs from postings of up to ``SMALL`` nodes that collide and agree often enough, and have different ``roots(node, root)``."""
+    placed = shared.filter(F.col("size") <= SMALL).join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+    lists = placed.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n", "root"))).alias("list"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     left = lists.select("list", F.posexplode("list").alias("at", "x"))
-    met = left.select("x", F.explode(F.slice("list", F.col("at") + 2, F.lit(SMALL))).alias("y"))
+    met = left.select("x", F.explode(F.slice("list", F.col("at") + 2, F.lit(SMALL))).alias("y")).filter("x.root <> y.root")
     sized = 100 * F.least("x.n", "y.n") >= measure.percent * F.greatest("x.n", "y.n")
     pairs = met.filter(sized).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).groupBy("a", "b").count().filter(F.col("count") >= COLLISIONS)
+    return _agreeing(pairs, nodes, measure)
+
+
+def _agreeing(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
+    """The ``pairs(a, b)`` that may have ``least`` equal coordinates."""
     own = nodes.select("node", "low")
     pairs = pairs.select("a", "b").join(own.select(F.col("node").alias("a"), F.col("low").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
     return pairs.filter(COORDINATES - sum((_odd_bytes(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(COORDINATES // 8)), F.lit(0)) >= measure.least).select("a", "b")
@@ -300,19 +315,31 @@ def links(docs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
     groups = saved(shared.filter(F.col("size") > SMALL).groupBy("leader", "node", "n").agg(F.max("size").alias("size")), "groups")
     slots = F.ceil(F.col("size") / FOLLOWERS).cast("int")
     leaders = groups.groupBy("leader").agg(F.max(slots).alias("slots"))
-    pairs = saved(_small_pairs(shared, nodes, measure).select("a", "b", F.lit(0).alias("slot")), "pairs")
-    forget(shared)
+    first = saved(_star_pairs(shared, nodes, measure).select("a", "b", F.lit(0).alias("slot")), "first")
     stars = groups.filter(F.col("node") != F.col("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b"), F.pmod(F.xxhash64("node"), slots).cast("int").alias("slot"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("node")).distinct().join(nodes.select("node", "id", "key", "set_id"), "node")
-    wanted = saved(wanted, "wanted")
+    wanted = saved(_ends(first).union(groups.select("node")).distinct().join(nodes.select("node", "id", "key", "set_id"), "node"), "wanted")
     sets = saved(_sets(docs, wanted, measure), "sets")
-    met = saved(_overlaps(pairs.unionByName(stars), leaders, sets), "met")
-    forget(pairs, wanted)
+    met = saved(_overlaps(first.unionByName(stars), leaders, sets), "met")
     firm = met.filter(measure.close(F.col("both"), F.col("na"), F.col("nb"))).select("a", "b")
     far = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
     measured = met.select(F.col("a").alias("node"), F.col("b").alias("leader"), measure.close(F.col("both"), F.col("na"), F.col("nb")).alias("linked"), far.alias("far")).distinct()
-    groups = groups.join(measured, ["leader", "node"], "left").select("leader", "node", "n", F.coalesce("linked", F.lit(True)).alias("linked"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    return firm.unionByName(_loose_links(saved(groups, "measured"), sets, measure))
+    placed = saved(groups.join(measured, ["leader", "node"], "left").select("leader", "node", "n", F.coalesce("linked", F.lit(True)).alias("linked"), F.coalesce("far", F.lit(0.0)).alias("far")), "measured")
+    forget(first, groups)
+    known = saved(firm.unionByName(_loose_links(placed, sets, measure)), "known")
+    forget(placed, met)
+    roots = components(known)
+    pairs = saved(_small_pairs(shared, roots, nodes, measure).select("a", "b", F.lit(0).alias("slot")), "pairs")
+    forget(shared, roots)
+    new = saved(_ends(pairs).distinct().join(wanted, "node", "left_anti").join(nodes.select("node", "id", "key", "set_id"), "node"), "new")
+    more = saved(_sets(docs, new, measure), "sets") if new.limit(1).count() else None
+    every = sets if more is None else sets.unionByName(more)
+    met = saved(_overlaps(pairs, leaders.limit(0), every), "met")
+    forget(wanted, new, pairs, sets, *([] if more is None else [more]))
+    return known.unionByName(met.filter(measure.close(F.col("both"), F.col("na"), F.col("nb"))).select("a", "b"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
 
 def report(docs: DataFrame, measure: Measure | None = None) -> DataFrame:

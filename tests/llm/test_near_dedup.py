@@ -122,3 +122,24 @@ def test_empty_and_nulls(spark):
     data = [(None, "a b c d e", 1, ""), (5, "a b c d e", 1, ""), (None, None, None, None), (6, None, None, None)]
     got = sorted((x.doc_id or -1, x.component_id or -1, x.kept) for x in near_dedup.report(spark.createDataFrame(data, SCHEMA)).collect())
     assert got == [(-1, -1, True), (-1, 5, False), (5, 5, True), (6, 6, True)]
+
+
+def test_a_cluster_of_copies_takes_about_one_comparison_a_node(spark, monkeypatch):
+    """Forty near copies of each of three texts: pairs of all of them would be 780 a text, each with a whole set."""
+    rng, docs = np.random.default_rng(5), []
+    for k in range(3):
+        words = [f"w{k}x{x}" for x in rng.integers(0, 10**6, 300)]
+        for c in range(40):
+            own = list(words)
+            own[int(rng.integers(0, 300))] = f"copy{k}x{c}"
+            docs.append((100 * k + c, " ".join(own)))
+    compared, overlaps = [], near_dedup._overlaps
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return overlaps(pairs, *more)
+
+    monkeypatch.setattr(near_dedup, "_overlaps", counted)
+    rows = near_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] // 100 * 100 for r in rows)
+    assert sum(compared) < 4 * len(docs)
