@@ -11,7 +11,7 @@ from ..operators import geno
 from ..sources import files
 from ..streaming import additive
 from . import krylov
-from .catalog import _KV, G, _kernel, _rounded, _signs, query
+from .catalog import _KV, G, _kernel, _rounded, query
 from .fixtures import Tables
 
 
@@ -53,8 +53,8 @@ def kv_identity_w(t: Tables) -> DataFrame:
 def lanczos_moments(t: Tables) -> DataFrame:
     """Three steps' quadratures integrate powers up to the fifth exactly: v'K^p v / v'v."""
     g = G(t)
-    with _kernel(g, None) as kernel:
-        found = krylov.lanczos(lambda v: kernel.stacked(v)[0], _signs(g.n), 3)
+    with _kernel(g, None) as (kernel, start, _):
+        found = krylov.lanczos(lambda v: kernel.stacked(v)[0], start, 3)
     rows = [(c, p, float(weights @ values**p)) for c, (values, weights) in enumerate(found) for p in range(4)]
     return t.spark.createDataFrame(rows, "col int, p int, moment double").withColumn("moment", F.round("moment", 4) + 0.0)
 
@@ -63,12 +63,10 @@ def lanczos_moments(t: Tables) -> DataFrame:
 def low_rank_range(t: Tables) -> DataFrame:
     """A basis as wide as the kernel's rank spans its range, so products stay what they are under its projection."""
     g = G(t)
-    with _kernel(g, None) as kernel:
-        product = lambda v: kernel.stacked(v)[0]
-        u = krylov.low_rank(product, g.n, g.stats.filter("inv_sd > 0").count())
-        out = u @ (u.T @ product(_signs(g.n)))
-    rows = [(s, c, float(out[s, c])) for s in range(g.n) for c in range(2)]
-    return _rounded(t.spark.createDataFrame(rows, "sample_idx long, col int, value double"), "value")
+    with _kernel(g, None) as (kernel, v, rows):
+        product = lambda w: kernel.stacked(w)[0]
+        u = krylov.low_rank(product, len(v), g.stats.filter("inv_sd > 0").count())
+        return _rounded(rows(u @ (u.T @ product(v))).withColumnRenamed("v", "value"), "value")
 
 
 @query("SELECT CAST(k AS INTEGER) AS k FROM (SELECT stddev_pop(x0) AS a, stddev_pop(x1) AS b, stddev_pop(x3) AS d FROM covar JOIN samples USING (iid)), (VALUES (0), (1), (2)) AS c(k) WHERE CASE k WHEN 0 THEN a WHEN 1 THEN d ELSE b END > 0")

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.align import ordered
+
 
 class Tables:
     """Derived tables of one input folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._samples = spark, sf_dir, None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -37,9 +39,10 @@ class Tables:
     def samples(self) -> DataFrame:
         """``sample_idx``, ``iid``: customers with orders and a phenotype, in key order."""
         o = self.read("orders").select(F.col("o_custkey").cast("long").alias("iid"))
-        own = self.pheno().filter("pheno IS NOT NULL").join(o, "iid", "left_semi").select("iid")
-        # One column of ids is numbered; it is the sample axis that every n-vector needs anyway.
-        return own.select((F.row_number().over(W.orderBy("iid")) - 1).cast("long").alias("sample_idx"), "iid")
+        if self._samples is None:  # numbered by ranges of ids, once
+            own = self.pheno().filter("pheno IS NOT NULL").join(o, "iid", "left_semi").select("iid")
+            self._samples = ordered(own, "iid").select(F.col("number").alias("sample_idx"), "iid")
+        return self._samples
 
     def n(self) -> int:
         return self.samples().count()

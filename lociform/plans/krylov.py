@@ -109,6 +109,7 @@ class Preconditioner:
     u: np.ndarray
     cores: np.ndarray
     atoms: np.ndarray
+    n: int | None = None  # samples, where ``u`` holds coordinates of a span
 
     def at(self, theta: np.ndarray, residual: float) -> tuple[Apply, Apply, float]:
         """Inverse, inverse square root and log determinant."""
@@ -121,4 +122,4 @@ class Preconditioner:
         def power(p: float) -> Apply:
             return lambda r: d**p * r + w @ ((values**p - d**p)[:, None] * (w.T @ r))
 
-        return power(-1.0), power(-0.5), (len(self.u) - len(values)) * np.log(d) + float(np.log(values).sum())
+        return power(-1.0), power(-0.5), ((self.n or len(self.u)) - len(values)) * np.log(d) + float(np.log(values).sum())

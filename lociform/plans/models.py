@@ -18,7 +18,9 @@ from ..sources import bed
 from .kernels import DenseKernel, Kernel, SoftKernel, SparkKernel, blocks, component_blocks, standardised
 from .krylov import rademacher
 from .lasso import LassoOptions, profile, select
-from .reml import Fit, Options, Problem, merge_z
+from .reml import Fit, Options, Problem, Whole, merge_z
+from . import span
+from .span import VARIANTS, Span, SpanKernel
 
 
 @dataclass
@@ -29,15 +31,16 @@ class Data:
     geno: DataFrame
     variants: DataFrame
     samples: DataFrame
-    y: np.ndarray
-    x: np.ndarray
+    y: np.ndarray | None
+    x: np.ndarray | None
     components: DataFrame  # component_idx, variant_idx
     raw: DataFrame | None = None  # packed blocks of a BED file over the same samples, ``WIDTH`` variants each
+    rows: DataFrame | None = None  # sample_idx, y, x where there are too many for arrays: solvers then take a span
 
     WIDTH = 256
 
     def __post_init__(self):
-        self.n = len(self.y)
+        self.n = len(self.y) if self.rows is None else self.rows.count()
         self.geno = self.geno.persist()
         rows = G.variant_stats(self.geno, self.variants, self.n) if self.raw is None else bed.variant_rows(self.raw)
         self.stats = rows.persist()
@@ -50,7 +53,14 @@ class Data:
 
     @classmethod
     def of(cls, geno: DataFrame, variants: DataFrame, aligned: DataFrame, components: DataFrame) -> Data:
-        """From ``aligned(sample_idx, iid, y, x)``, whose positions may have gaps; n rows go to the driver."""
+        """From ``aligned(sample_idx, iid, y, x)``, whose positions may have gaps.
+
+        Up to ``span.BEYOND`` rows, or with more variants than a span takes, n rows go to the driver; others stay a table.
+        """
+        if aligned.count() > span.BEYOND and variants.limit(VARIANTS + 1).count() <= VARIANTS:
+            placed = align.ordered(aligned.select(F.col("sample_idx").alias("old"), "iid", "y", "x"), "old").withColumnRenamed("number", "sample_idx").persist()
+            own = geno.join(placed.select(F.col("old").alias("sample_idx"), F.col("sample_idx").alias("new")), "sample_idx").select(F.col("new").alias("sample_idx"), "variant_idx", "dosage")
+            return cls(aligned.sparkSession, own, variants, placed.select("sample_idx", "iid"), None, None, components, rows=placed.select("sample_idx", "y", "x"))
         rows = aligned.select("sample_idx", "iid", "y", "x").orderBy("sample_idx").collect()
         spark = aligned.sparkSession
         place = spark.createDataFrame([(r["sample_idx"], k, r["iid"]) for k, r in enumerate(rows)], aligned.select(F.col("sample_idx").alias("old"), F.col("sample_idx").alias("sample_idx"), "iid").schema)
@@ -79,6 +89,16 @@ class Data:
             return SparkKernel.of_blocks(self.raw, self.n, self.cmap, self.WIDTH)
         return SparkKernel.build(self.geno, self.stats, self.cmap, self.n, width)
 
+    def problem(self, options: Options | None = None, kernel=None, more: tuple[tuple[int, int], ...] = ()) -> Problem:
+        """A problem on coordinates of a span, whose kernel ``kernel(span)`` makes; ``more`` random signs lie in it too."""
+        o = options or Options()
+        fit = self.rows.agg(F.avg("y").alias("mean"), (F.stddev_pop("y") + 1e-6).alias("scale"), F.max(F.size("x")).alias("width")).first()
+        vectors = self.rows.select("sample_idx", F.concat("x", F.array((F.col("y") - fit["mean"]) / fit["scale"])).alias("v"))
+        random = ((o.seed, o.probes), (o.seed + 1, o.slq_probes)) if o.method == "stochastic" else ()
+        own = Span(self.geno, self.stats, vectors, fit["width"] + 1, self.n, random + more)
+        whole = Whole(self.n, fit["mean"], fit["scale"], *own.signs[: len(random)])
+        return Problem(own.vectors[:, -1], own.vectors[:, :-1], kernel(own) if kernel else SpanKernel.build(own, self.stats, self.cmap), None, o, whole)
+
     def vector(self, v: np.ndarray) -> DataFrame:
         """Columns of an n x c array as ``sample_idx``, ``col``, ``v``."""
         n, c = v.shape
@@ -130,15 +150,27 @@ class Model:
     """Fit of variance components, then effects and predictions."""
 
     def __init__(self, data: Data, options: Options | None = None, kernel: Kernel | None = None, residual: np.ndarray | None = None):
-        self.data, self.source = data, kernel or data.kernel()
+        self.data = data
+        if data.rows is not None:
+            self.problem = data.problem(options)
+            self.source = self.problem.source
+            return
+        self.source = kernel or data.kernel()
         self.problem = Problem(data.y, data.x, self.source, residual, options)
 
     def fit(self) -> Fit:
         self.result = self.problem.fit()
         return self.result
 
+    def rows(self, v: np.ndarray) -> DataFrame:
+        """``sample_idx``, ``col``, ``v`` of columns as the problem holds them: arrays of n rows, or coordinates."""
+        return self.source.span.long(v) if self.data.rows is not None else self.data.vector(v)
+
     def effects(self) -> Effects:
-        """Fixed effects, P y, each component's random effect, and effects of variants, which stay a table."""
+        """Fixed effects, P y, each component's random effect, and effects of variants, which stay a table.
+
+        P y and random effects are what ``rows`` takes.
+        """
         theta, p = self.result.theta, self.problem
         alpha, beta = p.projected_response(theta)
         random = theta[: p.g, None] * p.kernel.stacked(alpha[:, None])[:, :, 0]
@@ -224,12 +256,10 @@ class Sparse:
     gls: np.ndarray  # effects of the support by generalised least squares
 
 
-def _chive(problem: Problem, theta: np.ndarray, z: np.ndarray, beta: np.ndarray, spark: SparkSession) -> float:
+def _chive(problem: Problem, theta: np.ndarray, z: np.ndarray, beta: np.ndarray) -> float:
     """Share of variance of the chosen columns (``screen.chive``, not below 0) and the genetic components together."""
-    fixed = 0.0
-    if z.shape[1]:
-        rows = [(float(a), float(b)) for a, b in zip(problem.y, z @ beta)]
-        fixed = max(screen.chive(spark.createDataFrame(rows, "y double, value double")).first()["q_hat"], 0.0)
+    fitted = z @ beta
+    fixed = max(float(fitted @ fitted + 2 * fitted @ (problem.y - fitted)) / problem.n, 0.0) if z.shape[1] else 0.0
     part = theta * problem.atoms
     genetic = part[: problem.g].sum() + fixed
     return float(genetic / (genetic + part[problem.g :].sum()))
@@ -246,9 +276,14 @@ def sparse(data: Data, options: Options | None = None, so: SparseOptions | None
     The response is standardised once, so all steps share the scale of theta.
     """
     so = so or SparseOptions()
-    kernel = data.kernel()
-    problem = Problem(data.y, data.x, kernel, None, options)
-    theta, y, x = problem.start_theta(), problem.y, data.x
+    if data.rows is None:
+        problem, columns = Problem(data.y, data.x, data.kernel(), None, options), data.columns
+    else:
+        problem = data.problem(options)
+        z_all = problem.source.span.z
+        place = {int(v): k for k, v in enumerate(problem.source.span.ids)}
+        columns = lambda chosen: np.stack([z_all[:, place[i]] for i in chosen], 1) if chosen else np.zeros((len(problem.y), 0))
+    theta, y, x = problem.start_theta(), problem.y, problem.x
     support: list[int] = []
     history: list[dict] = []
     fit: Fit | None = None
@@ -260,6 +295,8 @@ def sparse(data: Data, options: Options | None = None, so: SparseOptions | None
         return problem.solve(theta, b, so.pcg_tol)
 
     def scores(u: np.ndarray) -> DataFrame:
+        if data.rows is not None:
+            return problem.source.scores(u[:, None]).select("variant_idx", "score")
         return G.xtv(data.geno, data.stats, data.vector(u[:, None])).select("variant_idx", "score")
 
     for outer in range(so.outer):
@@ -270,7 +307,7 @@ def sparse(data: Data, options: Options | None = None, so: SparseOptions | None
         previous = data.spark.createDataFrame([(int(i),) for i in support], "variant_idx long")
         chosen = [r[0] for r in screen.assemble(previous, top, so.candidates).collect()]
         for _ in range(so.kkt_rounds):
-            z = data.columns(chosen)
+            z = columns(chosen)
             gram, q, rss = profile(z, solve(z), x, hx, y, hy, so.lasso.ridge)
             got = select(gram, q, rss, data.n, len(chosen), so.lasso)
             active = np.flatnonzero(got.beta)
@@ -297,17 +334,17 @@ def sparse(data: Data, options: Options | None = None, so: SparseOptions | None
             continue
         zs = z[:, active]
         keep = independent_columns(x, zs)
-        refit = Problem(data.y, np.concatenate([x, zs[:, keep]], 1), problem.kernel, None, options).fit()
+        refit = Problem(data.y if data.rows is None else y, np.concatenate([x, zs[:, keep]], 1), problem.kernel, None, options, problem.whole).fit()
         moved = float((np.abs(refit.theta - theta) / np.maximum(np.abs(theta), 1e-8)).max())
         history.append({"outer": outer, "support": new, "penalty": got.penalty, "moved": moved, "m": m, "refit": True})
         theta, support, fit, settled = refit.theta, new, refit, moved < so.theta_tol
         still = int(same and settled)
         if same and (still >= so.still_rounds or not new):
             break
-    zs = data.columns(support) if support else np.zeros((data.n, 0))
+    zs = columns(support) if support else np.zeros((len(y), 0))
     design = np.concatenate([x, zs], 1)
     gls = generalised(design, solve(design), y)[x.shape[1] :]
-    return Sparse(support, beta, fit, _chive(problem, theta, zs, beta, data.spark), _chive(problem, theta, zs, gls, data.spark), history, gls)
+    return Sparse(support, beta, fit, _chive(problem, theta, zs, beta), _chive(problem, theta, zs, gls), history, gls)
 
 
 # --- soft grouping -----------------------------------------------------------
@@ -327,7 +364,7 @@ DENSE = 1 << 26
 
 def fits_dense(data: Data, options: Options | None = None) -> bool:
     """Whether ``relax`` takes the data."""
-    return data.n <= (options or Options()).exact_up_to and data.n * data.variants.count() <= DENSE
+    return data.rows is not None or data.n <= (options or Options()).exact_up_to and data.n * data.variants.count() <= DENSE
 
 
 def relax(data: Data, start: np.ndarray, rate: float = 1e-3, outers: int = 5, trials: int = 3, probes: int = 32, options: Options | None = None) -> Relaxed:
@@ -338,27 +375,32 @@ def relax(data: Data, start: np.ndarray, rate: float = 1e-3, outers: int = 5, tr
     """
     if not fits_dense(data, options):
         raise ValueError("too many samples or variants for dense matrices; use relax_streamed")
-    ids = [r[0] for r in data.stats.filter("inv_sd > 0").select("variant_idx").orderBy("variant_idx").collect()]
-    z = data.columns(ids)
+    if data.rows is None:
+        ids = [r[0] for r in data.stats.filter("inv_sd > 0").select("variant_idx").orderBy("variant_idx").collect()]
+        z, y, x, whole = data.columns(ids), data.y, data.x, None
+    else:  # on coordinates of a span, where traces need no probes
+        base = data.problem(replace(options or Options(), method="exact"))
+        z, y, x, whole = base.source.span.z, base.y, base.x, base.whole
+        ids = base.source.span.ids.tolist()
     theta = start / start.sum(1, keepdims=True)
 
     def fit_at(w: np.ndarray) -> tuple[Fit, Problem]:
         total = w.sum(0)
         if (total <= 0).any():
             raise ValueError("a group has no weight")
-        p = Problem(data.y, data.x, DenseKernel([(z * w[:, k]) @ z.T / total[k] for k in range(w.shape[1])]), None, options)
+        p = Problem(y, x, DenseKernel([(z * w[:, k]) @ z.T / total[k] for k in range(w.shape[1])]), None, options, whole)
         return p.fit(), p
 
     fit, problem = fit_at(theta)
     history = [{"outer": 0, "loglik": fit.loglik}]
-    signs = rademacher(data.n, probes, 0)
+    signs = rademacher(data.n, probes, 0) if whole is None else None
     for outer in range(1, outers + 1):
-        h = np.einsum("g,gij->ij", fit.theta[:-1], problem.kernel.k) + fit.theta[-1] * np.eye(data.n)
+        h = np.einsum("g,gij->ij", fit.theta[:-1], problem.kernel.k) + fit.theta[-1] * np.eye(len(z))
         hi = np.linalg.inv(h)
-        hx = hi @ data.x
-        p = hi - hx @ np.linalg.solve(data.x.T @ hx, hx.T)
+        hx = hi @ x
+        p = hi - hx @ np.linalg.solve(x.T @ hx, hx.T)
         py = p @ problem.y
-        zpz = ((z.T @ signs) * (z.T @ (p @ signs))).mean(1)
+        zpz = (z * (p @ z)).sum(0) if signs is None else ((z.T @ signs) * (z.T @ (p @ signs))).mean(1)
         quad = np.array([py @ k @ py for k in problem.kernel.k])
         trace = np.array([np.sum(p * k) for k in problem.kernel.k])
         grad = fit.theta[:-1] * (((z.T @ py) ** 2 - zpz)[:, None] - (quad - trace)) / (2 * theta.sum(0)) / data.n

@@ -99,27 +99,43 @@ class Work:
     bases: int = 0
 
 
+@dataclass
+class Whole:
+    """What the coordinates of a standardised response leave out: samples, mean, scale, and the coordinates of random signs."""
+
+    n: int
+    mean: float
+    scale: float
+    probes: np.ndarray | None = None
+    start: np.ndarray | None = None
+
+
 class Problem:
     """One response, its fixed effects, a kernel, and residual kernels that are diagonal."""
 
-    def __init__(self, y: np.ndarray, x: np.ndarray, kernel: Kernel, residual: np.ndarray | None = None, options: Options | None = None):
+    def __init__(self, y: np.ndarray, x: np.ndarray, kernel: Kernel, residual: np.ndarray | None = None, options: Options | None = None, whole: Whole | None = None):
         limit_threads()
         self.o = options or Options()
-        self.x, self.n = x, len(y)
+        self.x, self.n, self.whole = x, whole.n if whole else len(y), whole
         _validate(self.o, y, x)
-        self.mean, self.scale = float(y.mean()), float(y.std() + 1e-6)
-        self.y = (y - self.mean) / self.scale
+        if whole:
+            if residual is not None:
+                raise ValueError("coordinates of a span go with one residual component, the identity")
+            self.mean, self.scale, self.y, residual = whole.mean, whole.scale, y, np.ones((1, len(y)))
+        else:
+            self.mean, self.scale = float(y.mean()), float(y.std() + 1e-6)
+            self.y = (y - self.mean) / self.scale
         self.r = np.ones((1, self.n)) if residual is None else residual  # components x n
-        exact = self.o.method == "exact" or (self.o.method == "auto" and self.n <= self.o.exact_up_to)
+        exact = self.o.method == "exact" or (self.o.method == "auto" and len(y) <= self.o.exact_up_to)
         self.kernel = DenseKernel.of(kernel) if exact and not isinstance(kernel, DenseKernel) else kernel
-        self.exact = exact
+        self.exact, self.source = exact, kernel
         self.atoms = np.concatenate([kernel.mean_diag(), self.r.mean(1)])
         self.g = kernel.size
         self.work = Work()
         if not exact:
-            self.z = rademacher(self.n, self.o.probes, self.o.seed)
+            self.z = whole.probes if whole else rademacher(self.n, self.o.probes, self.o.seed)
             self.kz = np.concatenate([self._stacked(self.z), self.r[:, :, None] * self.z[None]])
-            start = rademacher(self.n, self.o.slq_probes, self.o.seed + 1)
+            start = whole.start if whole else rademacher(self.n, self.o.slq_probes, self.o.seed + 1)
             self.affine = self._quadrature(lambda v: self._stacked(v)[0], start) if self.g == 1 and len(self.r) == 1 and (self.r == 1).all() else None
             self.start = start
             self.pre: Preconditioner | None = None
@@ -153,10 +169,10 @@ class Problem:
         def weighted(v: np.ndarray) -> np.ndarray:
             return np.einsum("g,gnc->nc", weights, self._stacked(v))
 
-        u, values = ritz(weighted, self.n, self.o.rank, self.o.seed)
+        u, values = ritz(weighted, len(self.y), self.o.rank, self.o.seed)
         core = np.diag(values / weights[0])[None] if self.g == 1 else np.einsum("nk,gnl->gkl", u, self._stacked(u))
         self.work.bases += 1
-        self.pre, self.pre_share = Preconditioner(u, core, self.kernel.mean_diag()), share
+        self.pre, self.pre_share = Preconditioner(u, core, self.kernel.mean_diag(), self.n), share
         return self.pre
 
     def start_theta(self) -> np.ndarray:
@@ -191,9 +207,12 @@ class Problem:
         p = hi - hx @ np.linalg.solve(xhx, hx.T)
         py = p @ self.y
         ay = a @ py
-        n = self.n
-        loglik = -0.5 * (self.y @ py + logdet_spd(h) + logdet_spd(xhx)) / n
-        score = 0.5 * (ay @ py - np.einsum("ij,gji->g", p, a)) / n
+        n, rest = self.n, self.n - len(self.y)  # outside a span H is its residual part alone
+        traces = np.einsum("ij,gji->g", p, a)
+        traces[-1] += rest / theta[-1] if rest else 0.0
+        outside = rest * np.log(theta[-1]) if rest else 0.0
+        loglik = -0.5 * (self.y @ py + logdet_spd(h) + outside + logdet_spd(xhx)) / n
+        score = 0.5 * (ay @ py - traces) / n
         return _Evaluation(float(loglik), score, 0.5 * (ay @ p @ ay.T) / n, py)
 
     def _stochastic(self, theta: np.ndarray, tol: float) -> _Evaluation:
