@@ -310,31 +310,43 @@ def columns_of(geno: DataFrame, stats: DataFrame, wanted: DataFrame, n: int) ->
     return wanted.join(z, "variant_idx").select("position", "variant_idx", "sample_idx", "z")
 
 
+#: Samples in one packed piece of a variant, a multiple of four.
+PIECE = 1 << 16
+
+
 def pack_2bit(geno: DataFrame, samples: DataFrame, variants: DataFrame) -> DataFrame:
-    """``variant_idx``, ``packed``, ``n``: present cells, null where missing, as the bytes that ``unpack_2bit`` reads.
+    """``variant_idx``, ``first``, ``packed``, ``n``: present cells, null where missing, as the bytes that ``unpack_2bit`` reads.
 
+    A row holds ``n`` samples from ``first`` on, at most ``PIECE``, so none grows with the samples.
     Only bytes with a present cell are rows; the bytes between them are filled in
-    as the text of a variant is put together, so the grid is never made.
+    as the text of a piece is put together, so the grid is never made.
     """
     code = F.when(F.col("dosage").isNull(), 1).when(F.col("dosage") == 2, 0).when(F.col("dosage") == 1, 2).otherwise(3)
     # An absent cell is 3, so a present one takes what it lacks to 3 away from a byte of 255.
     octet = (255 - F.sum((3 - code) * F.pow(F.lit(4), F.col("sample_idx") % 4))).cast("long")
-    octets = geno.groupBy("variant_idx", F.floor(F.col("sample_idx") / 4).alias("at")).agg(octet.alias("octet"))
-    lists = octets.groupBy("variant_idx").agg(F.sort_array(F.collect_list(F.struct("at", "octet"))).alias("list"))
-    n = samples.agg(F.count("*").alias("n"))
-    rows = variants.select("variant_idx").join(lists, "variant_idx", "left").crossJoin(F.broadcast(n))  # one row
+    first = (F.floor(F.col("sample_idx") / PIECE) * PIECE).cast("long").alias("first")
+    octets = geno.groupBy("variant_idx", first, F.floor(F.col("sample_idx") % PIECE / 4).alias("at")).agg(octet.alias("octet"))
+    lists = octets.groupBy("variant_idx", "first").agg(F.sort_array(F.collect_list(F.struct("at", "octet"))).alias("list"))
+    firsts = samples.agg(F.count("*").alias("all")).select("all", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("all") - 1, F.lit(0)), F.lit(PIECE).cast("long"))).alias("first"))
+    rows = variants.select("variant_idx").crossJoin(F.broadcast(firsts.select("first", F.least(F.col("all") - F.col("first"), F.lit(PIECE)).alias("n"))))  # a row for each 65536 samples
+    rows = rows.join(lists, ["variant_idx", "first"], "left")
     rows = rows.withColumn("list", F.coalesce("list", F.array().cast("array<struct<at:bigint,octet:bigint>>")))
     before = F.concat(F.array(F.lit(-1).cast("long")), F.transform("list", lambda x: x["at"]))
     filler = lambda k: F.repeat(F.lit("FF"), k.cast("int"))
     # One entry more than there are bytes: the last fills up to the end.
     pieces = F.zip_with("list", before, lambda x, p: F.concat(filler(F.coalesce(x["at"], F.ceil(F.col("n") / 4)) - p - 1), F.coalesce(F.lpad(F.hex(x["octet"]), 2, "0"), F.lit(""))))
-    return rows.select("variant_idx", F.unhex(F.array_join(pieces, "")).alias("packed"), "n")
+    return rows.select("variant_idx", "first", F.unhex(F.array_join(pieces, "")).alias("packed"), "n")
 
 
 def unpack_2bit(packed: DataFrame) -> DataFrame:
-    """``variant_idx``, ``sample_idx``, ``dosage`` from bytes of four codes, low bits first: 0 is two copies, 1 missing, 2 one, 3 none."""
+    """``variant_idx``, ``sample_idx``, ``dosage`` from bytes of four codes, low bits first: 0 is two copies, 1 missing, 2 one, 3 none.
+
+    Without a column ``first``, bytes begin at sample 0.
+    """
+    packed = packed if "first" in packed.columns else packed.withColumn("first", F.lit(0).cast("long"))
     octet = F.conv(F.hex(F.substring("packed", F.col("at") + 1, F.lit(1))), 16, 10).cast("int")
-    rows = packed.select("variant_idx", "n", "packed", F.explode(F.sequence(F.lit(0), F.octet_length("packed") - 1)).alias("at")).select("variant_idx", "n", "at", octet.alias("octet"))
-    rows = rows.select("variant_idx", "n", F.posexplode(F.array(*(F.shiftright("octet", 2 * k).bitwiseAND(F.lit(3)) for k in range(4)))).alias("k", "code"), "at")
+    rows = packed.filter("n > 0").select("variant_idx", "first", "n", "packed", F.explode(F.sequence(F.lit(0), F.octet_length("packed") - 1)).alias("at")).select("variant_idx", "first", "n", "at", octet.alias("octet"))
+    rows = rows.select("variant_idx", "first", "n", F.posexplode(F.array(*(F.shiftright("octet", 2 * k).bitwiseAND(F.lit(3)) for k in range(4)))).alias("k", "code"), "at")
     dosage = F.when(F.col("code") == 0, 2).when(F.col("code") == 2, 1).when(F.col("code") == 3, 0)
-    return rows.select("variant_idx", (F.col("at") * 4 + F.col("k")).cast("long").alias("sample_idx"), dosage.cast("byte").alias("dosage"), "n").filter("sample_idx < n").drop("n")
+    inside = F.col("at") * 4 + F.col("k")
+    return rows.filter(inside < F.col("n")).select("variant_idx", (F.col("first") + inside).cast("long").alias("sample_idx"), dosage.cast("byte").alias("dosage"))

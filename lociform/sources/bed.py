@@ -51,9 +51,9 @@ def write_bed(path: str, dosage: np.ndarray) -> None:
 
 
 def write_packed(packed: DataFrame, path: str, n: int, m: int) -> None:
-    """Writes ``packed(variant_idx, packed)``, as ``geno.pack_2bit`` makes it, to one file.
+    """Writes ``packed(variant_idx, first, packed)``, as ``geno.pack_2bit`` makes it, to one file.
 
-    Every task puts its variants at their places, so a task that runs again
+    Every task puts its pieces of variants at their places, so a task that runs again
     writes the same bytes; the path must be one that every executor can open.
     """
     stride = -(-n // 4)
@@ -65,17 +65,17 @@ def write_packed(packed: DataFrame, path: str, n: int, m: int) -> None:
         done = 0
         with open(path, "r+b") as f:
             for batch in batches:
-                for v, octets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if len(octets) != stride:
-                        raise ValueError(f"variant {v} has {len(octets)} bytes, not {stride}")
-                    f.seek(len(MAGIC) + v * stride)
+                for v, first, octets in zip(*(c.to_pylist() for c in batch.columns)):
+                    if first % 4 or first // 4 + len(octets) > stride:
+                        raise ValueError(f"variant {v} has {len(octets)} bytes from sample {first} on, of {stride} in all")
+                    f.seek(len(MAGIC) + v * stride + first // 4)
                     f.write(octets)
-                    done += 1
+                    done += len(octets)
         yield pa.record_batch([pa.array([done], pa.int64())], names=["done"])
 
-    done = packed.select("variant_idx", "packed").mapInArrow(place, "done long").agg({"done": "sum"}).first()[0]
-    if done != m:
-        raise ValueError(f"{done} of {m} variants were written")
+    done = packed.select("variant_idx", "first", "packed").mapInArrow(place, "done long").agg({"done": "sum"}).first()[0]
+    if (done or 0) != m * stride:
+        raise ValueError(f"{done} bytes of {m} variants were written, not {m * stride}")
 
 
 #: Fixed values of packed blocks: dosages 0, 1, 2 and 3 for missing, low bits first; and each code's place in a BED file.

@@ -166,3 +166,21 @@ def test_selected_trace_and_packed_bytes(spark, tmp_path):
     bed.write_packed(packed, path, 41, 5)
     with open(path, "rb") as f:
         assert np.array_equal(bed.decode(f.read()[3:], 41), g)
+
+
+def test_packed_pieces(spark, tmp_path, monkeypatch):
+    """No packed row holds all samples, and a file and the cells come out of the pieces."""
+    monkeypatch.setattr(geno, "PIECE", 16)
+    g = np.random.default_rng(4).choice(4, (3, 41), p=(0.7, 0.1, 0.1, 0.1)).astype(np.uint8)
+    g[1] = 0
+    cells = [(int(v), int(s), None if g[v, s] == 3 else int(g[v, s])) for v, s in zip(*np.nonzero(g))]
+    packed = geno.pack_2bit(spark.createDataFrame(cells, "variant_idx long, sample_idx long, dosage byte"), spark.range(41), spark.range(3).withColumnRenamed("id", "variant_idx"))
+    assert sorted((r["first"], len(r["packed"]), r["n"]) for r in packed.filter("variant_idx = 1").collect()) == [(0, 4, 16), (16, 4, 16), (32, 3, 9)]
+    got = np.full_like(g, 9)
+    for r in geno.unpack_2bit(packed).collect():
+        got[r["variant_idx"], r["sample_idx"]] = 3 if r["dosage"] is None else r["dosage"]
+    assert np.array_equal(got, g)
+    path = str(tmp_path / "pieces.bed")
+    bed.write_packed(packed, path, 41, 3)
+    with open(path, "rb") as f:
+        assert np.array_equal(bed.decode(f.read()[3:], 41), g)
