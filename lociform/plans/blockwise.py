@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..operators import align, geno, screen
 from ..sources import bed, files, specs
-from .catalog import _KV, _KV_W, G, _products, _rounded, _signs, query
+from . import span
+from .catalog import _KV, _KV_W, G, _alpha, _products, _rounded, _signs, _wide, query
 from .fixtures import Tables
-from .kernels import AdmixedKernel, SparkKernel, WeightKernel
+from .kernels import AdmixedKernel, SparkKernel, WeightKernel, admixed_rows
 
 WIDTH = 8
 
@@ -94,7 +95,7 @@ def kernel_w_files(t: Tables) -> DataFrame:
 def w_effects(t: Tables) -> DataFrame:
     """Effects of variants under block weights, theta W Z' alpha / c, for a given alpha."""
     g = G(t)
-    out = _weights(t, g).effects(_signs(g.n)[:, 0], np.array([0.5]))
+    out = _weights(t, g).effects(_alpha(t, g.n), np.array([0.5]))
     return _rounded(out, "beta")
 
 
@@ -103,7 +104,7 @@ def w_effects(t: Tables) -> DataFrame:
 def w_prediction(t: Tables) -> DataFrame:
     """Random effects of samples from the effects of variants under block weights."""
     g = G(t)
-    b = _weights(t, g).effects(_signs(g.n)[:, 0], np.array([0.5])).select("variant_idx", F.lit(0).alias("col"), F.col("beta").alias("b"))
+    b = _weights(t, g).effects(_alpha(t, g.n), np.array([0.5])).select("variant_idx", F.lit(0).alias("col"), F.col("beta").alias("b"))
     return geno.zb(g.geno, g.stats, b, g.samples).select("sample_idx", (F.round("value", 5) + 0.0).alias("value"))
 
 
@@ -112,6 +113,9 @@ def w_prediction(t: Tables) -> DataFrame:
 def kernel_admixed(t: Tables) -> DataFrame:
     """Ancestry components as a kernel that can be fitted, three columns to a product."""
     g = G(t)
+    if g.n > span.BEYOND:
+        base = SparkKernel.of_bed(t.spark, _bed(t, g), g.n, width=WIDTH)
+        return _rounded(admixed_rows(base, t.admixture(), _wide(t), 2, 3), "value")
     shares = t.admixture().toPandas()  # n x ancestries, as the kernel holds them
     q = np.zeros((g.n, int(shares["ancestry"].max()) + 1))
     q[shares["sample_idx"], shares["ancestry"]] = shares["q"]
@@ -163,6 +167,6 @@ def source_effects(t: Tables) -> DataFrame:
     """Effects of the variants of every source for a given alpha, under each source's own numbers."""
     kernel, widths = _sources(t)
     table = t.spark.createDataFrame([(k, sum(widths[:k]), w) for k, w in enumerate(widths)], "grm_idx int, first long, m long")
-    out = kernel.effects(_signs(kernel.n)[:, 0], np.array([1.0, 2.0, 3.0])).select(F.col("variant_idx").alias("global_idx"), "beta")
+    out = kernel.effects(_alpha(t, kernel.n), np.array([1.0, 2.0, 3.0])).select(F.col("variant_idx").alias("global_idx"), "beta")
     rows = screen.global_to_local(out.select("global_idx"), table).join(out, "global_idx")
     return _rounded(rows.select("grm_idx", "local_idx", "beta"), "beta")

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE = 4096  # samples in one partial sum
+SLICE = 4096  # samples in one partial sum, a multiple of four
+HELD = 1 << 20  # numbers that a task adds up before it passes them on, or that are broadcast
 TILE = 256  # variants of a block that are unpacked at once
 #: Rows of a component map that are broadcast to split blocks, at most (about 20 bytes each).
 MAP_ROWS = 1 << 21
@@ -106,6 +107,26 @@ class AdmixedKernel(Kernel):
         return _scaled(scores, self.base.cmap().drop("component_idx"), ["variant_idx"], theta[: self.size] / np.maximum(self.base.m_eff[0], 1))
 
 
+def admixed_rows(base: SparkKernel, q: DataFrame, v: DataFrame, width: int, budget: int = COLUMN_BUDGET) -> DataFrame:
+    """``component_idx``, ``sample_idx``, ``col``, ``value``: products of ``AdmixedKernel`` from rows of shares ``q(sample_idx, ancestry, q)`` and of ``v(sample_idx, v)``.
+
+    A row for each share above 0; nothing of n rows leaves Spark.
+    """
+    top = q.agg(F.max("ancestry")).first()[0]
+    size = 0 if top is None else int(top) + 1
+    own = q.groupBy("sample_idx").agg(F.array(*(F.sqrt(F.coalesce(F.sum(F.when(F.col("ancestry") == a, F.col("q"))), F.lit(0.0))) for a in range(size))).alias("root"))
+    given = v.join(own, "sample_idx").persist()
+    pairs, out = [(a, c) for a in range(size) for c in range(width)], None
+    for k in range(0, len(pairs), budget):
+        some = pairs[k : k + budget]
+        got = base.rows(given.select("sample_idx", F.array(*(F.col("root")[a] * F.col("v")[c] for a, c in some)).alias("v")), len(some))
+        each = F.array(*(F.struct(F.lit(a).alias("component_idx"), F.lit(c).alias("col"), F.col("root")[a].alias("root"), F.col("v")[i].alias("v")) for i, (a, c) in enumerate(some)))
+        part = got.select("sample_idx", "v").join(given.select("sample_idx", "root"), "sample_idx").select("sample_idx", F.inline(each)).filter("root > 0")
+        part = part.select("component_idx", "sample_idx", "col", (F.col("root") * F.col("v")).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _scaled(scores: DataFrame, cmap: DataFrame, on: list[str], scale: np.ndarray) -> DataFrame:
     """``component_idx``, ``local_idx``, ``variant_idx``, ``beta`` from scores and a factor for each component."""
     factors = scores.sparkSession.createDataFrame([(g, float(x)) for g, x in enumerate(scale)], "component_idx int, factor double")
@@ -151,22 +172,43 @@ def blocks(geno: DataFrame, stats: DataFrame, cmap: DataFrame, n: int, width: in
 
 
 def packed_blocks(geno: DataFrame, stats: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """As ``blocks``, from ``rows(component_idx, block_id, local_idx, variant_idx)``, which say what lies together."""
+    """As ``blocks``, from ``rows(component_idx, block_id, local_idx, variant_idx)``, which say what lies together.
+
+    Cells of a block meet by slices of samples; only packed slices are put together.
+    """
+    step, key = SLICE, ["component_idx", "block_id"]
     rows = rows.join(stats.select("variant_idx", "mean", "inv_sd"), "variant_idx")
-    cells = geno.groupBy("variant_idx").agg(F.collect_list("sample_idx").alias("at"), F.collect_list(F.coalesce(F.col("dosage").cast("int"), F.lit(3))).alias("code"))
-    rows = rows.join(cells, "variant_idx", "left")
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("local_idx")
-        codes = np.zeros((len(pdf), n), np.uint8)
-        for k, (at, code) in enumerate(zip(pdf["at"], pdf["code"])):
-            if at is not None:
-                codes[k, np.asarray(at, int)] = np.asarray(code, np.uint8)
-        first = pdf.iloc[0]
-        return pd.DataFrame({"component_idx": [first["component_idx"]], "block_id": [first["block_id"]], "variants": [pdf["variant_idx"].tolist()], "mean": [pdf["mean"].tolist()], "inv_sd": [pdf["inv_sd"].tolist()], "packed": [pack(codes)]})
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("local_idx")) - 1
+    rows = rows.select(*(F.col(k).cast("int").alias(k) for k in key), "variant_idx", "mean", "inv_sd", place.alias("at"), F.count("*").over(Window.partitionBy(*key)).alias("width"))
+    heads = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "variant_idx", "mean", "inv_sd"))).alias("own"))
+    code = F.coalesce(F.col("dosage").cast("long"), F.lit(3))
+    cell = (F.col("at") * step + F.col("sample_idx") % step) * 4 + code  # its place in the slice, and its code
+    cells = geno.join(rows.select(*key, "variant_idx", "at", "width"), "variant_idx").groupBy(*key, F.floor(F.col("sample_idx") / step).cast("int").alias("slice")).agg(F.max("width").alias("width"), F.collect_list(cell).alias("cells"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                own = batch.column("cells")[k].values.to_numpy()
+                codes = np.zeros(batch.column("width")[k].as_py() * step, np.uint8)
+                codes[own >> 2] = own & 3
+                yield pa.record_batch([*(batch.column(c).slice(k, 1) for c in ("component_idx", "block_id", "slice")), pa.array([pack(codes.reshape(-1, step))], pa.binary())], names=["component_idx", "block_id", "slice", "packed"])
+
+    parts = cells.mapInArrow(build, "component_idx int, block_id int, slice int, packed binary").groupBy(*key).agg(F.collect_list(F.struct("slice", "packed")).alias("parts"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                count, parts = len(batch.column("variants")[k]), batch.column("parts")[k].values
+                out = np.zeros((count, -(-n // 4)), np.uint8)
+                for i in range(0 if parts is None else len(parts)):
+                    lo = parts.field("slice")[i].as_py() * step // 4
+                    own = np.frombuffer(parts.field("packed")[i].as_buffer(), np.uint8).reshape(count, -1)
+                    out[:, lo : lo + step // 4] = own[:, : out.shape[1] - lo]
+                yield pa.record_batch([*(batch.column(c).slice(k, 1) for c in batch.schema.names[:5]), pa.array([out.tobytes()], pa.binary())], names=[*batch.schema.names[:5], "packed"])
 
     schema = "component_idx int, block_id int, variants array<long>, mean array<double>, inv_sd array<double>, packed binary"
-    return rows.groupBy("component_idx", "block_id").applyInPandas(build, schema)
+    lists = [F.col("own")[c].alias(name) for c, name in (("variant_idx", "variants"), ("mean", "mean"), ("inv_sd", "inv_sd"))]
+    return heads.join(parts, key, "left").select(*key, *lists, "parts").mapInArrow(whole, schema)
 
 
 def standardised(raw: bytes, mean: np.ndarray, inv_sd: np.ndarray, n: int) -> np.ndarray:
@@ -224,6 +266,8 @@ class SparkKernel(Kernel):
     """Kernel over a table of packed blocks."""
 
     extra: tuple[str, ...] = ()  # further columns of the table that a product reads
+    least: float = 1.0  # smallest divisor
+    cut: DataFrame | None = None  # the table by slices of samples, once rows were asked for
 
     def __init__(self, table: DataFrame, n: int, size: int, m_eff: np.ndarray, mean_diag: np.ndarray):
         self.table, self.n, self.size, self.m_eff, self.means = table.persist(), n, size, m_eff, mean_diag
@@ -301,17 +345,8 @@ class SparkKernel(Kernel):
             rows = [(g, lo, t[lo : lo + SLICE].tobytes()) for g, t in total.items() for lo in range(0, n, SLICE)]
             yield _rows(rows)
 
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[tuple[int, int], np.ndarray] = {}
-            for batch in batches:
-                for row in batch.to_pylist():
-                    key = (row["g"], row["lo"])
-                    own = np.frombuffer(row["part"], float)
-                    total[key] = total[key] + own if key in total else own
-            yield _rows([(*key, t.tobytes()) for key, t in total.items()])
-
         schema = "g int, lo int, part binary"
-        parts = self.table.select("component_idx", "mean", "inv_sd", "packed", *self.extra).mapInArrow(partial, schema).repartition("g", "lo").mapInArrow(meet, schema)
+        parts = self.table.select("component_idx", "mean", "inv_sd", "packed", *self.extra).mapInArrow(partial, schema).repartition("g", "lo").mapInArrow(_meet, schema)
         out = np.zeros((size, n, columns))
         for row in parts.toArrow().to_pylist():
             part = np.frombuffer(row["part"], float).reshape(-1, columns)
@@ -322,6 +357,115 @@ class SparkKernel(Kernel):
     def stacked(self, v: np.ndarray) -> np.ndarray:
         return self._sum(v, v.shape[1]) / np.maximum(self.m_eff, 1)[:, None, None]
 
+    def _pieces(self) -> DataFrame:
+        """The table by slices of samples, dealt by them: ``component_idx``, ``block_id``, ``slice``, ``mean``, ``inv_sd``, ``packed``."""
+        if self.cut is None:
+            step, names = SLICE, ["component_idx", "block_id", "mean", "inv_sd"]
+
+            def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for k in range(len(batch)):
+                        octets = np.frombuffer(batch.column("packed")[k].as_buffer(), np.uint8).reshape(len(batch.column("mean")[k]), -1)
+                        for lo in range(0, octets.shape[1], step // 4):
+                            own = np.zeros((len(octets), step // 4), np.uint8)
+                            some = octets[:, lo : lo + step // 4]
+                            own[:, : some.shape[1]] = some
+                            yield pa.record_batch([*(batch.column(c).slice(k, 1) for c in names), pa.array([lo * 4 // step], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=[*names, "slice", "packed"])
+
+            rows = self.table.select(*names, "packed").mapInArrow(cut, "component_idx int, block_id int, mean array<double>, inv_sd array<double>, slice int, packed binary")
+            self.cut = rows.repartition("slice").persist()
+        return self.cut
+
+    def _inner(self, v: DataFrame, width: int, names: list[str]) -> DataFrame:
+        """``Z' V`` of every block from rows ``v(sample_idx, v)``, beside the block's columns ``names``: ``part`` holds variants x width numbers."""
+        step = SLICE
+        slices = v.groupBy(F.floor(F.col("sample_idx") / step).cast("int").alias("slice")).agg(F.collect_list((F.col("sample_idx") % step).cast("int")).alias("at"), F.flatten(F.collect_list("v")).alias("v"))
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for k in range(len(batch)):
+                    mean, inv_sd, at, own = (batch.column(c)[k].values.to_numpy() for c in ("mean", "inv_sd", "at", "v"))
+                    dense = np.zeros((step, width))
+                    dense[at] = own.reshape(-1, width)
+                    s = standardised(batch.column("packed")[k].as_py(), mean, inv_sd, step) @ dense
+                    key = (batch.column("component_idx")[k].as_py(), batch.column("block_id")[k].as_py())
+                    total[key] = total[key] + s if key in total else s
+                if sum(x.size for x in total.values()) > HELD:
+                    yield _rows([(*key, x.tobytes()) for key, x in total.items()])
+                    total = {}
+            yield _rows([(*key, x.tobytes()) for key, x in total.items()])
+
+        schema = "g int, lo int, part binary"
+        sums = self._pieces().join(slices, "slice").mapInArrow(partial, schema).repartition("g", "lo").mapInArrow(_meet, schema)
+        return self.table.select("component_idx", "block_id", *names).join(sums.withColumnsRenamed({"g": "component_idx", "lo": "block_id"}), ["component_idx", "block_id"])
+
+    def rows(self, v: DataFrame, width: int) -> DataFrame:
+        """``component_idx``, ``sample_idx``, ``v``: what ``stacked`` gives, of rows ``v(sample_idx, v)`` with arrays of ``width`` numbers.
+
+        Nothing of n rows leaves Spark: scores of blocks meet over slices of
+        samples, then each slice takes them.  A component without variants has no rows.
+        """
+        step, n, weigh, parted, divisors = SLICE, self.n, type(self).weigh, type(self).parted, np.maximum(self.m_eff, type(self).least)
+
+        def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    t = weigh(row, np.frombuffer(row["part"], float).reshape(-1, width))
+                    yield _rows([(row["component_idx"], row["block_id"], np.ascontiguousarray(t).tobytes())])
+
+        schema = "g int, lo int, part binary"
+        t = self._inner(v, width, ["mean", *self.extra]).mapInArrow(between, schema).withColumnsRenamed({"g": "component_idx", "lo": "block_id"})
+        numbers = int(self.table.agg(F.sum(F.size("mean"))).first()[0] or 0) * width * max(self.size, 1)
+        t = F.broadcast(t) if numbers <= HELD else t  # scores of all variants
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for k in range(len(batch)):
+                    mean, inv_sd = (batch.column(c)[k].values.to_numpy() for c in ("mean", "inv_sd"))
+                    z = standardised(batch.column("packed")[k].as_py(), mean, inv_sd, step)
+                    own = z.T @ np.frombuffer(batch.column("part")[k].as_py(), float).reshape(len(mean), -1)
+                    key = (batch.column("component_idx")[k].as_py(), batch.column("slice")[k].as_py())
+                    total[key] = total[key] + own if key in total else own
+                    if len(total) * own.size > HELD:
+                        yield _rows([(*key, x.tobytes()) for key, x in total.items()])
+                        total = {}
+            yield _rows([(*key, x.tobytes()) for key, x in total.items()])
+
+        def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _meet(batches):
+                for row in batch.to_pylist():
+                    lo = row["lo"] * step
+                    some = min(step, n - lo)
+                    own = np.frombuffer(row["part"], float).reshape(step, -1)[:some]
+                    for g, x in parted(row["g"], own, divisors):
+                        flat = pa.ListArray.from_arrays(pa.array(np.arange(some + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(x).ravel()))
+                        yield pa.record_batch([pa.array(np.full(some, g, np.int32)), pa.array(np.arange(lo, lo + some)), flat], names=["component_idx", "sample_idx", "v"])
+
+        parts = self._pieces().join(t, ["component_idx", "block_id"]).select("component_idx", "slice", "mean", "inv_sd", "packed", "part").mapInArrow(spread, schema)
+        return parts.repartition("g", "lo").mapInArrow(out, "component_idx int, sample_idx long, v array<double>")
+
+    @staticmethod
+    def parted(g: int, own: np.ndarray, divisors: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Components that lie in a slice's sums, over their divisors."""
+        yield g, own / divisors[g]
+
+    def row_scores(self, v: DataFrame, width: int, weighed: bool = False) -> DataFrame:
+        """``scores`` of rows ``v(sample_idx, v)``, which stay in Spark."""
+        weigh = type(self).weigh
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    s, variants = np.frombuffer(row["part"], float).reshape(-1, width), np.array(row["variants"], np.int64)
+                    if weighed:
+                        valid = np.array(row["inv_sd"]) > 0
+                        s, variants = weigh(row, s)[valid], variants[valid]
+                    yield _scored(row["component_idx"], variants, s)
+
+        return self._inner(v, width, ["variants", "mean", "inv_sd", *self.extra]).mapInArrow(run, _SCORES)
+
     def scores(self, v: np.ndarray, weighed: bool = False) -> DataFrame:
         """``component_idx``, ``variant_idx``, ``col``, ``score``: Z'V, left distributed; ``weighed``, what a product makes of it before Z, for valid variants."""
         shared, n, weigh = self.table.sparkSession.sparkContext.broadcast(np.ascontiguousarray(v)), self.n, type(self).weigh
@@ -334,20 +478,22 @@ class SparkKernel(Kernel):
                     if weighed:
                         valid = np.array(row["inv_sd"]) > 0
                         s, variants = weigh(row, s)[valid], variants[valid]
-                    w, c = s.shape
-                    yield pa.record_batch(
-                        [pa.array(np.full(w * c, row["component_idx"], np.int32)), pa.array(np.repeat(variants, c)), pa.array(np.tile(np.arange(c, dtype=np.int32), w)), pa.array(s.ravel())],
-                        names=["component_idx", "variant_idx", "col", "score"],
-                    )
+                    yield _scored(row["component_idx"], variants, s)
 
-        return self.table.mapInArrow(run, "component_idx int, variant_idx long, col int, score double")
+        return self.table.mapInArrow(run, _SCORES)
 
-    def effects(self, alpha: np.ndarray, theta: np.ndarray) -> DataFrame:
-        """``component_idx``, ``local_idx``, ``variant_idx``, ``beta``: theta over the divisor times the product's inner half, left distributed."""
-        return _scaled(self.scores(alpha[:, None], True).drop("col"), self.cmap(), ["component_idx", "variant_idx"], theta[: self.size] / np.maximum(self.m_eff, 1e-300))
+    def effects(self, alpha: np.ndarray | DataFrame, theta: np.ndarray) -> DataFrame:
+        """``component_idx``, ``local_idx``, ``variant_idx``, ``beta``: theta over the divisor times the product's inner half, left distributed.
+
+        ``alpha`` is an array of n numbers, or rows (``sample_idx``, ``v``) with arrays of one.
+        """
+        scores = self.row_scores(alpha, 1, True) if isinstance(alpha, DataFrame) else self.scores(alpha[:, None], True)
+        return _scaled(scores.drop("col"), self.cmap(), ["component_idx", "variant_idx"], theta[: self.size] / np.maximum(self.m_eff, 1e-300))
 
     def close(self) -> None:
         self.table.unpersist()
+        if self.cut is not None:
+            self.cut.unpersist()
 
 
 class WeightKernel(SparkKernel):
@@ -359,6 +505,7 @@ class WeightKernel(SparkKernel):
     """
 
     extra = ("w",)
+    least = 1e-300
 
     @classmethod
     def build(cls, geno: DataFrame, stats: DataFrame, w: DataFrame, n: int, groups: DataFrame | None = None, ranks: list[float] | None = None) -> WeightKernel:
@@ -457,6 +604,7 @@ class SoftKernel(SparkKernel):
     """``Z diag(w_k) Z' / sum w_k`` for every group k of ``weights(variant_idx, group_idx, w)``: all groups share one product with Z'."""
 
     extra = ("w",)
+    least = 1e-300
 
     @classmethod
     def build(cls, table: DataFrame, stats: DataFrame, weights: DataFrame, n: int, groups: int) -> SoftKernel:
@@ -479,12 +627,38 @@ class SoftKernel(SparkKernel):
         w = np.array(row["w"]).reshape(len(s), -1)  # variants x groups
         return (w[:, :, None] * s[:, None, :]).reshape(len(s), -1)
 
+    @staticmethod
+    def parted(g: int, own: np.ndarray, divisors: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        yield from enumerate(np.moveaxis(own.reshape(len(own), len(divisors), -1), 1, 0) / divisors[:, None, None])
+
     def stacked(self, v: np.ndarray) -> np.ndarray:
         size, c = self.size, v.shape[1]
         out = self._sum(v, size * c)[0].reshape(self.n, size, c)
         return np.moveaxis(out, 1, 0) / self.m_eff[:, None, None]
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the parts of each (g, lo)."""
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = (row["g"], row["lo"])
+            own = np.frombuffer(row["part"], float)
+            total[key] = total[key] + own if key in total else own
+    yield _rows([(*key, t.tobytes()) for key, t in total.items()])
+
+
+_SCORES = "component_idx int, variant_idx long, col int, score double"
+
+
+def _scored(g: int, variants: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    w, c = s.shape
+    return pa.record_batch(
+        [pa.array(np.full(w * c, g, np.int32)), pa.array(np.repeat(variants, c)), pa.array(np.tile(np.arange(c, dtype=np.int32), w)), pa.array(s.ravel())],
+        names=["component_idx", "variant_idx", "col", "score"],
+    )
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     g, lo, part = zip(*rows) if rows else ((), (), ())
     return pa.record_batch([pa.array(g, pa.int32()), pa.array(lo, pa.int32()), pa.array(part, pa.binary())], names=["g", "lo", "part"])

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lociform.plans import catalog, models, span
+from lociform.plans import blockwise, catalog, kernels, models, span
 
 from .test_queries import FOLDER, duck, test_query as against_sql  # noqa: F401
 
@@ -22,3 +22,14 @@ def test_fits_are_those_of_dense_matrices(spark, monkeypatch):
     monkeypatch.setattr(span, "BEYOND", 10)
     got = catalog.QUERIES["reml_multi"](spark, FOLDER).toPandas()
     assert np.allclose(got[["theta", "h2", "loglik"]], want[["theta", "h2", "loglik"]], rtol=1e-5, atol=1e-7)
+
+
+@pytest.mark.parametrize("name", ["kernel_admixed", "kernel_sources", "kernel_bed_components", "kernel_w_groups", "kernel_w_rank", "kernel_w_trace", "kernel_soft", "source_effects", "snp_effects", "w_effects"])
+def test_products_of_blocks_stay_rows(spark, duck, name, monkeypatch):  # noqa: F811
+    """The same over slices of samples: no right-hand side is an array, no product reaches the driver."""
+    monkeypatch.setattr(span, "BEYOND", 10)
+    monkeypatch.setattr(kernels, "SLICE", 64)
+    for module in (catalog, blockwise):
+        monkeypatch.setattr(module, "_signs", None)
+    monkeypatch.setattr(kernels.SparkKernel, "_sum", None)
+    against_sql(spark, duck, name)
