@@ -33,3 +33,23 @@ def test_products_of_blocks_stay_rows(spark, duck, name, monkeypatch):  # noqa:
         monkeypatch.setattr(module, "_signs", None)
     monkeypatch.setattr(kernels.SparkKernel, "_sum", None)
     against_sql(spark, duck, name)
+
+
+@pytest.mark.parametrize("name", ["reml_decomposition", "reml_stationary", "reml_stationary_probes", "low_rank_range"])
+def test_solvers_hold_their_sql_beyond_arrays(spark, duck, name, monkeypatch):  # noqa: F811
+    test_rows_that_stay_a_table(spark, duck, name, monkeypatch)
+
+
+@pytest.mark.parametrize("name", ["reml_fit", "reml_effects", "sparse_reml", "relax_groups"])
+def test_fits_of_rows_are_those_of_arrays(spark, name, monkeypatch):
+    """No n rows go to the driver, and fits are what dense matrices give (soft grouping with a probe for each sample)."""
+    monkeypatch.setattr(models, "rademacher", lambda n, probes, seed: np.sqrt(n) * np.eye(n))
+    want = catalog.QUERIES[name](spark, FOLDER).toPandas()
+    monkeypatch.setattr(span, "BEYOND", 10)
+    for gone in ("vector", "columns", "kernel"):
+        monkeypatch.setattr(models.Data, gone, None)
+    keys = [c for c in want.columns if c.endswith("_idx")]
+    want, got = (df.sort_values(keys).reset_index(drop=True) for df in (want, catalog.QUERIES[name](spark, FOLDER).toPandas()))
+    assert len(want) and (got[keys] == want[keys]).all(axis=None)
+    rest = [c for c in want.columns if c not in keys]
+    assert np.allclose(got[rest].astype(float), want[rest].astype(float), rtol=1e-5, atol=1e-7)
