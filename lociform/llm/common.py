@@ -70,8 +70,7 @@ def forget(*tables: DataFrame) -> None:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df.saved_at)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        context._jvm.java.lang.System.gc()
+    SparkSession.active()._jvm.java.lang.System.gc()
 
 
 #: A key with more rows than this share of all is hot, and so is none with fewer rows than the second figure.

@@ -143,3 +143,42 @@ def test_a_cluster_of_copies_takes_about_one_comparison_a_node(spark, monkeypatc
     rows = near_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert all(r["component_id"] == r["doc_id"] // 100 * 100 for r in rows)
     assert sum(compared) < 4 * len(docs)
+
+
+def test_a_shared_passage_alone_needs_no_sets(spark, monkeypatch):
+    """Three hundred documents share three fifths of their runs: long postings, whose nodes were all compared with the leader on full sets."""
+    r = random.Random(11)
+    passage = [f"p{k}" for k in range(26)]
+    docs = [(k, " ".join(passage + [f"w{r.randrange(10**9)}" for _ in range(16)])) for k in range(300)]
+    compared, wanted, overlaps, sets = [], [], near_dedup._overlaps, near_dedup._sets
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return overlaps(pairs, *more)
+
+    def needed(docs, some, measure):
+        wanted.append(some.count())
+        return sets(docs, some, measure)
+
+    monkeypatch.setattr(near_dedup, "SMALL", 16)
+    monkeypatch.setattr(near_dedup, "_overlaps", counted)
+    monkeypatch.setattr(near_dedup, "_sets", needed)
+    rows = near_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in rows) == brute(docs, 3, 85)
+    assert sum(compared) < len(docs) / 2 and sum(wanted) < len(docs), (compared, wanted)
+
+
+def test_tiny_blocks_of_signatures_and_a_tiny_bitmap(spark, monkeypatch):
+    """Parts longer than a block are cut by bands in both steps, and the bitmap lets other texts through."""
+    for name, value in (("SMALL", 4), ("BLOCK", 2000), ("SIGNED", 7), ("PICKED", 0), ("WORDS", 1)):
+        monkeypatch.setattr(near_dedup, name, value)
+    r = random.Random(13)
+    data = [(i, t, 1, "clash") for i, t in enumerate(corpus(r, 60))] + [(3, "one", 1, "clash")] * 3
+    got = near_dedup.report(spark.createDataFrame(data, SCHEMA).repartition(5), near_dedup.Measure(3, 85)).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute(data, 3, 85)
+
+
+def test_texts_that_no_pair_needs_stay_out_of_the_shuffle(spark):
+    rows = spark.range(20000).select(F.xxhash64("id").alias("key"), "id")
+    some = near_dedup._among(rows, rows.filter("id % 10 = 0")).select("id").collect()
+    assert {x.id for x in some} >= set(range(0, 20000, 10)) and len(some) < 2100
